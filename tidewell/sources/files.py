@@ -49,6 +49,10 @@ class Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
+    def rename(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._at(old), self._at(new)):
+            raise OSError(f"cannot rename {old} to {new} in {self.root}")
+
     def sizes(self, name: str = "") -> dict[str, int]:
         """File name to length, of the files directly in a subfolder."""
         return {x.getPath().getName(): x.getLen() for x in self._fs.listStatus(self._at(name)) if not x.isDirectory()}
