@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidewell import datum as D
 from tidewell.functions.keys import between, key_of, literal_key
+from tidewell.session import written
 from tidewell.spec import SubValueSpec
 
 
@@ -102,23 +103,51 @@ def index_rows(entries: DataFrame, spec: SubValueSpec, value: str = "pv") -> Dat
     return entries.withColumn("sv", found[0]).filter(F.col("sv").isNotNull())
 
 
+def previous(log: DataFrame, keys: list[str], order: list[str], state: Column, name: str, block_bits: int = 12) -> DataFrame:
+    """Adds ``name``: the state (a struct) of the row before, in the order of the key's history; null at its start.
+
+    The history is cut into blocks of 2**block_bits values of the (integer) first order column. Within a block a window looks back; the
+    first row of a block gets the last state of the block before, from one row a block. A key with most rows is many tasks.
+    """
+    from pyspark.sql import Window
+
+    first = order[0]
+    base = log.withColumn("_b", F.expr(f"shiftright(cast(`{first}` as bigint), {block_bits})")).withColumn("_state", F.struct(state.alias("s")))
+    last = base.groupBy(*keys, "_b").agg(F.max_by("_state", F.struct(*order)).alias("_last"))
+    carry = last.select(*keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry"))
+    inner = base.withColumn("_prev", F.lag("_state").over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    same = reduce(lambda x, y: x & y, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (*keys, "_b")])
+    joined = inner.alias("x").join(carry.alias("y"), same, "left")
+    return joined.select(*[F.col(f"x.{c}").alias(c) for c in log.columns], F.coalesce("x._prev", "y._carry")["s"].alias(name))
+
+
 def index_delta(log: DataFrame, keys: list[str], order: list[str], sv: str = "sv", value: str = "pv") -> DataFrame:
     """What each change of a log does to an index: (sv, keys, order, pv) with a null pv for a removed row.
 
     ``sv`` is the row's sub-value, null where there is none (tombstones included). Old and new sub-values that differ give a removal and a
-    row; equal ones with another value a row; nothing if both are the same. The window is one key's history.
+    row; equal ones with another value a row; nothing if both are the same. The order must be total on a key's rows.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(*order)
     new_sv = F.when(F.col(value).isNotNull(), F.col(sv))
-    rows = log.withColumn("_new", new_sv).withColumn("_old", F.lag("_new").over(w)).withColumn("_old_pv", F.lag(F.when(F.col("_new").isNotNull(), F.col(value))).over(w))
-    drop = F.when(F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.col("_new")), F.struct(F.col("_old").alias("sv"), F.lit(None).cast(log.schema[value].dataType).alias("pv")))
-    put = F.when(F.col("_new").isNotNull() & ~(F.col("_old").eqNullSafe(F.col("_new")) & F.col("_old_pv").eqNullSafe(F.col(value))), F.struct(F.col("_new").alias("sv"), F.col(value).alias("pv")))
+    rows = log.withColumn("_new", new_sv)
+    rows = previous(rows, keys, order, F.struct(F.col("_new").alias("sv"), F.when(F.col("_new").isNotNull(), F.col(value)).alias("pv")), "_old")
+    old, new = F.col("_old.sv"), F.col("_new")
+    drop = F.when(old.isNotNull() & ~old.eqNullSafe(new), F.struct(old.alias("sv"), F.lit(None).cast(log.schema[value].dataType).alias("pv")))
+    put = F.when(new.isNotNull() & ~(old.eqNullSafe(new) & F.col("_old.pv").eqNullSafe(F.col(value))), F.struct(new.alias("sv"), F.col(value).alias("pv")))
     out = rows.withColumn("_d", F.explode(F.filter(F.array(drop, put), lambda x: x.isNotNull())))
     return out.select(F.col("_d.sv").alias("sv"), *keys, *order, F.col("_d.pv").alias("pv"))
 
 
+def place(entries: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds each row's place (from 1) in the order of a unique key: ranges are counted, and rows only numbered within their range."""
+    from pyspark.sql import Window
+
+    ranged = written(entries.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row for each task
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranged.withColumn("_w", within).join(before, "_range").select(*entries.columns, (F.col("_w") + F.col("_before")).cast("bigint").alias(name))
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 

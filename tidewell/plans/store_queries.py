@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import datum as D
@@ -10,9 +10,12 @@ from tidewell.functions.keys import between, literal_key, sub_key
 from tidewell.operators import entries as E
 from tidewell.operators.intervals import interval_semi_join, merge_intervals
 from tidewell.plans import dsl
-from tidewell.plans.stores import customer_store, event_log, mixed_store, orders_store
-from tidewell.session import table
+from tidewell.plans.stores import cents, customer_store, event_log, mixed_store, orders_store
+from tidewell.session import shared_dir, table
+from tidewell.sources.kv import KvDataSource
 from tidewell.spec import SubValueSpec
+from tidewell.store import Store
+from tidewell.streaming.feed import StateTable, current, follow
 
 CUSTKEY, STATUS, PRICE, PRIORITY, PAIR = SubValueSpec((0,), D.I64), SubValueSpec((1,), D.STR), SubValueSpec((2, 0), D.I64), SubValueSpec((2, 1), D.STR), SubValueSpec((2,), D.TUPLE)
 ORDER_INDEXES = {CUSTKEY, STATUS, PRICE, PRIORITY, PAIR}
@@ -58,13 +61,8 @@ def pk_range_cross_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 def datum_order_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Each key's place in the order of all keys, by its binary key; counted within and over key prefixes, not in one window."""
-    s = mixed_store(spark, d)
-    ranked = s.withColumn("_p", F.substring("pk_key", 1, 8))
-    sizes = ranked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # one row for each prefix
-    within = F.row_number().over(Window.partitionBy("_p").orderBy("pk_key"))
-    return ranked.withColumn("_w", within).join(before, "_p").select("tag", "ki", "ks", "kt", (F.col("_w") + F.col("_before")).cast("bigint").alias("place"))
+    """Each key's place in the order of all keys, by its binary key."""
+    return E.place(mixed_store(spark, d), "pk_key", "place").select("tag", "ki", "ks", "kt", "place")
 
 
 def _mixed_whole(tag: int, lo=None, hi=None):
@@ -142,7 +140,7 @@ def conflict_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The unions of overlapping read intervals, [cents, cents + 500] of each customer's orders."""
+    """The unions of overlapping read intervals, [cents, cents + 5,000,000] of each customer's orders."""
     rows = orders_store(spark, d).select(F.col("pv._0").alias("custkey"), F.col("pv._2._0").alias("lo"), (F.col("pv._2._0") + 5_000_000).alias("hi"))
     return merge_intervals(rows, ["custkey"], block_bits=22).select("custkey", "lo", "hi")
 
@@ -168,11 +166,72 @@ def txn_count_guard(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("pv._0").alias("custkey")).agg(F.count(F.lit(1)).alias("open_orders")).filter("open_orders >= 5")
 
 
+PARTS = ["tag", "ki", "ks", "kt"]
+
+
+def _filled(spark: SparkSession, d: str) -> tuple[Store, DataFrame]:
+    """A store of the mixed entries, with an index on whole integers made in between, suppliers deleted and nations rewritten as texts."""
+    store, mixed = Store(spark, shared_dir(spark, "store")), mixed_store(spark, d)
+    store.put_many(mixed.filter("tag <> 4").select("pk_key", "pv_key"))
+    store.create_index(SubValueSpec.whole(D.I64))
+    store.put_many(mixed.filter("tag = 4").select("pk_key", "pv_key"))
+    changed = mixed.filter("tag IN (2, 3)").withColumn("pv_key", F.when((F.col("tag") == 3) & (F.length("ks") > 8), literal_key("renamed")).when(F.col("tag") == 3, F.col("pv_key")))
+    store.put_many(changed.select("pk_key", "pv_key"))
+    return store, mixed
+
+
+def store_current(spark: SparkSession, d: str) -> DataFrame:
+    store, mixed = _filled(spark, d)
+    return mixed.join(store.entries().select("pk_key"), "pk_key").select(*PARTS)
+
+
+def store_compacted(spark: SparkSession, d: str) -> DataFrame:
+    store, mixed = _filled(spark, d)
+    store.compact()
+    store.vacuum()
+    return mixed.join(store.entries(None, "NATION_1", None).select("pk_key"), "pk_key").select(*PARTS)
+
+
+def store_index_scan(spark: SparkSession, d: str) -> DataFrame:
+    store, mixed = _filled(spark, d)
+    return mixed.join(store.sv_entries(SubValueSpec.whole(D.I64), 1, 3).select("pk_key"), "pk_key").select(*PARTS)
+
+
+def store_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Writes, index statements and reads as query texts."""
+    store = Store(spark, shared_dir(spark, "store"))
+    for text in ("put int(100) int(1000)", "put int(101) int(1010)", "put int(102) str(1020)", "del int(102)", "create index svspec(int)", "put int(6000) tup( str(s6000) tup( int(60) str(s60) ) int(60) )", "put int(100) int(900)"):
+        store.query(text)
+    text = F.udf(lambda k: D.render(D.decode_key(bytes(k))), "string")  # a handful of rows, for show
+    reads = [store.query(q).select(F.lit(q).alias("query"), text("pk_key").alias("pk"), text("pv_key").alias("pv")) for q in ("get int(102)", "get between int(101) str(mykeyz)", "get where svspec(int) between int(500) int(1500)")]
+    return reads[0].unionByName(reads[1]).unionByName(reads[2])
+
+
+def kv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed entries through entry files and back."""
+    spark.dataSource.register(KvDataSource)
+    path, mixed = shared_dir(spark, "kv"), mixed_store(spark, d)
+    mixed.select("pk_key", "pv_key").write.format("kv").mode("append").save(path)
+    back = spark.read.format("kv").load(path).select("pk_key", F.col("pv_key").alias("again"))
+    return mixed.join(back, "pk_key").filter(F.col("again") == F.col("pv_key")).select(*PARTS)
+
+
+def stream_current(spark: SparkSession, d: str) -> DataFrame:
+    """The current state, kept up by a stream over the files of an event feed, in any order of arrival."""
+    feed = shared_dir(spark, "feed")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props")
+    events.repartition(6, "event_id").write.parquet(feed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(feed)
+    state = StateTable(spark, shared_dir(spark, "state"), ["user_id"], ["event_id"], ["event_type", "value", "props"])
+    follow(spark, stream, state, shared_dir(spark, "offsets"))
+    return current(state, F.col("event_type") == "error").select(F.col("user_id").alias("pk"), "event_type", cents("value").alias("cents"), "props")
+
+
 def queries() -> dict:
     low, high = (10_000_000, "normal"), (20_000_000, "")
     plain = (
         key_only_scan, pk_range_cross_type, datum_order_rank, mixed_member_eq, sv_customer_segment, lww_current, lww_point, snapshot_at, read_your_writes, index_build, index_delta, index_after_delta,
-        conflict_check, interval_merge, compact_full, compact_partial, txn_sum_guard, txn_count_guard,
+        store_current, store_compacted, store_index_scan, store_statements, kv_round_trip, stream_current, conflict_check, interval_merge, compact_full, compact_partial, txn_sum_guard, txn_count_guard,
     )
     return {
         "pk_get_one": _pk(100, 100), "pk_get_missing": _pk(-5, -5), "pk_range_closed": _pk(100, 250), "pk_range_lo": _pk(1400, None), "pk_range_hi": _pk(None, 250), "pk_range_all": _pk(None, None),
@@ -215,6 +274,12 @@ def oracles() -> dict[str, str]:
         "dsl_get_one": orders("pk = 100"), "dsl_get_between": orders("pk BETWEEN 100 AND 250"), "dsl_get_where": orders("cents BETWEEN 10000000 AND 20000000"), "dsl_get_where_all": orders("TRUE"),
         "key_only_scan": "SELECT o_orderkey AS pk FROM orders",
         "pk_range_cross_type": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE (tag = 1 AND ki >= 3) OR tag = 2 OR (tag = 3 AND ks <= 'NATION_15')",
+        "store_current": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE tag <> 2",
+        "store_compacted": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE tag = 4 OR (tag = 3 AND ks >= 'NATION_1')",
+        "store_index_scan": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE tag = 3 AND length(ks) <= 8 AND vi BETWEEN 1 AND 3",
+        "store_statements": """SELECT * FROM (VALUES ('get between int(101) str(mykeyz)', 'I64(101)', 'I64(1010)'), ('get between int(101) str(mykeyz)', 'I64(6000)', 'Tuple([Str("s6000"), Tuple([I64(60), Str("s60")]), I64(60)])'),
+('get where svspec(int) between int(500) int(1500)', 'I64(100)', 'I64(900)'), ('get where svspec(int) between int(500) int(1500)', 'I64(101)', 'I64(1010)')) AS t(query, pk, pv)""",
+        "kv_round_trip": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed", "stream_current": live("TRUE"),
         "datum_order_rank": f"{_MIXED} SELECT tag, ki, ks, kt, row_number() OVER (ORDER BY tag, ki, ks, kt) AS place FROM mixed",
         "sv_customer_segment": "SELECT c_mktsegment AS sv, c_custkey AS pk, c_name AS name FROM customer WHERE c_mktsegment BETWEEN 'BUILDING' AND 'FURNITURE'",
         "lww_current": live("TRUE"), "lww_point": live("pk = 42"), "snapshot_at": live("commit_ver <= 5000"), "read_your_writes": live("commit_ver <= 6000"), "index_build": built, "index_after_delta": built,
