@@ -1,0 +1,69 @@
+import base64
+import os
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tidewell.llm import bpe
+
+pytestmark = pytest.mark.skipif(not os.path.exists(f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}"), reason="no vocabulary files here")
+
+EDGES = [
+    "", " ", "\n", " \n", "a\n", "don't 's 've'll 're'rex \n'sx", "  a  b \n\n c\t\td  ", " x 　y", "'", "''s'", "a'", "x'v", "I'm'd'D 'S", "=" * 700, "a" * 333, "ab" * 200, "<|endoftext|> hi",
+    "1½²३ ४", "é क्या 👩‍🔧🎉", "\x00\x00\x00a", " ​ x", "   \x85z", "ภาษาไทย 日本語。", "x " * 50, "\r\n\r\n> quoted\r\n", "é", "\U0010ffff퟿", "it's they're we'll I'd", "'ll", "l'l 'r're",
+]
+
+
+def some_texts(n=400, seed=3):
+    r = random.Random(seed)
+    pool = ["the", "Harbour", "naïve", "привет", "क्रेन", "安全", "ก่อน", "'s", "'re", " ", "  ", "\n", "\t", "12", "3.5", "!!", "—", "🎉", "QmFzZTY0", "\xa0", "'", "_"]
+    return ["".join(r.choice(pool) for _ in range(r.randrange(40))) for _ in range(n)]
+
+
+def encode(texts, size=bpe.SLICE_BYTES):
+    vocab, out = bpe.vocabulary(f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}"), []
+    for _, n, data, offs in bpe._slices(pa.array(texts, pa.string()), size):
+        ids, at = bpe.encode_buffers(data, offs, vocab)
+        out += [ids[at[k] : at[k + 1]].tolist() for k in range(n)]
+    return out
+
+
+def test_equals_the_libraries():
+    from tokenizers import Tokenizer
+    import tiktoken
+
+    texts = EDGES + some_texts()
+    t = Tokenizer.from_file(f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    got = encode(texts)
+    assert [i for i in range(len(texts)) if got[i] != want[i]] == []
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb"))}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert got == [own.encode_ordinary(x) for x in texts]
+
+
+def test_slices_do_not_matter():
+    texts = EDGES + some_texts(120)
+    assert encode(texts, 50) == encode(texts) == encode(texts, 1)
+
+
+def test_replay_of_single_words():
+    vocab = bpe.vocabulary(f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}")
+    ids, at = bpe.replay(np.zeros(0, np.uint8), np.zeros(1, np.int64), vocab)
+    assert len(ids) == 0 and list(at) == [0]
+    ids, at = bpe.replay(np.frombuffer(b"aa", np.uint8), np.array([0, 0, 1, 2]), vocab)
+    assert list(at) == [0, 0, 1, 2]
+
+
+def test_operator(spark):
+    texts = [None, "", "Hello world", "<|endoftext|>", "Hello world"]
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "x", "", 1)], "doc_id bigint, text string, ids string, n_tokens int")
+    out = {r.doc_id: r.ids for r in bpe.encode_corpus(df).collect()}
+    assert out[0] == [] and out[1] == [] and out[2] == out[4] == [15496, 995] and len(out[3]) > 1 and 50256 not in out[3] and None in out
+    counts = {r.doc_id: r.n_tokens for r in bpe.encode_corpus(df, counts_only=True).collect()}
+    assert counts == {k: len(v) for k, v in out.items()}
+    assert bpe.encode_corpus(df.limit(0)).count() == 0

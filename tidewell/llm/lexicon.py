@@ -4,7 +4,7 @@
 #: Abbreviations that never end a sentence: titles, and words that need what follows.
 NEVER_LAST = frozenset(
     "Dr Mr Mrs Ms Prof St Hon Rev Gen Sr Sra Srta Dra Hr Hrn Fr Frl Mme Mlle Mgr Messrs e.g i.e approx vs cf viz al "
-    "z d h s o u v a i vgl ca bzw inkl exkl zzgl evtl ggf sog geb Str EE ex ej env c.-à-d p.ex p.ej "
+    "Tel tel Fax fax Mob mob z d h s o u v a i vgl ca bzw inkl exkl zzgl evtl ggf sog geb Str EE ex ej env c.-à-d p.ex p.ej "
     "т е см ок тыс млн млрд ул корп им г-н г-жа π.χ δηλ Βλ βλ κ κα αρ д. أ د डॉ श्री श्रीमती सं कृ".split()
 )
 #: Abbreviations before a number or a name; an upper-case word after them begins a sentence.

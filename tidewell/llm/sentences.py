@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from tidewell.llm.mail import lines, plain_parts
 
 _MARKS = re.compile(r"(?:[ \t]*[>|])+[ \t]?")
 _CAND = re.compile(r"[.!?…。！？｡؟।॥;;։።។။]+|(?<=[ऀ-ॿ]) ?\|(?=\s|$)")
-_CLOSERS = re.compile(r"(?:[)\]}\"”’»“』」）】〉》]|[   ]»)+")
+_CLOSERS = re.compile(r"(?:[)\]}”’»』」）】〉》]|\"(?=\s|$)|[ \u00a0\u202f]»)+")
 _SPAN = re.compile(r"„[^“”„]*[“”]|“[^”“]*”|«[^»«]*»|「[^」「]*」|『[^』]*』|（[^）（]*）|\([^)(]*\)|\"[^\"]*\"|\[[^\]\[]*\]", re.S)
 _SKIP = re.compile(r"[\s­​-‏⁠﻿]*")
 #: What stands between words without being one: stray marks, symbols and pictures, markup of other systems.
@@ -92,7 +93,8 @@ def _carries_on(text: str) -> bool:
 
 
 def _uncased(c: str) -> bool:
-    return c.isalpha() and c.lower() == c.upper()
+    """A letter without case, or a vowel sign of such a script."""
+    return c != "" and c.lower() == c.upper() and (c.isalpha() or category(c)[0] == "M")
 
 
 def _opens(s: str, at: int) -> bool:
