@@ -35,10 +35,12 @@ def test_unhandled_units(spark, rows):
 
 
 def test_incremental_state(spark, rows):
-    schema = "id bigint, a string, b bigint, _change string, c_hash string"
+    schema = "id bigint, a string, b bigint, _change string, _c_hash string"
     first = [(1, "x", 1, "q", "q"), (2, None, 2, "q", "q"), (None, "n", 3, "q", "q"), (3, "", None, "q", "q")]
     state = incremental.IncrementalState(spark, shared_dir(spark), ["id"])
-    df = spark.createDataFrame(first, schema).drop("_change")
+    df = spark.createDataFrame(first, schema)
+    assert "__change" in state.select(df, ["a", "b"]).columns  # the row's own columns stay
+    df = df.drop("_change")
     assert state.read() is None and rows(state.select(df, ["a", "b"]).select("id", "_change")) == [(None, "new"), (1, "new"), (2, "new"), (3, "new")]
     token = state.run_token()
     assert state.run_token() == token  # a run that died is repeated under its token

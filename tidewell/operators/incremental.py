@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.intervals import interval_semi_join, merge_intervals
 from tidewell.operators.live_units import live_units
-from tidewell.session import written
+from tidewell.session import fresh, written
 from tidewell.sources.files import Folder
 
 
@@ -49,25 +49,26 @@ class IncrementalState:
             return None
         return self.spark.read.parquet(f"{self.folder.root}/{json.loads(self.folder.read(f'current-{v:012d}.json'))['data']}")
 
-    def _hashed(self, rows: DataFrame, content: list[str]) -> DataFrame:
-        return rows.withColumn("_c_hash", content_hash(content))
+    def _hashed(self, rows: DataFrame, content: list[str], name: str) -> DataFrame:
+        return rows.withColumn(name, content_hash(content))
 
     def select(self, rows: DataFrame, content: list[str]) -> DataFrame:
-        """The new or changed rows, with all their columns and ``_change`` ('new' or 'changed')."""
-        now, state = self._hashed(rows, content), self.read()
+        """The new or changed rows, with all their columns and ``_change`` ('new' or 'changed'; ``__change`` if that name is taken)."""
+        state = self.read()
+        now_hash, old_hash, change, *old_keys = fresh(rows.columns, "_c_hash", "_s_hash", "_change", *[f"_s{i}" for i in range(len(self.keys))])
         if state is None:
-            return now.withColumn("_change", F.lit("new")).drop("_c_hash")
-        s = state.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(self.keys)], F.col("_c_hash").alias("_s_hash"))
+            return rows.withColumn(change, F.lit("new"))
+        now = self._hashed(rows, content, now_hash)
+        s = state.select(*[F.col(k).alias(o) for k, o in zip(self.keys, old_keys)], F.col("_c_hash").alias(old_hash))
         test = F.lit(True)
-        for i, k in enumerate(self.keys):
-            test &= F.col(k).eqNullSafe(F.col(f"_s{i}"))
-        joined = now.join(s, test, "left").filter(F.col("_s_hash").isNull() | (F.col("_s_hash") != F.col("_c_hash")))
-        change = F.when(F.col("_s_hash").isNull(), "new").otherwise("changed")
-        return joined.withColumn("_change", change).select(*rows.columns, "_change")
+        for k, o in zip(self.keys, old_keys):
+            test &= F.col(k).eqNullSafe(F.col(o))
+        joined = now.join(s, test, "left").filter(F.col(old_hash).isNull() | (F.col(old_hash) != F.col(now_hash)))
+        return joined.withColumn(change, F.when(F.col(old_hash).isNull(), "new").otherwise("changed")).select(*rows.columns, change)
 
     def commit(self, rows: DataFrame, content: list[str], keep_missing: bool = True) -> int:
         """Makes the rows' keys and hashes the next version, with the keys of the version before unless ``keep_missing`` is off."""
-        now = self._hashed(rows, content).groupBy(*self.keys).agg(F.max("_c_hash").alias("_c_hash"))
+        now = self._hashed(rows.select(*dict.fromkeys([*self.keys, *content])), content, "_c_hash").groupBy(*self.keys).agg(F.max("_c_hash").alias("_c_hash"))
         old, v = self.read(), self.version() + 1
         if old is not None and keep_missing:
             now = now.withColumn("_age", F.lit(1)).unionByName(old.withColumn("_age", F.lit(0)))

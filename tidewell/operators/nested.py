@@ -137,7 +137,10 @@ def shred(df: DataFrame, keys: list[str], text: str, plan: InlinePlan, walker: W
 
     Paths are the positions from the root joined by ``.``; a repeated element that is not the only kind below its parent has its name in
     front of its position. A record that is not complete JSON, is null or blank gives no rows. ``only`` keeps one table's rows.
+    Key columns may not have the names of the result's own columns (ValueError); other columns are not read.
     """
+    if clash := {k.lower() for k in keys} & {"table", "path", "parent_table", "parent_path", "position", "fields"}:
+        raise ValueError(f"key columns named like the result's own: {sorted(clash)}")
     tables = plan.tables
     schema = df.select(*keys).schema
     arrow = [pa.field(n, t) for n, t in (("table", pa.string()), ("path", pa.string()), ("parent_table", pa.string()), ("parent_path", pa.string()), ("position", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())))]
