@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 #: A slice ends after about this many bytes of text (a document is never cut). Bounds memory; no result depends on it.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _NONE = np.int32(2**31 - 1)
