@@ -100,6 +100,25 @@ came AS (SELECT p.store_id, p.out_num, o.unit_num, o.seq, o.pk_type, o.pk, o.dat
 """
 
 
+_MEMBERS = r"""
+WITH RECURSIVE records AS (SELECT DISTINCT value_id, datum_body FROM nested_values WHERE datum_type = 4 AND json_valid(datum_body)),
+kids(value_id, parent, i, v) AS (
+  SELECT value_id, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), json_object('datum_type', 4, 'datum_body', CAST(datum_body AS JSON)) FROM records
+  UNION ALL
+  SELECT value_id, parent, m.i, m.v FROM (
+    SELECT value_id, path AS parent, unnest(CASE
+        WHEN json_type(b) = 'ARRAY' THEN list_transform(range(CAST(json_array_length(b) AS BIGINT)), lambda i: {'i': i, 'v': json_extract(b, '$[' || i || ']')})
+        WHEN json_type(b) <> 'OBJECT' THEN [{'i': CAST(0 AS BIGINT), 'v': b}]
+        WHEN len(json_keys(b)) = 0 THEN []
+        WHEN list_contains(json_keys(b), 'datum_type') OR list_contains(json_keys(b), 'datum_body') OR len(list_filter(json_keys(b), lambda k: regexp_matches(k, '^[0-9]{1,9}$'))) = 0 THEN [{'i': CAST(0 AS BIGINT), 'v': b}]
+        ELSE list_transform(list_filter(json_keys(b), lambda k: regexp_matches(k, '^[0-9]{1,9}$')), lambda k: {'i': CAST(k AS BIGINT), 'v': json_extract(b, '$."' || k || '"')}) END) AS m
+    FROM (SELECT value_id, path, CASE WHEN json_type(raw) = 'VARCHAR' AND json_valid(raw ->> '$') AND regexp_matches(raw ->> '$', '^\s*[\[{]') THEN CAST(raw ->> '$' AS JSON) ELSE raw END AS b
+      FROM (SELECT value_id, CASE WHEN i IS NULL THEN '' WHEN parent = '' THEN CAST(i AS VARCHAR) ELSE parent || '.' || i END AS path, json_extract(v, '$.datum_body') AS raw FROM kids
+        WHERE json_type(v) = 'OBJECT' AND json_extract_string(v, '$.datum_type') = '4') WHERE raw IS NOT NULL AND json_type(raw) <> 'NULL')
+  ) WHERE json_type(m.v) <> 'NULL')
+"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "p1_found": f"""
@@ -112,6 +131,11 @@ WITH cols AS (SELECT store_id, unit_num, commit_ver_lo_incl, commit_ver_hi_incl,
 state AS (SELECT DISTINCT * EXCLUDE listed_at FROM cols WHERE listed_at < TIMESTAMP '2020-01-01'), now AS (SELECT DISTINCT * EXCLUDE listed_at FROM cols)
 SELECT n.store_id, n.unit_num, CASE WHEN EXISTS (SELECT 1 FROM state s WHERE s.store_id = n.store_id AND s.unit_num = n.unit_num) THEN 'changed' ELSE 'new' END AS change
 FROM (SELECT * FROM now EXCEPT SELECT * FROM state) n
+""",
+        "p2_found": f"{_MEMBERS} SELECT value_id, parent AS parent_path, CAST(i AS INTEGER) AS member_idx FROM kids WHERE i IS NOT NULL",
+        "p2_members": f"""{_MEMBERS} SELECT value_id, CASE WHEN parent = '' THEN '' ELSE parent || '.' END || i AS path, CASE WHEN parent = '' THEN 'value' ELSE 'member' END AS parent_table, parent AS parent_path, CAST(i AS INTEGER) AS position,
+  CASE WHEN json_type(v) = 'ARRAY' THEN NULL WHEN json_type(v) <> 'OBJECT' THEN v ->> '$' WHEN json_extract_string(v, '$.datum_type') = '4' OR json_type(v, '$.datum_body') IN ('OBJECT', 'ARRAY') THEN NULL ELSE json_extract_string(v, '$.datum_body') END AS datum_body,
+  json_extract_string(v, '$.datum_type') AS datum_type, json_extract_string(v, '$.members_count') AS members_count, json_extract_string(v, '$.note') AS note, json_extract_string(v, '$.unit') AS unit FROM kids WHERE i IS NOT NULL
 """,
         "p3_found": f"WITH {_LIVE} SELECT store_id, unit_num FROM live WHERE n_bytes < 4096",
         "p3_ranges": f"""{_PLAN}, n AS (SELECT store_id, out_num, count(*) AS n_entries FROM came GROUP BY 1, 2)
