@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,17 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of the session's cluster, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewell_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="tidewell-code-")) / "tidewell.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent).as_posix())
+    context.addPyFile(str(target))
+    context._tidewell_shipped = True
