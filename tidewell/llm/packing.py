@@ -20,6 +20,8 @@ from tidewell.session import written
 #: Documents of one partition, about. Bounds the memory of a task; every partition is packed whole.
 ITEMS_PER_PART = 50_000
 MAX_ROUNDS = 4
+#: A partition gives the documents of this many of its emptiest containers for each container it has above its bound (and once more).
+POOL = 8
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -90,29 +92,29 @@ class Packed:
 _PART = "pack_name string, capacity int, rid bigint, size int, container string, free int, pool boolean"
 
 
-def _pack_part(rows: pd.DataFrame) -> pd.DataFrame:
+def _pack_part(rows: pd.DataFrame, pool: int) -> pd.DataFrame:
     rows = rows.sort_values("rid", kind="stable")
     capacity, sizes = int(rows["capacity"].iloc[0]), rows["size"].to_numpy()
     into, free = best_fit_decreasing(sizes, capacity)
     gap = len(free) - lower_bound(*np.unique(sizes, return_counts=True), capacity)
-    emptiest = np.argsort(-free, kind="stable")[: 8 * (gap + 1)] if gap > 0 else []
+    emptiest = np.argsort(-free, kind="stable")[: pool * (gap + 1)] if gap > 0 else []
     given = np.zeros(len(free), bool)
     given[emptiest] = True
     names = np.array([f"{rows['label'].iloc[0]}-{c}" for c in range(len(free))], object)
     return pd.DataFrame({"pack_name": rows["pack_name"], "capacity": rows["capacity"], "rid": rows["rid"], "size": sizes, "container": names[into], "free": free[into], "pool": given[into]})
 
 
-def _pack(items: DataFrame, parts: dict[str, int], turn: int) -> DataFrame:
+def _pack(items: DataFrame, parts: dict[str, int], turn: int, pool: int) -> DataFrame:
     """Items dealt out by hash to as many parts as their pack has, each packed."""
     n = F.lit(1)
     for name, k in parts.items():
         n = F.when(F.col("pack_name") == name, F.lit(k)).otherwise(n)
     dealt = items.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(turn)), n))
     dealt = dealt.withColumn("label", F.concat_ws("-", F.lit(f"r{turn}"), F.col("part")))
-    return written(dealt.groupBy("pack_name", "part").applyInPandas(_pack_part, _PART), "packed")
+    return written(dealt.groupBy("pack_name", "part").applyInPandas(lambda rows: _pack_part(rows, pool), _PART), "packed")
 
 
-def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", size: str = "n_tokens", items_per_part: int = ITEMS_PER_PART) -> Packed:
+def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", size: str = "n_tokens", items_per_part: int = ITEMS_PER_PART, pool_factor: int = POOL) -> Packed:
     """Every document into containers of each capacity.
 
     Only a document larger than the capacity is split: into full pieces, which fill containers of their own, and a rest that is packed
@@ -126,7 +128,7 @@ def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", siz
     each = rows.withColumn("p", F.explode(packs)).select("rid", "n", "p.pack_name", "p.capacity")
     items = each.withColumn("size", (F.col("n") % F.col("capacity")).cast("int")).filter("size > 0").select("pack_name", "capacity", "rid", "size")
     number = {r[0]: r[1] for r in items.groupBy("pack_name").count().collect()}  # one row for each pack
-    done = _pack(items, {p: -(-c // items_per_part) for p, c in number.items()}, 0)
+    done = _pack(items, {p: -(-c // items_per_part) for p, c in number.items()}, 0, pool_factor)
     kept = []
     for turn in range(1, MAX_ROUNDS + 1):
         pool = done.filter("pool")
@@ -135,7 +137,7 @@ def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", siz
         if not stats:
             break
         pool = pool.filter(F.col("pack_name").isin(*stats))
-        again = _pack(pool.select("pack_name", "capacity", "rid", "size"), {p: -(-r["items"] // items_per_part) for p, r in stats.items()}, turn)
+        again = _pack(pool.select("pack_name", "capacity", "rid", "size"), {p: -(-r["items"] // items_per_part) for p, r in stats.items()}, turn, pool_factor)
         after = {r[0]: r[1] for r in again.groupBy("pack_name").agg(F.count_distinct("container")).collect()}
         better = [p for p, r in stats.items() if after.get(p, 0) < r["containers"]]
         if not better:
