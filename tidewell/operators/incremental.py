@@ -83,7 +83,7 @@ def handled_units(runs: DataFrame, units: DataFrame) -> DataFrame:
     """(store_id, consumer, unit_num, commit_ver_lo_incl, commit_ver_hi_incl) of the pairs whose versions successful runs covered.
 
     ``runs`` are ledger rows, ``units`` live units. The intervals of succeeded rows are merged (adjacent versions join up), and a unit
-    is handled if it lies in one merged interval. Ledger rows with null bounds or lo > hi cover nothing; repeats add nothing.
+    is handled if it lies in one merged interval. Runs of a null consumer cover nothing (null equals nothing). Ledger rows with null bounds or lo > hi cover nothing; repeats add nothing.
     A unit without any version (lo > hi) has nothing left to handle.
     """
     done = written(merge_intervals(runs.filter(F.col("status") == "succeeded").select("store_id", "consumer", F.col("commit_ver_lo_incl").alias("lo"), F.col("commit_ver_hi_incl").alias("hi")), ["store_id", "consumer"], gap=1), "done")

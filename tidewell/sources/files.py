@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,9 +36,14 @@ class Folder:
         out = self._fs.create(hidden, False)
         out.write(bytearray(text.encode()))
         out.close()
-        if self.exists(name) or not self._fs.rename(hidden, self._at(name)):
-            self._fs.delete(hidden, False)
-            raise FileExistsError(name)
+        try:
+            if self._fs.getUri().getScheme() == "file":  # here a rename would replace the file, but a link does not
+                os.link(hidden.toUri().getPath(), self._at(name).toUri().getPath())
+            elif self.exists(name) or not self._fs.rename(hidden, self._at(name)):
+                raise FileExistsError(name)
+        finally:
+            if self._fs.exists(hidden):
+                self._fs.delete(hidden, False)
 
     def read(self, name: str) -> str:
         stream = self._fs.open(self._at(name))

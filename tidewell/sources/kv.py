@@ -1,7 +1,7 @@
 """The entry file format (key, value, key, value, ...) as a Spark data source, ``format("kv")``.
 
     spark.dataSource.register(KvDataSource)
-    spark.read.format("kv").load("folder or file")           # pk_key, pv_key (null: tombstone), file, seq
+    spark.read.format("kv").load("folder or file")           # pk_key, pv_key (null: tombstone), file (below the folder, at any depth), seq
     df.select("pk_key", "pv_key").write.format("kv").mode("append").save("folder")
 
 One task reads one file, in order; a file that ends inside a datum is an error. Keys and values come in encoded form.
@@ -30,14 +30,16 @@ class _Reader(DataSourceReader):
         path = self.path.removeprefix("file://")
         if os.path.isfile(path):
             return [_File(path)]
-        return [_File(os.path.join(path, n)) for n in sorted(os.listdir(path)) if n.endswith(".kv")]
+        found = (os.path.join(top, n) for top, _, names in os.walk(path) for n in names if n.endswith(".kv") and not n.startswith("."))
+        return [_File(f) for f in sorted(found)]
 
     def read(self, partition):
         if partition is None:
             return
         with open(partition.value, "rb") as f:
             data = f.read()
-        at, seq, name = 0, 0, os.path.basename(partition.value)
+        at, seq, top = 0, 0, self.path.removeprefix("file://")
+        name = os.path.basename(partition.value) if os.path.isfile(top) else os.path.relpath(partition.value, top)
         while at < len(data):
             k, at = D.deserialize(data, at)
             v, at = D.deserialize(data, at)
