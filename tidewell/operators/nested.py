@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.json_tree import Num, members, parse
+from tidewell.functions.json_tree import members, parse
+from tidewell.session import spread
 
 TUPLE = 4
 ROOT = "value"
@@ -205,7 +206,7 @@ def tuple_members(values: DataFrame, fields: bool = True) -> DataFrame:
     and are inlined. Columns: value_id, path, parent_path, position and, with ``fields``, the inlined columns as text.
     members_count decides nothing; a null member has no row and shifts no other.
     """
-    tuples = values.filter(F.col("datum_type") == TUPLE)
+    tuples = spread(values.filter(F.col("datum_type") == TUPLE).select("datum_body"))
     plan = inline_plan(schema_graph(tuples, "datum_body", datum_children, as_tuple) | {(ROOT, "member", True)})
     records = tuple_records(values)
     rows = shred(records, ["value_id"], "datum_body", plan, datum_children, as_tuple, only="member", fields=fields)

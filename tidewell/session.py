@@ -60,3 +60,9 @@ def ship_code(spark: SparkSession) -> None:
             z.write(file, file.relative_to(package.parent).as_posix())
     context.addPyFile(str(target))
     context._tidewell_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for work in Python: one of fewer splits than there are cores is dealt out to all of them, a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
