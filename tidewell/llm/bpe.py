@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewell.session import spread
+
 #: Folder of the public vocabulary files; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
@@ -239,6 +241,6 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                     lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), lists], ["k", "v"])
 
-    rows = documents.select(documents[key].alias("k"), documents[text].alias("t"))
+    rows = spread(documents.select(documents[key].alias("k"), documents[text].alias("t")))
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(encode, f"k {kind}, v {'bigint' if counts_only else 'array<int>'}").toDF(key, "n_tokens" if counts_only else "ids")

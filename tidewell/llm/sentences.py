@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from tidewell.llm import lexicon as X
 from tidewell.llm.mail import lines, plain_parts
+from tidewell.session import spread
 
 _MARKS = re.compile(r"(?:[ \t]*[>|])+[ \t]?")
 _CAND = re.compile(r"[.!?…。！？｡؟।॥;;։።។။]+|(?<=[ऀ-ॿ]) ?\|(?=\s|$)")
@@ -302,6 +303,6 @@ def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text
                 ends += e
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ends, pa.int64())], ["k", "e"])
 
-    rows = documents.select(documents[key].alias("k"), documents[text].alias("t"))
+    rows = spread(documents.select(documents[key].alias("k"), documents[text].alias("t")))
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(units, f"k {kind}, e bigint").toDF(key, "end_char")
