@@ -74,6 +74,16 @@ def test_thai():
     assert Lattice(frozenset(["ab", "abc", "cd"])).path("abcd") == ["ab", "cd"]
 
 
+def test_cache_of_blocks_and_words():
+    run = "เก่าใบส่งน้ำ"  # no opening word
+    block, paragraph = HEAD + "\n" + run + "\n", HEAD + "\nปิดห้องเย็น " + run + " แล้ว\n"
+    want = {t: sentence_ends(t) for t in (block, paragraph)}
+    assert want[block] == [len(block) - 1] and want[paragraph] == [len(paragraph) - 1]
+    for order in ((block, paragraph), (paragraph, block)):
+        memo = {}
+        assert {t: sentence_ends(t, memo) for t in order} == want
+
+
 def test_blocks_and_quotes():
     text = HEAD + "\n".join(
         ["", "Dear Dr. Mil,", "", "One is here. Two is", "not. ", "> Quoted one. Quoted", "> two!", ">", ">> Deeper. Yes.", "| Bar. Line.", "", "Thanks! ", "Mil Bur", "", "-- ", "Mil Bur", "корп. 20", "____________", "x mailing list", "x@y.example", "", "-----Original Message-----", "From: Mil. Bur", "Sent: 2/10/20 17.50", "", "This message is meant for the addressee only. If it reached you by mistake, delete it.", "", "   "]

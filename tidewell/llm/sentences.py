@@ -72,9 +72,9 @@ def _thai_starts(text: str, memo: dict) -> bool:
     m = _THAI_RUN.match(text)
     if not m:
         return False
-    key = m.group()[:24]
+    key = ("starts", m.group()[:24])
     if key not in memo:
-        memo[key] = _THAI_LATTICE.path(key)[0] in X.THAI_OPENERS
+        memo[key] = _THAI_LATTICE.path(key[1])[0] in X.THAI_OPENERS
     return memo[key]
 
 
@@ -82,7 +82,7 @@ def _thai_ends(text: str, memo: dict) -> bool:
     m = re.search(r"[ก-ฺเ-๎]+\Z", text[-24:])
     if not m:
         return False
-    key = "<" + m.group()
+    key = ("ends", m.group())
     if key not in memo:
         memo[key] = _THAI_LATTICE.path(m.group())[-1] in X.THAI_FINALS
     return memo[key]
@@ -270,8 +270,9 @@ def sentence_ends(text: str | None, memo: dict | None = None) -> list[int]:
         for block in _blocks(text, a, b):
             rows = [text[x:y] for x, y in block]
             s = "\n".join(rows)
-            if (ends := memo.get(s)) is None:  # quoted and standing texts come again and again
-                ends = memo[s] = split_prose(s, memo) if is_prose(rows) else [len(s.rstrip())]
+            key = ("block", s)  # apart from the words: a block may be one word
+            if (ends := memo.get(key)) is None:  # quoted and standing texts come again and again
+                ends = memo[key] = split_prose(s, memo) if is_prose(rows) else [len(s.rstrip())]
             at, marks = 0, []
             for (x, _), r in zip(block, rows):
                 marks.append((at, x))
