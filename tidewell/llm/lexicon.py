@@ -33,14 +33,42 @@ NOTICES = (
 )
 #: First fields of the headers that stand above a quoted message.
 QUOTED_FIELDS = frozenset("From Sent To Cc Subject Date Von Gesendet An Betreff Datum De Envoyé À Objet Enviado Para Asunto От Отправлено Кому Тема Από Προς Θέμα 发件人 发送时间 收件人 主题 差出人 送信日時 宛先 件名".split())
-#: Thai words that begin a sentence.
-THAI_OPENERS = frozenset("กรุณา โปรด ช่วย พบ เรา ผม ฉัน ดิฉัน เขา เธอ ท่าน คุณ พวกเขา ใคร ทำไม อะไร เมื่อไร เมื่อไหร่ ค่า ของ ตรวจ ดร นาย นาง นางสาว นับ แต่ ดังนั้น เพราะฉะนั้น อย่างไรก็ตาม วันนี้ พรุ่งนี้ หาก ถ้า ไม่มี มี ยัง ห้าม ต้อง ขอ".split())
-#: Thai particles that end a sentence.
-THAI_FINALS = frozenset("ครับ ค่ะ คะ นะ นะครับ นะคะ จ้ะ จ๊ะ ฮะ".split())
-#: Further Thai words, so that the openers are not found inside them.
-THAI_WORDS = frozenset(
-    "ใน ที่ ไป มา แล้ว และ หรือ กับ ของเก่า เก่า เก่าๆ ใกล้ ข้าง ก่อน หลัง ปิด เปิด ประตู กุญแจ ห้อง เย็น ห้องเย็น เครน เหนือ วาล์ว สำรอง รายการ ตาราง น้ำ สมุด ปั๊ม กล่อง หลาย ใบ ส่ง ย้าย เอา เปลี่ยน เพิ่ม จาก เป็น เมื่อวาน เมื่อ ตอน ภายใน วัน ศุกร์ "
-    "ถาม ว่า พร้อม ไหม วาง สาย ได้ อยู่ ครบ เรียน ทุก สวัสดี ขอบคุณ จดหมาย นี้ สำหรับ ผู้รับ เท่านั้น ได้รับ โดย ผิดพลาด ลบ ทิ้ง ฯลฯ นาที ค่าย ของขวัญ มีด ตรวจสอบ นับถือ นายก พบปะ เราๆ ไม่ ให้ ทำ คน บ้าน งาน เวลา ปี เดือน".split()
+#: Thai word classes, as far as they decide what a space parts; the words themselves are found with the general list of ``thai_words``.
+#: Particles that end a sentence.
+THAI_FINALS = frozenset("ครับ ครับผม ค่ะ คะ นะ นะครับ นะคะ จ้ะ จ๊ะ จ้า ฮะ ล่ะ".split())
+#: Subjects, titles, question words and connectors that open a clause of their own.
+THAI_SUBJECTS = frozenset(
+    "เรา ผม กระผม ฉัน ดิฉัน ข้าพเจ้า เขา เธอ ท่าน คุณ พวกเรา พวกเขา พวกคุณ ใคร ทุกคน ทุกท่าน ดร นาย นาง นางสาว อาจารย์ ศาสตราจารย์ พี่ น้อง แม่ พ่อ มัน ทำไม อะไร เมื่อไร เมื่อไหร่ "
+    "ดังนั้น เพราะฉะนั้น ฉะนั้น อย่างไรก็ตาม อย่างไรก็ดี นอกจากนี้ นอกจากนั้น อนึ่ง ทั้งนี้ ต่อมา จากนั้น หลังจากนั้น สุดท้าย วันนี้ พรุ่งนี้ เมื่อวาน เมื่อวานนี้ เมื่อเช้า เมื่อคืน ตอนนี้ ขณะนี้ ปัจจุบัน".split()
+)
+#: Words of request and prohibition.
+THAI_REQUESTS = frozenset("กรุณา โปรด ช่วย ขอ ขอให้ ขอเชิญ เชิญ อย่า ห้าม รบกวน ขอบคุณ ขออภัย ขอโทษ".split())
+#: Words that open a clause which leans on another.
+THAI_LEANING = frozenset("หาก ถ้า ถ้าหาก เมื่อ หลังจาก ก่อนที่ ขณะที่ ในขณะที่ แม้ แม้ว่า ถึงแม้ ถึงแม้ว่า เนื่องจาก เพราะ หลัง ก่อน ระหว่าง".split())
+#: Conjunctions, prepositions and the like: neither before nor after them does a sentence end.
+THAI_TIES = frozenset(
+    "และ หรือ หรือว่า กับ แต่ ที่ ซึ่ง อัน เพื่อ เพื่อให้ โดย จาก ใน บน ใต้ ว่า จน จนถึง จนกระทั่ง จึง ก็ รวมทั้ง รวมถึง ตลอดจน อีกทั้ง ทั้ง ตาม แก่ แด่ ต่อ ณ สำหรับ คือ ได้แก่ เช่น เป็น ของ ภายใน ภายใต้ ภายนอก ตั้งแต่ ถึง แห่ง "
+    "เกี่ยวกับ ใกล้ ข้าง เหนือ ริม เพราะว่า เพราะ เนื่องจาก โดยเฉพาะ พร้อม พร้อมทั้ง พร้อมกับ ด้วย ตอน หลัง ก่อน ระหว่าง ราว ประมาณ".split()
+)
+#: Ties that may also stand at the end of a sentence.
+THAI_TRAILING = frozenset("ใกล้ ข้าง ด้วย พร้อม ก่อน หลัง เหนือ ใต้ ตาม ต่อ".split())
+#: Words before the verb, and words that follow one: neither opens a sentence; the first kind tells of a verb.
+THAI_AUXILIARIES = frozenset("จะ ยัง ไม่ ไม่ได้ ต้อง กำลัง เคย ควร ควรจะ อาจ อาจจะ คง คงจะ น่า น่าจะ สามารถ มัก มักจะ เพิ่ง ย่อม ถูก ได้รับ".split())
+THAI_AFTER = frozenset("แล้ว ไป มา ได้ อยู่ ให้ ไว้ เลย อีก เท่านั้น กัน เอง นี้ นั้น ไหม หรือไม่ หรือยัง ทันที เสมอ มาก ๆ ฯลฯ ฯ".split())
+#: Verbs that follow other verbs as well; alone they are the verb.
+THAI_LIGHT = frozenset("ไป มา ได้ อยู่ ให้ เป็น คือ เข้า ออก ขึ้น ลง".split())
+#: Before these a verb is part of a noun or of a clause inside another.
+THAI_NOMINAL = frozenset("การ ความ ผู้ นัก ช่าง เครื่อง คำ วิธี ที่ ซึ่ง อัน เพื่อ ตอน ก่อน หลัง".split())
+#: Before these 'of' is the noun 'things'.
+THAI_QUALITIES = frozenset("เก่า ใหม่ ดี หาย แพง ถูก ใช้ เล่น กิน ฝาก แท้ ปลอม สด แห้ง หนัก".split())
+THAI_VERBS = frozenset(
+    "มี ไม่มี พบ เจอ เห็น ดู มอง อ่าน เขียน ฟัง ได้ยิน พูด บอก ถาม ตอบ เล่า อธิบาย แจ้ง เตือน รายงาน ประกาศ เสนอ แนะนำ ปรึกษา คุย สนทนา โทร เรียก เชิญ ร้องเรียน ขอ ขอร้อง สั่ง อนุญาต อนุมัติ ยืนยัน ยอมรับ ปฏิเสธ ตกลง สัญญา "
+    "ส่ง รับ ให้ เอา นำ พา ถือ ยก วาง ใส่ หยิบ จับ ย้าย ขน เก็บ ทิ้ง ลบ เพิ่ม ลด เปลี่ยน แก้ แก้ไข ซ่อม ซ่อมแซม ปรับ ปรับปรุง พัฒนา สร้าง ทำ จัด จัดการ จัดทำ เตรียม ตั้ง ติดตั้ง ติด ถอด เปิด ปิด เริ่ม เริ่มต้น หยุด เลิก จบ เสร็จ เลื่อน ยกเลิก "
+    "ซื้อ ขาย จ่าย ชำระ โอน ยืม คืน เช่า จอง คิด นับ วัด คำนวณ ตรวจ ตรวจสอบ ทดสอบ ทดลอง สำรวจ วิเคราะห์ ศึกษา วิจัย เรียน สอน ฝึก อบรม ประชุม พิจารณา ตัดสิน ตัดสินใจ เลือก วางแผน ติดตาม ค้นหา หา ค้น พยายาม "
+    "ใช้ ต้องการ อยาก ชอบ รัก เกลียด กลัว หวัง เชื่อ รู้ รู้จัก ทราบ เข้าใจ จำ ลืม สนใจ คาด คาดว่า รู้สึก ดีใจ เสียใจ กังวล โกรธ เหนื่อย หิว ป่วย ตาย เกิด เกิดขึ้น หาย เสีย พัง แตก ขาด เหลือ รั่ว ไหม้ ล้ม ตก ชน ไหล ดับ "
+    "กิน ดื่ม นอน ตื่น นั่ง ยืน เดิน วิ่ง ขับ ขี่ บิน ว่าย เดินทาง กลับ ถึง มาถึง เข้า ออก ผ่าน ข้าม ขึ้น ลง ตาม รอ คอย อยู่ พัก อาศัย เยี่ยม ต้อนรับ พบปะ แต่งงาน เล่น ร้อง เต้น ทำงาน ทำอาหาร ปลูก เลี้ยง ตัด ล้าง ซัก ทำความสะอาด "
+    "ช่วย ช่วยเหลือ สนับสนุน ร่วม เข้าร่วม ร่วมมือ แข่ง ชนะ แพ้ ผลิต ส่งออก นำเข้า บริการ ดำเนิน ดำเนินการ ปฏิบัติ ควบคุม ป้องกัน รักษา คุ้มครอง กำหนด ระบุ แสดง ปรากฏ ประกอบ รวม แบ่ง แยก ต่อ เชื่อม กลายเป็น ทำให้ หมายถึง เท่ากับ "
+    "วางสาย สมัคร ลงทะเบียน ลงนาม เซ็น พิมพ์ ถ่าย บันทึก แปล ลา ลาออก แต่งตั้ง เลือกตั้ง บริจาค ลงทุน กู้ ขาดทุน เติบโต ล่าช้า มาสาย ชำรุด หมด หมดอายุ สำเร็จ ล้มเหลว เพียงพอ ครบ ดี แพง สวย ร้อน หนาว".split()
 )
 #: After a closing quotation mark these words carry the sentence on.
 CJK_CARRY_ON = frozenset("と って という といって といった とか と言って と聞いて 就 然后 然後 便 说 說 道 问 問".split())

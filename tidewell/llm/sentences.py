@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from tidewell.llm import lexicon as X
 from tidewell.llm.mail import lines, plain_parts
+from tidewell.llm.thai_words import WORDS as THAI
 from tidewell.session import spread
 
 _MARKS = re.compile(r"(?:[ \t]*[>|])+[ \t]?")
@@ -63,29 +64,70 @@ class Lattice:
         return out[::-1]
 
 
-_THAI_LATTICE = Lattice(X.THAI_OPENERS | X.THAI_FINALS | X.THAI_WORDS)
 _CJK_LATTICE = Lattice(X.CJK_CARRY_ON | X.CJK_WORDS)
-_THAI_RUN = re.compile(r"[ก-ฺเ-๎]+")
-
-
-def _thai_starts(text: str, memo: dict) -> bool:
-    m = _THAI_RUN.match(text)
-    if not m:
+_THAI_LATTICE = Lattice(THAI | X.THAI_FINALS | X.THAI_SUBJECTS | X.THAI_REQUESTS | X.THAI_LEANING | X.THAI_TIES | X.THAI_AUXILIARIES | X.THAI_AFTER | X.THAI_LIGHT | X.THAI_VERBS)
+_TOKEN = re.compile(r"([ก-ฺเ-๎]+)|(?:(?![ก-๎])[^\W_])+|[^\w\s\u00ad\u200b-\u200f\u2060\ufeff]")
+#: As many pieces a clause is looked for in at most.
+_REACH = 8
+
+
+def _tokens(piece: str, memo: dict) -> list[str]:
+    """The words of a piece without spaces, and other tokens as they are."""
+    out: list[str] = []
+    for m in _TOKEN.finditer(piece):
+        if m[1] is None:
+            out.append(m[0])
+            continue
+        key = ("words", m[1])
+        if key not in memo:
+            memo[key] = _THAI_LATTICE.path(m[1])
+        out += memo[key]
+    return out
+
+
+def _has_verb(words: list[str], before: str = "") -> bool:
+    """Whether the words hold a verb of their own, not one in a noun or in a clause inside; ``before`` is the word before them."""
+    for w in words:
+        if before not in X.THAI_NOMINAL and before not in X.THAI_LEANING:
+            if w in X.THAI_LIGHT:
+                if before and before not in X.THAI_VERBS and before not in X.THAI_LIGHT and before not in X.THAI_AUXILIARIES:
+                    return True
+            elif w in X.THAI_VERBS or w in X.THAI_REQUESTS or w in X.THAI_AUXILIARIES:
+                return True
+        before = w
+    return False
+
+
+def _joins(last: str, right: list[str]) -> bool:
+    """Whether a piece goes on with the one before by its first word, or by the last word of that one."""
+    first = right[0]
+    if not _THAI.match(first) or first in X.THAI_AUXILIARIES or first in X.THAI_AFTER or first in X.THAI_FINALS:
+        return True
+    if first in X.THAI_TIES and not (first == "ของ" and len(right) > 1 and right[1] in X.THAI_QUALITIES):
+        return first not in X.THAI_LEANING
+    return last in X.THAI_TIES and last not in X.THAI_TRAILING
+
+
+def _parts(last: str, whole: bool, pieces: list[list[str]], at: int) -> bool:
+    """Whether the space before piece ``at`` ends a sentence; ``last`` is its last word so far, ``whole`` if it could end there."""
+    right = pieces[at]
+    first = right[0]
+    if last in X.THAI_FINALS:
+        return bool(_THAI.match(first)) and first not in X.THAI_FINALS and first not in X.THAI_AFTER
+    if not whole or _joins(last, right):
         return False
-    key = ("starts", m.group()[:24])
-    if key not in memo:
-        memo[key] = _THAI_LATTICE.path(key[1])[0] in X.THAI_OPENERS
-    return memo[key]
-
-
-def _thai_ends(text: str, memo: dict) -> bool:
-    m = re.search(r"[ก-ฺเ-๎]+\Z", text[-24:])
-    if not m:
+    clause, k = list(right), at + 1
+    while k < min(len(pieces), at + _REACH) and (not pieces[k] or _joins(clause[-1], pieces[k])):
+        clause += pieces[k]
+        k += 1
+    if first in X.THAI_LEANING:  # with the clause after it, if there is one
+        return k < len(pieces) and _has_verb(pieces[k]) and clause[-1] not in X.THAI_FINALS
+    strong = first in X.THAI_SUBJECTS or first in X.THAI_REQUESTS
+    if last.isdigit() and not strong:  # what is counted
         return False
-    key = ("ends", m.group())
-    if key not in memo:
-        memo[key] = _THAI_LATTICE.path(m.group())[-1] in X.THAI_FINALS
-    return memo[key]
+    if first in X.THAI_VERBS and not strong and not _THAI.match(last) and last not in ")]}”\"":  # a name is the subject
+        return False
+    return len(clause) > 1 and _has_verb(clause)
 
 
 def _carries_on(text: str) -> bool:
@@ -180,6 +222,35 @@ def _ends(s: str, i: int, mark: str, e: int, inside: tuple[int, int] | None, sta
     return True
 
 
+def _thai_cuts(s: str, cuts: list[int], spans: list[tuple[int, int]], memo: dict) -> list[int]:
+    """The spaces outside quotations that end a sentence, between the cuts made already."""
+    starts = [a for a, _ in spans]
+    out: list[int] = []
+    for lo, hi in zip([0, *cuts], [*cuts, len(s)]):
+        if not _THAI.search(s, lo, hi):
+            continue
+        gaps = [(lo, lo)]
+        for g in _GAP.finditer(s, lo, hi):
+            k = bisect_right(starts, g.start()) - 1
+            if lo < g.start() and g.end() < hi and not (k >= 0 and g.start() < spans[k][1]):
+                gaps.append(g.span())
+        pieces = [_tokens(s[b:c], memo) for (_, b), (c, _) in zip(gaps, [*gaps[1:], (hi, hi)])]
+        last, verb, leaning = "", False, False
+        for i, piece in enumerate(pieces):
+            if not piece:
+                continue
+            if last and _parts(last, verb and not leaning, pieces, i):
+                out.append(gaps[i][0])
+                last = ""
+            if not last:
+                verb, leaning = False, piece[0] in X.THAI_LEANING
+            elif leaning and not _joins(last, piece):  # the main clause
+                leaning = False
+            verb = verb or _has_verb(piece, last)
+            last = piece[-1]
+    return out
+
+
 def split_prose(s: str, memo: dict) -> list[int]:
     """The ends (exclusive, before white space) of the sentences of a prose block."""
     spans = [m.span() for m in _SPAN.finditer(s)] if any(c in s for c in "„“«「『（(\"[") else []
@@ -203,17 +274,7 @@ def split_prose(s: str, memo: dict) -> list[int]:
             cuts.append(e)
             start = e
     if _THAI.search(s):
-        for g in _GAP.finditer(s):
-            a, b = g.span()
-            if a in cuts or a == 0 or b == len(s):
-                continue
-            k = bisect_right(starts, a) - 1
-            if k >= 0 and a < spans[k][1]:
-                continue
-            n = _SKIP.match(s, b).end()
-            if _thai_starts(s[n : n + 24], memo) or (_thai_ends(s[max(0, a - 24) : a], memo) and _THAI.match(s, n)):
-                cuts.append(a)
-        cuts.sort()
+        cuts = sorted([*cuts, *_thai_cuts(s, cuts, spans, memo)])
     out = [len(s[:c].rstrip()) for c in cuts]
     end = len(s.rstrip())
     return [*dict.fromkeys(x for x in out if 0 < x < end), end]

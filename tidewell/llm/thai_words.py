@@ -1,0 +1,1241 @@
+"""A general Thai word list: the Thai dictionary of ICU 72 (brkitr/thaidict), words of two letters or more.
+
+Copyright (C) 2016 and later: Unicode, Inc. and others. License & terms of use: http://www.unicode.org/copyright.html
+"""
+
+WORDS = frozenset(
+    """
+กก กกขนาก กกช้าง กกธูป กกหู กกุธภัณฑ์ กง กงกอน กงกาง กงการ กงค้าง กงจักร กงฉาก กงพัด กงล้อ กงวาน กงสี กงสุล กงหรา กงเกวียน กงเต็ก กงเต๊ก กงโก้
+กงไกรลาศ กงไฉ่ กช กชกร กฎ กฎบัตร กฎหมาย กฎหมู่ กฎุมพี กฏิ กฏุก กฏุกผล กฐิน กฐินนัตถา กณิการ์ กด กดขี่ กดดัน กดหัว กดเหลือง กตัญชลี กตัญญุตา กตัญญู
+กตัญญูตา กตาธิการ กตาภินิหาร กติกา กติกาสัญญา กตเวทิตา กตเวที กตเวทีตา กถา กถามัค กถามัคเทสนา กถามุข กทลี กน กนก กนิษฐ กนิษฐภาดา กนิษฐา กบ กบฎ กบฏ
+กบดาน กบทู กบาล กบินทร์ กบินทร์บุรี กบิล กบี่ กบูร กปิตัน กม กมณฑโลทก กมล กมลา กมลาศ กมุท กมเลศ กร กรกช กรกฎ กรกฎาคม กรกฏ กรง กรงขัง กรชกาย กรณฑ์
+กรณิการ์ กรณี กรณีย กรณียกิจ กรณีย์ กรด กรดเกลือ กรดแก่ กรน กรนทา กรบ กรบูร กรพันธ์ กรพินธุ์ กรภุม กรม กรมชลประทาน กรมท่า กรมธรรม์ กรมนา กรมวัง กรร
+กรรกง กรรกฎ กรรกศ กรรชิง กรรชิด กรรฐา กรรฐ์ กรรณ กรรณยุคล กรรณา กรรณิกา กรรณิการ์ กรรตุ กรรบาสิก กรรบิด กรรบูร กรรปุร กรรปุระ กรรพุม กรรม กรรมกร
+กรรมกรณ์ กรรมการ กรรมชวาต กรรมฐาน กรรมบถ กรรมพันธุ์ กรรมวิธี กรรมสิทธิ์ กรรมาชีพ กรรมาธิการ กรรมาร กรรมเวร กรรลี กรรลึง กรรสะ กรรหาย กรรเกด กรรเจียก
+กรรเชอ กรรเชียง กรรเอา กรรแซง กรรแทก กรรแทรก กรรแสง กรรโชก กรรโหย กรรไกร กรรไตร กรวด กรวน กรวบ กรวม กรวย กรวยบ้าน กรวยเชิง กรวิก กรสุทธิ์ กรอ กรอก
+กรอกแกรก กรอง กรองกรอย กรอด กรอบ กรอบแกรบ กรอม กรอสซูลาไรต์ กระ กระกร กระกรี๊ด กระกรุ่น กระกวด กระกอง กระกัด กระกี้ กระกูล กระคน กระคาย กระคุก
+กระงกกระเงิ่น กระงอด กระง่องกระแง่ง กระง่อนกระแง่น กระจก กระจกตา กระจกนูน กระจกเงา กระจกเว้า กระจง กระจร กระจอ กระจอก กระจองอแง กระจอนหู กระจะ กระจัก
+กระจัง กระจัด กระจัดกระจาย กระจับ กระจับบก กระจับปิ้ง กระจับปี่ กระจาด กระจาน กระจาบ กระจาม กระจาย กระจาว กระจิก กระจิด กระจิบ กระจิริด กระจิ๋ว กระจี้
+กระจี๋ กระจุก กระจุบ กระจุบกระจิบ กระจุย กระจุ๋งกระจิ๋ง กระจุ๋มกระจิ๋ม กระจูด กระจู้ กระจู๋กระจี๋ กระจ่า กระจ่าง กระจ้อน กระฉง กระฉอก กระฉับกระเฉง
+กระฉีก กระฉูด กระฉ่อน กระชง กระชวย กระชอก กระชอน กระชอม กระชัง กระชับ กระชั้น กระชาก กระชาย กระชิง กระชิด กระชุ กระชุก กระชุ่มกระชวย กระซวย กระซับ
+กระซาบ กระซิก กระซิบ กระซี้ กระซุง กระซุบกระซิบ กระซู่ กระซ้อ กระฎี กระฎุมพี กระดก กระดวง กระดวน กระดอ กระดอง กระดอน กระดอม กระดังงา กระดาก กระดางลาง
+กระดาด กระดาน กระดานพน กระดานโต้คลื่น กระดาษ กระดิก กระดิบ กระดิ่ง กระดี่ กระดึง กระดืบ กระดุ กระดุกกระดิก กระดุบ กระดุม กระดูก กระดูกกบ กระดูกดำ
+กระด้ง กระด้าง กระตรำ กระตัก กระตั้ว กระตาก กระติก กระติบ กระติ๊ด กระตือรือร้น กระตุก กระตุ้งกระติ้ง กระตุ้น กระตูบ กระต่องกระแต่ง กระต่าย
+กระต้วมกระเตี้ยม กระต้อ กระต๊อบ กระถด กระถอบ กระถาง กระถิก กระถิน กระทก กระทง กระทงลาย กระทด กระทบ กระทรวง กระทวย กระทอก กระทะ กระทัน กระทั่ง กระทา
+กระทาชาย กระทาย กระทายสี กระทาหอง กระทำ กระทิง กระทึง กระทืบ กระทุ กระทุง กระทุ่มเสือปลา กระทุ่มแบน กระทุ้ง กระทู้ กระท่อม กระท้อน กระท้อมกระแท้ม
+กระนก กระนวน กระนั้น กระนี้ กระบก กระบกคาย กระบถ กระบวน กระบวนการ กระบวย กระบวร กระบอก กระบอง กระบะ กระบัด กระบัท กระบาก กระบาย กระบาล กระบิ กระบิด
+กระบิล กระบี่ กระบือ กระบุง กระบุม กระบุรี กระบูน กระบูร กระบ่า กระปรี้กระเปร่า กระปั้วกระเปี้ย กระปำ กระปุก กระป่ำ กระป้อกระแป้ กระป๋อง กระผม
+กระผลีกระผลาม กระผาน กระผีก กระพรวน กระพริ้ม กระพอก กระพอง กระพัก กระพัง กระพังโหม กระพัด กระพัน กระพา กระพาก กระพี้ กระพือ กระพุ่ม กระพุ้ง
+กระฟัดกระเฟียด กระฟาย กระฟูมกระฟาย กระมล กระมอบ กระมอมกระแมม กระมัง กระมัน กระมึน กระมุท กระยา กระยาง กระยาด กระยาหงัน กระยาหาร กระยาเสวย กระยิก
+กระยึกกระยือ กระย่อง กระย่อน กระรอก กระลด กระลบ กระลอก กระลอม กระลัด กระลับ กระลัมพร กระลา กระลาการ กระลำ กระลำพัก กระลำพุก กระลิง กระลี กระลึง
+กระลุมพู กระลูน กระลู่น์ กระวน กระวนกระวาย กระวัด กระวาด กระวาน กระวาย กระวิน กระวี กระวีกระวาด กระว่า กระศก กระศัย กระษัตรี กระษัย กระษาปณ์ กระษิร
+กระสง กระสน กระสบ กระสม กระสร้อย กระสวน กระสวย กระสอบ กระสะ กระสัง กระสัน กระสา กระสานติ์ กระสาบ กระสาย กระสินธุ กระสือ กระสุงกระสิง กระสุน กระสูบ
+กระส่าย กระหง่อง กระหน กระหนก กระหนาบ กระหน่อง กระหน่ำ กระหมั่ง กระหมิบ กระหมุ่น กระหม่อม กระหยด กระหยบ กระหยะ กระหยิ่ม กระหย่อน กระหย่อม กระหริ่ง
+กระหริ่ม กระหวน กระหอง กระหัง กระหัด กระหาง กระหาย กระหึม กระหึ่ม กระอวล กระออบ กระออม กระอัก กระอักกระอ่วน กระอาน กระอิด กระอึก กระอึด กระอืด กระอุ
+กระอุก กระอ้า กระเกริก กระเง้ากระงอด กระเจา กระเจิง กระเจิดกระเจิง กระเจียว กระเจี๊ยบ กระเจี๊ยว กระเจ่า กระเฉก กระเฉง กระเฉด กระเชอ กระเชา กระเชียง
+กระเช้า กระเซ กระเซอ กระเซิง กระเซ็น กระเซ้า กระเดก กระเดิด กระเดียด กระเดียม กระเดี้ย กระเดือก กระเดื่อง กระเด็น กระเด้ง กระเด้า กระเตง กระเตาะ
+กระเตื้อง กระเต็น กระเถิบ กระเทียบ กระเทียม กระเทือน กระเท่ กระเบง กระเบญ กระเบน กระเบา กระเบียด กระเบียน กระเบี้ย กระเบื้อง กระเปา กระเปาะ กระเปี้ย
+กระเป๋า กระเพลิศ กระเพาะ กระเพื่อม กระเฟียด กระเย้อกระแหย่ง กระเรียน กระเลียด กระเลือก กระเวน กระเษม กระเษมสานต์ กระเษียร กระเสด กระเสียน กระเสียร
+กระเสือก กระเส็นกระสาย กระเส่า กระเหน็จ กระเหม็ดกระแหม่ กระเหม่น กระเหม่า กระเหว่า กระเอบ กระเอา กระแจะ กระแฉก กระแชง กระแชะ กระแซ กระแซะ กระแดะ กระแต
+กระแตวับ กระแตะ กระแทก กระแทะ กระแบก กระแบกงา กระแบะ กระแบ่ กระแปด กระแป้ กระแพง กระแมม กระแวน กระแส กระแสง กระแสตรง กระแสสลับ กระแสะ กระแห กระแหน
+กระแหย่ง กระแหร่ม กระแหล่ง กระแอก กระแอด กระแอบ กระแอม กระแอ้ กระโงก กระโจน กระโจม กระโจมทอง กระโจมอก กระโฉกกระเฉก กระโฉม กระโชก กระโดก กระโดกกระเดก
+กระโดง กระโดด กระโดน กระโตน กระโถน กระโบม กระโปก กระโปรง กระโรก กระโลง กระโสง กระโหม กระโหย กระโหย่ง กระโห้ กระใด กระได กระไดลิง กระไตร กระไทชาย กระไน
+กระไร กระไส กระไอ กรัก กรักขี กรัง กรัณฑ กรัณฑ์ กรัณย์ กรัน กรับ กรัม กราก กราง กราด กราน กราบ กราบทูล กราฟ กราฟฟิก กราฟิก กราฟิค กราม กรามช้าง กราย
+กราล กราว กราวด่าง กราสิก กรำ กริก กริกกริว กริงกริว กริช กริณี กริด กริตย กริน กรินี กริบ กริม กริยา กริว กริ่ง กริ่ม กริ้ว กริ๊ก กริ๊ง กรี กรีก กรีซ
+กรีฑา กรีด กรีดกราด กรีดกราย กรีธา กรีนแลนด์ กรีษ กรีส กรี๊ด กรึง กรุ กรุก กรุกกรู๊ กรุง กรุงธน กรุงธนบุรี กรุงพาลี กรุงเกษม กรุงเขมา กรุงเทพ
+กรุงเทพกรีฑา กรุงเทพคริสเตียน กรุงเทพมหานคร กรุงเทพวิลเลจ กรุงเทพฯ กรุณ กรุณา กรุณาธิคุณ กรุณาพิทักษ์ กรุน กรุบ กรุบกริบ กรุย กรุ่น กรุ่ม กรุ้มกริ่ม
+กรุ๊ป กรู กรูด กรูม กรู่ม กรเกษม กร็อกกร๋อย กร่อน กร่อม กร่อย กร่าง กร่าย กร่ำ กร้วม กร้อ กร้าน กร้าว กฤช กฤด กฤดา กฤดาธ กฤดิ กฤดีกา กฤตกา กฤตย กฤตยา
+กฤติกา กฤษฎา กฤษฎาธาร กฤษฎี กฤษฎีกา กฤษฏี กฤษณะวิทยา กฤษณา กล กลด กลบ กลม กลมกลืน กลมกล่อม กลมดิก กลยุทธ์ กลวง กลวม กลวิธี กลศาสตร์ กลหาย กลอก กลอง
+กลอน กลอย กลอุปกรณ์ กลอโคดอต กลอโคเฟน กลอโคไนต์ กลัก กลัง กลัด กลัดกลุ้ม กลันตัน กลันท กลับ กลับกลอก กลับวิทย์ กลัมพก กลัมพร กลัว กลั่น กลั้น กลั้ว
+กลาก กลาง กลาด กลาดเกลื่อน กลาบาต กลาป กลาย กลายกลอก กลาโหม กลิงค์ กลิ่ง กลิ่น กลิ้ง กลิ้งกลอก กลิ้งเกลือก กลิ้ม กลี กลีบ กลียุค กลี่ กลึง กลึงค์
+กลึ้ง กลืน กลุ่ม กลุ้ม กลุ้มรุม กลูทาเมต กลูน กลูโคส กลู่ กลเม็ด กลเหย กลไก กล่น กล่อง กล่อน กล่อม กล่อมจิตต์ กล่าว กล่ำ กล้วย กล้วยน้ำไท กล้วยไม้
+กล้อ กล้อง กล้องจุลทรรศน์ กล้องระดับ กล้องวัดมุม กล้องสำรวจ กล้องโทรทรรศน์ กล้อน กล้อมแกล้ม กล้า กล้าม กล้าย กล้ำ กล้ำกราย กล้ำกลืน กวด กวดขัน กวน
+กวนอู กวม กวย กวยจั๊บ กวยจี๊ กวะ กวะแกว่ง กวัก กวัด กวา กวาง กวางชะมด กวางตุ้ง กวางผา กวาด กวาดตา กวาดต้อน กวาดล้าง กวาน กวาวเครือ กวิน กวี กว่า กว่าง
+กว้า กว้าง กว้าน กว้าว กว๊าน กษณะ กษมา กษัตร กษัตรา กษัตริย์ กษัตรี กษัตรีย์ กษัย กษัยการ กษาปณ์ กษิดิ กษีณาศรพ กษีร กษีรธารา กษีระ กษีรามพุ กษีรารณพ
+กสานติ์ กสิ กสิกร กสิกรรม กสิณ กหังปายา กหาปณะ กอ กอก กอง กองกอย กองทัพ กองทุน กองพล กองพัน กองแก้ว กอซ กอด กอดหอบ กอดอก กอตแลนด์ กอบ กอบนาง กอบโกย
+กอปร กอมก้อ กอย กอริลลา กอล์ฟ กอเอี๊ยะ กอแก กอแหละ กะ กะกัง กะกึก กะก่อง กะจัง กะชะ กะชัง กะชิง กะชึ่กกะชั่ก กะซวก กะซี่ กะซ้าหอย กะดก กะดง กะดอก กะดะ
+กะดังบาย กะดัด กะดี กะดี่ กะดุ้ง กะด้าง กะตรุด กะตอก กะตัก กะตัง กะตีบ กะตุด กะตุมู กะตุ๊ก กะต่อย กะต่า กะต้ำ กะต๊าก กะถัว กะทกรก กะทอ กะทัง กะทังหัน
+กะทัดรัด กะทัน กะทันหัน กะทับ กะทำ กะทิ กะทือ กะทุน กะทู้ กะนวล กะนัด กะบะ กะบัง กะบังลม กะบั้ง กะบิ กะบิล กะบิ้ง กะบุด กะปง กะปริดกะปรอย กะปริบ
+กะปวกกะเปียก กะปอม กะปอมขาง กะปะ กะปั่น กะปิ กะปิตัน กะปู กะปูด กะพง กะพริบ กะพรุน กะพล่องกะแพล่ง กะพล้อ กะพัน กะพ้อ กะระตะ กะรัง กะรัต กะราง กะริง
+กะรุน กะรุ่งกะริ่ง กะลวย กะลอ กะละปังหา กะละมัง กะละออม กะละแม กะลัน กะลา กะลาซอ กะลาสี กะลำพอ กะลิง กะลิอ่อง กะลิ้มกะเหลี่ย กะล่อน กะล่อมกะแล่ม
+กะล่อยกะหลิบ กะวะ กะส้าหอย กะหนะ กะหนุงกะหนิง กะหน็องกะแหน็ง กะหมอก กะหรอด กะหราน กะหรี่ กะหร็อมกะแหร็ม กะหร่อง กะหลาป๋า กะหลี่ กะหลุกกะหลิก กะหล่ำ
+กะหำ กะหือ กะหูด กะอวม กะออม กะอาน กะอาม กะอิด กะอุบ กะเกาะ กะเดก กะเดี๋ยว กะเตก กะเตง กะเตงเ กะเตงเรง กะเทย กะเทาะ กะเบือ กะเบ้อ กะเปอร์ กะเปะ
+กะเปิ๊บกะป๊าบ กะเผลก กะเผ่น กะเพรา กะเมีย กะเม็ง กะเร กะเรี่ยกะราด กะเร่อ กะเลิด กะเล็ง กะเล่อกะล่า กะเหรี่ยง กะเหลาะเปาะ กะเอว กะแจะ กะแช่ กะแตว
+กะแต่ว กะแทน กะแท่ง กะแท้ กะแปะ กะแป้น กะแล กะแหยก กะแหะ กะแอ กะแอน กะโกระ กะโซ่ กะโซ้ กะโตงกะเตง กะโต้งโห่ง กะโต๊ก กะโบโล กะโปรง กะโปโล กะโผลกกะเผลก
+กะโรกะเร กะโลง กะโล่ กะโหลก กะโห้ กะได กะไหล่ กัก กักกรา กักกัน กักขฬะ กักขัง กักตัว กักตุน กัง กังก้า กังขา กังฉิน กังต็อก กังฟู กังวล กังวาน กังวาล
+กังสดาล กังหัน กังเกียง กังเฉิน กังเวียน กังไส กัจฉปะ กัจฉะ กัจฉา กัญ กัญจุก กัญจุกะ กัญชา กัญญา กัฐ กัณฏกะ กัณฐ กัณฐก กัณฐชะ กัณฐะ กัณฐัศ กัณฐา กัณฐี
+กัณฐ์ กัณฑ์ กัณณ์ กัณห กัณหธรรม กัด กัดกร่อน กัดฟัน กัดมันไดต์ กัตติกมาส กัตตุ กัตตุวาจก กัตตุสัญญา กัตรา กัทลี กัน กันกง กันการ์ กันชน กันชิง กันชีพ
+กันดอง กันดาร กันดาล กันตะยาราม กันตัง กันตัว กันต์ กันทร กันทรลักษ์ กันทรวิชัย กันทรากร กันทรารมย์ กันทะ กันท่า กันพิรุณ กันภัย กันยา กันยายน กันย์
+กันลง กันลอง กันลึง กันสาด กันเชอ กันเมียง กันเอง กันเอา กันแซง กันแดด กันแสง กันไกร กันได กันไตร กับ กับข้าว กับบุเรศ กับแกล้ม กับแก้ กัป กัปตัน
+กัปนก กัปบาสิก กัปประ กัปปะระ กัปปาสิก กัปปิย กัปปิยกัณฑ์ กัปปิยการก กัมบน กัมปนะ กัมปนาการ กัมปนาท กัมประโด กัมปี กัมพล กัมพุช กัมพุม กัมพู กัมพูชา
+กัมมัชวาต กัมมันตภาพรังสี กัมมันตรังสี กัมมาร กัมลาศ กัมโพช กัยวิกัย กัลชาญ กัลบก กัลป กัลปนา กัลปพฤกษ์ กัลปังหา กัลปาวสาน กัลปิต กัลป์ กัลยา กัลยาณ
+กัลยาณมิตร กัลยาณี กัลยาณไมตรี กัลหาย กัลออม กัลเอา กัลโช กัลโหย กัวดัลคะแนล กัวลาลัมเปอร์ กัวเดอลูป กัวเตมาลา กัวเตมาลาซิตี กัศมล กัสสะ กั่น กั้ง
+กั้น กั้นหยั่น กั๊ก กา กาก กากณีก กากบาท กากะเยีย กากี กาง กางของ กางเกง กางเกียง กางเขน กางเวียน กาชาด กาซะลอง กาซันเรตโต กาญจนดิษฐ์ กาญจนบุรี กาญจนา
+กาญจนาคม กาฐ กาฐมัณฑุ กาด กาตมันดุ กาตมานดุ กาน กานดา กานต์ กานท์ กานน กานพลู กานา กาน้า กาน้ำ กาบ กาบกี้ กาบบัว กาบหอย กาบอง กาบะ กาบู กาบูร กาบเชิง
+กาบเดียว กาปุริส กาฝาก กาพย์ กาม กามคุณ กามตัณหา กามน กามภพ กามราค กามวิตก กามวิตถาร กามัช กามา กามาทีนพ กามาพจร กามารมณ์ กามินี กามิศ กามเทพ กามโรค
+กาย กายกรรม กายทวาร กายพันธน์ กายภาพ กายภาพบำบัด กายวิภาค กายวิภาคศาสตร์ กายสิทธิ์ กายาพยพ การ การก การกลั่นทำลาย การขนส่งมวลชน การณ์ การนำ การบินไทย
+การบูร การบ้าน การพา การย์ การวิก การะบุหนิง การะเกด การัญศึกษา การัณย์ การันต์ การาจ การาจี การุญ การุณย์ การเกษตร การเต การเปรียญ การเมือง การเรือน
+การเวก การแผ่รังสี การโน้มถ่วง การ์ด การ์ดีเนีย การ์ตูน การ์เดน การ์เนต การ์เนียไรต์ การ์เมนท์ กาล กาลกรรณี กาลกิณี กาลกิริยา กาละมัง กาละแม กาลักน้ำ
+กาลัญญุตา กาลัญญู กาลัด กาลา กาลาปัน กาลาปากอส กาลิก กาลี กาลีนา กาลเทศะ กาลโยค กาว กาววาว กาวาง กาศิก กาษฐะ กาษา กาสร กาสสัทโท กาสะ กาสัก กาสัทโท
+กาสา กาสามปีก กาสาร กาสาว กาสาวพัสตร์ กาสิโน กาหยู กาหล กาหลง กาหลัง กาหลา กาหลิบ กาหัก กาห์ไนต์ กาฬ กาฬพฤกษ์ กาฬสินธุ์ กาฬาวก กาฬโรค กาฮัง กาเปี้ยด
+กาเฟอีน กาเมศ กาเมสุมิจฉาจาร กาเยน กาเหว่า กาแฟ กาแลกไซต์ กาแล็กซี กาแล็กโทส กาแวน กาโมทย กาไหล่ กำ กำกวม กำกัด กำกับ กำกูน กำคูน กำจร กำจัด กำจาย
+กำชับ กำชำ กำซาบ กำซำ กำดัด กำดาล กำด้น กำตัด กำตาก กำถั่ว กำทวน กำธร กำนล กำนัด กำนัน กำนัล กำบด กำบน กำบัง กำบัด กำบิด กำปอ กำปั่น กำปั้น กำผลา กำพง
+กำพด กำพต กำพราก กำพร้า กำพวด กำพอง กำพืด กำพู กำภู กำมพฤกษ์ กำมลาศน์ กำมะถัน กำมะลอ กำมะหยี่ กำมะหริด กำมังละการ กำมังวิลิต กำมา กำมเลศ กำยาน กำยำ
+กำรอ กำราก กำราบ กำราล กำรู กำลอง กำลัง กำลังวังชา กำลังเทียน กำลุง กำลูน กำสรด กำสรวล กำหนด กำหนดการ กำหนัด กำเกรียก กำเดา กำเดาะ กำเนิด กำเบ้อ
+กำเริบ กำเลา กำเลาะ กำเสาะ กำเหน็จ กำเหลิง กำแพง กำแพงขาว กำแพงเพชร กำแพงแสน กำแสง กำแหง กำโชก กำโบล กำไร กำไล กิก กิกะ กิกะไบต์ กิกไคต์ กิงบุรุษ กิจ
+กิจกรรม กิจการ กิจจะ กิจจะลักษณะ กิจจา กิจจานุกิจ กิจวัตร กิจสังคม กิดาหยัน กิตติ กิตติกรรมประกาศ กิตติคุณ กิตติมศักดิ์ กิตติวานิช กิตติศัพท์ กิติขจร
+กิติพาณิชย์ กิน กินชัน กินชาซา กินดิบ กินนร กินปลี กินริน กินรี กินี กิบบ์ไซต์ กิฟท์ กิมิชาติ กิมิวิทยา กิริณี กิริยา กิลเดอร์ กิลเบอร์ต กิอานา กิเลน
+กิเลส กิเลสมาร กิโซ กิโมโน กิโยตีน กิโล กิโลกรัม กิโลมกะ กิโลลิตร กิโลเมตร กิโลเฮิรตซ์ กิโลไซเกิล กิ่ง กิ่งก้อย กิ่งจันทร์ กิ่งเพชร กิ่ว กิ้งกือ
+กิ้งก่า กิ้งโครง กิ๊ก กิ๊บ กิ๋ว กิ๋วๆ กีฎวิทยา กีฏ กีฏวิทยา กีด กีดกัน กีดกั้น กีดขวาง กีตาร์ กีนีบิสซู กีบ กีบแรด กีรติ กีวี กีฬา กี่ กี้ กี๋ กึก
+กึกกัก กึกกือ กึกก้อง กึกถอง กึง กึงกัง กึ่ง กึ่งกลาง กึ๋น กุ กุก กุกกัก กุกกุฏ กุกกุร กุกรรม กุกะ กุก่อง กุงอน กุงาน กุจี กุฉินารายน์ กุญชร กุญธร
+กุญแจ กุญแจประจำหลัก กุญแจมือ กุญแจเสียง กุฎ กุฎิเจริญพาสน์ กุฎี กุฎุมพี กุฏฐัง กุฏรัง กุฏิ กุฏไต กุณฑล กุณฑี กุณฑ์ กุณาล กุณิ กุณโฑ กุด กุดข้าวปุ้น
+กุดจับ กุดชุม กุดบาก กุดัง กุดั่น กุดา กุน กุนซือ กุนที กุนเชียง กุบ กุบกับ กุม กุมฝอย กุมภ กุมภการ กุมภนิยา กุมภวาปี กุมภัณฑ์ กุมภา กุมภาพันธ์ กุมภิล
+กุมภีล์ กุมภ์ กุมลัคน์ กุมาร กุมารา กุมารี กุมุท กุมเหง กุย กุยช่าย กุยบุรี กุยเฮง กุระ กุรุง กุรุพินท์ กุล กุลธิดา กุลบดี กุลบุตร กุลสตรี กุลา กุลาดำ
+กุลาตีอก กุลาหล กุลี กุลีก กุลีกุจอ กุศราช กุศล กุศลิน กุศโลบาย กุสล กุสุม กุสุมา กุสุมาลย์ กุหนี กุหนุง กุหร่า กุหลาบ กุหล่า กุเรปัน กุเรา กุเลา
+กุเวร กุแล กุแหละ กุโงก กุโนกามอ กุไล กุ่ม กุ้ง กุ้งหลวง กุ้งเต้น กุ้งแห กุ้งแห้ง กุ๊ก กุ๊กกิ๊ก กุ๊น กุ๊ย กุ๋ย กู กูกวน กูฎ กูฎา กูฏ กูณฑ์ กูด กูน กูบ
+กูปรี กูรม กูรำ กูล กู่ กู้ กู้ภัย กู๊ก กเบนทร์ กเรณุ กเรณุกา กเรนทร กเลวระ กเฬวราก กโบร กโบระ กโบล ก็ ก็ตาม ก็อปปี้ ก็ได้ ก่ง ก่น ก่อ ก่อกวน ก่อการ
+ก่อง ก่อน ก่อสร้าง ก่าน ก่าย ก่ำ ก่ำต้น ก้ง ก้งโค้ง ก้น ก้นกบ ก้นขบ ก้นปล่อง ก้นหอย ก้ม ก้อ ก้อง ก้อน ก้อม ก้อย ก้อร่อ ก้อร่อก้อติก ก้าง ก้าน ก้านคอ
+ก้าบ ก้าบๆ ก้าม ก้ามกราม ก้ามกุ้ง ก้ามปู ก้าว ก้าวก่าย ก้าวร้าว ก้าวหน้า ก้ำ ก้ำกึ่ง ก้ำเกิน ก๊ก ก๊ง ก๊อ ก๊อก ก๊อบปี้ ก๊อปปี้ ก๊าช ก๊าซ ก๊าซน้ำตา
+ก๊าซเฉื่อย ก๊าซไข่เน่า ก๊าด ก๊าน ก๋ง ก๋วยเตี๋ยว ก๋อย ก๋า ก๋ากั่น ก๋าว ขง ขงจื๊อ ขงเบ้ง ขจร ขจรจบ ขจรศึกษา ขจอก ขจัด ขจัดขจาย ขจาย ขจาว ขจิต ขจิริด ขจี
+ขจุย ขจ่าง ขณะ ขด ขดถวาย ขดาน ขทิง ขทึง ขน ขนง ขนงเนื้อ ขนด ขนตา ขนน ขนบ ขนบธรรมเนียม ขนบประเพณี ขนม ขนมครก ขนมจีน ขนมปัง ขนมอบ ขนมเปี๊ยะ ขนลุก ขนส่ง
+ขนหนู ขนหยอง ขนอง ขนอน ขนอบ ขนอม ขนอุย ขนัด ขนัน ขนาก ขนาง ขนาด ขนาน ขนานยนต์ ขนาบ ขนาย ขนำ ขนิษฐ ขนิษฐภคินี ขนิษฐภาตา ขนิษฐา ขนิษฐาธิราช ขนุน ขนุนนก
+ขนเพชร ขนแมว ขบ ขบขัน ขบคิด ขบฉัน ขบถ ขบวน ขบวนการ ขบูร ขบเคี้ยว ขบเผาะ ขม ขมขื่น ขมวด ขมวดยา ขมวน ขมหิน ขมอง ขมอย ขมัง ขมับ ขมา ขมิบ ขมิ้น ขมิ้นขาว
+ขมีขมัน ขมึง ขมึงทึง ขมุ ขมุกขมอม ขมุกขมัว ขมุบ ขมุบขมิบ ขมุม ขม่อม ขม้ำ ขยด ขยอก ขยอง ขยะ ขยะแขยง ขยัก ขยักขย้อน ขยัน ขยับ ขยับเขยื้อน ขยั้น ขยาด
+ขยาบ ขยาย ขยำ ขยิก ขยิบ ขยิ่ม ขยี้ ขยุกขยิก ขยุกขยุย ขยุบ ขยุบขยิบ ขยุม ขยุย ขยุ้ม ขย่ม ขย่อน ขย้อน ขย้ำ ขรม ขรรค ขรรค์ ขรัว ขริบ ขรี ขรึม ขรุขระ ขลบ
+ขลม ขลวน ขลัง ขลับ ขลา ขลาด ขลาย ขลิบ ขลึง ขลุก ขลุกขลัก ขลุกขลิก ขลุง ขลุบ ขลุม ขลุ่ย ขลู ขลู่ ขล้ง ขวง ขวด ขวดโหล ขวน ขวนขวาย ขวนใจ ขวบ ขวย ขวยเขิน
+ขวยใจ ขวักไขว่ ขวัญ ขวัญดี ขวัญตา ขวัญทิพย์ ขวัญใจ ขวัด ขวับ ขวับเขวียว ขวั้น ขวา ขวาก ขวาง ขวาด ขวาน ขวายขวน ขวาว ขวิด ขว้าง ขว้าว ขษณะ ขษัย ขษีร ขอ
+ขอก ของ ของกอง ของกิน ของคาว ของชำ ของดี ของนอก ของลับ ของวัด ของสด ของเหลว ของแข็ง ของโจร ของใช้ ของไหล ของ้อ ของ้าว ขอฉาย ขอช้าง ขอด ขอตัว ขอทอง
+ขอทาน ขอที ขอน ขอนดอก ขอนสัก ขอนแก่น ขอบ ขอบข่าย ขอบคุณ ขอบพระคุณ ขอบพระทัย ขอบเขต ขอบใจ ขอบไร ขอม ขอยืม ขอรับ ขอร้อง ขอสับ ขออภัย ขอเดชะ ขอเฝ้า ขอแกว
+ขอแรง ขอโทษ ขะข่ำ ขะนาน ขะมอมขะแมม ขะมักเขม้น ขะมุกขะมอม ขะยิก ขะยุก ขะเน็ด ขะเย้อแขย่ง ขะแข่น ขะแจะ ขะแถก ขะแมซอ ขะแมธม ขะแยะ ขัค ขัง ขังขอก ขังข้อ
+ขัช ขัชกะ ขัณฑ ขัณฑสกร ขัณฑสีมา ขัด ขัดขืน ขัดข้อง ขัดคอ ขัดจังหวะ ขัดดอก ขัดตา ขัดบท ขัดมอน ขัดยอก ขัดลาภ ขัดสน ขัดหู ขัดเกลา ขัดเคือง ขัดเบา ขัดแตะ
+ขัดใจ ขัตติย ขัตติยมานะ ขัตติยะ ขัน ขันชะเนาะ ขันติ ขันต่อ ขันทอง ขันที ขันธสิทธิ์ ขันธ์ ขันสมอ ขันสู้ ขันหมาก ขันเหม ขันโตก ขับ ขับขัน ขับขี่ ขับซอ
+ขับพล ขับเคี่ยว ขับไม้ ขัย ขัว ขั้น ขั้ว ขั้วลบ ขา ขาก ขากบ ขากอม ขาก๊วย ขาง ขางดัง ขางแดง ขาจร ขาณุ ขาณุวรลักษบุรี ขาด ขาดกัน ขาดคำ ขาดค่า ขาดตอน
+ขาดตัว ขาดทุน ขาดปาก ขาดมือ ขาดลอย ขาดแคลน ขาดใจ ขาทนียะ ขาทราย ขาน ขานนาค ขานรับ ขานาง ขานไข ขาบ ขาพับ ขาม ขามทะเลสอ ขามสะแกแสง ขาม้า ขาย ขายขาด
+ขายตัว ขายส่ง ขาล ขาว ขาวจีบ ขาวพวง ขาวม้า ขาหมา ขาหยั่ง ขาอ่อน ขาไก่ ขำ ขิก ขิกๆ ขิง ขิณ ขิปสัทโท ขิม ขิ่ง ขีณะ ขีณาสพ ขีด ขีปนาวุธ ขีปนาวุธนำวิถี
+ขีร ขี่ ขี้ ขี้กบ ขี้กา ขี้ขม ขี้ขวง ขี้ขุย ขี้ข้า ขี้คุก ขี้จาบ ขี้ตด ขี้ตืด ขี้ถัง ขี้ทา ขี้ทูด ขี้นก ขี้ปาก ขี้ผง ขี้มอด ขี้มูก ขี้ม้า ขี้ยอก ขี้ยา
+ขี้ลม ขี้ลอก ขี้ลีบ ขี้สูด ขี้หนู ขี้หมา ขี้อ้น ขี้เซา ขี้เทา ขี้เป้ ขี้เมฆ ขี้เสือใหญ่ ขี้เหร่ ขี้แต้ ขี้แมว ขี้แย ขี้แรด ขี้โล้ ขี้ไซ้ ขี้ไต้ ขี้ไถ
+ขึง ขึงขัง ขึงตา ขึงตึง ขึงพืด ขึงอูด ขึ้ง ขึ้น ขึ้นฉ่าย ขึ้นหา ขึ้นใจ ขืน ขืนใจ ขื่น ขื่นขม ขื่อ ขื่อผี ขุก ขุขันธ์ ขุด ขุน ขุนทอง ขุนนาง ขุนน้ำ
+ขุนบาล ขุนพล ขุนยวม ขุนวิจิตร ขุนศาล ขุนศึก ขุนหาญ ขุนเขา ขุนแผน ขุม ขุมทรัพย์ ขุมนรก ขุย ขุยอินทรีย์ ขุยไผ่ ขุหนุง ขุ่น ขุ่นใจ ขู ขูด ขูดรีด ขู่
+ขู่เข็ญ ขเจา ขโมย ข่ม ข่มขี่ ข่มขืน ข่มขู่ ข่มนาม ข่มหมู ข่มเหง ข่วง ข่วน ข่อ ข่อน ข่อย ข่อยห ข่า ข่าง ข่าต้น ข่าน ข่าม ข่าย ข่ายงาน ข่าว ข่าวดี
+ข่าวสด ข่าวสาร ข่าแดง ข้น ข้อ ข้อขอด ข้อความ ข้อคัดย่อ ข้อคิด ข้อง ข้องใจ ข้อดี ข้อน ข้อมูล ข้อย ข้อศอก ข้อสอบ ข้อหา ข้อเสือ ข้อแม้ ข้อไข ข้า ข้าง
+ข้างตก ข้างๆ ข้าพเจ้า ข้าม ข้าราชการ ข้าว ข้าวคำ ข้าวตู ข้าวต้ม ข้าวนก ข้าวยำ ข้าวสาร ข้าวหลาม ข้าวเม่า ข้าวโพด ข้าศึก ข้าหลวง ข้าแผ่นดิน ข้าไท
+คคนัมพร คคนางค์ คคนานต์ คง คงกระพัน คงขาด คงคลัง คงคา คงจะ คงตัว คงทน คงที่ คงไคย คช คชกรรม คชธาร คชนาม คชราช คชสาร คชสีห์ คชส่าน คชา คชาชาติ คชาชีพ
+คชาธาร คชาภรณ์ คณนา คณบดี คณะ คณาจารย์ คณาธิการ คณาธิปไตย คณิกา คณิต คณิตศาสตร์ คด คดกริช คดงอ คดซ่าง คดี คดีดำ คดีแดง คดโกง คติ คติชน คติชาวบ้าน
+คติธรรม คตินิยม คติพจน์ คทา คธา คน คนกลาง คนจน คนจร คนจริง คนทรง คนทา คนทิสอ คนที คนทีสอ คนธรรพ คนธรรพ์ คนธ์ คนนอก คนรวย คนร้าย คนละ คนสวน คนโท คนใช้
+คนใน คนไข้ คบ คบคิด คบค้า คบชู้ คบหา คบไฟ คม คมกริบ คมขำ คมคาย คมน คมนาการ คมนาคม คมบาง คมสัน ครก ครบ ครบมือ ครบุรี ครรชิต ครรภ ครรภมล ครรภ์ ครรลอง
+ครรหิต ครรโลง ครรไล ครวญ ครวญหา ครวัก ครวี ครหา ครอก ครอง ครองแครง ครอบ ครอบครัว ครอบคลุม ครอบงำ คระ คระหน คระหวน คระหาย คระหิว คระแลง คระแวง คระโหย
+คระไล ครัดเคร่ง ครัน ครับ ครัว ครัวซองท์ ครัวไฟ ครั่ง ครั่น ครั้ง ครั้น ครา คราก คราง คราญ คราด คราบ คราฟท์ คราม คราว คราส ครำ คริกเก็ท คริปทอน
+คริสตกาล คริสตัง คริสตัล คริสต์ คริสต์มาส คริสเตียน คริสโทบาไลต์ คริโซเบริล คริโซเพรส คริโซไทล์ คริโวคอลลา ครีครอ ครีต ครีบ ครีม ครีษมายัน ครีเอทีฟ
+ครี้ ครึ ครึกครื้น ครึกโครม ครึน ครึม ครึ่ง ครึ้ม ครืด ครืน ครือ ครื้น ครื้นครึก ครื้นเครง ครุ ครุก ครุคระ ครุฑ ครุฑก ครุฑจัดสรร ครุฑย ครุฑ่น ครุภัณฑ์
+ครุมเครือ ครุย ครุวนา ครุวาร ครุศาสตร์ ครุ่น ครุ่นคิด ครู ครูด ครูบา ครูไทย ครู่ คร่ง คร่อม คร่า คร่าว คร่าวๆ คร่ำ คร่ำครวญ คร้าน คร้าม คฤห คฤหบดี
+คฤหัสถ์ คฤหา คฤหาสน์ คฤโฆษ คลวง คลอ คลอก คลอง คลองขลุง คลองจั่น คลองตัน คลองทรงกระเทียม คลองท่อม คลองภูมิ คลองลาน คลองลำปัก คลองลำเจียก คลองสาน
+คลองหลวง คลองเตย คลองเตยวิทยา คลองเตยใน คลองเสือน้อย คลองใหญ่ คลองใหม่ คลอด คลอน คลอนแคลน คลอริทอยด์ คลอรีน คลอเคลีย คลอแคล คลอแอนไทต์ คลอโรฟอร์ม
+คลอโรฟีลล์ คลอไรต์ คละ คละคล่ำ คละปน คลัก คลัง คลังมนตรี คลังเลือด คลัตช์ คลับ คลัสเตอร์ คลั่ก คลั่ง คลา คลางแคลง คลาด คลาน คลาย คลาศ คลาส คลาสสิค
+คลาไคล คลำ คลิก คลิง คลิด คลินิก คลิป คลิปบอร์ด คลิปเปอร์ตัน คลิ้ก คลี คลีนิค คลีฟแลนไดต์ คลี่ คลี่คลาย คลึง คลื่น คลื่นปานกลาง คลื่นยาว คลื่นวิทยุ
+คลื่นสั้น คลื่นเหียน คลื่นแม่เหล็กไฟฟ้า คลื่นใต้น้ำ คลื่นไส้ คลุก คลุกคลี คลุบ คลุม คลุมเครือ คลุมโปง คลุ่ม คลุ้ง คลุ้ม คลุ้มคลั่ง คล่อง คล่องแคล่ว
+คล่าว คล่ำ คล้อง คล้องจอง คล้อย คล้อยอุทิศ คล้า คล้าย คล้ายคลึง คล้ายแก้ว คล้ำ ควง ควงแขน ควน ควนกาหลง ควนขนุน ควนโดน ควบ ควบคุม ควบคู่ ควบแน่น ควย
+ควร ควอตซ์ ควอท ควอรัม ควอลิตี้ ควอเตอร์ ควัก ควัน ควันตัม ควันติตี้ ควั่น ควาก ควาญ ควาน ความ ความคลาด ความชื้น ความชื้นสัมบูรณ์ ความชื้นสัมพัทธ์
+ความถี่ ความถี่วิทยุ ความถ่วง ความถ่วงจำเพาะ ความยาวคลื่น ความรู้สึกด้อย ความรู้สึกเขื่อง ความรู้สึกเด่น ความหน่วง ความเครียด ความเค้น ความเฉื่อย
+ความเร็ว ความเร่ง ควาย ควินิน ควิวๆ ควิโต ควีน ควีนชาร์ล็อต ควีนสแลนด์ คว่าว คว่ำ คว้า คว้าง คว้างๆ คว้าน คห คหกรรม คหกรรมศาสตร์ คหบดี คหปตานี คหัฐ คอ
+คอก คอกลม คอคอด คองคอร์ด คองเกรส คองโก คอซอง คอด คอตก คอตตอน คอตั้ง คอตีบ คอต่อ คอถ่วง คอน คอนกรีต คอนกรีตอัดแรง คอนกรีตเสริมเหล็ก คอนจังชัน
+คอนซูมเมอร์ คอนดักเตอร์ คอนดิชัน คอนทรา คอนทราสท์ คอนฟลิคท์ คอนฟิก คอนฟิกูเรชัน คอนยัค คอนวอย คอนสวรรค์ คอนสาน คอนาค คอนเซ็ปท์ คอนเดนเซอร์ คอนเทนเนอร์
+คอนเทสท์ คอนเนกติกัต คอนเนอร์ คอนเฟิร์ม คอนเวนชัน คอนเวิร์ท คอนเวิร์ส คอนเสิร์ต คอนแทค คอนแทคเลนส์ คอนแทรค คอนแวนต์ คอนโซล คอนโดมิเนียม คอนโดรไดต์
+คอนโทรล คอนโทรลเลอร์ คอบ คอบัว คอปาด คอปเปอร์ คอพอก คอพับ คอม คอมปาวด์ คอมพลิเมนท์ คอมพลีท คอมพิวเตอร์ คอมฟอร์ท คอมมอนเซนส์ คอมมา คอมมาน คอมมานเดอร์
+คอมมานโด คอมมิชชั่น คอมมิดิ คอมมิดี้ คอมมิวนิสต์ คอมมูน คอมเพรสเซอร์ คอมเพล็กซ์ คอมเมนท์ คอมเมอร์ซ คอมเมิซ คอมแบ็ท คอมแพค คอมแพลน คอมโบ คอมโพรไมส์
+คอมโพเนนต์ คอมโพเนนท์ คอม้า คอย คอยท่า คอยล์ คอยส์ คอรันดัม คอรัปชั่น คอรัล คอรัส คอร์ซิกา คอร์ด คอร์ต คอร์น คอร์ปอเรชั่น คอร์ฟู คอร์รัปชัน คอร์ส
+คอร์เดียไรต์ คอลลอยด์ คอลัมน์ คอลเลคชัน คอลเลจ คอลเล็กชัน คอลโลเฟน คอส คอสตาริกา คอสติกโซดา คอสท์ คอสมิก คอสอง คอสูง คอสเมติก คอหอย คอห่าน คออ่อน
+คอเคซอยด์ คอเลสเตอรอล คอแข็ง คอแดง คอแบะ คอแร้ง คอแลน คอแหลม คอแห้ง คอไฟ คะ คะคาน คะคึง คะนอง คะนึง คะน้า คะมำ คะมึก คะยั้นคะยอ คะเน คะเน็ด คะเยอ
+คะแนน คะไขว่ คัก คัคนัมพร คัคนางค์ คัคนานต์ คัคมัมพร คังไคย คัณฑสูตร คัด คัดค้าน คัดฉาก คัดชุน คัดมอน คัทลียา คัน คันขา คันจาม คันฉาย คันชัก คันชีพ
+คันถ คันทรง คันธ คันธกุฎี คันธ์ คันนา คันนายาว คันบวย คันโดง คันโพง คับ คับขัน คับคั่ง คับคา คับแค คับใจ คัพภ คัมปาลา คัมภีร คัมภีรภาพ คัมภีร์
+คัมมินโทไนต์ คัล คัว คั่ก คั่ง คั่น คั่ว คั้น คา คากรอง คาง คางคก คางทูม คางหมู คางโทน คาซาคสถาน คาด คาดค่า คาถา คาทอลิก คาธ คาน คานหาม คานารี คาน้า
+คาบ คาบชุด คาบสมุทร คาบาร์เรต์ คาบูล คาปรี คาพยุต คาม คามณี คามณีย์ คามภีร์ คามวาสี คามิคาเซ่ คามิลเลียน คามี คาย คายก คายัน คารพ คารม คารวะ คารา
+คารากัส คาราวาน คาราเต้ คาราโอเกะ คาริบบีส์ คาร์ดินัล คาร์ดิฟ คาร์ทูม คาร์นัลไลต์ คาร์นิวัล คาร์บอน คาร์บอนมอนอกไซด์ คาร์บอนไดออกไซด์ คาร์บอลิก
+คาร์บอเนต คาร์บูเรเตอร์ คาร์พ คาร์สันซิตี คาร์เนชั่น คาร์เนเลียน คาร์เพ็ท คาร์เวียร์ คาร์โก คาร์โบรันดัม คาร์โบไฮเดรต คาลซิโดนี คาลาไมน์ คาลิมนอส
+คาลีไบต์ คาลแคนไทต์ คาลโคโซต์ คาลโคไพไรต์ คาว คาวตอง คาวบอย คาวปลา คาวี คาวุต คาส คาฮูลาเว คาเดท คาเธย์ คาเบรรา คาเฟ คาเฟททีเรีย คาเฟ่ คาแรคเตอร์
+คาโรไลน์ คาโลเมล คำ คำขวัญ คำขอ คำขาด คำคม คำชะอี คำตั้ง คำตากล้า คำตาย คำถาม คำทาย คำนวณ คำนวร คำนับ คำนัล คำนำ คำนึง คำนูณ คำฝอย คำฟ้อง คำมั่น คำมูล
+คำม่วง คำรน คำรบ คำราม คำร้อง คำหลวง คำเขื่อนแก้ว คำเติม คำเปรม คำเป็น คำแถลง คำแสด คำแหง คำโดด คำโบล คำโอง คำใต้ คิก คิกาลี คิกๆ คิง คิงสตัน คิด
+คิดคด คิดค้น คิดตก คิดถึง คิดมาก คิทนอส คิมห คิมหันต์ คิริ คิลาน คิลานปัจจัย คิว คิวชู คิวบา คิวบาไนต์ คิวปิด คิวไพรต์ คิ้ว คี คีต คีตศาสตร์ คีตาจารย์
+คีนยา คีบ คีม คีย์ คีย์บอร์ด คีย์เวิร์ด คีรี คีรีบูน คีรีมาศ คีรีรัฐนิคม คีลลิง คีเอฟ คี่ คึก คึกคัก คึกคาม คึ่ก คืน คืนคำ คืนชีพ คืนดี คืนตัว คืนให้
+คืบ คือ คุ คุก คุกกี้ คุกคาม คุกเข่า คุคะ คุง คุณ คุณครู คุณค่า คุณชาย คุณธรรม คุณนาม คุณนาย คุณบท คุณภาพ คุณย่า คุณลักษณะ คุณวุฒิ คุณศัพท์ คุณสมบัติ
+คุณา คุณากร คุณูปการ คุณโทษ คุด คุดคู้ คุดทะราด คุต คุตติ คุนไซต์ คุป คุปติ คุปต์ คุม คุมนุม คุมฝอย คุย คุยห คุยหฐาน คุยหประเทศ คุระบุรี คุรุ คุลา
+คุหา คุโณปการ คุ่น คุ่ม คุ้ง คุ้น คุ้ม คุ้มครอง คุ้ย คุ๊กกี้ คู คูซิง คูณ คูณร่วมน้อย คูน คูปอง คูราเซา คูริล คูหา คูหาสวรรค์ คูเมือง คูเรียม
+คูเรียมูเรีย คูเวต คูไซเอ คู่ คู่ขา คู่ควร คู่คิด คู่คี่ คู่ฉีก คู่ชัก คู่ชีพ คู่บุญ คู่ผสม คู่มือ คู่ยาก คู่รัก คู่สวด คู่หู คู่อริ คู่แห่ คู่โค
+คู่ใจ คู้ คู้บอน คเณศ คเนจร ค็อกคัส ค็อกเทล ค็อฟฟี ค่อน ค่อนขอด ค่อนแคะ ค่อม ค่อย ค่ะ ค่า ค่าคบ ค่าง ค่าตัว ค่าที่ ค่าน้ำ ค่าย ค่ายบางระจัน ค่าว
+ค่าสัมบูรณ์ ค่าหด ค่าหัว ค่าเผา ค่าเสมอภาค ค่าแรง ค่ำ ค่ำคืน ค้น ค้นคว้า ค้นหา ค้นหูก ค้อ ค้อน ค้อม ค้อย ค้อวัง ค้า ค้าขาย ค้าง ค้างคาว ค้างปี
+ค้างเติ่ง ค้าน ค้าว ค้ำ ค้ำคอ ค้ำจุน ค้ำชู ค้ำฟ้า ค้ำหัว ฆราวาส ฆาฏ ฆาต ฆาตกร ฆาตกรรม ฆาน ฆ่า ฆ้อง ฆ้องวง งก งง งงงวย งงงัน งงิด งด งดงาม งบ งบดุล งม
+งมงาย งมโข่ง งวง งวด งวยงง งอ งอก งอกงาม งอกเงย งอกแงก งอด งอดแงด งอน งอนง้อ งอนหง่อ งอนไถ งอบ งอม งอมแงม งอย งอหาย งอแง งะ งัก งักๆ งังๆ งัด งัดข้อ
+งัน งันงก งับ งับแง งัว งัวซัง งัวเงีย งั่ก งั่ง งั่ว งั้น งา งาช้าง งาตัด งาน งานการ งาบ งาบๆ งาม งามงอน งามดูพลี งามมานะ งามวงศ์วาน งาย งาลั่ว งาว
+งาสาน งาแซง งาไซ งำ งิ้ว งิ้ำ งีบ งึก งึกๆ งึน งึม งึมงำ งุด งุนงง งุบ งุบงิบ งุย งุ่นง่าน งุ่มง่าม งุ้ม งู งูบ งูสวัด งูเห่า งู่หนี ง่วง ง่วงงุน
+ง่วงเหงา ง่วน ง่อง ง่อน ง่อย ง่า ง่าน ง่าม ง่าย ง่ายดาย ง่ายๆ ง่าเงย ง่ำ ง้วน ง้อ ง้องอน ง้อม ง้าง ง้าว ง้ำ จก จง จงกรม จงกล จงกลนี จงดี จงถนอม จงรัก
+จงสุข จงอร จงอาง จงเจริญ จงใจ จด จดจำ จดจ่อ จดจ้อง จดหมัด จดหมาย จดหมายเหตุ จดุร จดูร จตุ จตุจักร จตุตถ จตุบท จตุปัจจัย จตุปาริสิทธิศีล จตุร จตุรงค์
+จตุรถ จตุรพักตร์ จตุรพักตร์พิมาน จตุรพิธ จตุรภุช จตุรภูมิ จตุรมิตร จตุสดมภ์ จทึง จน จนกว่า จนชั้น จนถึง จบ จบเห่ จม จมปลัก จมร จมรี จมูก จมูกมด จมเบ้า
+จยุติ จร จรก จรกลู่ จรคั่ง จรจรัล จรจัด จรณะ จรด จรดล จรบน จรบัน จรบาท จรมัน จรมูก จรรจา จรรม จรรยา จรรโจษ จรรโลง จรลวง จรลาด จรลาย จรลิ่ว จรลี จรลู่
+จรล่วง จรล่ำ จรวจ จรวด จรวดนำวิถี จรวัก จรส จรอก จระขาบ จระทก จระนำ จระบาน จระบี จระเข้ จระแคง จรัญสนิทวงศ์ จรัล จรัส จรัสเมือง จราก จราง จราจร จราญ
+จราย จราว จราส จริก จริง จริงจัง จริงใจ จริต จริม จริย จริยธรรม จริยวัตร จริยศาสตร์ จริยศึกษา จริยา จริว จรี จรึง จรุก จรุง จรูญ จรูส จล จลนพลศาสตร์
+จลนศาสตร์ จลนี จลา จลาจล จวก จวง จวด จวดลาก จวน จวนตัว จวนแจ จวบ จวบจวน จวัก จอ จอก จอกแหน จอง จองคช จองจำ จองหอง จอด จอน จอนจ่อ จอบ จอภาพ จอม จอมทอง
+จอมทัพ จอมบึง จอมพระ จอมพล จอมใจ จอมไตร จอร์เจีย จอร์แดน จอแจ จอแส จะ จะกรุน จะกละ จะกลาม จะกวด จะกูด จะขาบ จะงอย จะจะ จะจ้า จะนะ จะบัน จะปิ้ง
+จะละหวั่น จะละเม็ด จะเกร็ง จะเข็บ จะเข้ จะแจ่ม จะแจ้ง จะไจ้ จัก จักกาย จักขุ จักจั่น จักจี้ จักทรกานต์ จักร จักรพงษ์ จักรพรรดิ จักรพันธ์ จักรภพ
+จักรยาน จักรยานยนต์ จักรราศี จักรวรรดิ จักรวรรดินิยม จักรวรรดิ์ จักรวาล จักรา จักราช จักริน จักรี จักรเพชร จักษุ จักสาน จักแหล่น จัง จังกวด จังกอบ
+จังกา จังกูด จังก้า จังงัง จังมัง จังลอน จังหวะ จังหวัด จังหัน จังออน จังเก จังไร จัญไร จัณฑ จัณฑาล จัณฑ์ จัด จัดการ จัดจอง จัดจ้า จัดสรร จัดหา จัดเจน
+จัดแจง จัตวา จัตุ จัตุร จัตุรัส จัตุสดมภ์ จัน จันกลิ่น จันทนา จันทน์ จันทน์เก่า จันทบุรี จันทร จันทรคติ จันทรคราส จันทรัคคะ จันทรา จันทราราม
+จันทรุปราคา จันทร์ จันทร์พริ้ง จันทร์ม่วง จันทร์ลอย จันทร์สถิตย์ จันทร์สุข จันทร์หุ่นบำเพ็ญ จันทร์เกษม จันทร์เรือง จันทร์เศรษฐี จันทัน จันทิมา จันทิรา
+จันท์ จันลอง จันอับ จันเลา จันโจษ จับ จับกัง จับกุม จับจด จับจอง จับจิต จับฉ่าย จับตา จับตาย จับบก จับปิ้ง จับผิด จับยาม จับยี่กี จับสั่น จับเจี๋ยว
+จับเจ่า จับโปง จับใจ จับไข้ จัมกุม จัมมะ จั่น จั่ว จั้ง จั๊กจี้ จั๊กเดียม จั๊กๆ จั๊บ จั๊วะ จั๋ง จา จาก จาการ์ตา จากแดง จาคอปไซต์ จาคี จาง จางวาง
+จาซินท์ จาด จาดตะกั่ว จาตุ จาตุกรณีย์ จาตุทสี จาตุมหาราช จาตุร จาตุรงคสันนิบาต จาตุรันต์ จาน จานบิน จานผี จานเสียง จาบ จาบัล จาบัลย์ จาป จาม จามจุรี
+จามร จามรี จามิกร จามีกร จาร จารวาก จาระบี จาระไน จาริก จาริพิบูลย์ จารี จารีต จารึก จารุ จารุกลัส จารุเมือง จาว จาวา จาเมกา จาเมนา จำ จำกว่า จำกัด
+จำขื่อ จำครบ จำคา จำงาย จำจอง จำทน จำทวย จำทับ จำทาบ จำนง จำนงค์ จำนน จำนรรจา จำนรรจ์ จำนวน จำนวนจริง จำนวนจินตภาพ จำนวนตรรกยะ จำนวนนับ จำนวนอตรรกยะ
+จำนวนเชิงซ้อน จำนวนเต็ม จำนอง จำนับ จำนัล จำนำ จำบัง จำบับ จำบ่ม จำปา จำปาดะ จำปี จำปูน จำพวก จำยอม จำรด จำรัส จำราญ จำราย จำรูญ จำลอง จำลาย จำวัด
+จำศีล จำหนับ จำหน่าย จำหระ จำหลอก จำหลัก จำหล่อ จำหัน จำหาย จำหุด จำอวด จำอื่น จำเจ จำเดิม จำเทิด จำเนียร จำเนียรสุข จำเนียรเสริม จำเบศ จำเป็น จำเพาะ
+จำเริญ จำเรียง จำเลย จำเลาะ จำแทง จำแนก จำแบ จำแพรก จำแลง จำแล่น จิ จิก จิกปีก จิกหัว จิงจัง จิงจ้อ จิงโจ้ จิต จิตกึ่งสำนึก จิตต จิตตภาวนา จิตต์
+จิตต์ภักดี จิตต์ร่วม จิตนิยม จิตบำบัด จิตประไพวิทยา จิตภาพ จิตร จิตรกร จิตรกรรม จิตรจุล จิตรลดา จิตรวารี จิตรา จิตวิทยา จิตวิสัย จิตสำนึก จิตเวช
+จิตเวชศาสตร์ จิตแพทย์ จิตใจ จิตใต้สำนึก จิตไร้สำนึก จินดา จินดามณี จินดาหรา จินต จินตกวี จินตนา จินตนาการ จินตภาพ จินต์ จินต์จล จินเจา จิบ จิปดำริห์
+จิปาถะ จิร จิรกาล จิรัฐิติกาล จิลโย จิ่ง จิ่ม จิ้งจก จิ้งจอก จิ้งจัง จิ้งหรีด จิ้งเหลน จิ้ม จิ้มก้อง จิ้มลิ้ม จิ๊ป จิ๋ว จี จีน จีนัส จีนแส จีบ จีบพลู
+จีบูติ จีบูตี จีพร จีม จีรัง จีวร จีออกราฟี จีออเมทรี จีเนียส จีเอ็มโอ จีแจ๊ป จีโนไทป์ จีโบ จี่ จี้ จี๊ จี๊จู้ จี๊ด จี๋ จี๋จ้อ จึง จึ่ง จึ้ง จืด
+จืดจาง จืดชืด จืดตา จุ จุก จุกจิก จุกชี จุกผาม จุกยา จุฑา จุฑามณี จุฑามาศ จุณ จุณณียบท จุด จุดจบ จุดทศนิยม จุดน้ำค้าง จุดบอด จุดยืน จุดรวม
+จุดศูนย์กลาง จุดศูนย์ถ่วง จุดสัมผัส จุดหลอมเหลว จุดอิ่มตัว จุดเดือด จุดเยือกแข็ง จุดเหี่ยวเฉา จุติ จุตูปปาตญาณ จุทส จุน จุนจู๋ จุนสี จุนเจือ จุบ
+จุบจิบ จุปาก จุมพฏ จุมพล จุมพิต จุรณ จุรี จุล จุลจอม จุลจอมเกล้า จุลชีพ จุลชีวัน จุลชีวิน จุลทรรศน์ จุลภาค จุลภาพ จุลวรรค จุลศักราช จุลสาร จุลินทรีย์
+จุฬา จุฬาราชมนตรี จุฬาลงกรณ์ จุฬาสัมพันธ์ จุฬาเกษม จุใจ จุไร จุ่ง จุ่น จุ่ม จุ้น จุ้นจู๊ จุ้ม จุ้ย จุ๊กกรู๊ จุ๊บ จุ๊บแจง จุ๋งจิ๋ง จุ๋มจิ๋ม จู จูง
+จูงมือ จูงใจ จูบ จูโน จู่ จู่ลู่ จู่โจม จู่ๆ จู้ จู้จี้ จู๊ด จู๋ จู๋จี๋ จเร จแจ้น จ็อบ จ่ง จ่ม จ่อ จ่อง จ่อม จ่อย จ่า จ่าง จ่าปี่ จ่าย จ่ารง จ่าว จ้น
+จ้วง จ้อ จ้อก จ้อกแจ้ก จ้อง จ้องเต จ้อน จ้อย จ้ะ จ้า จ้าง จ้าน จ้าละหวั่น จ้าว จ้ำ จ้ำจี้ จ้ำบ๊ะ จ้ำม่ำ จ้ำเบ้า จ๊วก จ๊อก จ๊อกแจ๊ก จ๊อกๆ จ๊ะ จ๊ะเอ๋
+จ๋ง จ๋วง จ๋อ จ๋อง จ๋อย จ๋อแจ๋ จ๋ะ จ๋า ฉก ฉกจวัก ฉกฉวย ฉกชิง ฉกรรจ์ ฉกษัตริย์ ฉกาจ ฉกามาพจร ฉงชิ่ง ฉงน ฉงาย ฉทวาร ฉทึง ฉนวน ฉนัง ฉนาก ฉนำ ฉบัง ฉบัด
+ฉบับ ฉบำ ฉม ฉมวก ฉมวย ฉมัง ฉมัน ฉมา ฉมำ ฉล ฉลวย ฉลอง ฉลอม ฉลัก ฉลับ ฉลาก ฉลาง ฉลาด ฉลาม ฉลาย ฉลิว ฉลีก ฉลุ ฉลุกฉลวย ฉลุลาย ฉลู ฉวย ฉวยฉาบ ฉวะ
+ฉวัดเฉวียน ฉวาง ฉวี ฉวีวรรณ ฉศก ฉอก ฉองได ฉอด ฉอดๆ ฉอเลาะ ฉะ ฉะกะ ฉะฉาด ฉะฉาน ฉะฉี่ ฉะฉ่ำ ฉะต้า ฉะนั้น ฉะนี้ ฉะอ้อน ฉะเชิงเทรา ฉักกะ ฉัฐ ฉัด ฉัตร
+ฉัตรมงคล ฉัตรเสรี ฉัตรแก้ว ฉัททันต์ ฉัน ฉันท ฉันทลักษณ์ ฉันทะ ฉันทา ฉันทาคติ ฉันทานุมัติ ฉันท์ ฉันใด ฉับ ฉับไว ฉัยยา ฉาก ฉาง ฉาด ฉาดฉาน ฉาตกภัย ฉาทน
+ฉาน ฉาบ ฉาบฉวย ฉาป ฉาย ฉายา ฉายาลักษณ์ ฉาว ฉาวโฉ่ ฉำฉา ฉำเฉง ฉำแฉะ ฉิน ฉินท ฉินท์ ฉิบ ฉิบหาย ฉิมทายิกาวาส ฉิมพลี ฉิว ฉิ่ง ฉีก ฉีด ฉีดยา ฉี่ ฉุ ฉุก
+ฉุกคิด ฉุกเฉิน ฉุกใจ ฉุด ฉุน ฉุนเฉียว ฉุป ฉุย ฉุยฉาย ฉูด ฉูดฉาด ฉู่ ฉู่ฉี่ ฉ่อง ฉ่อย ฉ่า ฉ่าง ฉ่าฉาว ฉ่ำ ฉ้อ ฉ้อฉล ฉ้อโกง ชก ชกมวย ชกา ชคดี ชง ชงคา
+ชงฆ ชงฆ์ ชงโค ชงโลง ชฎา ชฎาพอก ชฎิล ชฏาธาร ชด ชดช้อย ชดเชย ชดใช้ ชทึง ชน ชนก ชนชั้น ชนชาติ ชนช้าง ชนนี ชนบท ชนมพรรษา ชนมายุ ชนม์ ชนวน ชนหมู่น้อย ชนะ
+ชนะสงคราม ชนัก ชนา ชนาง ชนิด ชนแดน ชบา ชบาหนู ชปโยค ชม ชมชัว ชมชาญ ชมชื่น ชมดชม้อย ชมนาด ชมพู ชมพูนท ชมพูนุท ชมพู่ ชมภูเวก ชมรม ชมัน ชมา ชมเชย ชมเปาะ
+ชมเลาะ ชมไช ชม้อย ชม้าย ชย ชยา ชร ชรทึง ชรราง ชรริน ชรออบ ชรอัด ชรอื้อ ชรอุ่ม ชรอ่ำ ชระ ชระงม ชระงำ ชระดัด ชระบอบ ชระบาบ ชระมด ชระมัว ชระลอ ชระลอง
+ชระลัด ชระลุ ชระล้ำ ชระอับ ชระอาบ ชระเอม ชระแลง ชรัด ชรัว ชรา ชราบ ชราภาพ ชรายุ ชริน ชรุก ชรูบ ชรแรง ชรแร่ง ชรโมล ชรโลง ชรไม ชล ชลจร ชลชาติ ชลธาร
+ชลธารก ชลธิศ ชลธี ชลนา ชลบุรี ชลประทาน ชลมารค ชลสถาน ชลัมพุ ชลาธาร ชลาพุช ชลามพุช ชลาลัย ชลาศัย ชลี ชลูกา ชลเนตร ชว ชวด ชวน ชวนชม ชวนหัว ชวย ชวร ชวลิต
+ชวัก ชวา ชวาล ชวาลา ชอก ชอกช้ำ ชอง ชอน ชอบ ชอบกล ชอบพอ ชอบใจ ชอป ชอปปิ้ง ชอม ชอร์ไลต์ ชอล์ก ชอื้อ ชอุ่ม ชอ่ำ ชะ ชะคราม ชะงอก ชะงัก ชะงัด ชะงาบ ชะงุ้ม
+ชะง่อน ชะง้ำ ชะฉ่า ชะชิด ชะช่อง ชะช้า ชะตา ชะต้า ชะนี ชะนุง ชะพลู ชะมด ชะมบ ชะมวง ชะมัง ชะมัด ชะรอย ชะลอ ชะลอม ชะลาน ชะลิน ชะลูด ชะล่า ชะล้าง ชะวัง
+ชะวาก ชะวากทะเล ชะวาด ชะวุ้ง ชะอม ชะอวด ชะอำ ชะอ้อน ชะเง้อ ชะเนาะ ชะเลง ชะเลย ชะเอม ชะแง้ ชะแม่ ชะแลง ชะแล็ก ชะแวง ชะโงก ชะโงกผา ชะโด ชะโอน ชัก ชักจูง
+ชักชวน ชักช้า ชักนำ ชักพระ ชักศพ ชักเงา ชักเย่อ ชักโครก ชักใย ชัค ชัง ชังคา ชังฆ ชัชวาล ชัฏ ชัด ชัดช้า ชัดเจน ชัตเตอร์ ชัน ชันกาด ชันคอ ชันชี ชันตุ
+ชันนะตุ ชันนุ ชันพอน ชันษา ชันสน ชันสูตร ชันโรง ชัปน ชัพ ชัย ชัยชนะ ชัยณรงค์ ชัยนาท ชัยบาดาล ชัยบาน ชัยพฤกษ์ ชัยภูมิ ชัยมงคล ชัยวัฒน์ ชัยวิวัฒน์
+ชัยศรี ชัยสมรภูมิ ชัลลุกะ ชัวชม ชัวร์ ชั่ง ชั่งใจ ชั่ว ชั่วคน ชั่วคราว ชั่วโมง ชั้น ชั้ว ชา ชากอส ชาคร ชาคริต ชาญ ชาญวิทย์วิทยา ชาด ชาดก ชาต ชาตรี
+ชาตรูป ชาตสระ ชาตะ ชาตา ชาติ ชาติตระการ ชาตินิยม ชาติพันธุ์ ชาติพันธุ์วรรณนา ชาติพันธุ์วิทยา ชาติรส ชาติรูป ชาติสงเคราะห์ ชาน ชานุ ชานุกะ ชานุมณฑล
+ชานุมาน ชานเมือง ชาม ชามาดร ชามาดา ชามาตุ ชาย ชายคา ชายตา ชายทะเล ชายธง ชายฝั่ง ชายหาด ชายา ชายแดน ชายไหว ชารี ชาร์จ ชาร์ท ชาร์ป ชาร์ลสตัน
+ชาร์ล็อตอามาลี ชาล ชาลา ชาลินี ชาว ชาวนอก ชาวนา ชาวน้ำ ชาววัง ชาวสวน ชาวี ชาวเล ชาวไร่ ชาห์ ชาเยศ ชำ ชำงัด ชำงาย ชำงือ ชำนน ชำนรร ชำนะ ชำนัญ ชำนัน
+ชำนาญ ชำนิ ชำมะนาด ชำมะเลียง ชำระ ชำรุด ชำร่วย ชำลา ชำเนียน ชำเนียร ชำเรา ชำเลือง ชำแรก ชำแระ ชำแหละ ชิ ชิคาโก ชิง ชิงคม ชิงชัง ชิงชัน ชิงชัย ชิงชี่
+ชิงช้า ชิงดวง ชิงพลบ ชิณณะ ชิด ชิดชน ชิดลม ชิต ชิตินทรีย์ ชิน ชินเขต ชินโต ชิป ชิพ ชิม ชิมลาง ชิมแปนซี ชิยา ชิรณ ชิระ ชิลลิ่ง ชิลี ชิวหา ชิสา ชิโกกุ
+ชิโนรส ชิ่ง ชิ่น ชิ้น ชี ชีค ชีช้ำ ชีต้น ชีท ชีปะขาว ชีป่า ชีพ ชีพจร ชีพิต ชีพิตักษัย ชีพุก ชีฟ ชีฟอง ชีมืด ชีรณ ชีระ ชีลา ชีลาว ชีล้อม ชีว ชีวงคต
+ชีวประวัติ ชีวภาพ ชีววิทยา ชีวะ ชีวัน ชีวา ชีวาตม์ ชีวาลัย ชีวิต ชีวิตักษัย ชีวิน ชีวี ชีวเคมี ชีวโลก ชีส ชีอะห์ ชีไลต์ ชี่ ชี้ ชี้ขาด ชี้ตัว ชี้นำ
+ชี้ฟ้า ชี้แจง ชี้แนะ ชืด ชื่น ชื่นชม ชื่นบาน ชื่นมื่น ชื่นฤดี ชื่นวัฒนา ชื่อ ชื้น ชื้อ ชุ ชุก ชุกชี ชุกชุม ชุณห ชุด ชุติ ชุติมา ชุน ชุบ ชุบชู ชุบตัว
+ชุบสรง ชุบอาบ ชุม ชุมชน ชุมนุม ชุมพร ชุมพล ชุมพลบุรี ชุมพวง ชุมพา ชุมรุม ชุมสาย ชุมแพ ชุมแสง ชุลมุน ชุลี ชุลีพร ชุษณ ชุ่ง ชุ่ม ชุ่มใจ ชุ่ย ชุ้ง ชู
+ชูชาติ ชูชีพ ชูท ชูรส ชูส ชูโรง ชูใจ ชู้ ชู้รัก ชู้สาว ชเนตตี ชเล ชโย ชโลง ชโลทร ชโลม ชไม ช็อก ช็อกเกอร์ ช็อกโกเลต ช็อกโกแลต ช็อค ช็อคอัป ช็อท ช็อป
+ช็อยซ์ ช็อร์ท ช่วง ช่วย ช่อ ช่อง ช่องนนทรีย์ ช่องลม ช่องเขา ช่องแคบ ช่องไฟ ช่อน ช่อฟ้า ช่อย ช่าง ช่างกลปทุมวัน ช่างฝีมือทหาร ช่างอากาศบำรุง ช่างเหล็ก
+ช่างไฟ ช่างไม้ ช่ำ ช่ำชอง ช่ำช่า ช่ำปอด ช่ำใจ ช้อง ช้อน ช้อย ช้อยชด ช้า ช้าง ช้างต้น ช้าปี่ ช้าพลู ช้ำ ช้ำชอก ช้ำใจ ซก ซงดำ ซง้า ซด ซน ซบ ซบเซา ซม
+ซมซาน ซวด ซวดทรง ซวดเซ ซวน ซวนเซ ซวย ซอ ซอก ซอกซอน ซอกซัง ซอกแซก ซอง ซองพลู ซองมือ ซองหาง ซองแมว ซอน ซอฟต์แวร์ ซอม ซอมซ่อ ซอมบา ซอมบี้ ซอย ซอยผม
+ซอยไซต์ ซอร์ส ซอร์สโค้ด ซอลต์เลกซิตี ซอส ซอสซูไรต์ ซอสเบอรี ซอแซ ซะ ซะซิบ ซะซ่อง ซะเซาะ ซัก ซักฟอก ซักรีด ซักแห้ง ซักไซ้ ซัคชัน ซัง ซังแซว ซัด ซัดทอด
+ซัดน้ำ ซัดยา ซัดเซ ซัน ซันคริสโตวัล ซันซัลวาดอร์ ซันตาคลอส ซันตามอรา ซันตาเฟ ซันติอาโก ซันนี ซันนี่ ซันมาริโน ซันมารีโน ซันฮวน ซันโตโดมิงโก ซันโฮเซ
+ซับ ซับซาบ ซับซี่ ซับเวย์ ซับใน ซัปพลิเมนท์ ซัพพลาย ซัพพอร์ต ซัพเปอร์ ซัฟฟิกซ์ ซัม ซัมมิท ซัมเมอร์ ซัมเมอร์เซต ซัลฟา ซัลเฟต ซัลเฟอร์ ซัลโว ซั้ง ซั้น
+ซั้ว ซา ซาก ซากดึกดำบรรพ์ ซากศพ ซากุระ ซาง ซาด ซาดิสม์ ซาตาน ซาติน ซาทินสปาร์ ซาน ซานตาคลอส ซานฟรานซิสโก ซานา ซานิดีน ซาบ ซาบซึ้ง ซาบซ่าน ซาฟารี ซามอส
+ซามัว ซามาร์ ซามาร์สไกต์ ซามูไร ซาราวัก ซาราเยโว ซาร์ ซาร์ด ซาร์ดิเนีย ซาร์ส ซาร์โดนิกซ์ ซาละวาตี ซาลาม ซาลาเปา ซาลินา ซาลูน ซาว ซาวด์ ซาวน้ำ ซาวน์ด
+ซาวน์ดแท็รก ซาอีร์ ซาอุดิอาระเบีย ซาอุดีอาระเบีย ซาเกรบ ซาเกร็บ ซาแมเรียม ซาโพไนต์ ซาโยนาระ ซาโว ซาไก ซาไลต์ ซิ ซิก ซิกข์วิทยาลัย ซิกซี้ ซิกน์ ซิการ์
+ซิการ์เรท ซิกแซ็ก ซิกแนล ซิงกูล่าร์ ซิงค์ ซิงเกป ซิงเกิล ซิงโคนา ซิงไคต์ ซิซิลี ซิซิเลียน ซิดนีย์ ซิติเซน ซิตี้ ซิทริน ซินนาบาร์ ซินนามิก ซินยอร์
+ซินเกียง ซินเซียร์ ซินแท็ค ซินแส ซินโนนิม ซิบ ซิบซับ ซิป ซิฟนอส ซิฟิลิส ซิมบับเว ซิมมิททรี ซิมโบล ซิมโพเซียม ซิมโฟนี ซิมโฟนี่ ซิลค์ ซิลลิมาไนต์
+ซิลวาไนต์ ซิลิกา ซิลิคอน ซิลเวอร์ ซิลไวต์ ซิว ซิวิค ซิสเตม ซิสเต็ม ซิเดอไรต์ ซิ่ง ซิ่น ซิ้งค์ ซิ้ม ซี ซีก ซีคอนสแควร์ ซีด ซีดี ซีดเซียว ซีน ซีนอน
+ซีป่าย ซีพิโอไลต์ ซีพียู ซีรอกซ์ ซีรี่ส์ ซีล ซีลีเนียม ซีอิ๊ว ซีเกมส์ ซีเคร็ท ซีเซียม ซีเนท ซีเนียร์ ซีเมนต์ ซีเมนต์ไทย ซีเรีย ซีเรียม ซีเรียส
+ซีเลคชัน ซีแลนด์ ซีโนไทม์ ซีโอไลต์ ซี่ ซี่โครง ซี้ ซี้ซอน ซี้ซั้ว ซี้บ้องเซ็ก ซึก ซึง ซึม ซึมซับ ซึมซาบ ซึมเซา ซึ่ง ซึ้ง ซื่อ ซื่อตรง ซื่อสัตย์ ซื้อ
+ซุก ซุกซน ซุกซิก ซุกซ่อน ซุง ซุน ซุนดาน้อย ซุนดาใหญ่ ซุบ ซุบซิบ ซุบซู่ ซุป ซุปเปอร์ ซุปเปอร์มาร์เก็ต ซุปเปอร์ไวเซอร์ ซุมบา ซุมบาวา ซุมแซว ซุย ซุ่ม
+ซุ่มคม ซุ่มซ่าม ซุ่มเสียง ซุ้ม ซู ซูชิ ซูซูกิ ซูด ซูดซาด ซูดาน ซูบ ซูบซีด ซูม ซูริค ซูลู ซูวา ซูเปอร์มาเก็ต ซูเอี๋ย ซูโครส ซูโม ซูโม่ ซู่ ซู่ซ่า ซู้ด
+ซ่ก ซ่น ซ่อง ซ่องสุม ซ่องโจร ซ่อน ซ่อนกลิ่น ซ่อนงำ ซ่อนหา ซ่อม ซ่อมแซม ซ่า ซ่าง ซ่าน ซ่าหริ่ม ซ่าโบะ ซ้น ซ้อ ซ้อง ซ้อน ซ้อนกล ซ้อม ซ้อส ซ้อแซ้ ซ้าย
+ซ้ำ ซ้ำซาก ซ้ำสาม ฌาน ฌาปน ฌาปนกิจ ฌาปนสถาน ญญ่าย ญวน ญัตติ ญัตติกรรม ญาณ ญาณวิทยา ญาณี ญาติ ญาติกา ญาติมิตร ญาติเภท ญาติโยม ญิบ ญี่ ญี่ปุ่น ฎีกา ฐกัด
+ฐากูร ฐาน ฐานทัพ ฐานนิยม ฐานราก ฐานะ ฐานันดร ฐานานุกรม ฐานานุรูป ฐานีย ฐานียะ ฐาปน ฐาปนา ฐายี ฐิต ฐิติ ฑังส ฑังสะ ฑาก ฑาฐิกะ ฑาฒิกะ ฑาหก ฑาหะ ณรงค์
+ณรงค์กิจ ดก ดกดื่น ดง ดงดาน ดงดิบ ดงดึก ดงมูลเหล็ก ดงวาย ดงหลวง ดนตรี ดนัย ดนุ ดนุช ดนู ดนโด่ ดม ดมดอม ดมไร ดยุ๊ค ดร ดรงค์ ดรณี ดรธาน ดรรชนี
+ดรรชนีหักเห ดรัก ดรากอน ดราฟต์ ดราไวต์ ดริ้งค์ ดรุ ดรุณ ดรุณพิทยา ดรุณศาสตร์ ดรุณา ดรุณี ดร็อป ดฤถี ดล ดลภาค ดลศิริ ดลใจ ดวง ดวงดาว ดวงตะวัน ดวงตา
+ดวงมณี ดวงสมร ดวงแข ดวงใจ ดวจ ดวด ดวล ดอก ดอกคำใต้ ดอกจอก ดอกจัน ดอกจิก ดอกดิน ดอกทอง ดอกบัว ดอกบุก ดอกฟ้า ดอกรัก ดอกหิน ดอกอาว ดอกเตอร์ ดอกเบี้ย
+ดอกไม้ ดอง ดองฉาย ดองดึง ดองยา ดอด ดอน ดอนตาล ดอนตูม ดอนพุด ดอนสัก ดอนเจดีย์ ดอนเมือง ดอม ดอมดม ดอย ดอยช์ ดอยลี่ ดอยสะเก็ด ดอยเต่า ดอลดรัมส์ ดอลลาร์
+ดอส ดะ ดะหมัง ดัก ดักคอ ดักคิวเมนท์ ดักดน ดักดาน ดักทริน ดักฟัง ดักลาส ดักษก ดักษณ ดักษณี ดักษัน ดักแด้ ดัง ดังนี้ ดังรือ ดังฤา ดังฤๅ ดัชนี ดัด
+ดัดจริต ดัดตน ดัดสันดาน ดัดแปลง ดัตช์ ดัตซ์ ดัน ดันทุรัง ดับ ดับจิต ดับชีพ ดับบลิน ดับลม ดับลิน ดับเบิล ดับเบิ้ล ดัมพ์ ดัสกร ดัสกรี ดั่ง ดั้ง ดั้งเดิม
+ดั้น ดา ดาก ดากา ดาการ์ ดาด ดาดฟ้า ดาดาษ ดาดำ ดาต้า ดาน ดานซ์เซอร์ ดาบ ดาบลาว ดาบส ดาม ดามพ ดามพ์ ดามร ดามัสกัส ดาย ดายน์ ดาร ดารก ดารณี ดารดาษ ดารา
+ดาราบถ ดาราศาสตร์ ดาร์ ดาร์ลิง ดาร์เอสซาลาม ดาล ดาลัด ดาลุ ดาลุช ดาว ดาวคะนอง ดาวดึงษาราม ดาวดึงส์ ดาวตก ดาวตลก ดาวน์ ดาวน์โหลด ดาวบส ดาวฤกษ์ ดาวหาง
+ดาวเทียม ดาวโจนส์ ดาษ ดาษดา ดาษดื่น ดาหงัน ดาหลัง ดาหา ดาฬ ดาโกตา ดาโกตาเหนือ ดาโกตาใต้ ดาโฮเม ดำ ดำกล ดำดง ดำดิน ดำนา ดำนาณ ดำนาน ดำนู ดำบล ดำปืน
+ดำพอง ดำรง ดำรงค์ ดำรงรักษ์ ดำรวจ ดำรัส ดำริ ดำรี ดำรู ดำฤษณา ดำหนัก ดำหนิ ดำหัว ดำอวด ดำเกิง ดำเนิน ดำเนินสะดวก ดำเลิง ดำแคง ดำแดง ดำแลง ดำไร ดิก
+ดิกๆ ดิง ดิจิตอล ดิจิทัล ดิฉัน ดิฐ ดิตถ์ ดิถี ดิน ดินกรด ดินขาว ดินดอน ดินดอนสามเหลี่ยม ดินดาน ดินดำ ดินนวล ดินปืน ดินสอ ดินส้ม ดินหู ดินเนอร์ ดินเบ
+ดินแดง ดิบ ดิบดี ดิพโพลม่า ดิรัจฉาน ดิลก ดิวิชั่น ดิษฐ์ ดิษเย็น ดิสก์ ดิสคอฟเวอร์ ดิสคัส ดิสค์ ดิสซ์ ดิสนีย์ ดิสเพลย์ ดิสโพรเซียม ดิเรก ดิ่ง ดิ่ว ดิ้น
+ดิ้นรน ดิ้ว ดี ดีกรี ดีงู ดีฉัน ดีซ่าน ดีด ดีดขัน ดีดวด ดีดัก ดีดีที ดีทรอยต์ ดีบัก ดีบัว ดีบุก ดีปลี ดีผา ดีฝ่อ ดีพร ดีพาร์ทเมนท์สโตร์ ดีฟอลต์
+ดีฟอลท์ ดีฟิวส์ ดีม ดีมอนสเตรท ดีมันทอยด์ ดีมานด์ ดียา ดีรักษา ดีร้าย ดีละ ดีลีท ดีวีดี ดีหมี ดีหลี ดีเกลือฝรั่ง ดีเซมเบอร์ ดีเซล ดีเทล ดีเปรสชัน
+ดีเปรสชั่น ดีเลย์ ดีเอ็นเอ ดีแตก ดีแล้ว ดีโมเครซี ดีใจ ดีไซน์ ดีไซเนอร์ ดีๆ ดี้ ดึก ดึกดำบรรพ์ ดึกดื่น ดึง ดึงดัน ดึงดูด ดึงส ดึงสะ ดึ่ง ดึ่ม ดือ ดื่น
+ดื่นดาษ ดื่ม ดื่มด่ำ ดื้อ ดื้อยา ดุ ดุก ดุกดิก ดุจ ดุจดัง ดุชชานเบ ดุด ดุดัน ดุน ดุบ ดุบๆ ดุม ดุรค ดุรงคี ดุรงค์ ดุริย ดุริยะ ดุริยางคศาสตร์
+ดุริยางคศิลป์ ดุริยางค์ ดุร้าย ดุล ดุลการค้า ดุลการชำระเงิน ดุลพินิจ ดุลภาค ดุลย ดุลยพินิจ ดุลยภาพ ดุลอำนาจ ดุษฎี ดุษฎีนิพนธ์ ดุษฎีบันฑิต ดุษณี ดุษิต
+ดุสิต ดุสิตาราม ดุเหว่า ดุ่ม ดุ่ย ดุ้ง ดุ้งดิ้ง ดุ้น ดู ดูกร ดูด ดูดดึง ดูดาย ดูดู๋ ดูถูก ดูพลิเคท ดูรา ดูรึ ดูหรู ดูเถอะ ดูเถิด ดูเบา ดูแคลน ดูแล
+ดูใจ ด็อท ด่วน ด่องๆ ด่อน ด่อม ด่า ด่าง ด่าทอ ด่าน ด่านขุนทด ด่านช้าง ด่านซ้าย ด่านสำโรง ด่าว ด่ำ ด้ง ด้น ด้วง ด้วน ด้วย ด้อง ด้อม ด้อย ด้าง ด้าน ด้าม
+ด้าย ด้าว ด้ำ ตก ตกกระ ตกขอบ ตกขาว ตกขุย ตกข้าว ตกคลัก ตกค้าง ตกงาน ตกจั่น ตกดิน ตกต่ำ ตกทอด ตกปลอก ตกปลัก ตกผลึก ตกฟาก ตกมัน ตกมูก ตกยาก ตกลง ตกลูก
+ตกว่า ตกสนับ ตกหนัก ตกหมก ตกหลุม ตกหล่น ตกอับ ตกเบิก ตกเบ็ด ตกแต่ง ตกแสก ตกใจ ตกใน ตง ตงฉิน ตงิด ตงุ่น ตจสาร ตจะ ตจะเนตร ตด ตติย ตถาคต ตน ตนัย ตนุ
+ตนเอง ตบ ตบตา ตบมือ ตบยุง ตบะ ตบเท้า ตบแต่ง ตบแผละ ตปนียะ ตม ตมูก ตยาค ตยาคี ตยุติ ตรง ตรณี ตรม ตรมตรอม ตรมวล ตรรก ตรรกวิทยา ตรรกศาสตร์ ตรรกะ ตรลบ
+ตรลอด ตรละ ตรลา ตรลาด ตรวจ ตรวจการณ์ ตรวด ตรวน ตรวย ตรอก ตรอง ตรอน ตรอม ตรอมตรม ตรอมใจ ตระ ตระกรน ตระกร้อ ตระกล ตระกวน ตระกอง ตระกัด ตระการ
+ตระการพืชผล ตระกูล ตระคัร ตระจัก ตระชัก ตระดก ตระดาษ ตระนาว ตระบก ตระบอก ตระบอง ตระบะ ตระบัด ตระบัน ตระพอง ตระพัง ตระวัน ตระสัก ตระหง่าน ตระหนก
+ตระหนัก ตระหนี่ ตระหลบ ตระอร ตระอาล ตระเบ็ง ตระเวน ตระแบก ตระแบง ตระแบน ตระแบ่ ตระโบม ตระโมจ ตระโอม ตระไน ตรัง ตรังค ตรับ ตรัย ตรัยตรึงส์ ตรัส ตรัสรู้
+ตรัสสา ตรา ตรากตรำ ตราจอง ตราชู ตราด ตราบ ตราบาป ตรายาง ตราสัง ตราสาร ตราสิน ตราแดง ตรำ ตริ ตริตรอง ตรินิแดด ตริว ตริสตานดาคุนยา ตริโกณมิติ ตริโปลี
+ตรี ตรีกาล ตรีกูฏ ตรีคูณ ตรีชาต ตรีทศ ตรีทิพ ตรีทูต ตรีบถ ตรีบูร ตรีปวาย ตรีปิฎก ตรีผลา ตรีภพ ตรีภูว ตรีมิตร ตรียมก ตรียัมปวาย ตรีศก ตรีศูล ตรีสมอ
+ตรีสาร ตรีเนตร ตรีเพชร ตรีโกณ ตรีโกณมิติ ตรีโทษ ตรีโลก ตรึก ตรึง ตรึงตรา ตรึงศ ตรุ ตรุณ ตรุย ตรุษ ตรุษจ ตรู ตรู่ ตรเลิด ตร่ำ ตฤณ ตฤณชาติ ตฤณมัย ตฤตีย
+ตฤท ตฤป ตฤษณา ตฤา ตฤๅ ตล ตลก ตลบ ตลบตะแลง ตลบนก ตลบแตลง ตลอด ตละ ตละแม่ ตลับ ตลาด ตลาดพลู ตลาดสด ตลาดหลักทรัพย์ ตลิ่ง ตลิ่งชัน ตลึง ตวง ตวัก ตวัด ตวาด
+ตอ ตอก ตอกย้ำ ตอง ตองกา ตองตอย ตองแตก ตอด ตอดต่อ ตอน ตอบ ตอบแทน ตอบโต้ ตอม ตอม่อ ตอร์ปิโด ตอเบา ตอแย ตอแหล ตะ ตะกง ตะกรน ตะกรวย ตะกรัน ตะกรับ ตะกราม
+ตะกรุด ตะกรุม ตะกร้อ ตะกร้า ตะกละ ตะกลาม ตะกล่ำ ตะกวด ตะกอ ตะกอน ตะกัง ตะกั่ว ตะกั่วทุ่ง ตะกั่วป่า ตะกั่วแดง ตะกาง ตะกาด ตะกาย ตะกาว ตะกี้ ตะกุกตะกัก
+ตะกุย ตะกู ตะกูด ตะขบ ตะขอ ตะขาบ ตะขิดตะขวง ตะครอง ตะคริว ตะครุบ ตะคร้อ ตะคร้ำ ตะคอก ตะคัน ตะคาก ตะคาง ตะคุ่ม ตะค้า ตะค้าน ตะติน ตะนอย ตะนาว ตะบม
+ตะบอง ตะบอย ตะบัน ตะบิด ตะบิ้ง ตะบึง ตะบุ้ย ตะบูน ตะปบ ตะปลิง ตะปิ้ง ตะปุ่มตะป่ำ ตะปู ตะพง ตะพด ตะพอง ตะพัก ตะพัง ตะพัด ตะพั้น ตะพาก ตะพาน ตะพานหิน
+ตะพาบ ตะพาบน้ำ ตะพาย ตะพึด ตะพึดตะพือ ตะพุ่น ตะมอย ตะม่อ ตะรัง ตะราง ตะลอง ตะลอน ตะละ ตะลาน ตะลิบ ตะลีตะลาน ตะลีตาเหลือก ตะลึง ตะลุง ตะลุม ตะลุมบอน
+ตะลุมพุก ตะลุย ตะลุ่ม ตะล่อม ตะวัน ตะวันออกกลาง ตะวันออกใกล้ ตะวันออกไกล ตะวาง ตะหงิด ตะหลิว ตะหลุก ตะหลุง ตะเกียกตะกาย ตะเกียง ตะเกียบ ตะเขิง ตะเข็บ
+ตะเข้ ตะเคียน ตะเคียว ตะเฆ่ ตะเบ็ง ตะเบ๊ะ ตะเพรา ตะเพิง ตะเพิด ตะเพิ่น ตะเพียน ตะเภา ตะเลง ตะเวน ตะแก ตะแกรง ตะแคง ตะแง้ ตะแบก ตะแบง ตะโก ตะโกก ตะโกดำ
+ตะโกน ตะโกรง ตะโกรม ตะโก้ ตะโขง ตะโบม ตะโพก ตะโพง ตะโพน ตะโหงก ตะใภ้ ตะไกร ตะไคร่ ตะไคร้ ตะไบ ตะไล ตัก ตักกะ ตักตวง ตักบาตร ตักษณ ตักษณี ตักษัย ตัง
+ตังค์ ตังฉ่าย ตังติด ตังวาย ตังสิว ตังเก ตังเม ตังโอ๋ ตัจฉก ตัจฉนี ตัณฑุล ตัณหา ตัด ตัดขาด ตัดตอน ตัดถนน ตัดทาง ตัดบท ตัดผม ตัดพ้อ ตัดรอน ตัดสิน ตัดใจ
+ตัดไพ่ ตัตว ตัถย์ ตัน ตันตระ ตันติ ตันหยง ตับ ตัว ตัวกลาง ตัวการ ตัวดี ตัวตืด ตัวนาง ตัวนำ ตัวประกอบ ตัวผู้ ตัวพระ ตัวยง ตัวยืน ตัวลีน ตัวอย่าง ตัวเลข
+ตัวเอก ตัวแทน ตัวแปร ตัวไม้ ตั่ง ตั้ง ตั้งฉ่าย ตั้งอิ้ว ตั้งแต่ ตั้งใจ ตั้วเฮีย ตั้วโผ ตั๊กแตน ตั๋ว ตา ตาก ตากตน ตากบ ตากฟ้า ตากลม ตากลับ ตากลิ้ง
+ตากล้า ตากวาง ตากสิน ตากุ้ง ตากใบ ตาขวาง ตาขอ ตาขาว ตาข่าย ตาคม ตาคลี ตาค้าง ตาง ตางัว ตาชั่ง ตาช้าง ตาด ตาตั้ง ตาตี่ ตาตุ่ม ตาถั่ว ตาทวด ตาทัพ ตาน
+ตานหก ตานี ตาน้ำ ตาบ ตาบทับ ตาบทิศ ตาบอด ตาปลา ตาปี ตาปู ตาฝั่ง ตาฝาด ตาพระยา ตาพร่า ตาพอง ตาม ตามที ตามพ ตามพะ ตามะแน ตามิน ตามใจ ตาย ตายขาน ตายขุย
+ตายซาก ตายตัว ตายฝอย ตายราบ ตายลาภ ตายห่า ตายโคม ตายโหง ตายใจ ตาราง ตาราวา ตาราไต ตาริ้ว ตาร้าย ตาร์ท ตาล ตาลปัตร ตาลม ตาลอ ตาลอย ตาลาน ตาลาย
+ตาลีตาลาน ตาลีตาเหลือก ตาลุ ตาลุก ตาลุช ตาว ตาส่อน ตาหนา ตาหนู ตาหยี ตาหวาน ตาฬ ตาอ้อย ตาฮิตี ตาเข ตาเต็ง ตาเรือ ตาเสือ ตาเหลว ตาเหลือก ตาเหล่ ตาเอก
+ตาแข็ง ตาแดง ตาโก้ง ตาโต ตาโป่ง ตาไก่ ตำ ตำตา ตำนาน ตำบล ตำรวจ ตำรวจนครบาล ตำรับ ตำรา ตำรุ ตำลึง ตำส้ม ตำหนัก ตำหนักใต้ ตำหนิ ตำหระ ตำหรับ ตำเนิน
+ตำเสา ตำแบ ตำแย ตำแยแ ตำแหน่ง ตำแหน่งที่ตั้ง ติ ติก ติกาหรัง ติกาหลัง ติง ติงส ติฉิน ติณ ติด ติดขัด ติดตลก ติดตัว ติดตา ติดตาม ติดต่อ ติดบวก ติดปาก
+ติดพัน ติดมือ ติดลบ ติดลม ติดสัด ติดใจ ติดไฟ ติดๆ ติตติก ติตติร ติตถ ติตรอง ติถี ตินอส ติปา ติปาถะ ติมอร์ ติมิ ติรัจฉาน ติรานา ติร์เรเนียน ติล ติลก
+ติลอส ติว ติวานนท์ ติวเตอร์ ติเนียน ติ่ง ติ่งหู ติ้ง ติ้ว ติ๊ก ติ๋ง ตี ตีกาก ตีกิน ตีขนาบ ตีขลุม ตีความ ตีคอ ตีคู่ ตีจาก ตีชิง ตีตรวน ตีตั๋ว ตีตื้น
+ตีต่าง ตีทอง ตีน ตีนกา ตีนคู้ ตีนจก ตีนจ้ำ ตีนนก ตีนผี ตีนแรด ตีบ ตีปีก ตีผี ตีผึ้ง ตีมอง ตีรถะ ตีระ ตีรั้ง ตีวง ตีสนิท ตีหน้า ตีห่าง ตีอวน ตีเสมอ
+ตีเส้น ตีแตะ ตีแปลง ตีแผ่ ตีโต้ ตีไก่ ตี่ ตี่ใบ้ ตี๋ ตึ ตึก ตึกระฟ้า ตึกแถว ตึกๆ ตึง ตึงตัง ตึงตัว ตึงเครียด ตึดตื๋อ ตึตัง ตึ้ก ตึ้กตั้ก ตึ้ง ตึ๊ก
+ตึ๊ดตื๋อ ตืด ตือ ตือฮวน ตื่น ตื้น ตื้อ ตื๊อ ตื๋อ ตุ ตุกติก ตุง ตุงไฮ ตุตัง ตุน ตุนาหงัน ตุบ ตุบๆ ตุปัดตุป่อง ตุมกา ตุมตัง ตุมพ ตุรกี ตุรค ตุรงค ตุลสิ
+ตุลา ตุลาการ ตุลาคม ตุหรัดตุเหร่ ตุ่น ตุ่ม ตุ่ย ตุ่ยๆ ตุ้ง ตุ้งก่า ตุ้งติ้ง ตุ้บ ตุ้บตั้บ ตุ้ม ตุ้มหู ตุ้ย ตุ้ยนุ้ย ตุ๊ ตุ๊ก ตุ๊กตา ตุ๊กตุ่น ตุ๊กตุ๋ย
+ตุ๊กแก ตุ๊ด ตุ๊ดตู่ ตุ๊ต๊ะ ตุ๊บป่อง ตุ๊ย ตุ๋น ตุ๋ม ตุ๋ยตุ่ย ตู ตูก ตูข้า ตูด ตูดงอน ตูนิส ตูนิเซีย ตูบ ตูม ตูมตาม ตูหนา ตูอาโมตู ตู่ ตู่ตัว ตู้
+ตู้จดหมาย ตโมนุท ตโมหร ตโมฬาร ต่วน ต่อ ต่อกร ต่อง ต่องแต่ง ต่อตา ต่อตาม ต่อตี ต่อม ต่อย ต่อว่า ต่อสู้ ต่อไส้ ต่าง ต่างด้าว ต่างๆ ต่าน ต่ำ ต่ำช้า ต่ำตน
+ต่ำต้อย ต่ำใจ ต้น ต้นกล ต้นคอ ต้นคิด ต้นฉบับ ต้นตอ ต้นตาล ต้นทาง ต้นทุน ต้นน้ำ ต้นบท ต้นมะขาม ต้นมือ ต้นสน ต้นหน ต้นแทน ต้นแบบ ต้นไทร ต้นไม้ ต้ม
+ต้มข่า ต้มยำ ต้มสุก ต้มส้ม ต้วม ต้วมเตี้ยม ต้อ ต้อกระจก ต้อง ต้องการ ต้องตา ต้องหา ต้องเต ต้องใจ ต้อน ต้อนรับ ต้อย ต้อยติ่ง ต้อยตีวิด ต้อลำไย
+ต้อลิ้นหมา ต้อหิน ต้อเนื้อ ต้าน ต้านทาน ต้าย ต้ำปุก ต้ำผาง ต๊กโต ต๊อก ต๊อกต๋อย ต๋ง ต๋อม ต๋อมแต๋ม ถก ถกล ถกเขมร ถงัน ถงาด ถด ถดถอย ถนน ถนอม ถนอมมิตร
+ถนัด ถนัดถนี่ ถนัดใจ ถนัน ถนำ ถนำทึก ถนิม ถบดี ถม ถมถืด ถมทอง ถมปัด ถมอ ถมึง ถมึงทึง ถมเงิน ถมเถ ถมไป ถล ถลก ถลน ถลม ถลอก ถลัน ถลา ถลาก ถลาง ถลาย ถลำ
+ถลำตัว ถลำใจ ถลีถลำ ถลึง ถลึงตา ถลุง ถลุน ถล่ม ถวัด ถวัล ถวัลย์ ถวัลย์ศักดิ์ ถวาย ถวายกร ถวิน ถวิล ถวิลหา ถอก ถอง ถอด ถอดถอน ถอดรหัส ถอดรูป ถอดสี
+ถอดไพ่ ถอน ถอนทุน ถอนพิษ ถอนยวง ถอนสมอ ถอบ ถอบแถบ ถอย ถอยฉะ ถอยฉาก ถอยถด ถอยทด ถอยทัพ ถะ ถะกัด ถะถับ ถะถั่น ถะเกิน ถะโกน ถัก ถัง ถังซำจั๋ง ถัณฑิล ถัด
+ถัทธ ถัน ถับ ถัมถ์ ถัมภ์ ถัว ถั่ง ถั่น ถั่นๆ ถั่ว ถั่วข ถั่วงอก ถั่วดำ ถั่วนา ถั่วฝักยาว ถั่วพู ถั่วเพาะ ถา ถาก ถากถาง ถาง ถาด ถาน ถาบ ถาม ถามติง ถามะ
+ถามไถ่ ถาวร ถาวรธวัช ถาวรวัตถุ ถาโถม ถิร ถิ่น ถิ่นฐาน ถีน ถีบ ถีบฉัด ถีบตัว ถีบทาง ถีบรถ ถี่ ถี่ถ้วน ถี่ยิบ ถึก ถึง ถึงกัน ถึงฆาต ถึงที่ ถึงผ้า ถึงว่า
+ถึงแก่ ถึงใจ ถือ ถือดี ถือตัว ถือบวช ถือปูน ถือผิว ถือพล ถือยศ ถือว่า ถือศีล ถือสา ถือหาง ถือใจ ถุง ถุงมือ ถุงเท้า ถุน ถุย ถุล ถู ถูก ถูกกัน ถูกขา
+ถูกคอ ถูกคู่ ถูกตา ถูกปาก ถูกใจ ถูป ถูล ถูไถ ถ่ม ถ่วง ถ่อ ถ่อง ถ่องแท้ ถ่อม ถ่อย ถ่าง ถ่างตา ถ่าน ถ่านหิน ถ่านโค้ก ถ่าย ถ่ายทอด ถ่ายยา ถ่ายเท ถ่าว
+ถ้วน ถ้วย ถ้อ ถ้อง ถ้อถอย ถ้อย ถ้อยคำ ถ้อยแถลง ถ้า ถ้าว่า ถ้ำ ถ้ำชา ถ้ำมอง ทก ทกล้า ทงัน ทชี ทฐิกะ ทด ทดถอย ทดรอง ทดลอง ทดสอบ ทดเลข ทดแทน ทธิ ทน ทนดี
+ทนตกาษ ทนต์ ทนทาน ทนาย ทนายความ ทนโท่ ทบ ทบทวน ทบวง ทม ทมิฬ ทยอย ทยา ทยาลุ ทยาลุก ทร ทรกรรม ทรง ทรงกลด ทรงตัก ทรงตัว ทรงธรรม ทรงมัน ทรงวาด
+ทรงสะอาดนิเวศน์ ทรชน ทรชาติ ทรทึง ทรธึก ทรพล ทรพิษ ทรพี ทรมาน ทรมุก ทรยศ ทรยุค ทรรทึง ทรรป ทรรปณ์ ทรรศนะ ทรรศนาการ ทรราช ทรลักษณ์ ทรวง ทรวงอก ทรวด
+ทรวดทรง ทรวาร ทรสาย ทรสุม ทรหด ทรหน ทรหวล ทรหึง ทรหู ทรอ ทรอมโบน ทรอึง ทรอุ้ม ทระนง ทระนาว ทรัพย ทรัพยากร ทรัพยากรธรณี ทรัพยากรธรรมชาติ ทรัพย์
+ทรัพย์สิน ทรัมเปต ทรัมเป็ต ทรัสต์ ทรานซิสเตอร์ ทรานสปอร์ต ทรานสฟอร์เมอร์ ทรานสเฟอร์ ทรานสเลต ทราบ ทราม ทรามชม ทรามวัย ทราย ทรายมูล ทริค ทริทร
+ทรีทเมนท์ ทรุด ทรุม ทรู่ ทรเหล ทฤฆ ทฤษฎี ทฤษฎีบท ทล ทลาย ทวง ทวงถาม ทวด ทวน ทวนทบ ทวนสบถ ทวย ทวยะ ทวยโถง ทวอย ทวัย ทวา ทวาทศ ทวาทศม ทวาทศี ทวาบร ทวาย
+ทวาร ทวารบถ ทวาเรศ ทวิ ทวิช ทวิชาติ ทวิตีย ทวิบถ ทวิบท ทวิบาท ทวิป ทวิภาค ทวิภาคี ทวิร ทวี ทวีคูณ ทวีธาภิเษก ทวีป ทวีปี ทวีมิตร ทวีสิทธิ์ ทวีเชิดชู
+ทว่า ทศ ทศชาติ ทศทิศ ทศนิยม ทศพร ทศพล ทศมาส ทศมี ทศวรรษ ทศางค์ ทสา ทหาร ทหารผ่านศึก ทหารไทย ทอ ทอก ทอง ทองกร ทองกวาว ทองขาว ทองคำ ทองคำขาว ทองชุบ
+ทองดำ ทองทศ ทองทึบ ทองนพคุณ ทองนาปรัง ทองบน ทองบรอนซ์ ทองผาภูมิ ทองพลุ ทองพิศ ทองภู ทองลิน ทองศาลางาม ทองสุทธาราม ทองหลาง ทองหล่อ ทองอุไร ทองเกษร
+ทองเค ทองเพลง ทองเสน ทองเอก ทองแดง ทองแป ทองใน ทองใบ ทอด ทอดตัว ทอดตา ทอดที่ ทอดน้ำ ทอดมัน ทอดยอด ทอดรวง ทอดสกา ทอดสมอ ทอดแห ทอน ทอนซิล ทอฟฟี่ ทอม
+ทอมซอไนต์ ทอย ทอยกอง ทอร์นาโด ทอร์เบอร์ไนต์ ทอล์ค ทอหูก ทอเรียม ทอเรียไนต์ ทอแสง ทอไรต์ ทะ ทะงัน ทะทัด ทะทา ทะทาย ทะทึก ทะท่าว ทะท้าว ทะนง ทะนงศักดิ์
+ทะนน ทะนะ ทะนาน ทะนุ ทะนุก ทะนุถนอม ทะนุบำรุง ทะบู ทะมัดทะแมง ทะมึน ทะมื่น ทะยาน ทะลวง ทะลอก ทะลัก ทะลาย ทะลิ่น ทะลึ่ง ทะลุ ทะวาย ทะเบียน ทะเยอทะยาน
+ทะเล ทะเลขาว ทะเลจีน ทะเลจีนใต้ ทะเลญี่ปุ่น ทะเลดำ ทะเลภายใน ทะเลสาบ ทะเลหลวง ทะเลอาณาเขต ทะเลาะ ทะเลเหนือ ทะเลเหลือง ทะเลแดง ทะเลใน ทะเลไหล่ทวีป
+ทะเล่อทะล่า ทะเล้น ทะเวน ทะแม่ง ทะแม่งๆ ทะแย ทัก ทักขิญ ทักขิณ ทักขิณา ทักขิณาวัฏ ทักขิโณทก ทักขิไณยบุคคล ทักข์ ทักซิโด ทักทาย ทักทิน ทักท้วง ทักษ
+ทักษะ ทักษา ทักษิณ ทักษิณา ทักษิณาวรรต ทักษิโณทก ทัคธ์ ทัง ทังวล ทังสเตน ทัช ทัณฑ ทัณฑกรรม ทัณฑฆาต ทัณฑนิคม ทัณฑวิทยา ทัณฑสถาน ทัณฑะ ทัณฑ์ ทัณฑ์บน ทัด
+ทัดทา ทัดทาน ทัดเทียม ทัต ทัน ทันกิน ทันต ทันตชะ ทันตา ทันติน ทันตแพทย์ ทันต์ ทันที ทันธ์ ทันน้ำ ทันใจ ทันใด ทับ ทับถม ทับทรวง ทับทอง ทับทาง ทับทิม
+ทับที่ ทับปุด ทับสมิงคลา ทับสะแก ทับเจริญ ทับแก้ว ทับแพ ทัป ทัปน ทัพ ทัพทัน ทัพพะ ทัพพี ทัลก์ ทัวร์ ทัวร์มาลีน ทัศ ทัศน ทัศนคติ ทัศนวิสัย ทัศนศาสตร์
+ทัศนศึกษา ทัศนะ ทัศนา ทัศนาการ ทัศนาจร ทัศนีย ทัศนียภาพ ทัศนีย์ ทัศนูปกรณ์ ทัศน์ ทัศไนย ทัฬห ทั่ง ทั่ว ทั่วไป ทั้ง ทั้งคน ทั้งที ทั้งนี้ ทั้งหมด
+ทั้งเพ ทา ทาก ทาง ทางการ ทางด่วน ทางม้าลาย ทางรถไฟเก่า ทางหลวง ทางออก ทางเท้า ทางเอก ทางโท ทางใน ทาจิกีสถาน ทาซอส ทาฐะ ทาฐิกะ ทาฒะ ทาฒิกะ ทาน ทานตะวัน
+ทานต์ ทานบดี ทานบน ทานบารมี ทานพ ทานมัย ทานศีล ทานสัมฤทธิ์พัฒนา ทานาธิบดี ทานานารีฟ ทาบ ทาบทาม ทาม ทาย ทายก ทายัช ทายา ทายาด ทายาท ทายิกา ทาร ทารก
+ทารพี ทาริกา ทารุ ทารุณ ทาร์ซาน ทาร์เกท ทาลลิน ทาว ทาวน์ ทาวเวอร์ ทาษ ทาส ทาสทาน ทาสปัญญา ทาสี ทำ ทำกรรม ทำการ ทำขวัญ ทำครัว ทำคลอด ทำความ ทำคุณ ทำงน
+ทำงาน ทำตัว ทำตา ทำท่า ทำนบ ทำนวย ทำนอง ทำนาย ทำนุ ทำนูล ทำบาป ทำบุญ ทำพิษ ทำฟัน ทำมัง ทำร้าย ทำลาย ทำลิง ทำวน ทำวัตร ทำสาว ทำหมัน ทำเจ็บ ทำเนา
+ทำเนียบ ทำเนียม ทำเล ทำเวร ทำเวลา ทำเหตุ ทำเอา ทำแท้ง ทำโทษ ทำใจ ทำให้ ทำได้ ทำไพ่ ทำไฟ ทำไม ทิคัมพร ทิฆัมพร ทิงเจอร์ ทิช ทิชชู ทิชากร ทิฏฐะ ทิฏฐิ ทิฐ
+ทิฐธรรม ทิฐิ ทิด ทิดอร์ ทิต ทิน ทินกร ทินาท ทิป ทิพ ทิพย ทิพยจักษุ ทิพยญาณ ทิพยรส ทิพยเนตร ทิพย์ ทิพวัลย์ ทิพา ทิพากร ทิพโสต ทิม ทิมดาบ ทิมทอง ทิมฟู
+ทิมแลนด์ ทิว ทิวกาล ทิวงคต ทิวทัศน์ ทิวส ทิวา ทิวากร ทิวาทิพย์ ทิศ ทิศทาง ทิศา ทิศาดร ทิศานุทิศ ทิเบต ทิ่ม ทิ่มตำ ทิ้ง ที ทีฆ ทีฆชาติ ทีฆายุ ทีท่า
+ทีนี้ ทีนเอจ ทีป ทีม ทีรฆ ทีวี ทีหลัง ทีเด็ด ทีเอนที ที่ ที่ดิน ที่ทาง ที่ทำการ ที่นอน ที่พัก ที่มา ที่รัก ที่ราบ ที่ราบสูง ที่สุด ที่แท้ ที่ไหน ทึก
+ทึกทัก ทึดทือ ทึนทึก ทึบ ทึม ทึ่ง ทึ่ม ทึ้ง ทื่อ ทุ ทุก ทุกข ทุกขนิโรธ ทุกขลาภ ทุกขสมุทัย ทุกขารมณ์ ทุกขเวทนา ทุกข์ ทุกฎ ทุกที ทุกนิบาต ทุกพาย ทุกร
+ทุกรกิริยา ทุกษดร ทุกหน ทุกัง ทุกูล ทุคตะ ทุคติ ทุงเทง ทุจริต ทุด ทุติย ทุทรรศนนิยม ทุน ทุนนอน ทุนนิมิต ทุนนิยม ทุนรอน ทุนสำรอง ทุนสำรองเงินตรา
+ทุนหมุนเวียน ทุนิยม ทุบ ทุบตี ทุบทู ทุพพล ทุพพลภาพ ทุพภิกขภัย ทุม ทุมโน ทุย ทุร ทุรกันดาร ทุรคม ทุรชน ทุรชาติ ทุรน ทุรนทุราย ทุรพล ทุรัศ ทุราคม
+ทุลักทุเล ทุวิธ ทุศีล ทุษฐ ทุส ทุสสีล ทุเรศ ทุเรียน ทุเลา ทุ่ง ทุ่งช้าง ทุ่งตะโก ทุ่งฝน ทุ่งมหาเมฆ ทุ่งยางแดง ทุ่งลานนา ทุ่งสง ทุ่งสองห้อง ทุ่งหว้า
+ทุ่งหัวช้าง ทุ่งเสรี ทุ่งเสลี่ยม ทุ่งใหญ่ ทุ่น ทุ่ม ทุ่มเท ทุ้ง ทุ้ม ทุ้ย ทู ทูกัง ทูต ทูตานุทูต ทูน ทูนหัว ทูน่า ทูบ ทูม ทูมทาม ทูร ทูล ทูลเกล้าฯ
+ทูษก ทูเลียม ทูโม่ง ทูไลต์ ทู่ ทู่ซี้ ทู้ ทเมิน ทแกล้ว ทแยง ทโมน ทไวไลท์ ท็อกซิน ท็อยเล็ท ท่ง ท่วง ท่วงทำนอง ท่วงที ท่วงท่า ท่วม ท่วมท้น ท่วย ท่อ ท่อง
+ท่องจำ ท่องสือ ท่อน ท่อม ท่อมๆ ท่า ท่าคันโท ท่าฉาง ท่าชนะ ท่าช้าง ท่าดินแดง ท่าตะโก ท่าตูม ท่าทราย ท่าทาง ท่าที ท่าน ท่านผู้หญิง ท่าน้ำ ท่าน้ำนนทบุรี
+ท่าบ่อ ท่าปลา ท่าพระ ท่ามกลาง ท่ามะกา ท่าม่วง ท่ายาง ท่าลี่ ท่าว ท่าวังผา ท่าวุ้ง ท่าศาลา ท่าสองยาง ท่าอุเทน ท่าเรือ ท่าเรือวิทยา ท่าแชะ ท่าแพ ท่าใหม่
+ท้น ท้วง ท้วน ท้วม ท้วย ท้อ ท้อง ท้องคุ้ง ท้องฟ้า ท้อถอย ท้อแท้ ท้อใจ ท้า ท้าง ท้าทาย ท้าย ท้ายทอย ท้ายฝน ท้ายวัง ท้ายเมือง ท้ายเหมือง ท้าว ธง ธงก์
+ธงฉาน ธงชัย ธงชาติ ธงชาย ธชี ธตรฐ ธน ธนธานี ธนบดี ธนบัตร ธนบุรี ธนบุรีวรเทพีพลารักษ์ ธนสมบัติ ธนสาร ธนัง ธนากร ธนาคม ธนาคาร ธนาคารโลก ธนาณัติ ธนารักษ์
+ธนิต ธนิยะ ธนิษฐา ธนุ ธนู ธนูทัย ธม ธร ธรณิน ธรณิศ ธรณี ธรณีนิคม ธรณีวิทยา ธรณีส ธรมาน ธรรม ธรรมกถา ธรรมกาย ธรรมการ ธรรมจรรยา ธรรมจักร ธรรมจารี
+ธรรมชาติ ธรรมดา ธรรมธาตุ ธรรมนูญ ธรรมบท ธรรมบาล ธรรมมงคล ธรรมมาราม ธรรมวัตร ธรรมศาสตร์ ธรรมสภา ธรรมสาโรช ธรรมะ ธรรมะธัมโม ธรรมาทิตย์ ธรรมาธรรม
+ธรรมาธิปไตย ธรรมาธิษฐาน ธรรมานุสาน ธรรมาภิมุข ธรรมาภิสมัย ธรรมายตนะ ธรรมารมณ์ ธรรมาสน์ ธรรมิก ธรรมเนียม ธรา ธราดล ธราธร ธราธาร ธราธิบดี ธราธิป ธวัช
+ธวัชบุรี ธังก ธัช ธัญ ธัญญาหาร ธัญดัจ ธัญบุรี ธัญพืช ธัญมาส ธัญเขต ธัญโกศ ธันยา ธันวา ธันวาคม ธันเดอร์ ธัมมะ ธากา ธาดา ธาตรี ธาตวากร ธาตุ ธาตุทอง
+ธาตุพนม ธานิน ธานินทร์ ธานี ธาร ธารกำนัล ธารณ ธารณะ ธารณา ธารณามัย ธารา ธารโต ธาษตรี ธาษัตรี ธำมรงค์ ธำรง ธิดา ธิติ ธิเบต ธีซิส ธีม ธีร ธีรภาพ ธีรราช
+ธุช ธุดงค ธุดงค์ ธุต ธุม ธุมชาล ธุมา ธุรกรรม ธุรการ ธุรกิจ ธุรกิจบัณฑิต ธุระ ธุรำ ธุลี ธุวดารา ธุวภาค ธุวมณฑล ธูป ธเนศ ธเนศวร ธเรศ นก นกคุ่ม นกจาก
+นกต่อ นกรู้ นกหก นกหวีด นกุล นกเขา นกเค้าแมว นกแก้วน้อย นข นขา นขเลขา นคร นครการศึกษา นครชัยศรี นครนายก นครบาล นครปฐม นครป่าหมาก นครพนม นครรัฐ
+นครรัฐวาติกัน นครราชสีมา นครวาสี นครศรีธรรมราช นครสวรรค์ นครหลวง นคราทร นครินทร์ นครเขื่อนขันธ์ นครโฮจิมินห์ นครไชยศรี นครไทย นคสินธุ์ นคินทร นคเรศ นง
+นงคราญ นงคุฐ นงนุช นงพะงา นงพาล นงพุธ นงราม นงลักษณ์ นงเยาว์ นงโพธ นท นที นทีทิพย์ นทีรัย นนตรา นนทบุรี นนทรี นนทรีวิทยา นนทลี นนทิ นนทเวช นนท์ นบ
+นบนอบ นพ นพกะ นพคุณ นพนิต นพปฎล นพพล นพพวง นพพัน นพมาศ นพรัตน์ นพรัตน์ราชธานี นพศก นพศูล นพเก้า นภ นภจร นภดล นภมณฑล นภวิถี นภศูล นภา นภากาศ นภาลัย
+นภาศัพท์ นม นมข้น นมควาย นมชะนี นมช้าง นมนาง นมนาน นมบอด นมผง นมผา นมพวง นมวัว นมสาว นมหนู นมัสการ นมาซ นมแมว นมไม้ นยนะ นยักษ์ นร นรก นรกานต์ นรการ
+นรนาถ นรนายก นรบดี นรบาล นรพยัคฆ์ นรราช นรสิงห์ นรสีห์ นรา นรากร นราทร นราธิป นราธิวาส นรินทร์ นริย นริศ นริศร นริศวร นรี นรีเวช นรีเวชวิทยา นรีแพทย์
+นรเทพ นฤคหิต นฤดม นฤตย นฤตย์ นฤนาท นฤบดี นฤบาล นฤป นฤพาน นฤมล นฤมาณ นฤมิต นฤเทพ นฤเบศ นฤโฆษ นลาฏ นลิน นลินี นว นวก นวกรรม นวกะ นวการ นวกิจ นวครหะ
+นวคุณ นวชาต นวด นวทวาร นวนิต นวนิยาย นวปฎล นวพธู นวม นวมินทราชูทิศ นวมี นวมุข นวย นวยนาด นวรัตน์ นวล นวลจันทร์ นวลทอง นวลนรดิศ นวลลออ นวลละออง นวลหง
+นววิธ นวัตกรรม นวาระ นวโกวาท นวโลหะ นหาดก นหาน นหารุ นหุต นฬการ นฬป นอ นอก นอกครู นอกคอก นอกจาก นอกชาน นอกถนน นอกรีต นอกใจ นอง นอต นอน นอนกิน นอนก้น
+นอนนก นอนวัน นอนเวร นอนโทรไนต์ นอนโรง นอนใจ นอบ นอบนบ นอบน้อม นอร์ม นอร์มอล นอร์รู นอร์วีเจียน นอร์เว นอร์เวย์ นะ นะแน่ง นะโปเลียน นัก นักกะ นักการ
+นักกีฬา นักขัต นักงาน นักตะ นักบวช นักบิน นักบุญ นักพรต นักร นักรบ นักศึกษา นักษัตร นักสนม นักสวด นักสืบ นักหนา นักเทศ นักเรียน นักเลง นักโทษ นัข นัค
+นังคัล นัจ นัฏ นัฑ นัด นัดดา นัดแนะ นัตถุ์ นัตถ์ นันท นันทนาการ นันทน์ นันทา นันทิ นับ นับถือ นัมเบอร์ นัย นัยนา นัยน์ นัยน์ตา นัยว่า นัว นัวเนีย
+นัสซอ นั่ง นั่น นั่นซี นั่นเอง นั้น นั้นแล นา นาก นากบุด นากลาง นากาสาหรี นาค นาคนิวาส นาคบาศ นาคปรก นาคปัก นาคร นาครวย นาคราช นาครุ่งโรจน์ นาคลดา
+นาคสุวรรณ นาคา นาคาว นาคี นาคเจริญ นาง นางงาม นางจุม นางชี นางดำ นางนวล นางนอง นางนูน นางน้ำชน นางพญา นางฟ้า นางรม นางรอง นางรำ นางลอย นางสาว นางหงษ์
+นางอาย นางเลิ้ง นางเอก นางแนบ นางแอ นางแอ่น นางใน นางไม้ นาจะหลวย นาซา นาซี นาฏ นาฏก นาฏกรรม นาฏย นาฏศิลป์ นาฑิกา นาด นาดำ นาดี นาดูน นาด้วง นาตูนา
+นาถ นาท นาทวี นาทอง นาที นาน นานนม นานัตว นานัปการ นานา นานาชาติ นานาพรรณ นานไฮ นาน้อย นาบ นาบอน นาปรัง นาปี นาภิ นาภี นาม นามกร นามธรรม นามน นามบัตร
+นามปากกา นามสกุล นามสงเคราะห์ นามานุกรม นามาภิไธย นามแฝง นามไธย นาย นายก นายงาน นายจ้าง นายทุน นายท่า นายธง นายิกา นายเวร นายโรง นารา นารายณ์
+นารายณ์ภัณฑ์ นารี นารีผล นาลี นาว นาวา นาวิก นาวิน นาวี นาศ นาสวน นาสา นาสิก นาหว้า นาฬิกา นาฬิเก นาฬี นาอูรู นาเชือก นาเนก นาเรศ นาเวศ นาแก นาแห้ว
+นาโน นำ นำจับ นำทาง นำพา นำร่อง นำสมัย นำสืบ นำแสดง นำไทย นิ นิกขะ นิกร นิกรอยด์ นิกาย นิการากัว นิกาเรีย นิกเกิล นิกโคไลต์ นิคม นิคมคำสร้อย
+นิคมที่ดิน นิคมน้ำอูน นิคมรถไฟ นิคมสร้างตนเอง นิครนถ์ นิคส์ นิคห นิคหะ นิคหิต นิคาหก นิง นิจ นิจจานุเคราะห์ นิจศีล นิซิรอส นิด นิด้า นิต นิตย นิตยทาน
+นิตยสาร นิตย์ นิติ นิติกร นิติกรณ์ นิติกรรม นิติการณ์ นิติธรรม นิตินัย นิติบัญญัติ นิติบุคคล นิติภาวะ นิติวิทยาศาสตร์ นิติศาสตร์ นิติเวชศาสตร์ นิทร
+นิทรรศ นิทรรศการ นิทรา นิทัศน์ นิทาฆ นิทาน นิธาน นิธิ นินจา นินทา นินนะ นินนาท นินหุต นิบาต นิปปอน นิพจน์ นิพนธ์ นิพพาน นิพัทธ นิพัทธ์วิทยา นิพิท นิภา
+นิมนต์ นิมมาน นิมมานรดี นิมิต นิมิตร นิยต นิยม นิยยาน นิยัตินิยม นิยาม นิยาย นิยุต นิรคุณ นิรชร นิรชรา นิรทุกข์ นิรนัย นิรนาม นิรภัย นิรมล นิรมาณ
+นิรมาน นิรมิต นิรันดร นิรา นิรามัย นิราศ นิราศร นิรุกติศาสตร์ นิรุตติ นิรุทก นิรุทธ์ นิรเทศ นิรโฆษ นิรโทษ นิล นิลุบล นิวกินี นิวคลิอิก นิวคาลิโดเนีย
+นิวจอร์เจีย นิวซีแลนด์ นิวตรอน นิวบริเตน นิวฟันด์แลนด์ นิวมอเนีย นิวยอร์ก นิวยอร์ค นิวรณ์ นิวัต นิวัตน์ นิวาต นิวาส นิวเคลียร์ นิวเคลียส นิวเจอร์ซี
+นิวเซาท์เวลส์ นิวเดลฮี นิวเมติค นิวเม็กซิโก นิวเวิลด์ นิวแฮมป์เชียร์ นิวแฮโนเวอร์ นิวไซบีเรียน นิวไอร์แลนด์ นิศา นิศากร นิศาคม นิศาชล นิศาทิ นิษกรม
+นิษาท นิสภ นิสัช นิสัย นิสาท นิสิต นิสีทน นิเคราะห์ นิเทศ นิเทศศาสตร์ นิเพท นิเวศ นิเวศน์ นิเวศวิทยา นิเสธ นิโกร นิโกเซีย นิโคติน นิโคบาร์ นิโครธ
+นิโครม นิโรช นิโรธ นิโลตบล นิโลบล นิโอ นิ่ง นิ่ม นิ่ว นิ้ม นิ้ว นี นีติ นีรจร นีรช นีรนาท นีออน นีอาเม นีอีฮาอู นีโอดิเนียม นีโอดิเมียม นีโอดีเมียม
+นี่ นี่นัน นี่เอง นี้ นึก นึกคิด นึกดู นึกถึง นึกออก นึง นึ่ง นุ นุง นุงถุง นุงนัง นุช นุชเนตร นุด นุต นุ่ง นุ่น นุ่ม นุ้ย นูกัวโลฟา นูน นูแอกชอต นู่น
+นู้น นเคศวร นเรศ นเรศวร นเรศูร นโคทร นโยบาย นโรดม น็อค น็อต น่วม น่อง น่า น่าชัง น่าน น่านน้ำอาณาเขต น่าย น้อง น้องๆ น้อม น้อมจิตร น้อมนำ น้อมเกล้าฯ
+น้อย น้อยนพคุณ น้อยห น้อยหน่า น้อยโหน่ง น้อยใจ น้า น้าว น้ำ น้ำกรด น้ำกาม น้ำขาว น้ำครำ น้ำคำ น้ำค้าง น้ำค้างแข็ง น้ำชน น้ำชุบ น้ำซับ น้ำซึม น้ำดิบ
+น้ำดี น้ำตก น้ำตับ น้ำตา น้ำตาย น้ำตาล น้ำทรง น้ำท่า น้ำนม น้ำนวล น้ำนอง น้ำปลา น้ำปาด น้ำป่า น้ำพอง น้ำพุ น้ำมนตร์ น้ำมนต์ น้ำมัน น้ำมือ น้ำมูก น้ำยา
+น้ำยืน น้ำรัก น้ำลง น้ำลาย น้ำวน น้ำว้า น้ำสุก น้ำส้ม น้ำหอม น้ำอบ น้ำเคย น้ำเงิน น้ำเมา น้ำแข็งแห้ง น้ำแร่ น้ำโบย น้ำโสม น้ำใจ น้ำไทย น้ำไว บก
+บกพร่อง บง บงกช บงกชกร บงการ บงก์ บงสุ บงสุ์ บด บดขยี้ บดบัง บดินทรเดชา บดินทร์ บดินทร์เดชา บดี บดีพรต บดีศร บท บทกลอน บทความ บทคัดย่อ บทจร บทนำ
+บทบงกช บทบรรณาธิการ บทบัญญัติ บทบาท บทรัช บทร้อง บทวาร บทวเรศ บทศรี บทเฉพาะกาล บทเพลง บทเรศ บน บนบาน บนม บพิตร บพิตรพิทยา บพิตรพิมุข บพิธ บมิ บร บรทาร
+บรบือ บรม บรมธาตุ บรมอัฐิ บรมัตถ์ บรรกวด บรรจง บรรจถรณ์ บรรจบ บรรจวบ บรรจุ บรรณ บรรณาการ บรรณาคม บรรณาธิการ บรรณานุกรม บรรณารักษศาสตร์ บรรณารักษ์
+บรรดา บรรดาก บรรดาศักดิ์ บรรถร บรรทม บรรทัด บรรทัดฐาน บรรทัดทอง บรรทับ บรรทาน บรรทุก บรรพ บรรพชา บรรพชิต บรรพต บรรพตพิสัย บรรพบุรุษ บรรพเภท บรรพ์
+บรรยง บรรยงก์ บรรยากาศ บรรยาย บรรลัย บรรลัยกัลป์ บรรลาย บรรลุ บรรษัท บรรสบ บรรสพ บรรสม บรรสาน บรรสาร บรรหาน บรรหาร บรรเจิด บรรเทา บรรเลง บรรโลม
+บรอคเคอลิ บรอดแบนด์ บรอนซ์ บรอนไซต์ บรัด บรัศว์ บรัสเซลส์ บรั่นดี บรา บรากรม บราง บราซิล บราซิเลีย บราลี บราวอยต์ บราวเซอร์ บริกรม บริกรรม บริกัป
+บริการ บริขา บริขาร บริคณห์ บริคณห์สนธิ บริจาค บริจารก บริจาริกา บริชน บริดจ์ บริดช์เทาน์ บริติช บริตเทิลไมกา บริบท บริบาล บริบูรณ์ บริพนธ์ บริพัตร
+บริพันธ์ บริพาร บริภัณฑ์ บริภาษ บริมาส บริยาย บริรม บริรักษ์ บริราช บริวรรต บริวาร บริวาส บริษัท บริสชน บริสุทธิ์ บริสเบน บริหาร บริหารธุรกิจ บริหาส
+บริเฉท บริเตน บริเตนใหญ่ บริเวณ บริโภค บรื๋อ บรูไซต์ บรูไน บฤงคพ บลัฟฟ์ บลูทูธ บลูเบอร์รี บล็อก บล็อค บวก บวง บวงสรวง บวช บวชชี บวน บวบ บวบขม บวม บวร
+บวรนิเวศน์ บวรมงคล บหลิ่ม บอ บอก บอกบท บอกบุญ บอกปัด บอกแขก บอกใบ้ บอกไซต์ บอง บองหลา บอด บอดสี บอดี้ บอน บอนด์ บอนน์ บอบ บอบช้ำ บอบบาง บอบแบบ บอมบ์
+บอยคอท บอยซี บอร์ด บอร์นโฮล์ม บอร์เนียว บอร์โนไนต์ บอร์ไนต์ บอล บอลติก บอลลูน บอส บอสตัน บอสเนีย บอแรกซ์ บอแร็กซ์ บะฉ่อ บะหมี่ บัก บักอาน บักโกรก
+บัคเตรี บัง บังกลาเทศ บังกะโล บังกัด บังกา บังกี บังคน บังคนหนัก บังคนเบา บังคม บังคล บังควร บังความ บังคับ บังคับการ บังคัล บังตา บังฟัน บังมืด
+บังลังก์ บังวาย บังสาด บังสุกุล บังสุกูล บังสูรย์ บังหน้า บังอร บังอวจ บังอาจ บังอิง บังอูร บังเกอร์ บังเกิด บังเงา บังเวียน บังเหิน บังเหียน บังเอิญ
+บังแทรก บังโกลน บังโคลน บังใบ บังไพร บัญจก บัญจรงค์ บัญชร บัญชา บัญชาการ บัญชี บัญญัติ บัญญัติไตรยางศ์ บัญฑิต บัญหา บัฏ บัณฑร บัณฑิต บัณฑิตย์ บัณฑุ
+บัณฑูร บัณณาส บัณรส บัณรสี บัณเฑาะก์ บัณเฑาะว์ บัด บัดกรี บัดซบ บัดดล บัดดี้ บัดนั้น บัดนี้ บัดบง บัดสี บัดเก็ต บัตชาน บัตร บัทม์ บัน บันกวด บันจวบ
+บันจอย บันดล บันดา บันดาล บันทึก บันทึง บันนังสตา บันยะบันยัง บันลือ บันเทิง บันเบา บันแถลง บันโดย บันได บัปผาสะ บัพ บัพชา บัพชิต บัพพาช บัฟเฟอร์
+บัฟเฟอร์สเตท บัมพ์ บัมเพอร์ บัล บัลกาเรีย บัลตา บัลลพ บัลลังก์ บัลลูน บัลเลท์ บัลแกเรีย บัว บัวขวัญ บัวขาบ บัวขาว บัวตูม บัวถลา บัวนาง บัวบก บัวบาท
+บัวผึ้งพัฒนา บัวผุด บัวลอย บัวโนสไอเรส บัวโรย บัวใหญ่ บัส บัสเลน บัสแตร์ บัสไทต์ บั่น บั่นทอน บั้ง บั้งไฟ บั้น บั้นท้าย บั้นปลาย บั้นเอว บั๊ก บา บาก
+บากท่า บาง บางกรวย บางกระทุ่ม บางกระสอบ บางกระเจ้า บางกอก บางกอกน้อย บางกอกใหญ่ บางกอบัว บางกะปิ บางขมิ้น บางขุนนนท์ บางขุนเทียน บางคนที บางคล้า
+บางคอแหลม บางจาก บางชัน บางซื่อ บางซ้าย บางตา บางที บางนา บางน้ำชน บางน้ำผึ้ง บางน้ำเปรี้ยว บางบัว บางบัวทอง บางบาล บางบำหรุ บางบ่อ บางปลาม้า บางปะกง
+บางปะหัน บางปะอิน บางปู บางพลัด บางพลี บางพึ่ง บางมด บางมูลนาก บางยี่ขัน บางยี่เรือ บางระกำ บางระจัน บางรัก บางละมุง บางลำภู บางวัว บางศรีเมือง
+บางสะพาน บางสะแก บางสุ บางหญ้าแพรก บางอ้อ บางอ้อศึกษา บางเขน บางเตย บางเบา บางเลน บางเสาธง บางแก้ว บางแค บางแพ บางแพรก บางโพ บางโพงพาง บางใหญ่ บางไทร
+บางไผ่ บางไส้ไก่ บาจก บาจิกา บาซาร์ บาซิลลัส บาซิลัน บาซูกา บาด บาดคอ บาดตา บาดทะยัก บาดหมาง บาดหู บาดาล บาดแผล บาดใจ บาดไหม บาต บาตร บาท บาทบ บาทบงกช
+บาทบงสุ์ บาทบริจาริกา บาทภัฏ บาทภาค บาทมูล บาทยุคล บาทรช บาทรัช บาทหลวง บาทา บาทาธึก บาทุกา บาธรรม บาน บานกบ บานชื่น บานบุรี บานพับ บานียะ บานเกล็ด
+บานเช้า บานเย็น บานแบะ บาบาร์ บาบิโลเนีย บาบี บาบูน บาป บาปกรรม บาปหนา บาปี บาพก บามาโก บาย บายพาส บายศรี บายโปรดักซ์ บารนี บารมี บารอน บารอมิเตอร์
+บาร์ บาร์คีวิไคต์ บาร์บีคิว บาร์บูดา บาร์เ บาร์เบล บาร์เบอร์ บาร์เบโดส บาร์เรน บาร์เรล บาร์เลย์ บาร์แบเรียน บาล บาลานซ์ บาลี บาศ บาศก์ บาสติล
+บาสเกตบอล บาหลี บาห์เรน บาฮามาส บาเจาะ บาแดง บาโบส บำนาญ บำบวง บำบัด บำราบ บำราศ บำราศนราดูร บำรุง บำรุงราษฎร์ บำรุงวิชา บำรุงศิลป์ บำรุงสุข
+บำรุงเมือง บำรู บำหยัด บำเทิง บำเพ็ญ บำเรอ บำเหน็จ บำเหน็จณรงค์ บำโบ บิ บิกินี บิกู บิงโก บิชอป บิซิเนส บิฐ บิณฑ บิณฑบาต บิด บิดขวา บิดพลิ้ว บิดร บิดา
+บิดเบือน บิดไส้ บิต บิตุ บิตุจฉา บิตุรงค์ บิตุล บิตุลา บิตุเรศ บิท บิน บินตัน บินยา บิล บิลลิตัน บิลิซี บิลเลียด บิวตี้ บิวเรตต์ บิศาจ บิสคิต บิสซู
+บิสมัท บิสมัทอิไนต์ บิสมาร์ก บิสเคค บิ่น บีฑา บีตา บีน บีบ บีบรัด บีเยศ บี้ บี้แบน บึก บึกบึน บึง บึงกาฬ บึงกุ่ม บึงทองหลาง บึงบาง บึงสามพัน บึ่ง บึ้ง
+บื่อ บุ บุก บุกบัน บุกบั่น บุกรุก บุกเบิก บุคคล บุคคโล บุคลากร บุคลาธิษฐาน บุคลิก บุคลิกภาพ บุคลิกลักษณะ บุง บุญ บุญชูศรี บุญช่วย บุญญานุภาพ
+บุญญาภินิหาร บุญญาภิสังขาร บุญตาค บุญตาเสนาะ บุญถนอม บุญทาย บุญธรรม บุญนาค บุญน้อม บุญพงษา บุญรอด บุญล้อม บุญศิริ บุญสม บุญส่ง บุญเขต บุณฑริก บุณมี
+บุณย์ บุตร บุตรธรรม บุตรา บุตรี บุตรีตระสุม บุถุชน บุทคล บุนนาค บุบ บุบบิบ บุปผ บุปผชาติ บุปผา บุปผาราม บุผิว บุพ บุพกรรม บุพการี บุพกิจ บุพชาติ
+บุพทักษิณ บุพนิมิต บุพบท บุพพาจารย์ บุพภาค บุพเพสันนิวาส บุพโพ บุฟเฟต์ บุฟเฟท์ บุฟเฟ่ต์ บุรณะ บุรพ บุรพทิศ บุรพบท บุรพาจารย์ บุระ บุราณ บุริมทิศ
+บุริมพรรษา บุริมสิทธิ บุรี บุรีรัมย์ บุรุนดี บุรุษ บุษกร บุษบ บุษบก บุษบง บุษบัน บุษบา บุษบามินตรา บุษป บุษย บุษยมาส บุษราคัม บุหงง บุหงัน บุหงา
+บุหงาประหงัน บุหงารำไป บุหรง บุหรี่ บุหลัน บุโรทั่ง บุ่ง บุ่มบ่าม บุ้ง บุ้ย บุ๊ค บุ๊คกิ้ง บุ๊คมาร์ก บุ๊คเซ็นเตอร์ บุ๋น บุ๋ม บูกา บูคาเรสต์ บูชนีย บูชา
+บูชายัญ บูชิต บูชิโด บูซท์ บูด บูดาเปส บูดาเปสต์ บูดู บูต บูติค บูตุง บูท บูธ บูม บูร บูรณ บูรณภาพ บูรณมี บูรณะ บูรณะศึกษา บูรณาการรวมหน่วย บูรพ บูรพา
+บูรพาจารย์ บูรไน บูเกต์ บูเช่ บูเวต์ บูแลนเจอไรต์ บู่ บู้ บู้บี้ บู๊ บู๊ต บ็อบ บ่ บ่ง บ่น บ่นถึง บ่ม บ่มผิว บ่มมัน บ่วง บ่วน บ่อ บ่อง บ่อน บ่อน้ำ
+บ่อพลอย บ่อย บ่อแร่ บ่อไร่ บ่ฮู้ บ่า บ่าง บ่านี่ บ่าย บ่าว บ้วน บ้อ บ้อง บ้องหู บ้องแบ๊ว บ้องไฟ บ้อม บ้า บ้าง บ้าจี้ บ้าน บ้านกรวด บ้านค่าย บ้านจ
+บ้านฉาง บ้านดิศพงษ์ บ้านดุง บ้านด่านลานหอย บ้านตาก บ้านตาขุน บ้านทรงไทย บ้านนา บ้านนาสาร บ้านนาเดิม บ้านบัวมล บ้านบางกะปิ บ้านบาตร บ้านบึง บ้านผื่อ
+บ้านฝาง บ้านม่วง บ้านลาด บ้านสมเด็จ บ้านสร้าง บ้านหนองระแหง บ้านหนู บ้านหมอ บ้านหมี่ บ้านหม้อ บ้านหลวง บ้านเขว้า บ้านเหลื่อม บ้านแท่น บ้านแพง บ้านแพรก
+บ้านแพ้ว บ้านแหลม บ้านโป่ง บ้านโพธิ์ บ้านโฮ่ง บ้านไผ่ บ้านไร่ บ้าบ่น บ้าบ๋า บ้าย บ้าระห่ำ บ้าหมู บ้าๆ บ๊งเบ๊ง บ๊วย บ๊อกซ์ บ๊อง บ๊ะ บ๊าย บ๋อม บ๋อย บ๋ำ
+ปก ปกกระหม่อม ปกครอง ปกคลุม ปกติ ปกปิด ปกป้อง ปกรณัม ปกรณ์ ปการ ปกิณกะ ปกเกล้า ปกเกศ ปง ปงช้าง ปฎล ปฎิฐาน ปฏัก ปฏิ ปฏิกรณ์ ปฏิกรรม ปฏิกรรมสงคราม
+ปฏิการ ปฏิกิริยา ปฏิกูล ปฏิคม ปฏิฆะ ปฏิชีวนะ ปฏิญญา ปฏิญาณ ปฏิทิน ปฏิบถ ปฏิบัติ ปฏิบัพ ปฏิปทา ปฏิปักษ์ ปฏิปัน ปฏิพัทธ์ ปฏิพากย์ ปฏิภาค ปฏิภาณ ปฏิมา
+ปฏิมากร ปฏิยุทธ์ ปฏิรพ ปฏิรูป ปฏิวัติ ปฏิวาต ปฏิวาท ปฏิวิติ ปฏิสนธิ ปฏิสวะ ปฏิสังขรณ์ ปฏิสันถาร ปฏิสันถาวร ปฏิสัมพันธ์ ปฏิหาริย์ ปฏิเวธ ปฏิเสธ ปฏิโลม
+ปฐพี ปฐพีวิทยา ปฐม ปฐมฌาน ปฐมทัศน์ ปฐมนิเทศ ปฐมพยาบาล ปฐมยาม ปฐมฤกษ์ ปฐมวัย ปฐมสมโพธิ ปฐมเทศนา ปฐมโพธิกาล ปฐวี ปณต ปณาม ปณิธาน ปณิธิ ปณีต ปด ปติ
+ปติยัต ปถพี ปถมัง ปถวี ปทานุกรม ปทีป ปทุม ปทุมทิพย์ ปทุมธานี ปทุมรัตต์ ปทุมวัน ปน ปนัดดา ปนาค ปนเป ปบ ปปัญจ ปภัสสร ปม ปมจิต ปมด้อย ปมเขื่อง ปมเด่น
+ปมเปา ปร ปรก ปรกติ ปรง ปรด ปรตยาค ปรตเยก ปรน ปรนนิบัติ ปรนัย ปรบ ปรบไก่ ปรปักษ์ ปรม ปรมัตถ์ ปรมาจารย์ ปรมาณู ปรมาภิเษก ปรมาภิไธย ปรวด ปรวนแปร ปรวาที
+ปรศุ ปรสิต ปรสิตวิทยา ปรองดอง ปรอด ปรอดๆ ปรอท ปรอย ประ ประกบ ประกฤต ประกล ประกวด ประกอบ ประกัน ประกับ ประกาย ประกายพรึก ประการ ประกาศ ประกาศนียบัตร
+ประกาศิต ประกำ ประกิด ประกิต ประคด ประคบ ประคบประหงม ประคอง ประคำ ประคุณ ประจง ประจญ ประจบ ประจวบ ประจวบคีรีขันธ์ ประจักษ์ ประจักษ์วิทยา ประจักษ์ศิลป์
+ประจัญ ประจัญบาน ประจัน ประจันตคาม ประจาก ประจาค ประจาน ประจำ ประจิม ประจุ ประจุไฟฟ้า ประจ๋อประแจ๋ ประชด ประชน ประชวม ประชวร ประชัน ประชา ประชากร
+ประชากรศาสตร์ ประชาคม ประชาชน ประชาชาติ ประชาชื่น ประชาทัณฑ์ ประชาธิปก ประชาธิปัตย์ ประชาธิปไตย ประชานฤมิตร ประชานาถ ประชาบดี ประชาบาล ประชาภิบาล
+ประชามติ ประชาระบือธรรม ประชาราษฎร์ ประชาราษฎร์อุปถัมภ์ ประชาสงเคราะห์ ประชาสรรค์ ประชาสัมพันธ์ ประชาสุข ประชาอุทิศ ประชิด ประชี ประชุม ประชุมสุดยอด
+ประณต ประณม ประณาม ประณิธาน ประณิธิ ประณีต ประณุท ประดง ประดน ประดวน ประดอน ประดอย ประดัก ประดักประเดิด ประดัง ประดับ ประดา ประดาก ประดาป ประดาษ ประดิ
+ประดิดประดอย ประดิทิน ประดิพัทธ์ ประดิษฐกรรม ประดิษฐาน ประดิษฐ์ ประดุง ประดุจ ประดู่ ประดู่ลาย ประตง ประตัก ประติ ประติมากรรม ประตู ประถม ประทม ประทยด
+ประทวน ประทวนสินค้า ประทักษ์ ประทัง ประทัด ประทับ ประทาน ประทานโทษ ประทาย ประทิน ประทิ่น ประทีป ประทุก ประทุฐ ประทุน ประทุม ประทุษ ประทุษร้าย ประท่า
+ประท้วง ประธาน ประธานาธิบดี ประนม ประนอ ประนอม ประนัง ประนาม ประนีประนอม ประนี้ ประบัด ประบาต ประปราย ประปา ประพจน์ ประพนธ์ ประพรม ประพฤติ ประพัด
+ประพัทธ์ ประพันธ์ ประพันธ์ศักดิ์ ประพาต ประพาส ประพาฬ ประพิณ ประพุทธ์ ประภพ ประภัสสร ประภา ประภากร ประภาคาร ประภาพ ประภามนตรี ประภาษ ประภาส ประมง
+ประมวญ ประมวล ประมาณ ประมาท ประมุข ประมุท ประมูล ประยงค์ ประยุกต์ ประยุทธ์ ประยุร ประยูร ประลมพ์ ประลอง ประลัย ประลาต ประลาย ประลึง ประลุ ประลุง
+ประวรรต ประวรรตน์ ประวัติ ประวัติการ ประวัติการณ์ ประวัติกาล ประวัติศาสตร์ ประวาต ประวาล ประวาส ประวิง ประวิช ประวิตร ประวิทย์ ประวีณ ประศม ประศาสน์
+ประศุ ประสก ประสงค์ ประสบ ประสบการณ์ ประสบการณ์นิยม ประสพ ประสพสุข ประสม ประสะ ประสัก ประสา ประสาท ประสาทพร ประสาทหลอน ประสาน ประสานมิตร ประสาร
+ประสิทธิผล ประสิทธิภาพ ประสิทธิ์ ประสูต ประสูติ ประหนึ่ง ประหมันอาหยี ประหม่า ประหยัด ประหลาด ประหล่ำ ประหวัด ประหวั่น ประหัด ประหัต ประหาณ ประหาร
+ประหาส ประอบ ประอร ประอึง ประอุก ประฮาม ประเคน ประเจก ประเจิด ประเจิดประเจ้อ ประเจียด ประเชิญ ประเด ประเดิม ประเดิมพร ประเดียง ประเดี๋ยว
+ประเดี๋ยวประด๋าว ประเด็น ประเทศ ประเทศกันชน ประเทศราช ประเทศไทย ประเทา ประเทียบ ประเทือง ประเปรียว ประเพณี ประเพ้อ ประเภท ประเมิน ประเวณี ประเวศ
+ประเวศน์ ประเสริฐ ประเสริฐชัย ประเสริฐอิสลาม ประเสหรันอากง ประเหล ประเหส ประแกก ประแจ ประแดง ประแดะ ประแอก ประโคน ประโคนชัน ประโคม ประโดย ประโพธ
+ประโมง ประโมทย์ ประโยค ประโยชน์ ประโลม ประไพ ปรัก ปรักปรำ ปรักมะ ปรัง ปรัชญา ปรัด ปรัตยุตบัน ปรัตยุบัน ปรัน ปรับ ปรับปรุง ปรัมปรา ปรัศนา ปรัศนี ปรัศว์
+ปรั่น ปราก ปรากฏ ปรากฏการณ์ ปรากรม ปรากฤต ปราการ ปราคภาร ปราคาร ปราง ปรางค์ ปรางค์กู่ ปราจีน ปราจีนบุรี ปราชญา ปราชญ์ ปราชัย ปราชิต ปราณ ปราณบุรี
+ปราณี ปราด ปราน ปรานี ปรานีปราศรัย ปราบ ปราบดาภิเษก ปราปต์ ปราภพ ปราม ปรามาส ปราย ปรารถ ปรารถนา ปรารภ ปรารมภ์ ปราศ ปราศจาก ปราศรัย ปราษณี ปราษาณ
+ปราสัย ปราสาท ปราโมช ปราโมทย์ ปราโมทย์วิทยา ปรำ ปริ ปริก ปริกรรม ปริกัป ปริขา ปริคณห์ ปริจาค ปริจาริกา ปริชน ปริซึม ปริญญา ปริณาม ปริณายก ปริต ปริตตะ
+ปริตร ปริตอเรีย ปริทรรศน์ ปริทัศน์ ปรินส์ออฟเวลส์ ปรินายก ปรินิพพาน ปริบ ปริปาก ปริพัตร ปริภาษ ปริภูมิ ปริมณฑล ปริมัท ปริมาณ ปริมาตร ปริย ปริยรณ
+ปริยัติ ปริยาย ปริวรรต ปริวรรตกรรม ปริวัตร ปริวาร ปริวาส ปริศนา ปริศนาอักษรไขว้ ปริษัท ปริหาน ปริหาร ปริหาส ปริเฉท ปริเทพ ปริเยศ ปริเวณ ปริโภค ปริ่ม
+ปริ้นส์ ปริ้นเตอร์ ปรีชญา ปรีชา ปรีดา ปรีดิ ปรีดิ์ ปรีดี ปรีติ ปรีย ปรียา ปรี่ ปรี๊ด ปรึก ปรึกษา ปรึง ปรือ ปรื๋อ ปรุ ปรุง ปรุโปร่ง ปรู ปรูด ปรู๊ดปร๊าด
+ปรู๊ฟ ปรู๋ ปรเมนทร์ ปรเมษฐ์ ปรเมหะ ปรโลก ปร่า ปร๋อ ปฤงคพ ปฤจฉา ปฤษฎางค์ ปฤษฏ์ ปฤษฐ ปลก ปลง ปลงตก ปลงผม ปลงศพ ปลงใจ ปลด ปลดปลง ปลดอาวุธ ปลดเปลื้อง
+ปลดแอก ปลวก ปลวกแดง ปลวังค ปลอก ปลอกคอ ปลอกหมอน ปลอด ปลอดทหาร ปลอดภัย ปลอบ ปลอบโยน ปลอม ปลอมปน ปละ ปลัก ปลัง ปลัด ปลัดขิก ปลัดเปรียง ปลัสมา ปลั่ง
+ปลั๊ก ปลั๊กอิน ปลา ปลาก ปลาจีน ปลาชา ปลาด ปลาดาว ปลาต ปลาตู้ ปลาทอง ปลาบ ปลาบปลื้ม ปลาปาก ปลาฝา ปลาม้ำ ปลาย ปลายข ปลายนา ปลายพระยา ปลายมาศ ปลาร้า
+ปลาวาฬ ปลาสนาการ ปลาสมา ปลาสเตอร์ ปลาส้ม ปลาหมึก ปลาเค้า ปลาแดก ปลาแดง ปลาแนม ปลิง ปลิด ปลิม ปลิว ปลิโพธ ปลิ่ม ปลิ้น ปลิ้นปลอก ปลิ้นปล้อน ปลี ปลีก
+ปลื้ม ปลื้มมณี ปลุก ปลุกปล้ำ ปลุกผี ปลุกใจ ปลูก ปลูกจิต ปลูกจิตร ปลูกฝี ปล่ง ปล่อง ปล่อย ปล้น ปล้อง ปล้อน ปล้ำ ปวกเปียก ปวง ปวด ปวดมวน ปวัตน ปวารณา
+ปวาล ปวาส ปวาฬ ปวิช ปวิตร ปวิธ ปวิเวก ปวีณ ปวุติ ปศุ ปศุสัตว์ ปสพ ปสันน ปสัยห ปสาท ปสาน ปสาสน์ ปสุ ปสุต ปสูติ ปหังส ปหาน ปหาร ปหาส ปอ ปอก ปอกลอก ปอง
+ปองรัก ปอด ปอดบวม ปอดลอย ปอดแปด ปอดแหก ปอน ปอนซิน ปอนด์ ปอบ ปอม ปอมเปอี ปอย ปอร์ต ปอร์ตหลุยส์ ปอร์โตแปรงซ์ ปอร์โตโนโว ปอเนาะ ปะ ปะกน ปะกบ ปะกัง
+ปะการัง ปะกำ ปะขาว ปะตาปา ปะตาระกาหรา ปะทะ ปะทิว ปะทุ ปะทุน ปะนาเระ ปะบุก ปะปน ปะปัง ปะป๋า ปะมง ปะราลี ปะรำ ปะลอม ปะลิส ปะว่า ปะหงับ ปะหนัน ปะหัง
+ปะเตะ ปะเลง ปะเหลาะ ปะเหลียน ปะแล่ม ปะโลง ปัก ปักกิ่ง ปักข ปักธงชัย ปักปัน ปักปำ ปักษ ปักษกษัย ปักษคม ปักษธร ปักษา ปักษาวสาน ปักษิน ปักษี ปักษ์
+ปักเป้า ปักใจ ปัคหะ ปัง ปังตอ ปังสุกุล ปังสุ์ ปัจจฉิม ปัจจันตคาม ปัจจันตชนบท ปัจจันตประเทศ ปัจจันต์ ปัจจัย ปัจจามิตร ปัจจุบัน ปัจจุส ปัจจุสมัย ปัจฉา
+ปัจฉิม ปัจฉิมลิขิต ปัจฉิมวาจา ปัจนึก ปัจเจก ปัจเจกบุคคล ปัชชร ปัชชุน ปัญจ ปัญจก ปัญจทรัพย์ ปัญจม ปัญจมิตร ปัญจมี ปัญจวัคคีย์ ปัญชา ปัญญา ปัญญาวุฒิกร
+ปัญญาส ปัญญาอินทรา ปัญญาอ่อน ปัญหา ปัฏ ปัฏนะ ปัฐวิกรณ์ ปัณณะ ปัณณาส ปัณรส ปัณรสม ปัณรสี ปัณหิ ปัด ปัดขา ปัดสวะ ปัดเศษ ปัดไถม ปัดๆ ปัตคาด ปัตตะ ปัตตานี
+ปัตตาเวีย ปัตติ ปัตติก ปัตถร ปัตถะ ปัตนิ ปัตมอส ปัตยัย ปัถพี ปัถวี ปัทม ปัทมะ ปัทมา ปัทม์ ปัน ปันจุเหร็จ ปันตาร์ ปันผล ปันหยี ปับ ปัปผาสะ ปัยกะ ปัยกา
+ปัยยิกา ปัว ปัศจิม ปัศตัน ปัศตู ปัสสาวะ ปัสสาสะ ปั่น ปั่นไฟ ปั่ว ปั้น ปั้นจั่น ปั้นยศ ปั้นลม ปั้นเหน่ง ปั้นแม้น ปั๊บ ปั๊ม ปั๋ง ปา ปาก ปากกบ ปากกา
+ปากขม ปากขอ ปากคม ปากคลองสาน ปากคอก ปากคัน ปากคำ ปากคีบ ปากจอบ ปากจัด ปากชม ปากช่อง ปากท่อ ปากนก ปากน้ำ ปากน้ำวิทยาคม ปากบอน ปากบ่อ ปากปลา ปากพนัง
+ปากพลี ปากพะยูน ปากมาก ปากราก ปากวะ ปากัน ปากีสถาน ปากเกร็ด ปากเบา ปากแตร ปากแบะ ปากใต้ ปากไก่ ปากไม้ ปาง ปาจนะ ปาจิตตีย์ ปาจีน ปาฏลิ ปาฏิบท
+ปาฏิหาริย์ ปาฐ ปาฐก ปาฐกถา ปาณ ปาณก ปาณกชาติ ปาณนาศ ปาณภูต ปาณสาร ปาณะ ปาณา ปาณาติบาต ปาณิ ปาณิดล ปาณี ปาด ปาดหาว ปาติโมกข์ ปาตี ปาท ปาทป ปาทังกา
+ปาทาน ปาทุกา ปาท่องโก๋ ปาน ปานจิตต์อุทิศ ปานดง ปานทิพย์ ปานนี้ ปานะ ปานามา ปานามาซิตี ปานิเยน ปานีย ปาป ปาปมุต ปาปอหยีสังฆาตา ปาปัว ปาปิรุส ปาปีติ
+ปาพจน์ ปาม ปาย ปายาส ปาร ปารคู ปารมี ปารษมี ปารอส ปารากวัย ปาราชิก ปารามาริโบ ปาริฉัตร ปาริชาต ปาริชาติ ปารีส ปารเมศ ปาร์ค ปาร์ตี้ ปาร์รี ปาร์เกต์ ปาล
+ปาลาวัน ปาลิไลยก์ ปาลี ปาล์ม ปาว ปาวก ปาวจนะ ปาวาร ปาวๆ ปาษาณ ปาส ปาสาณ ปาหนัน ปาหี่ ปาหุณ ปาเก้ ปาเต๊ะ ปาเลสไตน์ ปาเสลไตน์ ปาโมกข์ ปาไน ปำ ปิกนิก
+ปิกมี่ ปิกอัพ ปิคนิค ปิคอัพ ปิงคล ปิงปอง ปิฎก ปิฏก ปิฏฐะ ปิฐิ ปิณฑะ ปิด ปิดฉาก ปิดตาย ปิดบัง ปิดปาก ปิดเบา ปิตตะ ปิตา ปิตามหัยกา ปิติ ปิตุ ปิตุฆาต
+ปิตุจฉา ปิตุภูมิ ปิตุล ปิตุลา ปินาสะ ปิปผลี ปิย ปิยมิตร ปิยะ ปิยังคุ ปิลันธน์ ปิศาจ ปิสัง ปิหก ปิหกะ ปิแอร์ ปิโตรเคมี ปิโตรเลียม ปิโยรส ปิไส ปิ่น
+ปิ่นตอ ปิ่นประภาคม ปิ่นโต ปิ่ม ปิ้ง ปิ้ม ปิ๋ว ปี ปีก ปีกกา ปีกนก ปีกลาย ปีกหัก ปีกไม้ ปีงบประมาณ ปีฐะ ปีติ ปีน ปีนัง ปีบ ปีปฏิทิน ปีมะโว้ ปีลกะ ปีศาจ
+ปีฬ ปีฬก ปีฬกะ ปีฬกา ปีแสง ปี่ ปี่ไฉน ปี้ ปี๊ด ปี๊บ ปี๋ ปึก ปึง ปึงปัง ปึ่ง ปึ่งชา ปึ้ด ปึ๋ง ปืดปึง ปืน ปืนยา ปือ ปื้น ปื้อ ปื๋อ ปุ ปุก ปุกปุย ปุคละ
+ปุงคพ ปุจฉา ปุชฉา ปุฏ ปุณฑริก ปุด ปุตตะ ปุถุชน ปุนนาค ปุนภพ ปุบ ปุบปับ ปุปผะ ปุปะ ปุพพะ ปุม ปุย ปุร ปุรณะ ปุรพ ปุราณ ปุราณะ ปุลู ปุฬวะ ปุแหละ ปุโรหิต
+ปุ่ม ปุ้งกี๋ ปุ้ม ปุ้ย ปุ๊ ปุ๊บ ปุ๋ม ปุ๋ย ปู ปูขน ปูจ๋า ปูชกะ ปูชนีย ปูชนียบุคคล ปูชนียวัตถุ ปูชา ปูชิต ปูด ปูดาว ปูติ ปูน ปูนซีเมนต์ ปูนปลาสเตอร์
+ปูนา ปูนเปียก ปูม ปูม้า ปูระ ปูลาย ปูลู ปูลูกองดอร์ ปูวา ปูเล ปู่ ปู่ครู ปู่ทวด ปู่ทองใบ ปู่ย่า ปู่เจ้าสมิงพราย ปู้ยี่ปู้ยำ ปู้ยี้ปู้ยำ ปเวณี ปเวส
+ปโกฏิ ปโย ปโยธร ปโยธรา ปโยราศ ป็อป ป็อปคอร์น ป่ง ป่น ป่นปี้ ป่วง ป่วน ป่วนปั่น ป่วย ป่อง ป่า ป่าง ป่าช้า ป่าซาง ป่าดง ป่าดิบ ป่าติ้ว ป่าน ป่านคม
+ป่าป่ง ป่าย ป่าว ป่าสูง ป่าเกด ป่าแดง ป่าแดด ป่าแพะ ป่าโมก ป่าใส ป้วน ป้วนเปี้ยน ป้อ ป้อง ป้องกัน ป้อน ป้อม ป้อมปราบ ป้อมปราบศัตรูพ่าย ป้อย ป้อยอ
+ป้อแป้ ป้า ป้าง ป้าน ป้านบ ป้านย ป้านล ป้านลม ป้าบ ป้าย ป้ายสี ป้ำ ป๊อก ป๊อกกี้ ป๊อปปี้ ป๊ะป๋า ป๊าบ ป๊าว ป๋อ ป๋อม ป๋า ผก ผกผงก ผกผัน ผกผิน ผกา ผกาย
+ผการาย ผง ผงก ผงขาว ผงคลี ผงชูรส ผงฟู ผงอบ ผงะ ผงาด ผง่าน ผจง ผจญ ผจัญ ผจาน ผชุม ผณิน ผณินทร ผณิศวร ผด ผดุง ผดุงครรภ์ ผทม ผนวก ผนวช ผนัง ผนิด ผนึก ผม
+ผมซิงเกิล ผมทัด ผมนาง ผมบ๊อบ ผมปีก ผมม้า ผมเป๋ ผมโป่ง ผมไฟ ผยอง ผรณ ผรสุ ผริต ผรุพก ผรุส ผรุสวาท ผล ผลก ผลคุน ผลคุนี ผลง ผลผลิต ผลพลอยได้ ผลพัฒนา
+ผลลัพธ์ ผลอ ผละ ผลัก ผลักไส ผลัด ผลับ ผลัวะ ผลา ผลาญ ผลานิสงส์ ผลาผล ผลาหาร ผลิ ผลิก ผลิต ผลิตกรรม ผลิตผล ผลิตภัณฑ์ ผลิน ผลี ผลีผลาม ผลึก ผลึ่ง ผลือ
+ผลุ ผลุง ผลุด ผลุน ผลุบ ผลุย ผลู ผลูบด ผลูแบก ผล็อง ผล็อย ผวน ผวนผัน ผวย ผวา ผวากอด ผสม ผสมผเส ผสมสุขราษฎร ผสมเทียม ผสมโรง ผสาน ผสาย ผสาร ผอก ผอง ผอด
+ผอบ ผอม ผอมโซ ผอวด ผอูน ผะ ผะดา ผะสา ผะออบ ผะแคง ผัก ผักขวง ผักชี ผักสาบ ผักโฉม ผักไก ผักไผ่ ผักไหม ผักไห่ ผัคคุณ ผัง ผังเมือง ผัด ผัดผัน ผัดผ่อน ผัน
+ผันผวน ผันผาด ผันผาย ผันวิชาญ ผันแปร ผับ ผัว ผัวะ ผัสส ผา ผาก ผาง ผาณิต ผาด ผาดผัง ผาดำ ผาดโผน ผาติ ผาม ผาย ผายปอด ผายผัง ผายผัน ผายลม ผาล ผาลคุน ผาลา
+ผาสุก ผาสุข ผาหอม ผำ ผิ ผิง ผิด ผิดก ผิดตา ผิดท่า ผิดนัก ผิดนัด ผิดน้ำ ผิดผี ผิดหู ผิดแผก ผิดใจ ผิต ผิน ผิว ผิวน้ำ ผิวบาง ผิวปาก ผิวหนัง ผิว่า ผี
+ผีดิบ ผีต ผีบุญ ผีฟ้า ผีหลอก ผีอำ ผีเสื้อ ผี้ว์ ผึง ผึ่ง ผึ่งผาย ผึ้ง ผืน ผื่น ผุ ผุด ผุดผาด ผุดผาย ผุดผ่อง ผุยผง ผูก ผูกขาด ผูกดวง ผูกดอก ผูกพัน
+ผูกมัด ผูกหู ผู้ ผู้คน ผู้ชาย ผู้ญาณ ผู้ดี ผู้ทรง ผู้นำ ผู้รับ ผู้ร้าย ผู้ใหญ่ ผู้ไทย ผเดิน ผ็อย ผ่อง ผ่องพรรณ ผ่องพลอย ผ่องแผ้ว ผ่องใส ผ่อน ผ่อย ผ่า
+ผ่าตัด ผ่าน ผ่าย ผ่ายผอม ผ่าว ผ่าเผย ผ่าแปด ผ้อวโสภา ผ้า ผ้าดำ ผ้าดิบ ผ้าตา ผ้าถุง ผ้าปูที่นอน ผ้าป่า ผ้าผวย ผ้าย ผ้ายาง ผ้าลาย ผ้าห่ม ผ้าอาบ ผ้าฮาด
+ผ้าเช็ดตัว ผ้าเช็ดหน้า ผ้าเทศ ผ้าแดง ผ้าแถบ ผ้าแฝง ผ้าใบ ผ้ำๆ ฝน ฝนซู่ ฝนทอง ฝนทองนิเวศน์ ฝนเทียม ฝรั่ง ฝรั่งเศส ฝรั่น ฝอย ฝอยทอง ฝัก ฝักบัว ฝักยาว
+ฝักแค ฝักใฝ่ ฝัง ฝังรอย ฝังรูป ฝังหัว ฝังใจ ฝัด ฝัน ฝั่ง ฝั่งฝา ฝั่งใต้ ฝา ฝาก ฝากกอง ฝากกาย ฝากตัว ฝากผี ฝากฝัง ฝากสู่ ฝากไข้ ฝาง ฝาชี ฝาด ฝาน ฝาย
+ฝาละมี ฝาแฝด ฝาไหล ฝิ่น ฝี ฝีก ฝีกาฬ ฝีจักร ฝีดาษ ฝีดิบ ฝีปาก ฝีพาย ฝีมือ ฝีหมอบ ฝีเท้า ฝีเย็บ ฝี่ ฝึก ฝึกงาน ฝึกฝน ฝึกสอน ฝึกหัด ฝืด ฝืน ฝุ่น ฝูง
+ฝูงบิน ฝ่อ ฝ่า ฝ่าฝืน ฝ่าฟัน ฝ่ามือ ฝ่าย ฝ่ายใน ฝ่าเท้า ฝ้า ฝ้าย ฝ้ายคำ ฝ้ายผี พก พกจร พกนุ่น พกพ่าย พกลม พกหิน พกา พกุระ พกุล พง พงพวย พงพี พงศ พงศกร
+พงศธร พงศา พงศาวดาร พงศ์ พงษ์สวัสดิ์ พงษ์สังข์ พงษ์เขต พงษ์เพชรดำเนิน พงษ์เพชรนิเวศน์ พงษ์เวช พงษ์เวชอนุสรณ์ พงไพร พจน พจนา พจนานุกรม พจนารถ พจนีย์
+พจน์ พจมาน พจี พชระ พญา พญาณ พญานาค พญายา พญาลอ พญาโศก พญาไท พญาไทย พญาไฟ พญาไม้ พณิช พณิชยการ พณิชย์ พด พดกริช พดด้วง พธู พน พนจร พนจรก พนชีวี พนธารา
+พนม พนมทวน พนมศก พนมศพ พนมสารคาม พนมเปญ พนมไทร พนวาสี พนสณฑ์ พนอง พนอม พนัก พนักงาน พนัง พนัน พนันดร พนัส พนัสดม พนัสนิคม พนา พนาด พนาดร พนาดอน พนาธวา
+พนานดร พนาย พนาราม พนาลัย พนาลี พนาวา พนาวาส พนาศรม พนาเวศ พนิดา พนิต พนียก พนโคจร พบ พบปะ พบพระ พบพาน พบู พบเห็น พม่า พยช พยชน์ พยนต์ พยศ พยัก
+พยักพเยิด พยัคฆ พยัคฆภูมิพิสัย พยัคฆา พยัคฆิน พยัคฆินทร์ พยัคฆี พยัคฆ์ พยัชน์ พยัญชนะ พยัต พยับ พยับฝน พยากรณ์ พยาฆร์ พยางค์ พยาธิ พยาน พยาบาท พยาบาล
+พยาม พยายาม พยาล พยุ พยุง พยุห พยุหบาตร พยุหยาตรา พยุหร พยุหะ พยุหะคีรี พยุหเสนา พยุหแสนยากร พยุหโยธา พยู่ห์ พร พรก พรต พรพัฒนา พรพิพัฒน์ พรม พรมคด
+พรมแดน พรรค พรรคการเมือง พรรค์ พรรณ พรรณนา พรรณา พรรณานิคม พรรณี พรรดึก พรรลาย พรรษ พรรษา พรรเหา พรวด พรวดพราด พรวน พรสวรรค์ พรหม พรหมคีรี พรหมจรรย์
+พรหมจักร พรหมจาริณี พรหมจารี พรหมบถ พรหมบท พรหมบุรี พรหมพิราม พรหมศร พรหมา พรอก พรอด พระ พระกร พระกลด พระกัจฉะ พระกำโบล พระครู พระคุณ พระจอมเกล้า
+พระจันทร์ พระฉาย พระชงฆ์ พระชนมพรรษา พระชนม์ พระชานุ พระฑาฐะ พระฑาฒะ พระทอง พระทัย พระที่นั่ง พระนคร พระนครศรีอยุธยา พระนครเหนือ พระนม พระนอม พระนาง
+พระนาด พระนาม พระนาย พระนาสิก พระบฏ พระบท พระบรม พระบาท พระประแดง พระปั้นเหน่ง พระปิ่น พระปีลกะ พระพร พระพาหา พระพาหุ พระพิพิธ พระพิโรธ พระพุทธ
+พระพุทธบาท พระพุทธเจ้า พระภูมิ พระมงกุฎเกล้า พระมารดา พระมุฐิ พระยา พระยาทำ พระยาสุเรนทร์ พระยืน พระรอง พระราชดำเนิน พระราชทาน พระราชวัง
+พระราชวิริยาภรณ์ พระราม พระรูป พระร่วง พระร่วงประสิทธิ์ พระลบ พระลือ พระล่วม พระสุเมรุ พระหนุ พระหฤทัย พระหัตถ์ พระหา พระหาม พระหิด พระองค์ พระอังคาร
+พระอัฐิ พระอาทิตย์ พระอินทร์ พระอูรุ พระเจ้า พระเจ้าตากสิน พระเจ้าอยู่หัว พระเชตุพน พระเนตร พระเพลา พระเมโท พระเวท พระเอก พระแท่น พระแผง พระแม่มารี
+พระแม่สงเคราะห์ พระแวว พระแสง พระโขนง พระโสต พระโอษฐ์ พรักพร้อม พรังก์ พรัด พรับ พรั่ง พรั่น พราก พราง พราด พราน พรานกระต่าย พรานนก พราย พราว พราหมณ์
+พราหมี พรำ พริก พรินเตอร์ พริบ พริบิลอฟ พริ้ง พริ้ม พริ้ว พรีฟิกซ์ พรีห์ไนต์ พรีเซ็นเตอร์ พรีเซ้นท์ พรีเพด พรีเมียม พรีเมียร์ พรีแพร พรีโหลด พรึง พรึน
+พรึบ พรืด พรุ พรุก พรุน พรุ่ง พรู พรูด พรูสไทต์ พรเจริญ พร็อบเบล็ม พร็อมมิส พร่อง พร่อมพร้อ พร่อย พร่า พร่าง พร่ำ พร่ำเพรื่อ พร่ำเพ้อ พร้อง พร้อม
+พร้อมพรรณ พร้อมพรัก พร้อมมิตร พร้อมใจ พร้อย พร้า พร้าว พร้ำ พฤกษ พฤกษชาติ พฤกษทล พฤกษราช พฤกษศาสตร์ พฤกษา พฤกษเทวดา พฤกษ์ พฤฒ พฤฒา พฤฒาจารย์ พฤฒิ พฤต
+พฤติ พฤติกรรม พฤติการณ์ พฤตินัย พฤทธิ์ พฤทธ์ พฤนต์ พฤนท์ พฤภูษณ พฤศจิก พฤศจิกายน พฤษภ พฤษภา พฤษภาคม พฤหัส พฤหัสบดี พล พลกาย พลการ พลความ พลบ พลบค่ำ
+พลพรรค พลร่ม พลว พลวก พลวง พลวัต พลวัตร พลวัติ พลศาสตร์ พลศึกษา พลอ พลอง พลอด พลอน พลอมแพลม พลอย พละ พละพลา พลัง พลังงาน พลังงานจลน์ พลังจิต พลัด
+พลัดพราก พลัน พลับ พลับพลา พลับพลาไชย พลับพลึง พลัส พลั่ก พลั่ง พลั่ว พลั้ง พลากร พลาง พลาซ่า พลาญ พลาด พลาธิการ พลานามัย พลานึก พลาม พลาย พลายวู้ด
+พลาสติก พลาสมา พลาหก พลำ พลำภัง พลิ พลิก พลิกศพ พลิพัท พลิ้ว พลี พลีท พลีมุข พลีส พลีโอนาสต์ พลุ พลุก พลุกพล่าน พลุ่ก พลุ่ง พลุ่ย พลุ้น พลุ้ย พลู
+พลูคาว พลูต้น พลูแก พลูโต พลูโทเนียม พลเทพ พลเมือง พลเรือน พลโลก พล่อย พล่า พล่าน พล่าม พล้อ พล้อต พล้ำ พวก พวง พวงทอง พวงหยก พวงหรีด พวงแสด พวน พวย
+พวยน้ำ พสก พสุ พสุธา พสุมดี พหล พหลฯ พหลโยธิน พหุ พหุคูณ พหุภาคี พหุล พหู พหูพจน์ พหูสูต พอ พอก พอกพูน พอกัน พอการ พอควร พอคเกตบุ๊ค พอคเกตมันนี พอง
+พอดี พอดู พอตัว พอที พอที่ พอน พอฟัด พอยท์ พอร์ต พอร์ตเล็ต พอร์ตแลนไดต์ พอร์ทัล พอแรง พอแล้ว พอโลเนียม พอใจ พอใช้ พอได้ พะ พะงา พะงาบ พะจง พะนอ พะพาน
+พะพิง พะยอม พะยูง พะยูน พะรุงพะรัง พะวง พะวักพะวน พะวา พะว้าพะวัง พะอง พะอืดพะอม พะเนิน พะเนียง พะเนียด พะเน้าพะนอ พะเพิง พะเยา พะเยิบ พะเยิบพะยาบ
+พะเลย พะแนง พะโต๊ะ พะโล้ พะไล พัก พักตร พักตรา พักตร์ พักตา พักพิง พักร พักแพว พัง พังกะ พังกา พังคา พังงา พังผืด พังพวย พังพอน พังพาน พังพาบ พังเพย
+พังโคน พัช พัชนี พัชร พัชรา พัญจก พัญจน์ พัฒกี พัฒน พัฒนบริหารศาสตร์ พัฒนะ พัฒนา พัฒนากร พัฒนาการ พัฒนาที่ดิน พัฒนานิคม พัฒนาวิถี พัฒนเวช พัฒนเวศม์
+พัฒน์ พัด พัดชัก พัดชา พัดยศ พัดลม พัดแพว พัดโบก พัต พัตร พัทธ พัทธยา พัทธสีมา พัทยา พัทร พัทลุง พัน พันงู พันจำ พันจ่า พันซาด พันตัน พันตา พันตู
+พันทาง พันธ พันธกรณี พันธทิพย์ พันธน พันธนาการ พันธนาคาร พันธนำ พันธบัตร พันธมิตร พันธะ พันธุ พันธุกรรม พันธุ์ พันธ์ พันธ์ทิพย์ พันปี พันพัว พันลอก
+พันลาย พันลำ พันลึก พันลือ พันเอกหาญ พันแสง พันไฉน พับ พับฐาน พับผ่า พับผ้า พับลิก พับลิช พับลิเชอร์ พัพพี พัฟ พัลลภ พัลวัน พัลโมนารี พัว พัวพัน พัวะ
+พัศดี พัสดุ พัสดุภัณฑ์ พัสดุไปรษณีย์ พัสตร์ พัสถาน พัสวี พัสเดา พั้นช์ พา พาก พากย์ พากเพียร พาง พาชี พาซื่อ พาณ พาณวาร พาณิช พาณิชยการ พาณิชย์ พาณินี
+พาณี พาด พาดพิง พาดไฉน พาต พาต้า พาท พาทย์ พาธ พาธา พาน พานทอง พานร พานอรามา พานิชกุล พานิชอนันต์ พานเรศ พาพย์ พาม พาย พายม้า พายัพ พายุ พายแอปเปิล
+พารณ พารา พารากราฟ พาราฟิน พารามิเตอร์ พาราเซตามอล พาราเมาท์ พาราโกไนต์ พาราโบลา พาราไดซ์ พาราไดส์ พาราไทออน พาร์ พาร์ตเนอร์ พาร์ทไทม์ พาร์เซก พาล
+พาลี พาลุก พาวิเลียน พาส พาสนา พาสน์ พาสุกรี พาสเซนเจอร์ พาสเวิร์ด พาสไทม์ พาห พาหนะ พาหะ พาหา พาหุ พาหุรัด พาฬ พาฬมฤค พาฬหะ พาเนล พาเรด พาเรียเม้นท์
+พาเหรด พาเหียร พาโล พาไล พำ พำนัก พำพวก พำพึม พำลา พิกล พิกสิต พิกัด พิกัติ พิกัน พิการ พิกุล พิกเฉย พิกเซล พิกเมนท์ พิคเชอร์ พิคโคโล พิฆน์ พิฆาต
+พิฆเนศ พิง พิงค์ พิจย พิจล พิจัย พิจาร พิจารณา พิจารณ์ พิจิก พิจิต พิจิตร พิจิโอไนต์ พิชญ์ พิชย พิชัย พิชัยญาติ พิชาน พิชิต พิซซ่า พิณ พิดทูล
+พิดมอนไทต์ พิดรก พิดาน พิตช์เบลนด์ พิตร พิถย พิถี พิถีพิถัน พิทย พิทยา พิทยาคม พิทยาคาร พิทยาลัย พิทย์ พิทักษ์ พิทักษ์ธรรม พิทักษ์ปิ่นสุข พิทูร พิธาน
+พิธี พิธีกร พิธีกรรม พิธีการ พิธีธรรม พิธีรีตอง พิธีสาร พิธุ พิธุร พินทุ พินพง พินอบพิเทา พินัย พินัยกรรม พินาศ พินิจ พินิต พินิศ พิบัติ พิบาก พิบุล
+พิบูล พิบูลมังสาหาร พิบูลย์ พิบูลย์สงคราม พิปริต พิปลาส พิปัสสนา พิปูน พิพรรธ พิพักพิพ่วน พิพัฒ พิพัฒนากร พิพัฒน์ พิพากษา พิพากษ์ พิพาท พิพิธ
+พิพิธภัณฑสถาน พิพิธภัณฑ์ พิภพ พิภัช พิภาค พิมพา พิมพ์ พิมพ์เขียว พิมล พิมาน พิมาย พิมุข พิมเสน พิร พิรอด พิรากล พิราบ พิราม พิราลัย พิริย พิริยะ
+พิรี้พิไร พิรุณ พิรุธ พิร์โรไทต์ พิลาป พิลาลส พิลาส พิลึก พิลึกกึกกือ พิลึกพิลั่น พิศ พิศวง พิศวาส พิศาล พิศาลสงคราม พิศุทธิ์ พิศุทธ์ พิษ พิษฐาน
+พิษณุโลก พิษสง พิสดาร พิสมร พิสมัย พิสัง พิสัช พิสัย พิสิฐ พิสิษฐ์บรรณกร พิสุทธิ์ พิสูจน์ พิหค พิหาร พิฬาร พิเคราะห์ พิเชฐ พิเทศ พิเนต พิเภก พิเรนทร์
+พิเราะ พิเศษ พิโคไทต์ พิโดร พิโมกข์ พิโยกพิเกน พิโยค พิโรธ พิโลน พิโลล พิไร พิไล พี พีช พีชคณิต พีซ พีซี พีร พีระมิด พีรามิด พีลิแกน พีเจียน พีเพิล
+พีเรียด พี่ พี้ พี้โพ้ พึง พึงตา พึงใจ พึม พึมพำ พึ่ง พึ่งบุญ พึ่งพา พึ่บ พืช พืชคาม พืชชั้นต่ำ พืชชั้นสูง พืชพันธุ์ พืด พื้น พื้นดี พื้นที่ พื้นเพ
+พื้นๆ พุ พุก พุกาม พุง พุงจง พุงดอ พุงปลา พุงพวง พุงแก พุงโร พุซซี่ พุฒ พุฒิ พุฒิโพธิ์ พุด พุดจีบ พุดดิ้ง พุดตาน พุทธ พุทธกาล พุทธคุณ พุทธจักร พุทธชาด
+พุทธปฏิมา พุทธมามกะ พุทธรักษา พุทธศักราช พุทธศาสนิกชน พุทธสถาน พุทธสมัย พุทธะ พุทธาวาส พุทธิ พุทธเจดีย์ พุทธโอสถ พุทรา พุทโธ่ พุทไธสง พุธ พุนพิน พุพอง
+พุมเรียง พุ่ง พุ่งหลาว พุ่ม พุ่มดอกไม้ พุ่มพวง พุ่มอุไร พุ่มโพธิ์ พุ้ย พู พูกาม พูด พูดจา พูน พูนทรัพย์สิน พูนสุข พูพอน พูล พูลิทเซอร์ พู่ พู่กัน
+พู่ระหง พู้น พเนก พเนจร พเยีย พ่น พ่วง พ่วงทรัพย์ พ่วงพี พ่อ พ่อขุน พ่อคุณ พ่อค้า พ่อตา พ่ะ พ่าง พ่าน พ่าย พ่าห์ พ้น พ้อ พ้อง พ้องพาน พ้อม ฟก ฟกช้ำ
+ฟรอซ ฟรอสท์ ฟรักโทส ฟริเซียน ฟรี ฟรีบาร์ ฟรีส ฟรีออน ฟรีเกต ฟรีเทาน์ ฟรุ้ต ฟร้อนท์ ฟลอปปีดิสก์ ฟลอราเทป ฟลอริดา ฟลอริสท์ ฟลอร์ ฟลอร์โชว์ ฟลอเรนซ์
+ฟลอเรส ฟลาย ฟลินต์ ฟลุ้ค ฟลุ๊ค ฟลูออรีน ฟลูออไรต์ ฟล็อปปี้ดิสก์ ฟอก ฟอกซัก ฟอกซ์ทร็อต ฟอกผ้า ฟอง ฟองกาม ฟองน้ำ ฟองมัน ฟอด ฟอดแฟด ฟอน ฟอนต์ ฟอยล์
+ฟอร์จูน ฟอร์ม ฟอร์มาลดีไฮด์ ฟอร์มาลิน ฟอร์มูล่า ฟอร์สเตอไรต์ ฟอร์เวิร์ด ฟอร์เอเวอร์ ฟอร์แมต ฟอร์แมนเตรา ฟอร์โมซา ฟอล์คแลนด์ ฟอสซิล ฟอสฟอรัส ฟอสฟอไรต์
+ฟอสเฟต ฟะฟัด ฟะฟั่น ฟะฟ่าย ฟัก ฟักข้าว ฟักตัว ฟักทอง ฟักฟูม ฟัง ฟังก์ชัน ฟังชั่น ฟังออก ฟังได้ ฟัด ฟัน ฟันดาบ ฟันปลา ฟันฝ่า ฟันม้า ฟันหนู ฟันแท้
+ฟัลครัม ฟัลคอน ฟั่น ฟั้น ฟาก ฟากท่า ฟาง ฟางลอย ฟาด ฟาดหัว ฟาทอม ฟาน ฟาย ฟายมือ ฟายาไลต์ ฟาริงซ์ ฟาร์ม ฟาร์มวัฒนา ฟาวล์ ฟาสซิสต์ ฟาสฟู้ด ฟาเรนไฮต์
+ฟาโรห์ ฟิก ฟิกซ์ ฟิจิ ฟิชชั่น ฟิด ฟิดแบค ฟิต ฟิตเนส ฟินิกซ์ ฟินแลนด์ ฟิบ ฟิลด์ ฟิลิปปินส์ ฟิล์ม ฟิวส์ ฟิสิกส์ ฟิโลโซพี ฟีตัส ฟีนิกซ์ ฟีฟ่า ฟีลิ่ง
+ฟีลเตอร์ ฟีเจอร์ ฟีเมล ฟีเวอร์ ฟี่ ฟี้ ฟืน ฟืม ฟื้น ฟื้นฟู ฟุ ฟุต ฟุตบอล ฟุตบาท ฟุตโน้ต ฟุน ฟุบ ฟุฟะ ฟุลสแก๊ป ฟุ่บ ฟุ่มเฟือย ฟุ้ง ฟุ้งซ่าน ฟุ้งเฟื่อง
+ฟุ้งเฟ้อ ฟู ฟูก ฟูจิ ฟูด ฟูดฟาด ฟูฟ่อง ฟูม ฟูมน้ำ ฟูมฟัก ฟูมฟาย ฟูแอร์เตเวนตุรา ฟู่ ฟู่ฟ่า ฟ่อ ฟ่อง ฟ่องฟู ฟ่อน ฟ่าง ฟ่าม ฟ้ง ฟ้อ ฟ้อง ฟ้อน ฟ้า ฟ้าผ่า
+ฟ้าฝ่อ ฟ้าร้อง ฟ้าหลัว ฟ้าแลบ ภควดี ภควัต ภควันต์ ภควัม ภควา ภคันทลา ภคินี ภณิดา ภพ ภมการ ภมร ภมริน ภมรี ภมุ ภมู ภยันตราย ภยาคติ ภรณี ภรณีภู ภรต ภรรดร
+ภรรดา ภรรยา ภระมร ภระมรี ภราดร ภราดรภ ภราดรภาพ ภราดา ภราตรภ ภริยา ภรู ภฤงคาร ภฤดก ภฤดี ภฤตย์ ภฤศ ภฤษฏ์ ภวกษัย ภวตัณหา ภวนะ ภวปาระ ภวัคร ภวังค ภวังคจิต
+ภวังค์ ภวันดร ภวาภพ ภักขะ ภักดี ภักดีกุล ภักต ภักติ ภักษ ภักษา ภักษาหาร ภัค ภัคน์ ภังค ภังคี ภัจ ภัญชะ ภัณฑ ภัณฑนะ ภัณฑาคาร ภัณฑู ภัณฑ์ ภัต ภัตกิจ
+ภัตตาคาร ภัตตาหาร ภัทร ภัทรบท ภัทรบิฐ ภัพ ภัย ภัสดา ภัสตรา ภัสมะ ภัสสร ภา ภากร ภาค ภาคตัดกรวย ภาคทัณฑ์ ภาคนิพนธ์ ภาคยานุวัติ ภาคย์ ภาคินี ภาคิไนย ภาคี
+ภาคียะ ภาคเสธ ภาชนะ ภาชนีย ภาชน์ ภาชี ภาณ ภาณก ภาณวาร ภาณี ภาณุ ภาณุมาศ ภาณุรังษี ภาดร ภาดา ภาตร ภาตา ภาติกะ ภาติกา ภาติยะ ภาตุ ภาพ ภาพกาก ภาพจริง
+ภาพถ่าย ภาพพจน์ ภาพยนตร์ ภาพยนต์ ภาพย์ ภาพลวงตา ภาพเสมือน ภาม ภาย ภายนอก ภายใน ภาร ภารกิจ ภารดี ภารต ภารตี ภารยา ภาระ ภารา ภารโรง ภาว ภาวนา ภาวะ
+ภาวะฉุกเฉิน ภาษ ภาษก ภาษณ์ ภาษา ภาษาศาสตร์ ภาษิต ภาษี ภาษีเจริญ ภาส ภาสกร ภาสน์ ภาสวร ภาสา ภาสุร ภิกขา ภิกขาจาร ภิกขุ ภิกขุณี ภิกขุนี ภิกษา ภิกษาจาร
+ภิกษาหาร ภิกษุ ภิกษุณี ภิงคาร ภิงส ภิงสนะ ภิญโญ ภิญโญภาพ ภิตติ ภิท ภิน ภินชาติ ภินทน ภินทนาการ ภินท์ ภิยโย ภิรมย์ ภิษัช ภิส ภิสัก ภีตะ ภีม ภีรุ ภุกต
+ภุขัน ภุช ภุชค ภุชงคม ภุชงค์ ภุชา ภุญช ภุต ภุม ภุมระ ภุมรา ภุมริน ภุมรี ภุมวาร ภุมเรศ ภุส ภู ภูกระดึง ภูฏาน ภูฐาน ภูดล ภูดาด ภูต ภูตคาม ภูตบดี ภูตผี
+ภูตรูป ภูติ ภูตี ภูธร ภูธเรศ ภูนาถ ภูนายก ภูบดี ภูบาล ภูป ภูผา ภูภุช ภูม ภูมิ ภูมิคุ้มกัน ภูมิฐาน ภูมิธร ภูมิธรรม ภูมินทร์ ภูมิบาล ภูมิประเทศ
+ภูมิปัญญา ภูมิพล ภูมิภาค ภูมิรัฐศาสตร์ ภูมิลำเนา ภูมิศาสตร์ ภูมิศาสตร์กายภาพ ภูมิศาสตร์การเกษตร ภูมิศาสตร์การเมือง ภูมิศาสตร์ประชากร
+ภูมิศาสตร์เศรษฐกิจ ภูมิเวท ภูมิแพ้ ภูมิใจ ภูมี ภูริ ภูรี ภูรโลก ภูว ภูวดล ภูวน ภูวนาถ ภูวเนตร ภูวไนย ภูษณ ภูษนะ ภูษา ภูษามาลา ภูษิต ภูเก็ต ภูเขา
+ภูเขาทอง ภูเขาน้ำแข็ง ภูเขาไฟ ภูเขียว ภูเนตุ ภูเบศ ภูเรือ ภูเวียง ภูโช ภู่ ภู่สุวรรณ มก มกร มกราคม มกส มกุฎ มกุล มคธ มฆวัน มงกุฎ มงคล มงคลทรัพย์
+มงคลวราราม มงโกรย มณฑก มณฑนะ มณฑป มณฑล มณฑา มณฑารพ มณฑิร มณฑ์ มณี มณีการ มณีพืช มณีราค มณเฑียร มด มดดำ มดยอบ มดลูก มดาย มดี มดเท็จ มดแดง มตก มตกภัต
+มตกภัย มติ มติมหาชน มทนะ มทนียะ มธุ มธุกร มธุกรี มธุตฤณ มธุป มธุปฎล มธุพรต มธุร มธุรส มธุสร มธุเศษ มธุโกศ มน มนตรี มนตร์ มนต์ มนท มนทาทร มนทิร มนสิการ
+มนัส มนัสวี มนิมนา มนิลา มนุ มนุช มนุญ มนุษย มนุษยชาติ มนุษยธรรม มนุษยศาสตร์ มนุษยสัมพันธ์ มนุษยเทพ มนุษยโลก มนุษย์ มนุษย์อวกาศ มนุสาร มนู มนูสาร
+มนเทียร มมังการ มมาก มยุร มยุรฉัตร มยุระ มยุรา มยุรี มยุเรศ มยูข มยูร มร มรกต มรคา มรฑป มรณ มรณกรรม มรณธรรม มรณบัตร มรณภัย มรณภาพ มรณะ มรณ์ มรดก มรรค
+มรรคนายก มรรคผล มรรคา มรรตย มรรทน มรรยา มรรยาท มรรษ มรสุม มริจ มริยาท มรีจิ มรุ มรุต มฤค มฤคทายวัน มฤคย์ มฤคราช มฤควัน มฤคศิร มฤจฉา มฤดก มฤต มฤตก
+มฤตยู มฤทุ มฤทุกะ มฤธุ มฤษา มล มลทิน มลน มลพิษ มลภาวะ มลรัฐ มลละมั่ง มลวก มละ มลัก มลาก มลาซอ มลาน มลาย มลายา มลายู มลาว มลาไสย มลิน มลิ้น มลื่น มลโค
+มล่อน มล่อย มล่าน มล้า มล้าง มวก มวกผา มวน มวย มวยล้ม มวยวัด มวยไทย มวล มวลชน มวลสาร มวลอากาศ มสาร มสิ มหกรรม มหภาค มหภาพ มหรณพ มหรรฆ มหรรณพ มหรสพ
+มหัคฆ มหัณณพ มหัต มหันต มหันตภัย มหันตโทษ มหันต์ มหัยกา มหัล มหัศจรรย์ มหา มหากรุณาธิคุณ มหากาฬ มหาจักร มหาชน มหาชนะชัย มหาชัย มหาชาติ มหาดเล็ก
+มหาดเล็กหลวง มหาดไทย มหาตมะ มหาทุน มหาธาตุ มหานคร มหานครนิเวศน์ มหานสะ มหานาค มหานิล มหาบพิตร มหาบุศย์ มหาพน มหาพรหม มหาพฤฒาราม มหาภูต มหามงกุฎ มหายาน
+มหายุค มหาราช มหาลาภ มหาวงศ์ มหาวรรค มหาวิทยาลัย มหาศาล มหาสดำ มหาสมุทร มหาสารคาม มหาสิน มหาหงส์ มหาหิงคุ์ มหาอำนาจ มหาอุจ มหาอุด มหาอุปรากร มหาเทพ
+มหาเมฆ มหาไชย มหาไถ่ มหิ มหิงส์ มหิดล มหิทธิ มหิธร มหินท์ มหิบ มหิมา มหิศร มหิศวร มหิษ มหิษี มหึมา มหุรดี มหู มอ มอคราม มอง มองคร่อ มองซิเออร์
+มองต์บลังค์ มองโกล มองโกลอยด์ มองโกเลีย มอซอ มอญ มอด มอดม้วย มอทโต มอน มอนตานา มอนตโกเมอริ มอนต์มอริลโลไนต์ มอนต์เปเลียร์ มอนิเตอร์ มอนไข่ มอบ มอบตัว
+มอม มอมยา มอมเมา มอมแมม มอริเชียส มอริเตเนีย มอร์ฟีน มอร์มอน มอร์แกไนต์ มอลตา มอลล์ มอลเดเวีย มอลโทส มอสโก มอสโคว์ มอหมึก มอเตอร์ มอเตอร์เวย์
+มอเตอร์ไซค์ มอโรไต มะ มะกรูด มะกล่ำ มะกอก มะกะโรนี มะกา มะกูด มะก่อง มะขวิด มะขาม มะข่วง มะคะ มะค่า มะงัน มะงั่ว มะงุมมะงาหรา มะซัก มะซาง มะซ่าน มะดัน
+มะดา มะดูก มะตอย มะตะบะ มะตา มะตาด มะตาหะรี มะตี มะตึ่ง มะตื๋น มะตูม มะต้อง มะนาว มะนิลา มะปราง มะปริง มะป่อง มะฝ่อ มะพร้าว มะพลับ มะพูด มะมี่ มะมื่น
+มะมุด มะม่วง มะม่วงหิมพานต์ มะม่าว มะยง มะยม มะระ มะริด มะรืน มะรุม มะละกอ มะละกา มะลารอกัน มะลำ มะลิ มะลิน มะลิ่ม มะลื่น มะลุลี มะวาร มะสัง มะหลิ่ม
+มะหวด มะหะหมัด มะหัล มะหาด มะหิ่ง มะอึก มะฮอกกานี มะเกลือ มะเขือ มะเดหวี มะเดื่อ มะเฟือง มะเมอ มะเมีย มะเร็ง มะเส็ง มะเหงก มะแข่น มะแตก มะแพน มะแฟน
+มะแม มะแว้ง มะโรง มะโว้ มะไฟ มัก มักกะ มักกะสัน มักขะ มักขิกา มักฏกะ มักฏะ มักมาก มักได้ มัค มัคคะ มัคคุเทศก์ มัคนา มัคนายก มัฆวา มัฆวาน มังกง มังกร
+มังกุ มังคละ มังคละศึกษา มังคลาราม มังคุด มังค่า มังตาน มังส มังสวิรัติ มังสะ มังสา มังสี มัจจะ มัจจุ มัจจุราช มัจฉระ มัจฉริยะ มัจฉรี มัจฉะ มัจฉา
+มัจฉาชาติ มัจฉานุ มัช มัชชาร มัชชาร์ มัชฌ มัชฌิม มัชฌิมยาม มัชฌิมวัย มัชฌิมา มัชณิมา มัญจก มัญจาคีรี มัญชีร มัญชุ มัฏฐะ มัณฑ มัณฑน มัณฑนศิลป์ มัณฑนา
+มัณฑุก มัด มัดจำ มัดหมู มัตตะ มัตตา มัตถก มัตถลงค์ มัตถลุงค์ มัตสยะ มัตสยา มัตสร มัทนะ มัทนา มัทนียะ มัทยะ มัธย มัธยฐาน มัธยม มัธยมศึกษา มัธยมา
+มัธยัสถ์ มัน มันดี มันตา มันถะ มันทิร มันนก มันปลา มันปู มันส์ มันเทศ มันเสา มันแกว มันโรเวีย มันไส้ มับ มับๆ มัมมี่ มัย มัยลาภ มัลก มัลดิฟ มัลดีฟ
+มัลติ มัลติมีเดีย มัลละ มัลลิกา มัว มัวซัว มัวมอม มัวเมา มัศยา มัสดก มัสดุ มัสตาร์ด มัสตาร์ดแก๊ส มัสมั่น มัสยา มัสยิด มัสรู่ มัสลิน มัสสุ มัสแกต
+มัสโคไวต์ มั่ง มั่งคั่ง มั่งมี มั่น มั่นคง มั่นสิน มั่นใจ มั่ว มั่วสุม มั้ม มั้ย มั๊ยล่ะ มา มาก มากกว่า มากมาย มากว่า มาคสิร มาคิน มาฆ มาฆบูชา มาฆะ
+มางสะ มาจอร์กา มาณพ มาณวิกา มาด มาดมัวเสล มาดริด มาดอนนา มาดา มาดากัสการ์ มาดาม มาดูรา มาตงค์ มาตร มาตรการ มาตรฐาน มาตรา มาตราส่วน มาตฤ มาตฤกะ มาตังค
+มาตา มาตานุสรณ์ มาตามไหยกา มาติก มาติกา มาตี มาตุ มาตุคาม มาตุจฉา มาตุภูมิ มาตุรงค์ มาตุราช มาตุละ มาตุลา มาตุลานี มาตุเรศ มาท มาทาดอร์ มาธุร มาธุสร
+มาน มานพ มานะ มานัต มานัส มานากัว มานามา มานิต มานี มานุษ มานุษยวิทยา มาบ มาบตาพุด มาบุญครอง มาปก มาพูโต มาภา มาย มายด์ มายอ มายัง มายา มายากร มายากล
+มายาวี มาร มารค มารชิ มารชิต มารดร มารดา มารผจญ มารยา มารยาท มารศรี มารษา มาระ มาราธอน มาริ มาริต มารินา มารุต มาร์กอัพ มาร์การีน มาร์ค มาร์ควิส
+มาร์คัส มาร์คาไซต์ มาร์คเกอร์ มาร์จิน มาร์ช มาร์ดิกราส์ มาร์ตินิก มาร์ตินี มาร์ล มาร์เก็ต มาร์เคซัส มาร์แชล มาร์ไทต์ มาลย์ มาลัย มาลา มาลากาซี มาลาตี
+มาลาวี มาลาเรีย มาลาไคต์ มาลินี มาลี มาลีนุสรณ์ มาลุต มาศ มาส มาสก มาสคารา มาสบาเต มาสเตอร์ มาหิส มาห์ มาฬก มาเก๊า มาเจสติค มาเจสตี มาเดียรา มาเฟีย
+มาเรียนา มาเรียน่าส์ มาเล มาเลตา มาเลเซีย มาแขก มาโคร มาโนชญ์ มาโปรด มำเลือง มิ มิกซ์ มิค มิคลุท มิคสัญญี มิคสิร มิคี มิงโค มิจฉา มิจฉาชีพ มิจฉาทิฐิ
+มิจฉาบถ มิชชั่น มิชิแกน มิญช มิด มิดชิด มิดฟิลด์ มิดหมี มิดเดย์ มิดเดิลแวร์ มิดเทอม มิดเมี้ยน มิดเยียร์ มิดเว มิดไนท์ มิต มิตร มิตรบำรุง มิตรประชา
+มิตรพันธ์ มิตรภาพ มิตรวิถี มิตรอนันต์ มิตรอุดม มิตรเด็ก มิตรแท้ มิตรไมตรี มิติ มิถยา มิถุน มิถุนายน มิทธะ มิทธี มินดาเนา มินตรา มินตา มินท์ มินนิโซตา
+มินสก์ มินอร์กา มินิมัม มินิสเกิร์ต มินิสเตอร์ มินเนอรัล มินโดโร มิน่า มิยา มิรันตี มิราจ มิลติ มิลลิ มิลลิกรัม มิลลิบาร์ มิลลิลิตร มิลลิเมตร มิลอส
+มิลาต มิวสิค มิวสิควีดีโอ มิวเซียม มิศร มิส มิสกรี มิสชันมารี มิสชั่น มิสซา มิสซิส มิสซิสซิปปี มิสซูรี มิสเตอร์ มิเตอร์ มิโซล มิใช่ มิได้ มิไย มิ่ง
+มิ่งขวัญ มิ่งมิตร มิ้งค์ มิ้ม มี มีชื่อ มีชู้ มีด มีดตอก มีดพร้า มีดยับ มีดหมอ มีดโกน มีทติ้ง มีน มีนนิ่ง มีนบุรี มีนาคม มีสุวรรณ มีหน้า มีฬห มีอายุ
+มีเดีย มีเดียม มีเทน มีเพียร มี่ มี่ฉาว มี่สั้ว มึก มึกมวย มึง มึน มึนงง มึนชา มึนซึม มึนตึง มึนเมา มืด มืดค่ำ มืดมน มืดมัว มืน มือ มือกาว มือขวา
+มือดี มือตก มือบอน มือปืน มือผี มือมืด มือลิง มือสี มือเบา มือไว มื่น มื้อ มุ มุก มุกดา มุกดาหาร มุกุร มุกุล มุกเดน มุข มุขบาฐ มุขย มุขลด มุคคะ มุคธ์
+มุคร มุง มุจฉา มุจน มุจลินท์ มุญจนะ มุญช มุฐ มุฐิ มุณฑ มุด มุดหัว มุต มุตกิด มุตฆาต มุตตะ มุตตา มุตติ มุติ มุติงค์ มุทค มุทคร มุททา มุทธชะ มุทธา มุทรา
+มุทะลุ มุทา มุทิกา มุทิตา มุทิน มุทุ มุทุตา มุนิ มุนินทร์ มุนี มุบ มุบมิบ มุบๆ มุม มุมก้ม มุมฉาก มุมตรง มุมมืด มุมานะ มุมเงย มุมเท มุมเห มุรช มุรธา
+มุลุต มุลู มุลไลต์ มุสละ มุสลิม มุสะ มุสา มุสิก มุหงิด มุหุต มุ่ง มุ่งมาด มุ่น มุ่นใจ มุ่ม มุ่ย มุ้ง มุ้ม มูก มูกมัน มูค มูซัง มูตร มูน มูนมอง มูนสโตน
+มูนา มูฟ มูมมาม มูรดี มูรธ มูรธาภิเษก มูล มูลค่า มูลจิต มูลฐาน มูลนาย มูลนิธิ มูลฝอย มูลภัณฑ์กันชน มูลา มูลโค มูลไถ มูวี่ มูสัง มูสิก มูฬห มูเซอ มูเล่
+มู่ทู่ มู่ลี่ มู้ด มู้ดดี้ มเหศ มเหศวร มเหสักข์ มเหสิ มเหสี มเหาษธ มเหาฬาร มโน มโนกรรม มโนคติ มโนช มโนชญ์ มโนธรรม มโนภาพ มโนมัย มโนรถ มโนรม มโนรมย์
+มโนราห์ มโนสาเร่ มโนหร มโหฆ มโหรสพ มโหระทึก มโหรี มโหษธ มโหฬาร มไหสวรรค์ ม็อบ ม็อยซ์เจอร์ ม่ง ม่น ม่วง ม่วงสามสิบ ม่วงแค ม่วน ม่วย ม่อง ม่อต้อ ม่อน
+ม่อม ม่อย ม่อฮ่อม ม่าน ม่านตา ม่าย ม้วน ม้วย ม้า ม้าง ม้าต้น ม้าน ม้าน้ำ ม้าม ม้ามืด ม้ารำ ม้าลาย ม้าล่อ ม้าเทศ ม้าใช้ ยก ยกครู ยกทรง ยกน ยกนะ ยกนิ้ว
+ยกพื้น ยกฟ้อง ยกมือ ยกยอ ยกยอด ยกย่อง ยกเค้า ยกเมฆ ยกเลิก ยกเว้น ยกใหญ่ ยกไว้ ยง ยงโย่ ยติ ยติภังค์ ยถา ยถากรรม ยนตร์ ยนต์ ยม ยมก ยมทูต ยมนา ยมบาล
+ยมราช ยมล ยมโดย ยมโลก ยรรยง ยล ยวง ยวด ยวดยง ยวดยาน ยวดยิ่ง ยวน ยวนยี ยวบ ยวบยาบ ยวบๆ ยวาคุ ยศ ยศเส ยอ ยอก ยอง ยองใย ยองไย่ ยอชต์ ยอด ยอดจาก ยอดดี
+ยอดน้ำ ยอน ยอบ ยอบแยบ ยอม ยอมรับ ยอร์ชเทาน์ ยอแสง ยะ ยะยอบ ยะยัน ยะยับ ยะยาน ยะย้าย ยะย้าว ยะรัง ยะลา ยะหริ่ง ยะหา ยะหิทา ยะแย้ง ยะโฮร์ ยะโฮร์บารู ยัก
+ยักขินี ยักข์ ยักท่า ยักยอก ยักย้าย ยักษิณี ยักษี ยักษ์ ยักหยาว ยักเยื้อง ยัง ยังชีพ ยัชน ยัชมาน ยัญ ยัฐิ ยัด ยัดเยียด ยัติภังค์ ยัน ยันตร ยันตรกรรม
+ยันตร์ ยันต์ ยับ ยับยง ยับยั้ง ยับยาน ยับยาบ ยัวร์ ยัษฎิ ยั่งยืน ยั่น ยั่ว ยั่วยวน ยั่วเย้า ยั้ง ยั้ว ยั้วเยี้ย ยา ยาก ยากจน ยากนาน ยากไร้ ยาค ยาคุ
+ยาง ยางชุมน้อย ยางตลาด ยางบอน ยางพารา ยางลบ ยางสน ยางอาย ยาจก ยาจน ยาจืด ยาฉุน ยาชก ยาด ยาดา ยาดำ ยาตนา ยาตร ยาตรา ยาตั้ง ยาธาตุ ยาน ยานก ยานคาง
+ยานนาวา ยานมาศ ยานัตถุ์ ยานาวา ยานี ยาบ ยาบ้า ยาปน ยาฝอย ยาม ยามกาลิก ยามพาด ยามักการ ยามิก ยามเกา ยามโยค ยาย ยายทวด ยายนุ้ย ยายร่ม ยายี ยายแป้น ยาร์ด
+ยาว ยาวนาน ยาวรี ยาวัส ยาสลบ ยาสั่ง ยาสีฟัน ยาสูบ ยาหมู่ ยาหยัง ยาหยี ยาหัด ยาอุนเด ยาเยีย ยาเส้น ยาแดง ยาแฝด ยาใจ ยาไฉน ยาไส้ ยำ ยำยาม ยำเกรง ยำเยง
+ยำเยีย ยิก ยิง ยิงฟัน ยิฏฐะ ยิน ยินดี ยินยอม ยินร้าย ยินแคลน ยินใจ ยิบ ยิบๆ ยิปซัม ยิปซี ยิม ยิมนาสติก ยิมเนเซียม ยิว ยิวยิตสู ยิหวา ยิ่ง ยิ่งยวด
+ยิ่งอำนวย ยิ้ม ยิ้มประกอบ ยิ้มประยูร ยิ้มสยาม ยี ยีด ยีน ยียวน ยีราฟ ยีสต์ ยี่ ยี่ก่า ยี่งอ ยี่ภู่ ยี่สก ยี่สง ยี่สน ยี่สาน ยี่สาย ยี่สิบ ยี่สุ่น
+ยี่ส่าน ยี่หระ ยี่หร่า ยี่หุบ ยี่ห้อ ยี่เก ยี่เข่ง ยี่โถ ยี่โป้ ยี้ ยึกยือ ยึด ยึดต่อ ยึดถือ ยืด ยืดยาด ยืดหยุ่น ยืน ยืนต้น ยืนนาน ยืนยง ยืนยัน ยืนยาม
+ยืนยาว ยืนโรง ยืม ยื่น ยื้อ ยื้อยุด ยุ ยุกดิ ยุกต์ ยุค ยุคนธร ยุคล ยุคลบาท ยุคันต ยุคันต์ ยุง ยุงปัด ยุด ยุต ยุตติ ยุติ ยุติธรรม ยุทธ ยุทธการ ยุทธนา
+ยุทธนาการ ยุทธภัณฑ์ ยุทธภูมิ ยุทธวิธี ยุทธศาสตร์ ยุทธหัตถี ยุทธโยธา ยุทธ์ ยุทโธปกรณ์ ยุบ ยุบยอบ ยุบยับ ยุบยิบ ยุบล ยุพ ยุพดี ยุพยง ยุพราช ยุพา ยุพาน
+ยุพเยาว์ ยุพเรศ ยุยง ยุรยาตร ยุว ยุวกนิษฐ ยุวชน ยุวดี ยุวราช ยุวา ยุวาน ยุแยง ยุแหย่ ยุโรป ยุ่ง ยุ่งเหยิง ยุ่งใจ ยุ่มย่าม ยุ่ย ยุ้ง ยุ้ย ยู ยูกันดา
+ยูง ยูซิส ยูตาห์ ยูถะ ยูถิกา ยูทิลิตี ยูนิกซ์ ยูนิค ยูนิคอน ยูนิต ยูนิตี้ ยูนิฟอร์ม ยูนิเซฟ ยูนิเวอร์ซิตี้ ยูนิเวิร์ส ยูนิโค้ด ยูปะ ยูรยาตร ยูริก
+ยูลิซิส ยูษะ ยูสเซอร์ ยูเครน ยูเคลส ยูเซด ยูเนียน ยูเนียนแจ็ค ยูเรนัส ยูเรนิไนต์ ยูเรเนียม ยูเอส ยูเอ็น ยูโกสลาเวีย ยูโด ยูโทเปีย ยูโน ยูโร ยูโรเพียม
+ยูไนเตด ยูไนเต็ด ยู่ ยู่ยี่ ยโส ยโสธร ย่น ย่นย่อ ย่อ ย่อง ย่องกริบ ย่องแย่ง ย่อท้อ ย่อพล ย่อม ย่อมเยา ย่อย ย่อยยับ ย่อย่น ย่อหน้า ย่อหย่อน ย่อแย่
+ย่อแหยง ย่ะ ย่า ย่าง ย่างกุ้ง ย่าทวด ย่าน ย่านตาขาว ย่านลิเภา ย่านาง ย่าม ย่ามใจ ย่าหยา ย่ำ ย่ำยี ย่ำเทือก ย่ำแย่ ย้วย ย้อง ย้อน ย้อนยอก ย้อม ย้อมใจ
+ย้อย ย้อแย้ ย้าย ย้าว ย้ำ รก รกชัฏ รกช้าง รกบิน รกฟ้า รกราก รกร้าง รง รงกุ์ รงควัตถุ รงค์ รงรอง รจนา รจิต รจเรข รจเลข รชกะ รชตะ รชนิ รชนีกร รชะ รณ
+รณชัย รณภู รณภูมิ รณรงค์ รณสถาน รณสิทธิ์พิชัย รณัฐ รด รดน้ำ รดี รตน รตนะ รตะ รติ รถ รถยนต์ รถยา รถเมล์ รถไฟ รถไฟฟ้า รน รบ รบกวน รบาญ รบเร้า รพ รพิ รพี
+รม รมณี รมณีย รมณีย์ รมย์ รมเยศ รยะ รยางค์ รวก รวง รวด รวดเร รวดเร็ว รวน รวนเร รวบ รวบรวม รวบรัด รวม รวมหัว รวมโชค รวมใจ รวย รวยริน รวยลม รวะ รวันดา
+รวิ รวิวาร รวี รศนา รส รสชาติ รสนา รสนิยม รสายนเวท รสิก รหัท รหัส รหิต รอ รอก รอง รองคอ รองช้ำ รองทรง รองทุน รองรัง รองรับ รองเง็ง รองเท้า รองเมือง
+รอด รอดตัว รอดพ้น รอน รอนแรม รอนๆ รอบ รอบคอบ รอบรู้ รอม รอมชอม รอมร่อ รอย รอยัล รอลี รอสซี ระ ระกะ ระกา ระกำ ระกำนา ระคน ระคาง ระคาย ระฆัง ระงม ระงับ
+ระงี่ ระชวย ระดม ระดะ ระดับ ระดับทะเล ระดับทะเลปานกลาง ระดู ระด่าว ระตู ระทก ระทด ระทม ระทวย ระทอด ระทา ระทึก ระทึง ระท้อ ระนอง ระนัม ระนาด ระนาบ
+ระนาบเอียง ระนาม ระนาว ระบบ ระบม ระบอบ ระบัด ระบับ ระบาญ ระบาด ระบานี ระบาย ระบำ ระบิ ระบิล ระบือ ระบุ ระฟ้า ระมัดระวัง ระมา ระมาด ระยอง ระยะ ระยัง
+ระยัด ระยับ ระยั้ง ระยาน ระยาบ ระยำ ระยิบ ระย่อ ระย่อม ระย้า ระรวย ระรอง ระรัว ระราน ระราว ระริก ระรี่ ระรึง ระรื่น ระร่อน ระร่าย ระลง ระลวง ระลอก
+ระลอง ระลัด ระลึก ระลุก ระลุง ระวัง ระวาง ระวาม ระวาย ระวิง ระสาย ระสี ระส่ำระสาย ระหง ระหวย ระหว่าง ระหอบ ระหัด ระหาย ระหุย ระห่ำ ระอา ระอุ ระเด่น
+ระเนน ระเนระนาด ระเนียด ระเบง ระเบิด ระเบิดไฮโดรเจน ระเบียง ระเบียน ระเบียบ ระเบียบวาระ ระเบ็ง ระเมียร ระเร ระเริง ระเร็ว ระเร้ง ระเลิง ระเหย ระเหิด
+ระเห็จ ระแคะ ระแงะ ระแง้ ระแด ระแทะ ระแนง ระแนะ ระแบบ ระแรง ระแร่ ระแวง ระแหก ระแหง ระโนด ระโยง ระโหย ระใบ ระไว รัก รักขสะ รักขา รักขิต รักข์ รักดป
+รักดะ รักบี้ รักยม รักษา รักษ์ รักษ์นาเวศน์ รักหมู รักเร่ รักแร้ รัง รังกา รังควาน รังค์ รังดุม รังนก รังนาน รังบวบ รังมด รังรอง รังวัด รังสรร
+รังสรรค์ รังสฤษฎ์ รังสิ รังสิต รังสิมา รังสี รังสีคอสมิก รังสีวิทยา รังสีแพทย์ รังเกียจ รังเพลิง รังเรข รังแก รังแค รังแตน รังแรก รังไข่ รัจฉา รัช
+รัชกะ รัชกาล รัชชุ รัชฎาภิเษก รัชด รัชดาภิเษก รัชทายาท รัชน รัชนะ รัชนี รัญจวน รัฐ รัฐกรณ์ รัฐทูต รัฐธรรมนูญ รัฐบาล รัฐบุรุษ รัฐประศาสนศาสตร์
+รัฐประศาสนศาสน์ รัฐประศาสน์ รัฐประหาร รัฐมนตรี รัฐวิสาหกิจ รัฐศาสตร์ รัฐสภา รัด รัดกุม รัดตัว รัดทึบ รัดรึง รัดรูป รัดเกล้า รัต รัตกัมพล รัตคน
+รัตจันทน์ รัตติ รัตติกาล รัตน รัตนกรัณฑ์ รัตนกวี รัตนตรัย รัตนบัลลังก์ รัตนบุรี รัตนมณี รัตนะ รัตนา รัตนากร รัตนาธิเบศร์ รัตนาราม รัตนโกสินทร์
+รัตนโกสินทร์สมโภช รัตน์ รัตพัสตร์ รัตภูมิ รัตมณี รัตมา รัถ รัถยา รัทเทอร์ฟอร์ด รัทเทอร์ฟอร์เดียม รัน รันทด รันทวย รันทำ รันธะ รันนิงนัมเบอร์ รันอิน
+รันเวย์ รันแทะ รันไทม์ รับ รับคำ รับจ้าง รับปาก รับมือ รับรอง รับสั่ง รับแขก รัม รัมก รัมณีย รัมภา รัมมี่ รัมย์ รัย รัว รัศมิมัต รัศมิมาน รัศมี
+รัษฎากร รัส รัสสระ รัสสะ รัสเซลส์ รัสเซีย รั่ว รั้ง รั้งรอ รั้น รั้ว รา ราก รากฐาน รากดิน รากฝอย รากฟัน รากษส รากสาด รากโษส ราข้อ ราค ราคะ ราคา ราคิน
+ราคี ราง รางจืด รางชาง รางดำ รางนาน รางน้ำ รางวัล รางแดง ราช ราชกรีฑา ราชการ ราชกิจจา ราชครู ราชคฤห์ ราชญี ราชฐาน ราชดัด ราชดำริ ราชดำเนิน
+ราชดำเนินกลาง ราชดำเนินนอก ราชดำเนินใน ราชตฤณมัย ราชติณมัย ราชทัณฑ์ ราชทินนาม ราชทูต ราชธรรม ราชธานี ราชนิกุล ราชบพิธ ราชบัณฑิตยสถาน ราชบุตร ราชบุรี
+ราชบุรุษ ราชปรารภ ราชปะแตน ราชพฤกษ์ ราชพลี ราชภักดี ราชภัฎ ราชภัฏ ราชมัล ราชมาษ ราชมาส ราชยาน ราชย์ ราชลัญจกร ราชวงศ์ ราชวรวิหาร ราชวราราม ราชวัง
+ราชวัติ ราชวิถี ราชวินิต ราชวโรงการ ราชสกุล ราชสาสน์ ราชสิงขร ราชสีมา ราชสีห์ ราชะ ราชัน ราชันย์ ราชัย ราชา ราชาธิบดี ราชาธิบาย ราชาธิราช ราชานุกูล
+ราชาภิเษก ราชาวดี ราชาวลี ราชาศัพท์ ราชิ ราชินิกุล ราชินี ราชินีนาถ ราชินูปถัมภ์ ราชูปถัมภ์ ราชูปโภค ราชเทวี ราชโยค ราชโองการ ราชโอรส ราญ ราญรอน ราด
+ราต ราตร ราตรี ราน ราบ ราบคาบ ราบาต ราปีก ราพณาสูร ราพณ์ ราม รามคำแหง รามบุตรี รามสูร รามอินทรา รามัญ รามัน รามา รามาธิบดี รามเกียรติ์ ราย รายการ
+รายงาน รายทาง รายรับ รายวิชา ราว ราวกะ ราวกับ ราวป่า ราวี ราศี ราษฎร ราษฎร์ ราษฎร์บูรณะ ราษฎร์พัฒนา ราษฎร์รังสรรค์ ราษฎร์ศรัทธา ราษฎร์อุทิศ ราษตรี
+ราษีไศล ราสี ราหุ ราหู ราเชน ราเชนทร์ ราเริด ราแรม ราโชบาย ราโชปถัมภ์ ราโชวาท ราโท ราโรตองกา รำ รำคาญ รำงับ รำจวน รำซุย รำบาญ รำผี รำพัด รำพัน รำพาย
+รำพึง รำมะนา รำมะแข รำยวน รำย้อย รำรงค์ รำราญ รำรำ รำลึก รำวง รำหัด รำหัส รำเขนง รำเท้า รำเพย รำเร รำแพน รำแย้ รำโคม รำไพ รำไร ริ ริก ริกา ริงโทน
+ริชมอนด์ ริดสีดวง ริดเดอร์ไดเจสท์ ริทัม ริน ริบ ริบบิ้น ริบรี่ ริปอง ริปุ ริม ริยาด ริยาร์ด ริวกิว ริษยา ริอ่าน ริเริ่ม ริเว็ท ริ้น ริ้ว รี รีกิสเตอร์
+รีคอล รีจอยซ์ รีจิสทรี รีซอร์ส รีซิสเตอร์ รีซีพท์ รีซีฟ รีด รีดลูก รีดักชัน รีดิวซ์ รีต รีบ รีบรุด รีพอร์ต รีพับลิก รีพีท รีฟิลล์ รีฟิวส์ รีม รีมาร์ค
+รีมิท รีรอ รีรีด รีล รีลีซ รีวอร์ด รีวิว รีสอร์ท รีอัลการ์ รีเควซท์ รีเจคชัน รีเจคท์ รีเจนซี รีเจนท์ รีเซพชัน รีเซ็ต รีเทล รีเทอร์น รีเนียม รีเบกไคต์
+รีเฟรช รีเฟลกซ์ รีเฟลคท์ รีเฟอร์ รีเมมเบอร์ รีเลย์ รีเวอร์ส รีเสิร์ช รีเสิร์ท รีแพร์ รีแลกซ์ รีแอคชั่น รีโมต รีโมท รีโมทคอนโทรล รีไซเคิล รีไทร์ รีไวส์
+รี่ รี้ รี้พล รี้ริก รึกต์ รึง รึ้ง รือ รือเสาะ รื่น รื่นรมย์ รื่นเริง รื้น รื้อ รื้อฟื้น รุ รุก รุกข รุกขกะ รุกขชาติ รุกขมูล รุกขา รุกขเทวดา รุกข์
+รุกฆาต รุกราน รุกริก รุกรุย รุกร้น รุกษะ รุข้าว รุงรัง รุจ รุจน รุจน์ รุจา รุจิ รุจิระ รุจิรา รุจิเสรี รุจี รุชา รุด รุต รุทธ์ รุทร รุธิร รุน รุนแรง
+รุบรู่ รุม รุมไข้ รุมไฟ รุย รุรุ รุษฏ์ รุหะ รุหาญ รุ่ง รุ่งประชา รุ่งอรุณ รุ่งเรือง รุ่งโรจน์ รุ่น รุ่ม รุ่มร่าม รุ่ย รุ่ยร่าย รุ้ง รุ้งกินน้ำ รู รูจ
+รูจี รูด รูท รูทีเนียม รูทเบียร์ รูบิเดียม รูบี รูป รูปการ รูปชี รูปภาพ รูปลอก รูปิยะ รูปี รูสโซ รูเบลไลต์ รูเบีย รูเมเนีย รูเล็ตต์ รูไทล์ รู่ รู้
+รู้คิด รู้คุณ รู้จัก รู้ตัว รู้ทัน รู้ที รู้มาก รู้สึก รู้ไส้ รเถสภะ รโห รโหคต รโหฐาน ร็อกซอลท็ ร่น ร่ม ร่มธง ร่มผ้า ร่มรื่น ร่มเกศ ร่มเย็น ร่มโพธิ์
+ร่วง ร่วน ร่วม ร่วมจิตต์ ร่วมจิตร ร่วมน้ำใจ ร่วมพัฒนา ร่วมมิตร ร่วมฤดี ร่วมวงศ์พัฒนา ร่วมศิริมิตร ร่วมสันติ ร่วมสามัคคี ร่วมใจ ร่วมใจสามัคคี ร่อ ร่อง
+ร่องคำ ร่องมด ร่อน ร่อนพิบูลย์ ร่อย ร่อแร่ ร่า ร่าง ร่างกาย ร่างแห ร่าน ร่าย ร่าเริง ร่ำ ร่ำรวย ร่ำเรียน ร่ำไป ร่ำไร ร่ำไห้ ร้น ร้อง ร้องกวาง ร้องขอ
+ร้องไห้ ร้อน ร้อนต ร้อนรน ร้อย ร้อยเอ็ด ร้า ร้าง ร้าน ร้าย ร้ายก ร้ายกาจ ร้าว ร้าวราน ฤกษณะ ฤกษ์ ฤกษ์บน ฤคเวท ฤชา ฤชากร ฤชุ ฤณ ฤดี ฤดียา ฤดู ฤดูกาล ฤต
+ฤทธา ฤทธิณรงค์รอน ฤทธิไกร ฤทธิ์ ฤทัย ฤษภ ฤษยา ฤษี ฤา ฤาชุ ฤาชุตา ฤาดี ฤาทัย ฤาษี ฤาสาย ฤาเยา ฤๅ ฤๅชุ ฤๅชุตา ฤๅดี ฤๅทัย ฤๅษี ฤๅสาย ฤๅเยา ลการ ลกุจ ลคุฑ
+ลฆุ ลฆุจิต ลฆุภาพ ลง ลงกลอน ลงกา ลงขัน ลงข่าว ลงคอ ลงชื่อ ลงตัว ลงทอง ลงทุน ลงท่า ลงท้อง ลงท้าย ลงนา ลงผี ลงฝัก ลงพื้น ลงพุง ลงมีด ลงมือ ลงยา ลงรัก
+ลงราก ลงสรง ลงหิน ลงอาญา ลงเงิน ลงเอย ลงแขก ลงแดง ลงแป้ง ลงแรง ลงโทษ ลงโรง ลด ลดละ ลดา ลดาวัลย์ ลน ลนควัน ลนลาน ลบ ลบม ลบรอย ลบล้าง ลบหลู่ ลบอง ลบโลก
+ลปก ลปน ลพบุรี ลพุช ลม ลมกรด ลมขึ้น ลมค้า ลมงวง ลมจับ ลมทวนลมค้า ลมทะเล ลมบก ลมปราณ ลมปาก ลมพิษ ลมล่อง ลมว่าว ลมาด ลมเสีย ลมแดง ลมแล้ง ลมๆ ลรรลุง ลลนา
+ลลาฎ ลลาฏ ลลิต ลวก ลวง ลวงค์ ลวงตา ลวณะ ลวด ลวดลาย ลวนลาม ลวนะ ลวะ ลวิตร ลสิกา ลหุ ลหุก ลหุโทษ ลอก ลอกลาย ลอการิทึม ลอกเลน ลอกแลก ลอง ลองกอง ลองจิจูด
+ลองดี ลองเพลย์ ลองใจ ลองใน ลองไน ลอจิค ลอด ลอด์จ ลอตเตอรี่ ลอน ลอนดริ ลอนดอน ลอนทอง ลอนเทนนิส ลอบ ลอบกัด ลอม ลอมชอม ลอมบอก ลอมพอก ลอมเบลน ลอย ลอยคอ
+ลอยชาย ลอยดอก ลอยตัว ลอยนวล ลอยบาป ลอยฟ้า ลอยลำ ลอยสาย ลอยเมฆ ลอยแพ ลอยๆ ลอร์ด ลอร์เรนเซียม ลอว์ซอไนต์ ลอว์เรนเซียม ลอสแองเจลิส ลออ ลอแลนด์ ละ ละกล
+ละคร ละครยก ละคิ ละคึก ละงาด ละงิด ละงู ละติจูด ละติน ละทิ้ง ละบม ละบอง ละบัด ละบือ ละพยศ ละมั่ง ละมา ละมาน ละมือ ละมุ ละมุด ละมุน ละม่อม ละม้าย ละรี
+ละลด ละลวย ละลอก ละลัง ละลัด ละลาน ละลาบ ละลาย ละลิบ ละลุง ละลุม ละล้วง ละล้า ละล้าว ละวล ละวาง ละวาด ละว้อ ละว้า ละหมาด ละหลัด ละหาน ละหานทราย ละหุ่ง
+ละห้อย ละอง ละออง ละอาย ละอุ่น ละเบ็ง ละเมอ ละเมาะ ละเมิด ละเมิน ละเมียด ละเม็ด ละเลง ละเลย ละเลาะ ละเลิง ละเลียด ละเล้า ละเวง ละเว้น ละเหย ละเหี่ย
+ละเอียด ละแม ละแมะ ละแวก ละแอน ละโบม ละโมก ละโมบ ละโว้ ละไม ละไล้ ละไว้ ลัก ลักกาดิฟ ลักขณะ ลักขณา ลักขะ ลักขี ลักพา ลักลอบ ลักลาย ลักศพ ลักษณะ
+ลักษณะเกียรติ ลักษณ์ ลักษมี ลักษะ ลักสี ลักเซมเบอร์ก ลักเพศ ลักไก่ ลัคกี้ ลัคคะ ลัคน ลัคนา ลัคน์ ลัง ลังกา ลังคิ ลังถึง ลังลอง ลังสาด ลังเกแลนด์ ลังเล
+ลัชชา ลัชชี ลัญจกร ลัญจ์ ลัญฉ ลัญฉกร ลัญฉน์ ลัญฉ์ ลัฐิ ลัด ลัดคิว ลัดวงจร ลัดา ลัดแลง ลัทธิ ลัทธ์ ลัน ลันช์ ลันซาโรเต ลันดา ลันทวย ลันเต ลันเตา ลันโทม
+ลันไต ลับ ลับตา ลับปาก ลับลี้ ลับล่อ ลับหู ลับแล ลัพธิ ลัพธ์ ลัภนะ ลัภย์ ลัมพ์ ลัย ลัยกาล ลัยคต ลั่ง ลั่น ลั่นทม ลั่นนก ลั่นไก ลา ลาก ลากลับ ลากษา
+ลากอส ลาขา ลาง ลางคัล ลางงิด ลางที ลางลิง ลางสาด ลางาด ลาช ลาซา ลาซาล ลาซูไรต์ ลาซูไลต์ ลาญ ลาญทัก ลาด ลาดกระบัง ลาดทวีป ลาดบัวหลวง ลาดพร้าว ลาดยาง
+ลาดยาว ลาดหลุมแก้ว ลาดเท ลาดเลา ลาตาย ลาน ลานนาบุญ ลานสะกา ลานสัก ลาบ ลาบวน ลาป ลาปาซ ลาพอน ลาพิสลาซูลี ลาพุ ลาภ ลาม ลามก ลามปาม ลามลวน ลามะ ลาย
+ลายขัด ลายตา ลายน้ำ ลายมือ ลายสอ ลายสอง ลายสาบ ลายสือ ลายฮ่อ ลายเทศ ลายเท้า ลายแทง ลายไม้ ลาลนะ ลาลส ลาลา ลาว ลาวก ลาวัณย์ ลาวา ลาสนะ ลาเง็ด ลาเท็กซ์
+ลาเพ ลาเวนเดอร์ ลาโนลิน ลาโรง ลาโลก ลาไน ลำ ลำคลอง ลำงาด ลำดวน ลำดับ ลำตัด ลำต้น ลำธาร ลำนัก ลำนำ ลำน้ำ ลำบอง ลำบาก ลำบุ ลำปาง ลำปำ ลำพวน ลำพอง ลำพัง
+ลำพู ลำพูน ลำภุขัน ลำมาด ลำมาบ ลำยอง ลำยา ลำลอง ลำลาบ ลำลำ ลำลึก ลำลูกกา ลำสาลี ลำหนัก ลำหิน ลำห้วย ลำอุด ลำเข็ญ ลำเค็ญ ลำเจียก ลำเจียกบุญช่วย ลำเนา
+ลำเพา ลำเพ็ญ ลำเมาะ ลำเลาะ ลำเลิก ลำเลียง ลำเสา ลำเอียง ลำแข ลำแขน ลำแข็ง ลำแข้ง ลำแพง ลำแพน ลำแสง ลำโพง ลำโอง ลำไพ่ ลำไย ลำไส้ ลำไส้เล็ก ลำไส้ใหญ่ ลิ
+ลิกขา ลิกษา ลิกุจ ลิกูเรียน ลิกไนต์ ลิขนะ ลิขสิทธิ์ ลิขิต ลิควิด ลิคเตนสไตน์ ลิง ลิงการ ลิงก์ ลิงค์ ลิงปิ้ง ลิงลม ลิงโลด ลิด ลิดรอน ลิต ลิตมัส ลิตร
+ลิตเติลร็อก ลิธัวเนีย ลินคอล์น ลินจง ลินลา ลินสีด ลินิกซ์ ลินิน ลิบ ลิบลับ ลิปซิง ลิปดา ลิปต์ ลิปสติก ลิปิ ลิปิกร ลิปโซ ลิฟต์ ลิฟท์แบ็ค ลิมปนะ ลิมป์
+ลิมา ลิมิท ลิมิเตด ลิลลี่ ลิลิต ลิว ลิวแคส ลิสง ลิสท์ ลิสบอน ลิเก ลิเทอร์เรเจอร์ ลิเทียม ลิเบรอะวิล ลิเบอรัล ลิเบอร์ตี้ ลิเบีย ลิเภา ลิเวอร์พูล ลิโนซา
+ลิโมซีน ลิ่น ลิ่ม ลิ่ว ลิ้น ลิ้นจี่ ลิ้นลม ลิ้ม ลี ลีก ลีซอ ลีดเดอร์ ลีนุกซ์ ลีบ ลีลา ลีลาศ ลีลาส ลีวาร์ด ลีฬหา ลี่ ลี้ ลี้ลับ ลึก ลึกลับ ลึกล้ำ ลึงค์
+ลืด ลืบ ลืม ลืมตน ลืมตัว ลืมตา ลืมต้น ลือ ลือชา ลือนาม ลือสาย ลื่น ลื่อ ลื้น ลื้อ ลุ ลุก ลุกลน ลุกลาม ลุกฮือ ลุง ลุงพัง ลุดวิไกต์ ลุต ลุท ลุทกะ ลุทธ์
+ลุปต์ ลุพธกะ ลุพธ์ ลุมป์ ลุมพี ลุมพู ลุย ลุยเซียนา ลุลาย ลุล่วง ลุสา ลุสิกา ลุ่น ลุ่นๆ ลุ่ม ลุ่มพัฒนา ลุ่ย ลุ่ยหู ลุ้ง ลุ้น ลุ้ย ลูก ลูกกก ลูกกรง
+ลูกกุญแจ ลูกขัด ลูกขุน ลูกคอ ลูกคอก ลูกคัน ลูกคำ ลูกคิด ลูกคู่ ลูกค้า ลูกจ้าง ลูกชาย ลูกชิด ลูกซอง ลูกดอก ลูกทอย ลูกนา ลูกน้ำ ลูกบท ลูกบวบ ลูกบอล
+ลูกบาศก์ ลูกบิด ลูกปละ ลูกปลา ลูกปัด ลูกปา ลูกปืน ลูกป่า ลูกผสม ลูกพลู ลูกพี่ ลูกฟัก ลูกฟูก ลูกมือ ลูกยอ ลูกรอก ลูกรัง ลูกลม ลูกลอย ลูกล่า ลูกล้อ
+ลูกวง ลูกวัด ลูกวัว ลูกสาว ลูกสูบ ลูกหนู ลูกหมด ลูกหยี ลูกหลง ลูกหลวง ลูกหาบ ลูกหิน ลูกหีบ ลูกอม ลูกเกด ลูกเขย ลูกเต๋า ลูกเธอ ลูกเห็บ ลูกแตก ลูกแถว
+ลูกแป ลูกแห ลูกโซ่ ลูกโดด ลูกโป่ง ลูกโม่ ลูกโยน ลูกโลก ลูกไก่ ลูกไผ่ ลูกไฟ ลูกไม้ ลูกไล่ ลูขะ ลูชู ลูซอน ลูซากา ลูตา ลูทิเซียม ลูทีเชียม ลูนะ ลูน่าร์
+ลูบ ลูบคม ลูบคลำ ลูบตัว ลูบลิยานา ลูบไล้ ลูอันดา ลูเธอร์รัน ลูโคซีน ลูไซต์ ลู่ ลู่ทาง ล็อก ล็อกอิน ล็อกเกต ล็อค ล็อคเกอร์ ล็อบบี้ ล็อบสเตอร์ ล่ง ล่น
+ล่ม ล่มจม ล่มฟ้า ล่วง ล่วงคำ ล่วงแป ล่วม ล่อ ล่อง ล่องหน ล่อน ล่อนจ้อน ล่อยๆ ล่อลวง ล่อแล่ ล่ะ ล่า ล่าง ล่าช้า ล่าน ล่าม ล่าสุด ล่ำ ล่ำลา ล่ำสัน
+ล้งเล้ง ล้น ล้นพ้น ล้นหลาม ล้นเกล้าฯ ล้ม ล้มลุก ล้วง ล้วน ล้วนๆ ล้อ ล้อม ล้อมป ล้อมวง ล้า ล้าง ล้างสมอง ล้าต้า ล้าน ล้าย ล้ำ ล้ำค่า ล้ำยุค ล้ำแดน วก
+วกะ วกุล วง วงกต วงกบ วงกลม วงการ วงก์ วงจร วงจรปิด วงจรเปิด วงนอก วงพาด วงรี วงล้อม วงวัง วงศกร วงศา วงศ์ วงศ์สว่าง วงษ์ วงษ์ขวัญอนุสรณ์ วงเงิน
+วงเล็บ วงแหวน วงใน วจนะ วจะ วจี วจีเภท วชะ วชิร วชิรธรรม วชิระ วชิราวุธ วฎะ วฎากร วฎุมะ วณบัตร วณพันธน์ วณะ วณิช วณิชชา วณิชยา วณิชย์ วณิพก วดี วตะ
+วทนะ วทะ วทัญญุตา วทัญญู วทานิย วธุกา วธู วน วนจร วนจรก วนภู วนภูมิ วนศาสตร์ วนสณฑ์ วนอุทยาน วนัปติ วนัส วนา วนาดอน วนานต์ วนาราม วนาลัย วนาลี วนาวาส
+วนาศรม วนิดา วนิพก วปนะ วปุ วยัคฆ์ วยัมหะ วยัสย์ วยาฆร์ วยาธิ วรกาย วรงค์ วรจักร วรณะ วรดนู วรทาน วรพิม วรมหาวิหาร วรรค วรรคย์ วรรช วรรชย์ วรรณ
+วรรณกรรม วรรณคดี วรรณนา วรรณพฤติ วรรณยุกต์ วรรณยุต วรรณศิลป์ วรรณะ วรรณี วรรณึก วรรธ วรรธก วรรธนะ วรรษ วรรษา วรวิหาร วรัญญู วรากะ วราหะ วราห์ วรุณ
+วรุตดม วรุตมะ วรูถ วฤก วฤษภ วฤษล วลัช วลัญชน์ วลัญช์ วลัย วลาหก วลี วศะ วศิน วสนะ วสภ วสภะ วสละ วสลี วสวัตตี วสะ วสันตดิลก วสันตวิษุวัต วสันต์ วสา วสี
+วสุ วสุธา วสุนธรา วสุมดี วหะ วหา วอ วอก วอกแวก วอชิงตัน วอด วอดวาย วอน วอฟเฟิล วอยซ์ วอรี่ วอร์ซอ วอร์ม วอร์มซี วอร์มอัพ วอร์แรนท์ วอลตา วอลทซ์
+วอลล์สตรีท วอลสตรีท วอลุ่ม วอลเปเปอร์ วอลเลย์ วอลเลย์บอล วอล์คเอาท์ วอเตอร์พรู๊ฟ วอแว วะ วัก วักกะ วัค วัคคิย วัคคีย์ วัคคุ วัคซีน วัง วังก์ วังชา
+วังชิน วังทรายพูน วังทอง วังทองหลาง วังน้อย วังน้ำเย็น วังวน วังศะ วังสะพุง วังสามหมอ วังเดิม วังเวง วังเหนือ วังใหญ่ วังไผ่ วัจจะ วัจฉก วัจฉละ วัจฉ์
+วัจนะ วัจน์ วัช วัชชะ วัชฌ์ วัชพืช วัชร วัชรพล วัชระ วัชรินทร์ วัชรี วัญจก วัญจนะ วัญฌ์ วัฎ วัฎกะ วัฎฎิ วัฏจักร วัฏฏิ วัฏสงสาร วัฒกะ วัฒกี วัฒน
+วัฒนธรรม วัฒนวงศ์ วัฒนะ วัฒนะสุข วัฒนา วัฒนานคร วัณ วัณฏ์ วัณณะ วัณนา วัณโรค วัด วัดกลาง วัดกล้วย วัดกันตยาราม วัดกำแพง วัดครุฑ วัดคฤหบดี วัดจากแดง
+วัดชมภูเวก วัดด่าน วัดตะพาน วัดทองนาปรัง วัดทางหลวง วัดทุ่งลานนา วัดนครอินทร์ วัดน้อยนอก วัดบางกระสอบ วัดบางน้ำผึ้งนอก วัดบางวัว วัดบางสะแก
+วัดบางหญ้าแพรก วัดบึงทองหลาง วัดบุญรอด วัดปรก วัดปากท่อ วัดผล วัดพระร่วงประสิทธิ์ วัดมัชฌันติการาม วัดยาง วัดรวก วัดลาดปลาเค้า วัดลาดพร้าว วัดลานนาบุญ
+วัดวา วัดสมรโกฎิ วัดสังข์กระจาย วัดสังฆทาน วัดสารอด วัดสิงห์ วัดสีสุก วัดหนัง วัดหลวง วัดเฉลิม วัดเชิงหวาย วัดเทวสุนทร วัดเพลง วัดแดด วัดโบสถ์
+วัดโปรดเกศ วัดใต้ วัต วัตตา วัตต์ วัตถุ วัตถุดิบ วัตถุนิยม วัตถุประสงค์ วัตถุวิสัย วัตถ์ วัตนะ วัตร วัตสดร วัตสะ วัติ วัทน์ วัน วันครู วันจม วันดับ
+วันดัล วันตัว วันต์ วันทน วันทนา วันทนีย์ วันทย วันทยหัตถ์ วันทยาวุธ วันทา วันทิ วันพระ วันฟู วันลอย วันเดอฟุล วันเนา วันโกน วับ วับๆ วัปปะ วัมมิก วัย
+วัลก์ วัลคุ วัลย์ วัลลภ วัลลี วัลเล็ตตา วัว วัส วัสดุ วัสตร์ วัสนะ วัสน์ วัสสะ วัสสานะ วัสโสทก วา วาก วากย วากยสัมพันธ์ วากยะ วากรา วาง วางข้อ วางตัว
+วางตา วางท่า วางมวย วางมาด วางมือ วางยา วางวาย วางแผน วางโต วางใจ วางไข่ วาจก วาจา วาจาล วาจาไ วาฎกะ วาณิช วาณิชย์ วาณี วาด วาดุซ วาต วาตภัย วาตะ วาตา
+วาติกัน วาท วาทก วาทน วาทย วาทยกร วาทย์ วาทศาสตร์ วาทศิลป์ วาทิต วาทิน วาที วาน วานซืน วานร วานรนิวาส วานรินทร์ วานาดิไนต์ วานิช วานิลา วาบ วาบหวาม
+วาบแวบ วาปะ วาปิตะ วาปี วาปีปทุม วาม วามน วามะ วามแวม วาย วายวอด วายสะ วายะ วายามะ วายุ วาร วารณ วารณกร วารสาร วารสารศาสตร์ วาระ วาริ วาริจร วาริช
+วาริชภูมิ วาริท วาริธร วารินชำราบ วารี วารีช วารุณ วารุณประภา วารุณี วาล วาลธิ วาลวีชนี วาลิกา วาลุกา วาล์ว วาว วาววับ วาววาม วาวแวว วาสนะ วาสนา วาสพ
+วาสะ วาสิน วาสี วาหนะ วาหะ วาหินี วาฬ วาฬมิค วาเนเดียม วาเลนไทน์ วาโมร วาโย วิ วิก วิกจะ วิกตอรี่ วิกตอเรีย วิกรม วิกรัย วิกฤต วิกฤตการณ์ วิกฤตกาล
+วิกฤติ วิกฤติการณ์ วิกฤติกาล วิกล วิกลจริต วิกสิต วิกัต วิกัติ วิกัป วิกัย วิการ วิกาล วิกเขป วิคตอเรีย วิคหะ วิฆนะ วิฆาต วิฆาส วิฆเนศ วิง วิงวอน
+วิจฉิกะ วิจตร วิจยุต วิจรณ วิจรณะ วิจล วิจักขณ์ วิจักษณ์ วิจัย วิจาร วิจารณญาณ วิจารณ์ วิจิ วิจิกิจฉา วิจิต วิจิตร วิจิตรการ วิจิตรชัย วิจิน วิจุณ
+วิจุรณ วิชชา วิชชุ วิชชุดา วิชชุลดา วิชญะ วิชน วิชนี วิชย วิชัย วิชั่น วิชา วิชาการ วิชาชีพ วิชาธร วิชานนะ วิชาโท วิชิต วิญญัติ วิญญาณ วิญญู วิญญูชน
+วิฑูรย์ วิณหุ วิด วิดีโอ วิตก วิตถาร วิตามิน วิถี วิทธะ วิทย วิทยฐานะ วิทยะ วิทยา วิทยากร วิทยากล วิทยาการ วิทยาคม วิทยาคาร วิทยาทาน วิทยานิพนธ์
+วิทยาลัย วิทยาศาสตร์ วิทยาศาสตร์กายภาพ วิทยาศาสตร์ชีวภาพ วิทยาศาสตร์ประยุกต์ วิทยาสรรค์ วิทยาเขต วิทยุ วิทยุต วิทย์ วิทวัส วิทารณ์ วิทาลน์ วิทิต วิทู
+วิทูร วิธ วิธวา วิธา วิธาน วิธี วิธุระ วิธู วิธูปนะ วิน วินด์วาร์ด วินย วินันตู วินัย วินาที วินายก วินาศ วินาศกรรม วินาศภัย วินิจ วินิจฉัย วินิจนยภาค
+วินิต วินิบาต วินิปาติก วินเนอร์ วินโดวส์ วินโดว์ วินโดว์ส วิบัติ วิบาก วิบุล วิบุลย์ วิบูล วิบูลย์ วิปการ วิปฏิสาร วิประการ วิประติสาร วิประลาป
+วิประวาส วิปริต วิปลาป วิปลาส วิปวาส วิปักษ์ วิปัสสก วิปัสสกะ วิปัสสนา วิปโยค วิพากษ์ วิพิธทัศนา วิพุธ วิภว วิภวตัณหา วิภังค์ วิภัช วิภัตติ วิภา วิภาค
+วิภาช วิภาดา วิภาวดี วิภาวดีรังสิต วิภาวี วิภาษ วิภาส วิภู วิภูษา วิมน วิมล วิมลัก วิมลาก วิมังสา วิมัติ วิมาน วิมานสุข วิมุข วิมุต วิมุตติ วิมุตยาราม
+วิมเบิลดัน วิร วิรตะ วิรมณะ วิรวะ วิรัช วิรัต วิรัติ วิราคะ วิราม วิริยภาพ วิริยะ วิรุธ วิรุฬหก วิรุฬห์ วิรูป วิลนิอัส วิลย วิลลา วิลล่า วิลันดา วิลัย
+วิลาด วิลาป วิลาวัณย์ วิลาศ วิลาส วิลาสินี วิลเลไมต์ วิลเล็จ วิว วิวรณ์ วิวระ วิวัฏ วิวัฒน วิวัฒนาการ วิวัฒน์ วิวัน วิวาท วิวาห วิวาหมงคล วิวาหะ
+วิวาห์ วิวิจ วิวิต วิวิธ วิศรุต วิศว วิศวกร วิศวกรรม วิศวกรรมศาสตร์ วิศวะ วิศวาส วิศัลย์ วิศาข วิศาขะ วิศาขา วิศางค์ วิศาล วิศุทธิ์ วิศุทธ์ วิษณุ
+วิษธร วิษักต์ วิษัย วิษาณ วิษุวัต วิสกี้ วิสคอนซิน วิสดอม วิสดาร วิสม วิสย วิสรรชนีย์ วิสฤต วิสสุกรรม วิสัชนา วิสัญญี วิสัญญีวิทยา วิสัญญีแพทย์ วิสัย
+วิสาข วิสาขบูชา วิสาขะ วิสาขา วิสามัญ วิสามานยนาม วิสายัน วิสาร วิสารท วิสาล วิสาสะ วิสาหกิจ วิสิฐ วิสุงคามสีมา วิสุทธิจิต วิสุทธิ์ วิสุทธ์
+วิสุทธ์กษัตริย์ วิสูตร วิหค วิหงค์ วิหลั่น วิหายสะ วิหาร วิหารแดง วิหิงสะ วิหิงสา วิฬังค์ วิฬาร วิฬาร์ วิเคราะห์ วิเชียร วิเชียรบุรี วิเทวษ วิเทศ
+วิเทศสัมพันธ์ วิเทอไรต์ วิเทโศบาย วิเนต วิเยน วิเรนทร์ วิเลป วิเวก วิเวียไนต์ วิเศษ วิเศษการ วิเศษชัยชาญ วิเศษณ์ วิเสท วิเหสา วิโนทก วิโมกข์ วิโยค
+วิโรค วิโรจ วิโรจน์ วิโรฒ วิโรธ วิโรธน์ วิโลก วิโลจนะ วิโลม วิไล วิ่ง วิ่งเปี้ยว วิ่น วี วีค วีจิ วีชนี วีซูเวียไนต์ วีซ่า วีณา วีดีทัศน์ วีดีโอ วีต
+วีนัส วีร วีรกรรม วีรชน วีรบุรุษ วีรสตรี วีระ วีสะ วีโต้ วี่วัน วี่แวว วี้ด วุฐิ วุฒ วุฒากาศ วุฒิ วุฒิบัตร วุฒิสภา วุฒิสมาชิก วุด วุบ วุลคาโน
+วุลฟีไนต์ วุลแฟรม วุลแฟรไมต์ วุ่น วุ่นวาย วุ้ง วุ้น วุ้นชา วุ้ย วูดวาด วูบ วูบวาบ วูสไทต์ วู่วาม วู้ วเนจร วโนทยาน วโรกาส วโรดม วโรตมะ ว่อง ว่องไว
+ว่อน ว่า ว่าการ ว่าขาน ว่าง ว่าที่ ว่าน ว่าย ว่ายตา ว่ายาก ว่าว ว่าวอน ว้า ว้าง ว้าย ว้าวุ่น ว้าเหว่ ศก ศกกันต์ ศกฏ ศกล ศกุน ศกุนต์ ศกุนิ ศกุนี ศงกา
+ศจี ศดก ศต ศตก ศตบาท ศตปที ศตพรรษ ศตวรรษ ศตัฆนี ศนิ ศนิวาร ศพ ศยนะ ศยาม ศยามล ศร ศรภ ศรมณะ ศรรกรา ศรวณะ ศรัณยู ศรัณย์ ศรัถนะ ศรัท ศรัทธา ศรันย์ ศรัย
+ศราทธ ศราพ ศราพก ศรายุทธ ศรายุธ ศราวณะ ศราสน์ ศรี ศรีจันทร์ ศรีตรัง ศรีธัญญา ศรีธาตุ ศรีนคร ศรีนครพัฒนา ศรีนครินทรวิโรฒ ศรีนครินทร์ ศรีนวล ศรีบุญยืน
+ศรีบุญเรือง ศรีปทุม ศรีประจักษ์ ศรีประจันต์ ศรีพรสวรรค์ ศรีพิชัย ศรีมหาธาตุ ศรีมหาโพธิ์ ศรีรัตนศาสดาราม ศรีราชา ศรีวรา ศรีวิจารณ์ ศรีวิไล ศรีศุภโชค
+ศรีษะ ศรีษะเกษ ศรีสงคราม ศรีสร้อยทอง ศรีสวัสดิ์ ศรีสะเกษ ศรีสัชนาลัย ศรีสาคร ศรีสำโรง ศรีสุข ศรีสุดาราม ศรีสุพรรณ ศรีอยุธยา ศรีอักษร ศรีอัมพร
+ศรีเชียงใหม่ ศรีเทพ ศรีเมืองวัฒน์ ศรีเอี่ยม ศรุต ศรุติ ศฤคาล ศฤงคาร ศฤงค์ ศลภ ศลัถ ศลิษฎ์ ศลิษา ศว ศวศุร ศวัส ศวัสน ศวา ศวาส ศศธร ศศิ ศศิธร ศศิน ศสา
+ศอ ศอก ศอกกำ ศอกคู้ ศักดา ศักดานุภาพ ศักดิ ศักดินา ศักดิ์ ศักดิ์ศรี ศักดิ์สิทธิ์ ศักติ ศักย ศักยภาพ ศักยะ ศักย์ ศักร ศักราช ศังกร ศังกา ศังกุ ศัตรู
+ศัทธนะ ศันสนะ ศันสนีย์ ศัพทมูลวิทยา ศัพท์ ศัยยา ศัล ศัลกี ศัลย ศัลยกรรม ศัลยศาสตร์ ศัลยแพทย์ ศัสดร ศัสตร ศัสตรา ศาก ศากตะ ศากย ศากยพุทธ ศากยมุนี ศากยะ
+ศาฎก ศาฐยะ ศาณ ศาต ศาตราจารย์ ศานต ศานตรส ศานติ ศานติก ศานต์ ศาป ศาพร ศารท ศารทวิษะวัต ศารทูล ศาริกา ศาล ศาลสูง ศาลหลักเมือง ศาลอุธรณ์ ศาลา ศาลาลอย
+ศาลาแดง ศาลเจ้าแป๊ะกง ศาลโลก ศาศวัต ศาสก ศาสดา ศาสดาจารย์ ศาสตร ศาสตรา ศาสตราจารย์ ศาสตร์ ศาสน ศาสนจักร ศาสนะ ศาสนา ศาสนาจารย์ ศาสนีย ศาสนูปถัมภก
+ศาสน์ ศาส์น ศิกษก ศิการ ศิขร ศิขริน ศิขรี ศิขา ศิคาล ศิงขร ศิต ศิถี ศิพิระ ศิร ศิระ ศิรา ศิริ ศิริชัย ศิริถาวร ศิรินันท์ ศิริพงษ์ ศิริพงษ์ธรรมนิมิตร
+ศิริมงคล ศิริราช ศิริวัฒน์ ศิริสัมพันธ์ ศิริอักษร ศิริโชติ ศิลป ศิลปกร ศิลปกรรม ศิลปการ ศิลปกิจ ศิลปวิทยา ศิลปศาสตร์ ศิลปศึกษา ศิลปะ ศิลปากร ศิลปิน
+ศิลปี ศิลป์ ศิลา ศิลานนท์ ศิว ศิวลึงค์ ศิวะ ศิวิไลซ์ ศิวเวท ศิวโมกข์ ศิศีระ ศิศุ ศิษฎิ ศิษฏ์ ศิษยานุศิษย์ ศิษย์ ศิโรราบ ศีขร ศีขรภูมิ ศีขริน ศีขรี ศีต
+ศีตกาล ศีตล ศีรษะ ศีล ศีลวัต ศีลอด ศึก ศึกษา ศึกษาธิการ ศึกษานิเทศก์ ศึกษาภัณฑ์ ศึกษาวิทยา ศึกษาสงเคราะห์ ศุกร ศุกร์ ศุกล ศุกลัม ศุกะ ศุจิ ศุทธ ศุน
+ศุภ ศุภกร ศุภนิมิต ศุภมงคล ศุภมัสดุ ศุภมาตรา ศุภมาส ศุภมิตร ศุภร ศุภวิทยา ศุภอักษร ศุภางค์ ศุภเคราะห์ ศุลก ศุลกากร ศุลการักษ์ ศุลี ศุษิร ศูกร ศูทร
+ศูนย ศูนย์ ศูนย์กลาง ศูนย์การค้า ศูนย์ชุมชน ศูนย์วิจัย ศูนย์สัมบูรณ์ ศูนย์สูตร ศูนย์เยาวชน ศูล ศูลิน ษมา ษัฎกะ ษัฏ ษัฑ ษัณ ษัษ ษัษฏี ษัษฐ ษัษฐี ษิโณทก
+สก สกฏ สกฏภาร สกนธ์ สกปรก สกรรจ์ สกรัม สกริปท์ สกรีน สกล สกลนคร สกลโลก สกวาที สกอตแลนด์ สกอร์ สกอร์เปียน สกังค์ สกัด สกา สกาว สกิน สกิรอส สกี สกีน้ำ
+สกุณ สกุณา สกุณี สกุตเทอรูไดต์ สกุน สกุนต์ สกุล สกุลชัย สกู้ตเตอร์ สกู๊ตเตอร์ สกู๊ป สก๊อต สขะ สคริปต์ สคอโรโดต์ สคูล สง สงกร สงกรานต์ สงกา สงขลา สงคร
+สงคราม สงครามกลางเมือง สงครามโลก สงค์ สงฆ์ สงบ สงบเสงี่ยม สงวน สงวนสุข สงสัย สงสาร สงสารวัฏ สงัด สงเคราะห์ สงเษป สงโกจ สง่า สจ๊วต สณฑ์ สด สดก สดคาว
+สดชื่น สดน สดมภ์ สดับ สดับปกรณ์ สดำ สดี สดุดี สดูป สดใส สตมาหะ สตรอนเชียม สตริกนิน สตริง สตรี สตรีจำนงค์ สตรีวิทยา สตอก สตอกโฮล์ม สตอเรจ สตอโรไลต์
+สตันท์แมน สตันย์ สตัพธ์ สตัฟฟ์ สตัมภ์ สตางค์ สตาฟฟ์ สตาร์ท สติ สติบิโคไนต์ สติบไนต์ สติลไบต์ สติสัมปชัญญะ สติ๊ก สติ๊กเกอร์ สตี สตีม สตีเฟไนต์ สตีไทต์
+สตึก สตู สตูป สตูล สต็อค สต๊อก สถน สถบ สถบดี สถล สถลทิน สถลบถ สถลมารค สถวิร สถาน สถานการณ์ สถานภาพ สถานะ สถานี สถานเสาวภา สถาบก สถาบัน สถาบันวิจัย
+สถาปนา สถาปนิก สถาปัตยกรรม สถาปัตยกรรมศาสตร์ สถาพร สถาล สถาวร สถาวะ สถิต สถิตยศาสตร์ สถิตยุทธการ สถิตย์ สถิตย์พร สถิติ สถิติศาสตร์ สถิร สถุล สถูป
+สทิงพระ สทึง สทุม สธน สธุสะ สน สนกระ สนทนา สนทรรศ สนทิศ สนธยา สนธิ สนนราคา สนม สนมเอก สนวน สนอง สนองไข สนองได สนอบ สนอม สนะ สนัด สนัดใจ สนับ สนับงา
+สนับสนุน สนับเพล สนั่น สนาดก สนาน สนาบก สนาบัน สนาม สนามชัยเขต สนามบินน้ำ สนามยิงปืน สนามรบ สนามศุภชลาสัย สนามไชย สนายุ สนิก สนิท สนิธ สนิม สนุก
+สนุกสนาน สนุกเกอร์ สนุข สนุต สนุ่น สนเดก สนเทศ สนเท่ห์ สนแผง สนใจ สบ สบง สบจ สบตา สบถ สบปราบ สบัน สบาย สบายใจ สบู่ สบเสีย สปริง สปริงฟิลด์ สปอดูมีน
+สปอราดัส สปอร์ต สปาย สปาเกตตี สปิตสเบอร์เกน สปิริต สปิเนล สปีช สพัก สพั้น สพาบ สฟาเลอไรต์ สฟีน สภา สภากาชาดไทย สภาค สภาจาร สภาบดี สภาพ สภาพัฒน์ สภาว
+สภาวการณ์ สภาวะ สม สมการ สมการเคมี สมคบ สมควร สมคะเน สมคิด สมจร สมจริง สมจารี สมจิต สมชาย สมญา สมณ สมณศักดิ์ สมณะ สมดุล สมถ สมถะ สมทบ สมนอก สมนัย
+สมนาคุณ สมบัติ สมบุญ สมบูรณาญาสิทธิราชย์ สมบูรณ์ สมบูรณ์สุข สมประดี สมปรารถนา สมปฤดี สมปอง สมปัก สมผุส สมพง สมพงศ์ สมพล สมพาส สมภพ สมภาร สมมต สมมติ
+สมมติฐาน สมมาตร สมมุติ สมมุติฐาน สมมูล สมมูลเคมี สมยศ สมยอม สมร สมรด สมรภูมิ สมรรถ สมรรถนะ สมรรถภาพ สมรส สมรู้ สมฤดี สมฤติ สมฤทัย สมวัย สมวายะ สมวิภา
+สมศรี สมสัก สมสุข สมสู่ สมส่วน สมหวัง สมอ สมอง สมอจีน สมอลไทต์ สมอ้าง สมัค สมัคร สมังคี สมัช สมัชชา สมัญญา สมัต สมัน สมันต์ สมัย สมา สมาคม สมาจาร
+สมาชิก สมาทาน สมาธิ สมาน สมานคติ สมานฉันท์ สมาบัติ สมาพันธรัฐ สมาส สมิง สมิต สมิตสันต์ สมิติ สมิติเวช สมิทซอไนต์ สมิทธิโชติ สมิทธิ์ สมิทธ์ สมี สมีป
+สมีร สมุก สมุฏฐาน สมุด สมุทร สมุทรปราการ สมุทรศาสตร์ สมุทรสงคราม สมุทรสาคร สมุทัย สมุน สมุนไพร สมุห สมุหนาม สมุหนายก สมุห์ สมเญศ สมเด็จ
+สมเด็จพระปิ่นเกล้า สมเด็จเจ้าพระยา สมเพช สมเสร็จ สมโพธน์ สมโพธิ สมโภค สมโภช สมโภชน์ สมโมท สมโยค สมใจ สมใน สม่ำเสมอ สยด สยดสยอง สยนะ สยบ สยมพร สยมภู
+สยอง สยอน สยัมพร สยาม สยามจัสโก้ สยามฟิชชิ่ง สยามสแควร์ สยามเซ็นเตอร์ สยาย สยิว สยิ้ว สยุมพร สยุมภู สยุ่น สรก สรง สรฏะ สรณ สรณคมน์ สรณตรัย สรณะ
+สรณาคมน์ สรดัก สรดึ่น สรดื่น สรตะ สรตัก สรทะ สรทึง สรนุก สรบบ สรภะ สรภัญญะ สรภู สรร สรรคบุรี สรรค์ สรรพ สรรพคุณ สรรพนาม สรรพยา สรรพสามิตร สรรพากร
+สรรพางค์ สรรพาวุธ สรรวง สรรหา สรรเพชญ สรรเสริญ สรลน สรลม สรลอด สรลอน สรละ สรลิด สรล้าย สรวง สรวงเส สรวป สรวม สรวล สรวลเส สระ สระกอ สระดะ สระบุรี
+สระอาด สระแก้ว สรั่ง สราญ สริต สรีร สรีรกิจ สรีรธาตุ สรีรวิทยา สรีรศาสตร์ สรีระ สรีสฤบ สรี้ สรุก สรุง สรุป สรุสระ สรุโนก สรเนาะ สรเพชญ สรเลข สรแทบ
+สรไน สร่ง สร่าง สร้อย สร้อยทอง สร้าง สร้างคอม สร้างสรรค์ สร้างสรรพ์ สร้าวเสียว สฤก สฤคาล สฤต สฤษฎี สฤษฏ์ สล สลด สลบ สลบไสล สลวน สลวย สลอด สลอน สลอย
+สละ สลัก สลักเกลียว สลักเต้ สลัด สลัดได สลับ สลัม สลัว สลา สลาก สลาง สลาด สลาตัน สลาบ สลาย สลิง สลิด สลิป สลิม สลิล สลึก สลึง สลุด สลุต สลุบ สลุมพร
+สล็อต สล้าง สวก สวกรรม สวด สวน สวนจตุจักร สวนดุสิต สวนบัว สวนผึ้ง สวนพลู สวนมะลิ สวนรัฐ สวนลุมพินี สวนสยาม สวนสราญรมย์ สวนสัตว์ดุสิต สวนสุนันทา
+สวนหลวง สวนะ สวนาการ สวนิต สวนีย สวนีย์ สวนเงิน สวนแทง สวนแหลมทอง สวบ สวภาพ สวม สวมกอด สวมรอย สวมเขา สวย สวยงาม สวยม สวยมพร สวยมภู สวร สวรรค สวรรคต
+สวรรคาลัย สวรรคโลก สวรรค์ สวรรยา สวอป สวะ สวัสดิการ สวัสดิการทหาร สวัสดิภาพ สวัสดิ์ สวัสดิ์อำนวยเวทย์ สวัสดี สวัสติกะ สวา สวาคต สวาง สวาซิแลนด์ สวาด
+สวาดิ สวาท สวาบ สวาปาม สวามิ สวามิภักดิ์ สวามี สวาย สวายสอ สวาสดิ์ สวาหะ สวิง สวิตช์ สวิตซ์ สวิสเซอร์แลนด์ สวี สวีเดน สว่าง สว่างอารมณ์ สว่างแดนดิน
+สว่างไสว สว่าน สว้าน สสาร สสารนิยม สสุระ สสุรี สห สหกรณ์ สหการ สหจร สหชาต สหชาติ สหธรรม สหบาน สหประชาชาติ สหพันธรัฐ สหพันธ์ สหภาพ สหภาพแรงงาน สหมิตร
+สหรัฐ สหรัฐอเมริกา สหรัฐฯ สหวิริยา สหศึกษา สหัช สหัมบดี สหัส สหัสขันธ์ สหัสนัยน์ สหัสวรรษ สหัสสะ สหัสา สหาย สอ สอง สองผม สองพระ สองพี่น้อง สองฤดู
+สองใจ สองไม้ สอด สอดคล้อง สอดรู้ สอดแนม สอดใส่ สอดไส้ สอน สอบ สอบถาม สอบสวน สอบไล่ สอพลอ สอย สอยดาว สอยผม สะ สะกด สะกอ สะกา สะกาง สะการะ สะกิด สะคราญ
+สะคร้อ สะค้าน สะดม สะดวก สะดัก สะดิ้ง สะดึง สะดือ สะดุด สะดุ้ง สะตอ สะตึ สะตือ สะตุ สะทก สะทน สะทึก สะทึน สะท้อน สะท้าน สะบะ สะบัก สะบักสะบอม สะบัด
+สะบัดสะบิ้ง สะบั้น สะบิ้ง สะบู สะบ้า สะบ้าย้อย สะพรัก สะพรั่ง สะพรึบ สะพัก สะพัง สะพัด สะพั้น สะพาน สะพานควาย สะพานคู่ สะพาย สะระตะ สะระแหน่ สะลาง
+สะลึมสะลือ สะล้อ สะวี้ดสะว้าด สะสม สะสวย สะสาง สะอาง สะอาด สะอิดสะเอียน สะอิ้ง สะอึก สะอื้น สะอ้าน สะเกะ สะเก็ด สะเดา สะเดาะ สะเด็ด สะเต๊ะ สะเทิน
+สะเทิ้น สะเทือน สะเทื้อน สะเพร่า สะเภา สะเมิง สะเอว สะเออะ สะเอ้ง สะแก สะแบง สะและน้อย สะโตก สะโพก สะโมง สะโอดสะอง สะใจ สะใภ้ สะไบ สะไอ สัก สักกะ
+สักกาย สักการ สักขรา สักขี สักฏะ สักวา สักว่า สักหลาด สัขยะ สัค สังกมทรัพย์ สังกร สังกรณี สังกะตัง สังกะสี สังกัด สังกัปปะ สังกา สังการ สังกาศ สังข
+สังขกร สังขต สังขยา สังขละบุรี สังขลิก สังขวัฒนะ สังขะ สังขาร สังข์ สังข์กระจาย สังค สังคญาติ สังคม สังคมนิยม สังคมวิทยา สังคมศาสตร์ สังคมศึกษา
+สังคมสงเคราะห์ สังคห สังคหะ สังคัง สังคาตา สังคายนา สังคายนาย สังคีต สังคีติ สังค์ สังฆ สังฆกรรม สังฆทาน สังฆนายก สังฆปาโมกข์ สังฆมณฑล สังฆมนตรี
+สังฆราช สังฆสภา สังฆาฏิ สังฆาทิเลส สังฆานุสติ สังฆาวาส สังฆเถระ สังฆเภท สังวร สังวัธยาย สังวาล สังวาส สังสดมภ์ สังสนทนา สังสรรค์ สังสาร สังสารวัฏ
+สังสิทธิ์ สังหร สังหรณ์ สังหาร สังหาริมทรัพย์ สังหิต สังเกต สังเกตการณ์ สังเขป สังเคราะห์ สังเวคะ สังเวช สังเวย สังเวียน สังโขภ สังโยค สังโยชน์ สัจ
+สัจกิริยา สัจจะ สัจญาณ สัจธรรม สัจนิยม สัจพจน์ สัชฌ สัชฌกร สัชฌุ สัญจร สัญจาร สัญชาต สัญชาตญาณ สัญชาติ สัญฌา สัญญา สัญญาณ สัญญี สัญประกาศ สัญลักษณ์
+สัญเจตนา สัญโยค สัฐิ สัณฐาน สัณฑ์ สัณห์ สัด สัดจอง สัดส่วน สัต สัตการ สัตตบงกช สัตตบรรณ สัตตะ สัตตาห สัตตู สัตถ สัตถา สัตถิ สัตถุ สัตบถ สัตบรรณ
+สัตบุรุษ สัตม สัตมะ สัตย สัตยวาที สัตยาธิษฐาน สัตยาบัน สัตย์ สัตว สัตวบาล สัตววิทยา สัตวา สัตวาร สัตวแพทย์ สัตวโลก สัตว์ สัตสดก สัตหีบ สัทธรรม สัทธา
+สัทศาสตร์ สัน สันกำแพง สันดอน สันดาน สันดาป สันตติ สันตะปาปา สันติ สันติภาพ สันติภูมิ สันติราษฎร์ สันติสุข สันติอโศก สันต์ สันถระ สันถว สันถวะ
+สันถวไมตรี สันถัต สันถาร สันทนะ สันทนาการ สันทราย สันทะ สันทัด สันทาน สันทิส สันธาน สันนิบาต สันนิวาส สันนิษฐาน สันนิเวส สันป่าตอง สันรวง สันลึก
+สันสกฤต สันเขา สันเดก สันเทส สันเทห สันโดษ สับ สับนก สับปลับ สับปะรด สับสน สับเงา สับโขก สัปคับ สัปด สัปดน สัปดาห์ สัปต สัปตศก สัปทน สัปปะ สัปปิ
+สัประยุทธ์ สัปหงก สัปเหร่อ สัพ สัพพะ สัพพัญญู สัพยอก สัพเพเหระ สัมบูรณ์ สัมปชัญญะ สัมปทา สัมปทาน สัมปยุต สัมประสิทธิ์ สัมประหาร สัมปรายภพ สัมปรายิกภพ
+สัมปัญญาวาส สัมปโยค สัมผัส สัมพล สัมพัทธ์ สัมพันธน์ สัมพันธภาพ สัมพันธมิตร สัมพันธวงศ์ สัมพันธไมตรี สัมพันธ์ สัมพาธะ สัมพุทธะ สัมภวะ สัมภัต สัมภาร
+สัมภาระ สัมภาษณ์ สัมมนา สัมมัปธาน สัมมา สัมมาชีพ สัมฤทธิ์ สัมโพธิ สัมโมทนียกถา สัยน์ สัลลาป สัลเลข สัสดี สัสต สัสสะ สัสสุ สัสสุระ สั่ง สั่งสม สั่น
+สั้น สา สาก สากรรจ์ สากล สากลแลนด์ สากษิน สากัจฉา สากิย สาขา สาคร สาคู สาคเรศ สาง สางห่า สาฎก สาฏิก สาณ สาณี สาด สาต สาตรา สาทร สาทิส สาทิสลักษณ์ สาทุ
+สาธก สาธยา สาธยาย สาธร สาธารณ สาธารณชน สาธารณประโยชน์ สาธารณภัย สาธารณรัฐ สาธารณสุข สาธารณะ สาธารณูปการ สาธารณูปโภค สาธิต สาธุ สาธุการ สาธุชน
+สาธุประดิษฐ์ สาน สานตวะ สานุ สานุศิษย์ สาบ สาบสูญ สาบาน สาป สาปไตย สาม สามขา สามขุม สามคาน สามง่าม สามชุก สามตา สามทหาร สามนต สามนต์ สามพระยา สามพราน
+สามพี่น้อง สามรส สามล สามล้อ สามสกุล สามสิบ สามหลัง สามหาบ สามหาว สามัคคี สามัคคีธรรม สามัญ สามัญสำนึก สามานย สามานย์ สามารถ สามิก สามิต สามินี
+สามิภักดิ์ สามี สามเงา สามเณร สามเมา สามเวท สามเสน สามเหลี่ยม สามแซ่ สามโก้ สามโคก สามไชย สาย สายชู สายซุง สายดิน สายตัว สายตา สายน้ำ สายน้ำผึ้ง
+สายบัว สายบุรี สายปากน้ำ สายพาน สายฟ้า สายยู สายรุ้ง สายลม สายลับ สายสมร สายสินบน สายส่ง สายอักษร สายัญ สายัญห์ สายัณห์ สายเนตร สายเหา สายเอก สายโยก
+สายใจ สายใย สายไหม สาร สารคดี สารตรา สารถี สารท สารทา สารทิศ สารนิเทศ สารบบ สารบรรณ สารบัญ สารบับ สารบาญ สารประกอบ สารพัด สารพัดช่าง สารพัน สารพางค์
+สารภาพ สารภี สารละลาย สารวัด สารวัตร สารสนเทศ สารสัม สารสาสน์ สารสิน สารส้ม สารหนู สารอด สาระ สาระพา สาระแน สารัตถ สารัตถสำคัญ สารัตถะ สารัทธ์ สารัมภ์
+สาราณีย สาราณียกร สารานุกรม สารีริกธาตุ สารูป สารเลว สารไมย สาร์ก สาละ สาละวน สาลิ สาลิกา สาลินี สาลี สาลี่ สาลู สาว สาวก สาวนะ สาวรส สาวิกา สาวิตร
+สาวิตรี สาวแก่ สาวแส้ สาวไส้ สาสนา สาสน์ สาสม สาส์น สาหรี สาหร่าย สาหัตถ สาหัส สาฬุระ สาเก สาเหตุ สาแหรก สาโท สาโรช สาไถย สำ สำคัญ สำซ่าง สำทับ สำนวด
+สำนวน สำนอง สำนัก สำนักงาน สำนักสงฆ์ สำนาน สำนึก สำนึง สำบอก สำบัดสำนวน สำปะลอ สำปะหลัง สำปั้น สำมะงา สำมะลอ สำมะหา สำมะเลเทเมา สำมะโน สำมะโนครัว สำรด
+สำรวจ สำรวม สำรวย สำรวล สำรอก สำรอง สำรับ สำราก สำราญ สำราญดีศรีตะ สำราญราษฎร์ สำริด สำลัก สำลาน สำลี สำสา สำส่อน สำหรวด สำหรับ สำหา สำออย สำอาง สำเนา
+สำเนียง สำเภา สำเรา สำเริง สำเร็จ สำเร็จรูป สำเส็ด สำเหนียก สำเหร่ สำแดง สำแลง สำโรง สำโรงทาบ สิ สิกขา สิกขาบท สิกขิม สิกข์ สิขร สิขรี สิขา สิขานล
+สิขี สิขเรศ สิคาล สิง สิงขร สิงคลี สิงคาร สิงคาล สิงคี สิงคโปร์ สิงค์ สิงสาราสัตว์ สิงสู่ สิงห สิงหนาท สิงหบัญชร สิงหรา สิงหราช สิงหล สิงหลก สิงหาคม
+สิงหาสน์ สิงห์ สิงห์บุรี สิงโต สิชล สิญจ สิญจน์ สิญจ์ สิต สิถิล สิทธ สิทธา สิทธารถ สิทธาราม สิทธิ สิทธิชัย สิทธิสภาพนอกอาณาเขต สิทธิ์ สิธยะ สิน สินค้า
+สินทรัพย์ สินทวี สินธพ สินธุ สินธุร สินบน สินสอด สินสุข สินะ สินาด สินี สินเทา สินเธาว์ สินเหลือ สินแร่ สินใช้ สินไถ่ สินไหน สินไหม สิบ สิปปะ สิพนะ
+สิมพลี สิร สิระ สิริ สิริก สิริเทพ สิลา สิว สิวิกา สิหนา สิเกา สิเนรุ สิเนหก สิเนหะ สิเนหา สิเน่หา สิโรดม สิโลก สิ่ง สิ่งของ สิ่ว สิ้น สิ้นชีพ
+สิ้นชีพิตักษัย สิ้นพระชนม์ สิ้นลม สิ้นใจ สี สีกรุด สีกัน สีกา สีกุน สีข้าง สีคิ้ว สีฆ สีจัก สีชมพู สีด สีดอ สีต สีตล สีต้น สีน้ำเงิน สีผึ้ง สีฝัด สีมา
+สีลม สีวิกา สีสอ สีสะ สีสัน สีสา สีสุก สีห สีหนาท สีหน้า สีหราช สีห์ สีโตทก สีไฟ สี่ สี่บท สี่พระยา สี่เหลี่ยม สี่ไชยทอง สี้ สึก สึกหรอ สึง สืบ สืบค้น
+สืบทอด สืบพันธุ์ สืบสวน สืบสาน สืบสาย สืบหา สืบหูก สืบไป สื่อ สื่อมวลชน สื่อสาร สุ สุก สุกข์ สุกงอม สุกดิบ สุกร สุกรม สุกัญญกิจ สุกำ สุกี้ยากี้ สุกแดด
+สุกใส สุข สุขตา สุขนาฏกรรม สุขนิเวศน์ สุขภัณฑ์ สุขภาพ สุขร่วมกัน สุขลักษณะ สุขวิทยา สุขศึกษา สุขสม สุขสวัสดิ์ สุขสันต์ สุขสาคร สุขา สุขาภิบาล สุขารมณ์
+สุขาวดี สุขิน สุขี สุขุม สุขุมวิท สุขุมาล สุขใจ สุคต สุคติ สุคนธ สุคนธรส สุคนธสวัสดิ์ สุคนธ์ สุคันธาราม สุคันธ์ สุคิริน สุงก สุงกากร สุงสิง สุจริต
+สุจหนี่ สุจะ สุจิ สุจิต สุจิตร สุชน สุชา สุชาดา สุญ สุญญากาศ สุญตา สุญนิยม สุณ สุณหา สุณิสา สุด สุดกู่ สุดขีด สุดคน สุดคิด สุดจิต สุดท้าย สุดนรี
+สุดประเสริฐ สุดภักดี สุดวิสัย สุดสาคร สุดา สุดแต่ สุดใจ สุต สุตกวี สุตตะ สุตา สุติ สุทธ สุทธาราม สุทธาวาส สุทธิ สุทธิพร สุทธิวราราม สุทธิสาร
+สุทธิสารวินิจฉัย สุทธ์ สุทัศน์ สุธา สุธารส สุธารสชา สุธาวาส สุธาสี สุธี สุนทร สุนทรพจน์ สุนทรศิริ สุนทรี สุนทรีย สุนทรียภาพ สุนทรียศาสตร์ สุนทรโกษา
+สุนัข สุนันท์ สุนิภา สุบดี สุบรรณ สุบิน สุปาณี สุพพัต สุพรรณ สุพรรณบัฏ สุพรรณบุรี สุพรรณภาชน์ สุพรรณราช สุพรรณศรี สุพิตร สุพิศมร สุภ สุภร สุภัค สุภา
+สุภาพ สุภาพงษ์ สุภาร่วม สุภาษิต สุม สุมขอน สุมทุม สุมน สุมนะ สุมนัส สุมนา สุมยุง สุมหัว สุมะ สุมาตรา สุมาลี สุร สุรคต สุรงค์ สุรบดี สุรบถ สุรภาพ สุรภี
+สุรวงศ์ สุรศักดิ์ สุรสีหนาท สุรัติ สุรัสวดี สุรา สุรางคนา สุรางคนางค์ สุรารักษ์ สุราลัย สุราษฎร์ธานี สุรินทร์ สุรินัม สุริย สุริยการ สุริยกาล สุริยคติ
+สุริยคราส สุริยง สุริยน สุริยมณฑล สุริยะ สุริยัน สุริยา สุริยุปราคา สุริยเคราะห์ สุริเยนทร์ สุริเยศ สุริโย สุรีย์ สุรุ่ยสุร่าย สุรเสียง สุรโลก สุลต่าน
+สุว สุวภาพ สุวรรณ สุวรรณคีรี สุวรรณคูหา สุวรรณประสิทธิ์ สุวรรณพฤกษ์ สุวรรณภิงคาร สุวรรณภูมิ สุวรรณมณี สุวรรณวาจก สุวรรณสวัสดิ์ สุวรรณาราม สุวาน สุวิชา
+สุวิชานดำริห์ สุวินัย สุวิมล สุษิร สุสาน สุหนัต สุหนี่ สุหร่ง สุหร่าย สุหฤท สุเมธ สุเมรุ สุเรนทร์ สุเหร่า สุเหร่าวังใหญ่ สุโขทัย สุโนก สุไหงปาดี
+สุไหงโกลก สุ่ม สู สูกษม สูง สูงค่า สูงสุด สูงส่ง สูงเนิน สูงเม่น สูจกะ สูจนะ สูจิ สูจิบัตร สูญ สูญหาย สูด สูต สูตร สูตรเคมี สูติ สูติกรรม สูติบัตร
+สูติศาสตร์ สูติแพทย์ สูท สูน สูนุ สูบ สูป สูปการ สูร สูรย สูรย์ สูริ สูสี สูเจ้า สู่ สู่ขอ สู่รู้ สู่สม สู่หา สู้ สเกต สเกตน้ำแข็ง สเกล สเตย์ สเตอริโอ
+สเต็ก สเปก สเปกตรัม สเปกโทรสโคป สเปน สเปรดชีต สเปสซาร์ไทต์ สแกน สแกนเดียม สแคโพไลต์ สแตนดาร์ด สแตนด์ สแตนลีย์ สแตนไนต์ สแปม สแลง สโกปิลอส สโกเปีย สโคป
+สโตรค สโตร์ สโมธาน สโมสร สโรช สโลเวเนีย สโลแกน สไตล์ สไตล์ชีต สไบ สไปริลลัม สไลด์ ส่ง ส่งดอก ส่งตัว ส่งลำ ส่งเดช ส่วน ส่วนลด ส่วนสัด ส่วย ส่อ ส่อง
+ส่องดาว ส่อน ส่อแวว ส่า ส่าน ส่าย ส่าหรี ส่าเหล้า ส่าไข้ ส่ำ ส้น ส้นตีน ส้ม ส้มตำ ส้มทับ ส้มป่อย ส้มฟัก ส้วง ส้วม ส้วย ส้อง ส้อม ส้าง ส้าย หก หกคว่ำ
+หกบท หกล้ม หกหัน หกโล่ หง หงก หงกๆ หงษ์อ่อน หงส หงสคติ หงสบาท หงสรถ หงสราช หงส์ หงอ หงอก หงอด หงอน หงอย หงอยเหงา หงัก หงักๆ หงับๆ หงาย หงำ หงิก หงิง
+หงิงๆ หงิม หงึก หงึกๆ หงุงหงิง หงุดหงิด หงุบ หงุ่ย หง่องๆ หง่อม หง่อย หง่าง หง่าว หญิง หญิบ หญ้า หญ้าฝรั่น หด หดหาย หดหู่ หตะ หทย หทัย หน หนทาง หนวก
+หนวกหู หนวด หนอ หนอก หนอง หนองกี่ หนองกุงศรี หนองขาหย่าง หนองคาย หนองจอก หนองจิก หนองฉาง หนองบัว หนองบัวลำภู หนองบัวแดง หนองพอก หนองวัวซอ หนองสองห้อง
+หนองหญ้าปล้อง หนองหาน หนองเรือ หนองเสือ หนองแขม หนองแค หนองแซง หนองโดน หนองใน หนองใหญ่ หนองไผ่ หนอน หนอนกอ หนัก หนักอก หนักใจ หนัง หนังสือ
+หนังสือพิมพ์ หนังสือเดินทาง หนับ หนั่น หนา หนาด หนาตา หนาน หนาบ หนาม หนาว หนาวใจ หนาหู หนำ หนำซ้ำ หนำเลี้ยบ หนำใจ หนี หนีบ หนี้ หนึก หนึบ หนึ่ง หนืด
+หนุ หนุน หนุบ หนุมาน หนุ่ม หนุ่ย หนู หนูผี หน็อยแน่ หน่วง หน่วย หน่วยกิต หน่วยดาราศาสตร์ หน่อ หน่อย หน่าง หน่าย หน้า หน้ากาก หน้าขา หน้างอ หน้าตา
+หน้าต่าง หน้าที่ หน้าผา หน้าพระลาน หน้าอก หน้าแง หน้าไฟ หมก หมกมุ่น หมด หมดกัน หมดจด หมดตัว หมดตูด หมดบุญ หมดพก หมดพุง หมดรูป หมดอาลัย หมดเขต หมวก
+หมวกเหล็ก หมวด หมอ หมอก หมอง หมองหมาง หมองใจ หมอชิต หมอดู หมอตาล หมอน หมอนข หมอนข้าง หมอบ หมอผี หมอย หมอลำ หมอเทศ หมอเหล็ง หมอไทย หมัก หมักหมม หมัด
+หมัน หมับ หมั่น หมั้น หมา หมาก หมากสง หมากฮอส หมาง หมางใจ หมาจิ้งจอก หมาด หมาบ้า หมาป่า หมาย หมายก หมายความ หมายตา หมายยา หมายเลข หมายเหตุ หมายใจ
+หมาร่า หมาใน หมาไม้ หมิ่น หมิ่นเหม่ หมี หมี่ หมึก หมืน หมื่น หมุด หมุน หมุนเวียน หมุบ หมุบหมิบ หมุ่ย หมู หมูน้ำ หมูป่า หมูยอ หมูสัง หมูสี หมูหยอง
+หมูหัน หมูแดง หมูแนม หมูแฮม หมู่ หมู่บ้าน หม่น หม่นหมอง หม่อ หม่อง หม่อน หม่อม หม่อมแผ้ว หม่า หม่ำ หม้อ หม้อแปลง หม้อแปลงไฟ หม้า หม้าย หยก หยกๆ หยด
+หยวก หยวน หยวนโล้ หยวบ หยอก หยอกเอิน หยอง หยอด หยอน หยอย หยัก หยักศก หยัง หยัด หยัน หยับ หยั่ง หยากไย่ หยาง หยาด หยาดน้ำฟ้า หยาบ หยาม หยาว หยำเป หยิก
+หยิน หยิบ หยิบยก หยิม หยิมๆ หยิ่ง หยี หยี่ หยุ หยุกหยิก หยุด หยุบ หยุบๆ หยุมหยิม หยุ่น หยูกยา หย็องแหย็ง หย่ง หย่วน หย่อง หย่องๆ หย่อน หย่อม หย่อย
+หย่า หย่านม หย้าว หรคุณ หรณ หรดาล หรดี หรบๆ หรรษา หรอ หรอก หรอยๆ หรับๆ หรัสว หรา หริ หริณะ หริต หริตกี หริ่ง หริ่งๆ หรีด หรี่ หรือ หรุบรู่ หรุบหรู่
+หรุบๆ หรุ่ม หรู หรูหรา หร็อมแหร็ม หฤทย หฤทย์ หฤทัย หฤษฏ์ หฤหรรษ์ หฤโหด หล หลง หลงกล หลงตา หลงลม หลงลืม หลงใหล หลด หลน หลบ หลบตา หลบฝาก หลบมุม หลวง
+หลวม หลอ หลอก หลอด หลอดลม หลอดอาหาร หลอน หลอม หลอมละลาย หลอมเหลว หละ หลัก หลักตอ หลักสี่ หลักสี่พลาซ่า หลักสูตร หลักเมือง หลัง หลังค หลังคา หลังสวน
+หลัด หลัดๆ หลับ หลับต หลับตา หลับนก หลับใน หลัว หลั่ง หลั่น หลา หลาก หลากใจ หลาท หลาน หลานหลวง หลาบ หลาบจำ หลาม หลาย หลาว หลาหล หลิก หลิท หลิน หลิม
+หลิว หลิ่ง หลิ่ว หลี หลีก หลีบ หลีฮื้อ หลีโก หลืบ หลุกหลิก หลุด หลุนๆ หลุบ หลุม หลุมพอ หลุมพี หลู่ หล็อน หล่น หล่ม หล่มสัก หล่มเก่า หล่อ หล่อน หล้า
+หวง หวงแหน หวด หวน หวย หวอ หวอด หวะ หวัง หวัด หวัว หวัวร่อ หวั่น หวา หวาก หวาด หวาดระแวง หวาดหวั่น หวาดเสียว หวาดไหว หวาน หวาม หวาย หวำ หวิด หวิว หวี
+หวีด หวี่ หวือ หวุดหวิด หวุม หวูด หว็อย หว็อยๆ หว่า หว่าง หว่าน หว้า หสน หอ หอก หอกซัด หอการค้า หอการค้าไทย หอคอย หอคำ หอง หอน หอบ หอพัก หอม หอมขาว
+หอมยับ หอมหวน หอมแดง หอย หอวัง หอสมุดแห่งชาติ หอสุมด หอไตร หะ หะยี หะหาย หะแรก หะแห้น หัก หักคอ หักมุก หักลำ หักหาญ หักอก หักเห หักแรง หักโหม หักใจ
+หังส หัจญี หัจญ์ หัช หัฏฐะ หัด หัต หัตถ หัตถกรรม หัตถการ หัตถกิจ หัตถบาส หัตถพันธ์ หัตถศิลป์ หัตถศึกษา หัตถาจารย์ หัตถาภรณ์ หัตถาลังการ หัตถินี หัตถี
+หัตถเลขา หัตถ์ หัน หันคา หันตรา หันตา หันเห หับ หับเผย หัย หัว หัวขาด หัวข้อ หัวคิด หัวค่ำ หัวงอน หัวงาน หัวซุน หัวตะพาน หัวต่อ หัวถอก หัวที หัวนม
+หัวนอก หัวนอน หัวน้ำ หัวบัว หัวบุก หัวปลี หัวปาก หัวปี หัวป่า หัวพัน หัวมัน หัวรอ หัวร่อ หัวลม หัวลำโพง หัวลิง หัวสูง หัวหด หัวหน้า หัวหมอ หัวหมาก
+หัวหมู หัวหาด หัวหิน หัวอก หัวออก หัวเฉียว หัวเราะ หัวแรง หัวโขน หัวโจก หัวใจ หัวไทร หัวไม้ หัวไส้ หัส หัสดิน หัสดินทร์ หัสดิเสวี หัสดี หัสตะ หัสต์
+หั่น หั้น หา หาก หากว่า หากิน หาความ หาง หางขอด หางค้อ หางดง หางนาค หางปลา หางยาม หางยาว หางหนู หางเลข หางแถว หางแพน หางไก่ หางไหล หาญ หาด หาดก
+หาดใหญ่ หาน หาบ หาบเร่ หาม หามรอก หามิได้ หาย หายกัน หายขาด หายตัว หายนะ หายหัว หายใจ หาร หารร่วมมาก หาริ หาริน หารือ หาลิท หาว หาวนอน หาส หาสก หาสยะ
+หาสู่ หาเงิน หาเหตุ หาไม่ หำ หิงคุ หิงสา หิงห้อย หิด หิต หิตกร หิน หินงอก หินชนวน หินชั้น หินดินดาน หินตะกอน หินทราย หินน้ำมัน หินปูน หินยาน หินย้อย
+หินสบู่ หินหนืด หินอัคนี หินเหล็กไฟ หินแปร หินแลง หิม หิมพาน หิมพานต์ หิมวัต หิมวา หิมวาต หิมวาน หิมวาส หิมะ หิมาลัย หิมเวศ หิรัญ หิรัญบัฏ หิริ หิว
+หิวโหย หิ่งห้อย หิ้ง หิ้ว หี หีด หีตา หีน หีนยาน หีบ หีบชัก หีบสไบ หีบห่อ หีเต่า หึ หึง หึงส หึ่ง หืด หืน หือ หื่น หื้อ หุง หุต หุตายน หุน หุนหัน หุบ
+หุบปาก หุบผา หุบเขา หุบเหว หุยฮา หุรัม หุ่น หุ้น หุ้นลม หุ้ม หู หูก หูกวาง หูฉลาม หูฉี่ หูชอง หูช้าง หูด หูติ หูตึง หูตูบ หูผึ่ง หูรูด หูหนู หูเบา
+หูเสือ หูไว หูไห หู่ หู่หี่ หโยดม ห่ม ห่มดอง ห่วง ห่วงใย ห่วย ห่อ ห่อตัว ห่อน ห่อหมก ห่อแห ห่า ห่ากิน ห่าง ห่างเห ห่าน ห่าม ห่าลง ห้วง ห้วน ห้วนๆ ห้วย
+ห้วยขวาง ห้วยทับทัน ห้วยยอด ห้วยเม็ก ห้วยแถลง ห้อ ห้อง ห้องน้ำ ห้องเรียน ห้อม ห้อมล้อม ห้อย ห้า ห้าง ห้างฉัตร ห้าม ห้าว ห้าวหาญ ห้ำ ห้ำหัก อก อกคราก
+อกตัญญุตา อกตัญญู อกตั้ง อกทะเล อกนิษฐ์ อกรณีย์ อกรรมกริยา อกรวบ อกร่อง อกหัก อกัปปิยะ อกุศล อกเต่า อกเลา อกแตก อกโรย อกไก่ อคติ อคาธ อคาร อง องก์ องค
+องคชาต องคชาติ องคพยพ องคมนตรี องคมรรษ องครักษ์ องควิทยา องคาพยพ องคุล องคุลี องคุลีบาท องค์ องค์กร องค์การ องศา องศ์ องอาจ องุ่น อจร อจล อจลา อจิตติ
+อจินตา อจินไตย อจิร อจิระ อช อชา อชิน อชินี อชิร อฏวี อณิ อณุ อณู อด อดทน อดนม อดสู อดอยาก อดออม อดิ อดิถี อดิศร อดิศวร อดิศัย อดิเทพ อดิเรก อดีต
+อดีตกาล อดีตภพ อดุล อดุลย อดุลย์ อดใจ อติ อติชาต อติมานะ อติราช อติสาร อติเรก อทินนาทาน อธรรม อธิ อธิก อธิกมาส อธิกรณ์ อธิกวาร อธิกสุรทิน อธิการ
+อธิการบดี อธิคน อธิคม อธิฏฐาน อธิบดี อธิบาย อธิป อธิปไตย อธิมาตร อธิมุตติ อธิราช อธิวาส อธิศีล อธิษฐาน อธึก อนงคณะ อนงคเลขา อนงค์ อนธการ อนยะ อนรรฆ
+อนรรถ อนล อนวัช อนัญ อนัตตา อนัตถ อนันต อนันตนาค อนันตร อนันต์ อนันต์สุขสันต์ อนัม อนากูล อนาคต อนาคตกาล อนาคามี อนาจาร อนาถ อนาถา อนาทร อนาธิปไตย
+อนามัย อนามิกา อนารย อนารยชน อนารยธรรม อนารยะ อนาลัย อนาล็อก อนำ อนิจ อนิจกรรม อนิจจัง อนิจจา อนิยต อนิยม อนิล อนิลบถ อนิวรรต อนิษฏ์ อนีก อนีกัฐ อนีจ
+อนึก อนึ่ง อนุ อนุกร อนุกรม อนุกรรมการ อนุกาชาด อนุการ อนุกูล อนุจร อนุช อนุชน อนุชา อนุชาต อนุชิต อนุญาต อนุญาโตตุลาการ อนุตร อนุทิน อนุบท อนุบาล
+อนุปริญญา อนุพงศ์ อนุพันธ์ อนุภรรยา อนุภริยา อนุภาค อนุภาพ อนุภาษ อนุมัติ อนุมาตรา อนุมาน อนุมานราชธน อนุมูล อนุมูลกรด อนุรักษนิยม อนุรักษ์ อนุราช
+อนุรูป อนุวงศ์ อนุวงษ์ อนุวัต อนุวาต อนุศาสก อนุศาสตราจารย์ อนุศาสน์ อนุศิษฏ์ อนุสติ อนุสนธิ อนุสร อนุสรณ์ อนุสัญญา อนุสัย อนุสาวรีย์ อนุสาสนี
+อนุเคราะห์ อนุเถระ อนุโพธ อนุโมทนา อนุโยค อนุโลม อบ อบรม อบอวล อบอุ่น อบอ้าว อบาย อบายภูมิ อบายมุข อบเชย อปการ อปจายน อปมงคล อปมาน อปยศ อปร อปรภาค
+อปรมาณ อปรัณ อปรา อปราธ อปวาท อปหาร อปาจี อปาจีน อปิสซิเนีย อพพะ อพยพ อพาร์ตเมนต์ อภว อภัพ อภัพผล อภัย อภัยทาน อภัยโทษ อภิ อภิฆาต อภิจฉา อภิชน อภิชัย
+อภิชัยสงคราม อภิชาต อภิชิต อภิญญา อภิณห อภิธรรม อภิธาน อภินันทนาการ อภินันท์ อภินัย อภินิหาร อภิบาล อภิปรัชญา อภิปราย อภิมหาอำนาจ อภิมานะ อภิมุข
+อภิรดี อภิรมย์ อภิรักษ์ อภิราม อภิรุต อภิรุม อภิรูป อภิลักขิตสมัย อภิวันท์ อภิวาท อภิวาทน์ อภิสมัย อภิสมาจาร อภิสมโพธิ อภิสัมโพธิ อภิสิต อภิสิทธิ์
+อภิเนษกรรม อภิเลปน์ อภิเษก อภิไธย อภูต อม อมก๋อย อมความ อมต อมตบท อมตะ อมนุษย์ อมปาก อมพะนำ อมภูมิ อมมือ อมยิ้ม อมร อมรบดี อมรพันธ์ อมรรัตน์ อมรราช
+อมรวิวัฒน์ อมรา อมราวดี อมรินทร์ อมฤต อมฤตบท อมฤตยู อมฤตรส อมหนอง อมัจจะ อมัตร อมาตย์ อมาวสี อมิตร อมีบา อมเรศ อมโรค อยาก อยุทธ์ อยุธยา อยู่ อยู่คง
+อยู่ดี อยู่เจริญ อยู่เย็น อยู่ไฟ อย่า อย่าง อย่างไร อร อรช อรชร อรชุน อรณ อรดี อรธาน อรนุช อรพิน อรพิม อรรค อรรฆ อรรฆย์ อรรจน์ อรรณพ อรรถ อรรถกร
+อรรถกระวี อรรถการประสิทธิ์ อรรถนพนฤมิตร อรรถบท อรรถประโยชน์ อรรถมิตร อรรถรส อรรถวิภัชน์ อรรถาธิบาย อรรธ อรรธบท อรสุม อรหะ อรหัง อรหัต อรหัน อรหันต
+อรหันต์ อรัญ อรัญประเทศ อรัณย์ อราดี อริ อริน อริย อริยกะ อริยบุคคล อริยผล อริยมรรค อริยสัจ อริยะ อริสโตเติล อริเดียม อรุ อรุณ อรุณอัมรินทร์ อรุโณทัย
+อรุ่ม อรูป อรไท อร่อย อร่าม อร่ามดวงอุทิศ อลงกต อลงกรณ์ อลงการ อลวน อลหม่าน อลอร์สตาร์ อลังการ อลัชชี อลิงค์ อลึ่งฉึ่ง อลเวง อล่องฉ่อง อล่างฉ่าง อวก
+อวกาศ อวจร อวชัย อวชาต อวด อวดดี อวตาร อวน อวนลอย อวนลาก อวบ อวมงคล อวมอำ อวย อวยพร อวยวะ อวล อวสาน อวหาร อวัยวะ อวัสดา อวาจี อวิจี อวิชชา อวิญญู
+อวีจิ อสงไขย อสนีบาต อสภ อสมการ อสมมตร อสมมาตร อสรพิษ อสังกมทรัพย์ อสังหาริมทรัพย์ อสัญ อสัญกรรม อสัญญี อสัญแดหวา อสัตย์ อสา อสาธร อสาธุ อสิ อสิต อสีต
+อสีติ อสุ อสุจิ อสุนี อสุนีบาต อสุภ อสุร อสุรกาย อสุรี อสุเรศ อสูญ อสูร อหังการ อหิ อหิงสา อหิวา อหิวาตกโรค ออ ออก ออกงาน ออกซิเจน ออกซิเดชัน ออกญา
+ออกดอก ออกดิบ ออกตัว ออกทุน ออกท่า ออกบวช ออกปาก ออกฝี ออกรส ออกรับ ออกลาย ออกลูก ออกวัง ออกัสตา ออกแขก ออกแบบ ออกแรง ออกโขน ออกโรง ออกไซด์ ออกไฟ ออด
+ออดิโอ ออดแอด ออดๆ ออตตาวา ออตเทรไลต์ ออนชอร์ ออนซอน ออนซ์ ออนดีมานด์ ออนไลน์ ออปชัน ออปติคัล ออปเจ็กต์ ออฟ ออฟชอร์ ออฟฟิศ ออม ออมชอม ออมซอม ออมฟาไซต์
+ออมสิน ออมอด ออมไบ ออราเคิล ออร์กนี ออร์พิเมนต์ ออร์เซไลต์ ออร์แกน ออร์โทเคลส ออร์ไทต์ ออลบานี ออสซี่ ออสตราล ออสติน ออสเตรีย ออสเตรเลีย ออสเมียม
+ออสโล ออเงิน ออเซาะ ออไจต์ อะคร้าว อะความารีน อะจีน อะซอร์ส อะซุนซิโอน อะซูไรต์ อะดรีนาลิน อะดัก อะดุง อะดูลาเรีย อะตอม อะทาคาไมต์ อะนอร์โทเคลส
+อะนอร์ไทต์ อะนะ อะนั้น อะนาลไซต์ อะนาลไซม์ อะนาเทส อะนี้ อะพาไทต์ อะมอร์กอส อะมีบา อะราโกไนต์ อะร้าอร่าม อะลอร์ อะลัม อะลาบาสเทอร์ อะลาแบนไดต์
+อะลุ่มอล่วย อะลุ้มอล่วย อะลูมินัม อะลูมิเนียม อะลูไนต์ อะสา อะหม อะอื้อ อะเกต อะเคื้อ อะเซทิลีน อะเธนส์ อะเมริเซียม อะเลกซานไดรต์ อะเล็กซานเดอร์
+อะเวนจูรีน อะแจ อะแลสกา อะไร อะไหล่ อัก อักกะ อักข อักขร อักขรวิธี อักขรวิบัติ อักขรสมัย อักขระ อักษร อักษรโสภณ อักษะ อักอ่วน อักเสบ อักโข อักโขภ
+อัคคะ อัคคิ อัคคี อัคนิ อัคนี อัคร อัครชายา อัครมเหสี อัครราชทูต อัครสมณทูต อัง อังกนะ อังกฤษ อังกวด อังกะลุง อังกา อังกาบ อังการา อังกุร อังกุศ
+อังกูร อังก์ อังคณะ อังคณา อังคาร อังคาส อังคุฐ อังฆาต อังทราย อังน้ำ อังรีดูนังต์ อังรึง อังศุ อังศุก อังส อังสกุฏ อังสตรอม อังสนา อังสา อังโกลา
+อัจกลับ อัจจันต์ อัจจัย อัจจิ อัจจุต อัจฉรา อัจฉริยบุคคล อัจฉริยะ อัจนา อัชฌา อัชฌาสัย อัญ อัญขยม อัญชนะ อัญชลี อัญชัน อัญญะ อัญประกาศ อัญมณี อัญรูป
+อัญเชิญ อัฏ อัฏฐ อัฏฐะ อัฏนา อัฐ อัฐทิศ อัฐม อัฐศก อัฐฬส อัฐิ อัฐิมิญชะ อัฒ อัฒจันทร์ อัฒภาค อัฒมณฑล อัฒมาส อัฒรัตติ อัณฑ อัณฑชะ อัณฑะ อัณฑาการ อัณณพ
+อัด อัดฉีด อัดรูป อัดลม อัดแจ อัดแอ อัต อัตคัด อัตชีวประวัติ อัตตชีวประวัติ อัตตะ อัตตา อัตตาธิปไตย อัตถะ อัตถ์ อัตนัย อัตภาพ อัตรชะ อัตรา อัตราส่วน
+อัตราเร็ว อัตลัด อัตวินิบาตกรรม อัตหิต อัตโนมัติ อัททา อัทธ อัทธคต อัทธคู อัธยาย อัธยาศัย อัน อันดก อันดร อันดรอส อันดอร์รา อันดับ อันดามัน อันต อันตก
+อันตกร อันตกาล อันตกิริยา อันตคุณ อันตคุณะ อันตคู อันตร อันตรธาน อันตรภาค อันตรา อันตราย อันตะ อันติก อันติมะ อันทุ อันธ อันธการ อันธพาล อันนะ อันนา
+อันวย อันว่า อันเดอร์ อันเต อันเวส อันโทล อับ อับจน อับปาง อับอาย อับเฉา อัป อัปกะ อัปการ อัปปะ อัปภาคย์ อัปมงคล อัปยศ อัประมาณ อัปราชัย อัปรีย์
+อัปลักษณ์ อัปสร อัปสรสวรรค์ อัปเดต อัปเปหิ อัปเปอร์ อัปเปอร์วอลตา อัพพุท อัพภาน อัพภาส อัพเกรด อัพเดต อัพเดท อัพโหลด อัฟกานิสถาน อัม อัมพ อัมพร
+อัมพฤกษ์ อัมพวัน อัมพวา อัมพา อัมพาต อัมพิล อัมพุ อัมพุช อัมพุท อัมมัน อัมสเตอร์ดัม อัยกะ อัยกา อัยการ อัยกี อัยยะ อัยยิกา อัลจีเรีย อัลตรา
+อัลตราไวโอเลต อัลบั้ม อัลบาเนีย อัลมาอาตา อัลลอย อัศจรรย์ อัศดร อัศว อัศวนึก อัศวิน อัศวินี อัศเจรีย์ อัษฎ อัษฎมะ อัษฎางค์ อัษฎาวุธ อัส อัสชัมชัญ
+อัสดง อัสดงคต อัสดร อัสนี อัสสะ อัสสาสะ อัสสุ อัสสุชล อัสสุธารา อัสเซนชัน อั่ว อั้ก อั้งยี่ อั้งโล่ อั้น อั๊ก อั๊ว อั๋น อา อากร อากรีฮัน อากัป
+อากัปกิริยา อาการ อากาศ อากาศยาน อากาศอำนวย อากูล อาก้า อาขยาต อาขยาน อาคม อาคันตุกะ อาคาร อาคารสงเคราะห์ อาคเนย์ อาฆาต อางขนาง อาจ อาจกล่อม อาจณรงค์
+อาจม อาจมน อาจริย อาจริยวัตร อาจสามารถ อาจหาญ อาจอง อาจาด อาจาร อาจารย์ อาจารี อาจิณ อาชญา อาชญากร อาชญากรรม อาชญากรสงคราม อาชญาศึก อาชญาสิทธิ์ อาชวะ
+อาชา อาชาน อาชาไนย อาชีพ อาชีว อาชีวก อาชีวศึกษา อาชีวะ อาซอฟ อาญา อาญาสิทธิ์ อาฏานา อาณัติ อาณัติสัญญาณ อาณา อาณาจักร อาณานิคม อาณาประโยชน์ อาณาเขต
+อาด อาดุร อาดุลย์ อาดูร อาตม อาตมภาพ อาตมัน อาตมา อาถรรพณ์ อาถรรพ์ อาทร อาทรอุปถัมภ์ อาทาตา อาทาน อาทิ อาทิตย อาทิตย์ อาทีนพ อาทึก อาธรรม อาธาน อาธาร
+อาน อานก อานน อานนท์ อานะ อานันท์ อานัม อานำ อานิสงส์ อานุภาพ อาบ อาบัติ อาบัน อาบิดจัน อาบแดด อาปณกะ อาปณะ อาปะ อาปาน อาพัด อาพาธ อาพิล อาฟกานิสถาน
+อาฟต้า อาฟริกา อาภรณ์ อาภัพ อาภา อาภากร อาภาภิรมย์ อาภาส อาม อามลก อามัย อามิษ อามิส อาย อายต อายตนะ อายน อายัด อายัต อายัน อายาน อายุ อายุขัย อายุธ
+อายุร อายุรศาสตร์ อายุรเวช อายุรเวท อายุรแพทย์ อารดี อารทรา อารบิค อารมณ์ อารย อารยชน อารยชาติ อารยธรรม อารยประเทศ อารยะ อารยะชาติ อารยัน อาระ อารักขา
+อารักษ์ อารัญ อารัติ อารัมภ อารัมภกถา อารัมภบท อารัล อาราธนา อาราม อารามิก อาราเบีย อารี อารีย์ อารีย์สัมพันธ์ อารุม อารู อาร์กติก อาร์กอน
+อาร์กิวเมนต์ อาร์คติก อาร์คันซอ อาร์ต อาร์ฟเวดโซไนต์ อาร์ม อาร์เจนตินา อาร์เจนโทไพไรต์ อาร์เจนไทต์ อาร์เซนอล อาร์เซนิก อาร์เซนิค อาร์เซโนไพไรต์
+อาร์เซโนไลต์ อาร์เรย์ อาลปนะ อาลปน์ อาละวาด อาลักษณ์ อาลัย อาลัว อาลิ อาลิวเชียน อาว อาวรณ์ อาวาส อาวาหะ อาวุต อาวุธ อาวุโส อาศรม อาศรมบท อาศัย อาศิร
+อาศิรวาท อาศุ อาษา อาษาฒ อาสน อาสนะ อาสน์ อาสัญ อาสา อาสาฬห อาสาฬหบูชา อาสาฬห์ อาสิน อาสูร อาหนี อาหนู อาหม อาหร อาหรับ อาหล่า อาหาร อาหุดี อาฬหก
+อาเขต อาเขย อาเจียน อาเชี่ยน อาเซียน อาเด๊ะ อาเทศ อาเพศ อาเมน อาเวค อาเวศ อาเศียร อาเศียรวาท อาเหต อาแคนไทต์ อาแสะ อาโลก อาไบอาง อำ อำนด อำนนต์ อำนรรฆ
+อำนวนสงคราม อำนวย อำนวยผล อำนวยวิทย์ อำนวยศิลป์ อำนาจ อำนาจเจริญ อำนาถ อำนิฐ อำปลัง อำพน อำพราง อำพะนำ อำพัน อำมร อำมฤต อำมหิต อำมาตย์ อำยวน อำรุง
+อำลา อำอวม อำเภอ อำแดง อำไพ อิก อิง อิงค์ อิงค์เจ็ต อิงอร อิงแอบ อิจฉริย อิจฉา อิฉัน อิชยา อิฏฐ อิฏฐารมณ์ อิฐ อิฐผล อิณ อิด อิดดิงไซต์ อิดออด อิดโรย
+อิตถี อิตาลี อิตาเลียน อิตเทรียม อิตเทอร์เบียม อิทธิ อิทธิพล อิทธิฤทธิ์ อิทะกะ อิน อินซูลิน อินดิโคไลต์ อินทนิล อินทผลัม อินทร อินทรธนู อินทรพิทักษ์
+อินทรวงศ์ อินทรวิหาร อินทรวิเชียร อินทรา อินทราราม อินทราเน็ต อินทรี อินทรียสังวร อินทรีย์ อินทร์ อินทร์บุรี อินทามระ อินทุ อินท์ อินธน์ อินน์ อินพุต
+อินฟราเรด อินฟอร์มิก อินัง อินเดีย อินเดียนา อินเดียนาโปลิส อินเดียนแดง อินเดียม อินเดียแนโพลิส อินเตอร์ อินเตอร์เน็ต อินเตอร์เฟส อินเทล อินเทอร์เน็ต
+อินเทอร์เบียม อินเทอร์เฟส อินโดนีเซีย อิมบรอส อิมพอร์ต อิมพีเรียล อิมัลชัน อิมเมจ อิยิปต์ อิรัก อิริยา อิริยาบถ อิริเดียม อิลลินอยส์ อิลู อิลเมไนต์
+อิลไลต์ อิวีซา อิศร อิศวร อิษฏี อิษฏ์ อิส อิสตรี อิสตันบูล อิสร อิสรภาพ อิสระ อิสราเอล อิสริย อิสริยยศ อิสริยะ อิสริยาภรณ์ อิสลาม อิสลามาบัด อิสสา
+อิสิ อิสี อิสเกีย อิหม่าม อิหร่าน อิหลักอิเหลื่อ อิเซตัน อิเทอร์ อิเล็กตรอน อิเล็กทรอนิกส์ อิเล็กโทน อิเหนา อิ่ม อิ่มใจ อี อีก อีกชุก อีกา อีก้อ
+อีก๋อย อีก๋า อีคอมเมิร์ซ อีจิไรต์ อีจู้ อีฉัน อีตาล อีถ่าง อีทุก อีนาร์ไจต์ อีนุงตุงนัง อีนูน อีบึ้ง อีมู อียิปต์ อีรม อีริไทรต์ อีรุ้ง อีลอง
+อีลิวเธอรา อีลุ่ยฉุยแฉก อีลุ้ม อีศ อีศวร อีส อีสป อีสา อีสาน อีสุกอีใส อีหรอบ อีหลี อีเก้ง อีเจียน อีเดไนต์ อีเต้อ อีเทอร์ อีเป็ด อีเป้า อีเพา อีเมล
+อีเมล์ อีเลกทรัม อีเวนต์ อีเหละเขะขะ อีเห็น อีแก อีแก่ อีแก้ อีแปะ อีแล่ง อีแอ่น อีโก้ง อีโก๊ะ อีโต้ อีโน อีโปง อีโลง อีโหลกโขลกเขลก อี่ อี้ อี๊ด อี๋
+อี๋อ๋อ อึ อึก อึกทึก อึกอัก อึง อึงมี่ อึงรึง อึงอล อึด อึดอัด อึดใจ อึน อึมบาบาน อึ่ง อึ้ง อึ้ดทึ่ด อึ๊ก อืด อืดอาด อือ อือออ อื่น อื้น อื้อ อุ อุก
+อุกกา อุกกาบาต อุกฉกรรจ์ อุกฤษฏ์ อุกลา อุกอาจ อุค อุคห อุจ อุจจาร อุจจาระ อุจฉุ อุจาด อุจเฉท อุชุ อุซุมบูรา อุซเบกีสถาน อุฌากรรณ อุฏฐาการ อุณห
+อุณหภูมิ อุณหะ อุณหาการ อุณหิส อุณา อุณาโลม อุด อุดม อุดมการณ์ อุดมคติ อุดมยศ อุดมศึกษา อุดมสุข อุดมเกียรติ อุดร อุดรธานี อุดหนุน อุดอู้ อุดเตา อุตดม
+อุตดร อุตตมะ อุตบล อุตพิด อุตรดิตถ์ อุตรา อุตริ อุตลุด อุตสาห อุตสาหกรรม อุตสาหกรรมศิลป์ อุตสาหะ อุตส่าห์ อุตุ อุตุนิยมวิทยา อุท อุทก อุทกภัย
+อุทกวิทยา อุทกศาสตร์ อุททาม อุทธรณ์ อุทธัจ อุทบาตร อุทบาน อุทยาน อุทร อุทลุม อุทัช อุทัย อุทัยธานี อุทัยธาราม อุทัยรัตน์ อุทาน อุทาร อุทาหรณ์ อุทิศ
+อุทุมพร อุทุมพรพิสัย อุธัจ อุบ อุบล อุบลรัตน์ อุบลราชธานี อุบอิบ อุบะ อุบัติ อุบัติภัย อุบัติเหตุ อุบาท อุบาทว์ อุบาย อุบาสก อุบาสิกา อุบ๊ะ อุป
+อุปกรณ์ อุปกรม อุปการ อุปการะ อุปการี อุปกิเลส อุปจาร อุปถัมภก อุปถัมภ์ อุปทม อุปทาน อุปทูต อุปธิ อุปนัย อุปนายก อุปนิสัย อุปบล อุปมัย อุปมา อุปมาน
+อุปรากร อุปราช อุปริ อุปริม อุปสงค์ อุปสมบท อุปสรรค อุปสัมปทา อุปฮาด อุปัชฌายะ อุปัชฌาย์ อุปัฏฐาก อุปัฏฐานะ อุปัทว อุปัทวันตราย อุปาณ อุปาทาน อุปเทศ
+อุปโภค อุปโยค อุปโลกน์ อุปไมย อุภัย อุมงค์ อุย อุยยาน อุยยาม อุยโยค อุร อุรค อุรณ อุรพี อุรส อุระ อุรังอุตัง อุรา อุรุ อุลป อุลปนะ อุลามก อุลิด อุลูก
+อุลโลจ อุวะ อุษณ อุษณกร อุษณีย์ อุษม อุษา อุสภ อุสวะ อุสา อุสุ อุสุภ อุสุม อุหรับ อุหลบ อุฬาร อุเทกะ อุเทศ อุเบกขา อุเหตุ อุเหม่ อุแว้ อุโฆษ อุโบสถ
+อุโมงค์ อุโลก อุไร อุไรศิลป์ อุ่น อุ่นอนุสรณ์ อุ่ย อุ้ง อุ้งมือ อุ้งเท้า อุ้ม อุ้มชู อุ้มผาง อุ้มสม อุ้ย อุ้ยอ้าย อุ๊ย อู อูฐ อูด อูนนิลควอเดียม
+อูนนิลอูเนียม อูนนิลเทรียม อูนนิลเบียม อูนนิลเพนเทียม อูนนิลเฮกเซียม อูม อูย อูราไลต์ อูรุ อูลานบาตอร์ อูวาโรไวต์ อูอากาดูกู อู่ อู่ทอง อู่ทองนอก
+อู่ทองใน อู่น้ำ อู่ลอย อู้ อู้อี้ อู๋อี๋ อเจลก อเจละ อเนก อเนกคุณ อเนกประสงค์ อเนจอนาถ อเปหิ อเมริกัน อเมริกา อเมริกาเหนือ อเมริกาใต้ อเวจี อเส อเสกข
+อเสกขะ อเสข อแดปเตอร์ อโฆษะ อโณทัย อโนชา อโนดาต อโลภะ อโลหะ อโศก อโหสิ อโหสิกรรม อ็อบเจ็กต์ อ็อพชัน อ่วม อ่อง อ่อน อ่อนข อ่อนนุช อ่อนน้อม อ่อนหัด
+อ่อนหู อ่อนอนุโลม อ่อนเพลีย อ่อนแอ อ่อนใจ อ่อม อ่อย อ่า อ่าง อ่างทอง อ่างล้างหน้า อ่างอาบน้ำ อ่าน อ่าว อ่าวลึก อ่ำ อ้น อ้ม อ้วก อ้วน อ้วนพี อ้อ อ้อน
+อ้อนวอน อ้อนออด อ้อนแอ้น อ้อม อ้อมค้อม อ้อมอก อ้อย อ้อยส้อย อ้อยอิ่ง อ้อแอ้ อ้า อ้าง อ้างว้าง อ้างอิง อ้าซ่า อ้าย อ้าว อ้ำอึ้ง อ๊อด อ๊ะ อ๋อ อ๋อง อ๋อย
+ฮกเกี้ยน ฮวงซุ้ย ฮวงโห ฮวงไฮ ฮวน ฮวนนั้ง ฮวนเฟอร์นันเดซ ฮวบ ฮวบฮาบ ฮอกกี้ ฮอกไกโด ฮองเฮา ฮอด ฮอต ฮอตดอก ฮอนชู ฮอนดูรัส ฮอนโด ฮอนโนลูลู ฮอยน์ ฮอยไนต์
+ฮอร์นเบลนด์ ฮอร์โมน ฮอลลีวู้ด ฮอลันดา ฮอลิวีน ฮอลแลนด์ ฮอส ฮะ ฮะฮ้าย ฮะไฮ้ ฮัก ฮังการี ฮังเล ฮัม ฮัลโล่ ฮั่น ฮั่นแ ฮั้ว ฮา ฮานอย ฮาป่า ฮาม ฮาราคิรี
+ฮาราเร ฮาร์ด ฮาร์ดดิสก์ ฮาร์ดดิสค์ ฮาร์ดแวร์ ฮาร์ตฟอร์ด ฮาลลอยไซต์ ฮาล์ฟ ฮาวานา ฮาวาย ฮาห์เนียม ฮาเร็ม ฮาโลวีน ฮิ ฮิดเดไนต์ ฮิต ฮินดู ฮิปปี้ ฮิปโป
+ฮิปโปโปเตมัส ฮิวมัส ฮิวแลนไดต์ ฮิสทีเรีย ฮิสแปนิโอลา ฮีบรู ฮีมาไทต์ ฮีลิโอโทรป ฮีเลียม ฮีโร่ ฮึ ฮึก ฮึกหาญ ฮึกห้าว ฮึกฮัก ฮึกเหิม ฮึกโหม ฮึด ฮึดฮัด
+ฮึม ฮึย ฮึ่ม ฮึ่ย ฮืด ฮืดฮาด ฮือ ฮื่อ ฮื้อ ฮุด ฮุบ ฮุยเลฮุย ฮูก ฮูม ฮูลา ฮู้ ฮ่วย ฮ่อ ฮ่องกง ฮ่องเต้ ฮ่อม ฮ่อมดง ฮ่ะฮ่า ฮ่า ฮ้อ ฮ้า ฮ้าไฮ้ ฯพณฯ ฯลฯ เก
+เกก เกกมะเหรก เกงกอย เกงเขง เกจิ เกจิอาจารย์ เกจ์ เกชา เกณฑ์ เกด เกตุ เกตุนุติ เกตเวย์ เกทับ เกน เกนๆ เกม เกมส์ เกย เกยลา เกยูร เกย์ เกรง เกรงใจ เกรด
+เกรน เกรนาดา เกรอะ เกราะ เกริก เกริน เกริ่น เกรียก เกรียง เกรียงศักดิ์ เกรียด เกรียน เกรียบ เกรียม เกรียว เกรี้ยว เกรเฮานด์ เกร็ง เกร็ด เกร่อ เกลศ
+เกลอ เกลา เกลาะ เกลียง เกลียด เกลียว เกลี่ย เกลี้ย เกลี้ยง เกลือ เกลือก เกลือกรด เกลือจืด เกลือด่าง เกลือปรกติ เกลือหิน เกลือเงิน เกลือเบสิก เกลือแกง
+เกลื่อน เกลื้อ เกลื้อน เกล็ด เกล้า เกล้ากระผม เกล้าฯ เกวัฎ เกวียน เกศ เกศพ เกศริน เกศา เกศากันต์ เกศินิ เกศินี เกศี เกษตร เกษตรกร เกษตรกรรม เกษตรวิสัย
+เกษตรศาสตร์ เกษตรสมบูรณ์ เกษม เกษมศานต์ เกษมสันต์ เกษา เกษี เกษียณ เกษียน เกษียร เกส เกสร เกสรี เกสา เกสี เกอร์ เกอร์นซี เกอิชา เกอไทต์ เกะ เกะกะ เกา
+เกาต์ เกาทัณฑ์ เกาบิน เกาบิล เกามาร เกาลัด เกาลิน เกาหลี เกาหลีเหนือ เกาหลีใต้ เกาะ เกาะคา เกาะตะ เกาะพะงัน เกาะยาว เกาะลันตา เกาะสมุย เกาะสีชัง
+เกาเหลา เกาไศย เกิง เกิด เกิดสุข เกิน เกิบ เกิ้ง เกีย เกียง เกียจ เกียจคร้าน เกียด เกียน เกียรติ เกียรติคุณ เกียรติชัย เกียรตินิยม เกียรติประวัติ
+เกียรติภูมิ เกียรติยศ เกียรติศักดิ์ เกียรติ์ เกียร์ เกี่ยง เกี่ยว เกี่ยวข้อง เกี้ยมอี๋ เกี้ยมไฉ่ เกี้ยว เกี๊ยว เกี๊ยะ เกี๋ยง เกือก เกือบ เกื้อ
+เกื้อกูล เกุต เกเร เกไล เก็ง เก็งชวน เก็จ เก็ด เก็บ เก็บงำ เก็บตก เก่ เก่ง เก่งกาจ เก่น เก่า เก้กัง เก้ง เก้งก้าง เก้อ เก้า เก้าอี้ เก้าเลี้ยว เก๊
+เก๊ก เก๊กฮวย เก๊าท์ เก๋ เก๋ง เก๋า เข เขก เขจร เขดา เขต เขตแดน เขน เขนง เขนย เขน็ด เขบ็จขบวน เขบ็ต เขม เขมทัต เขมร เขมราฐ เขมะสิริอนุสรณ์ เขมา เขมือบ
+เขม็ง เขม็ดแขม่ เขม่น เขม่า เขม้น เขย เขยก เขยตาย เขยิน เขยิบ เขยื้อน เขย่ง เขย่า เขย้อแขย่ง เขรอะ เขลง เขลอะ เขละ เขลา เขลาะ เขว เขษตร เขษม เขษียร
+เขฬะ เขะขะ เขา เขาชัยสน เขาดินวนา เขาพนม เขามอ เขาย้อย เขาวง เขาสมิง เขิน เขียง เขียด เขียน เขียม เขียว เขียวไข่กา เขี่ย เขี้ยว เขี้ยวหนุมาน เขือ
+เขื่อง เขื่องใน เขื่อน เข็ง เข็ญ เข็ญใจ เข็ด เข็น เข็ม เข็มขัด เข่ง เข่น เข่า เข่าลา เข้ เข้ม เข้า เข้าขา เข้าคอ เข้าที เข้าปก เข้าผี เข้ายา เข้าหา
+เข้าหู เข้าใจ เข้าไป เคคอส เคจฉ เคณฑะ เคด เคน เคนทักกี เคนยา เคบิน เคปเทาน์ เคปเบรตัน เคปเวอร์ด เคมิคอล เคมี เคมีนินทรีย์ เคมีภัณฑ์ เคมีอินทรีย์ เคย
+เคยชิน เคยตัว เคยปาก เคยมือ เครง เครดิต เครดิตฟองซิเอร์ เครน เครา เคราหณี เคราะห์ เครียด เครียว เครือ เครือจักรภพ เครือรัฐ เครือวัลย์ เครื่อง
+เครื่องกล เครื่องควบแน่น เครื่องจักร เครื่องตั้ง เครื่องต้น เครื่องปั้นดินเผา เครื่องพิมพ์ เครื่องยนต์ เครื่องราง เครื่องร่อน เครื่องหมาย
+เครื่องหมายการค้า เครื่องเครา เคร่ง เคร่งขรึม เคร่งครัด เคร่งเครียด เคร่า เคลม เคลิบเคลิ้ม เคลิ้ม เคลีย เคลียร์ เคลือบ เคลือบฟัน เคลื่อน เคลื่อนที่
+เคลื่อนไหว เคล็ด เคล้ง เคล้น เคล้า เคว้ง เคว้งคว้าง เคส เคห เคหวิตถ์ เคหศาสตร์ เคหสถาน เคหะ เคหะสถาน เคหา เคหเศรษฐศาสตร์ เคอร์กิสถาน เคอร์ซูไทต์
+เคอร์ฟิว เคอร์เคนนา เคอร์เซอร์ เคอร์เนล เคอะ เคอะเ เคอะเขิน เคา เคาน์เตอร์ เคารพ เคาะ เคาไอ เคิร์ฟ เคียง เคียด เคียดแค้น เคียน เคียนชา เคียฟ เคียม
+เคียร เคียว เคียวรี เคี่ยม เคี่ยว เคี่ยวเข็ญ เคี้ย เคี้ยว เคือง เคื้อ เคเบิล เคโอลิน เคโอลิไนต์ เค็นโด้ เค็ม เค้ก เค้ง เค้น เค้า เค้าโครง เค้เก้
+เฆี่ยน เงก เงย เงอะ เงอะงะ เงา เงามัว เงามืด เงาะ เงาๆ เงิน เงินปันผล เงินปี เงินผ่อน เงินฝืด เงินสด เงินสเตอร์ลิง เงินเฟ้อ เงินเยอรมัน เงินแป
+เงินได้กำบัง เงียบ เงียบกริบ เงียบเชียบ เงียบเหงา เงี่ย เงี่ยง เงี่ยน เงี่ยหู เงี้ยว เงือก เงือด เงือน เงือบ เงื่อง เงื่อน เงื่อนงำ เงื่อนไข เงื้อ
+เงื้อม เง็น เง่า เง้ เง้า เจ เจด เจดียสถาน เจดีย์ เจต เจตคติ เจตจำนง เจตนา เจตนารมณ์ เจตภูต เจตสิก เจติย เจน เจนจบ เจนจัด เจนเติลแมน เจนเนอราล เจนใจ
+เจฟเฟอร์สันซิตี เจม เจมซอไนต์ เจมส์ เจรจา เจราจา เจริญ เจริญกรุง เจริญกรุงประชารักษ์ เจริญทรัพย์ เจริญนคร เจริญผล เจริญพร เจริญพัฒนา เจริญรัถ เจริญวัย
+เจริญศิลป์ เจริญสุข เจริญเมือง เจริญใจ เจริด เจรียง เจลียง เจว็ด เจษฎา เจอ เจอรัลด์ เจอร์ เจอร์ซี เจอร์เมเนียม เจอร์เรเนียม เจอะ เจา เจาะ เจาะจง เจิด
+เจิม เจิร์ม เจิ่ง เจิ่น เจียง เจียด เจียน เจียม เจียร เจียระไน เจียว เจี๊ยบ เจี๊ยว เจี๊ยวจ๊าว เจี๋ยน เจี๋ยมเจี้ยม เจือ เจือปน เจือสม เจื่อน เจื้อย
+เจไดต์ เจ็ด เจ็บ เจ็บใจ เจ่ง เจ่อ เจ่า เจ้า เจ้ากู เจ้าของ เจ้าขา เจ้าข้า เจ้าค่ะ เจ้าชู้ เจ้าพระยา เจ้าพระยาวิทยาคม เจ้าพระยาสยาม เจ้ามูล เจ้ายศ
+เจ้าอาม เจ๊ เจ๊ก เจ๊ง เจ๊ต เจ๊สัว เจ๊า เจ๋ง เจ๋อ เฉ เฉก เฉด เฉท เฉนียน เฉพาะ เฉย เฉยชา เฉยพ่วง เฉยเมย เฉยๆ เฉลย เฉลว เฉลา เฉลิม เฉลิมพระเกียรติ เฉลียง
+เฉลียบ เฉลียว เฉลี่ย เฉวียง เฉวียน เฉอะ เฉอะแฉะ เฉา เฉาก๊วย เฉาะ เฉาะๆ เฉาโฉด เฉิด เฉิบ เฉิ่ม เฉียง เฉียด เฉียบ เฉียบพลัน เฉียว เฉียวฉุน เฉี่ยว เฉือน
+เฉื่อย เฉื่อยๆ เฉโก เฉไฉ เฉ่ง เชงเลง เชด เชตแลนด์ เชน เชฟ เชย เชยชม เชรา เชราะ เชริด เชลง เชลฟ์ เชลย เชลล์ เชลียง เชลแล็ก เชวง เชษฐ เชษฐนี เชษฐภคินี
+เชษฐภาตา เชษฐราช เชษฐา เชสซิไลต์ เชอ เชอราตัน เชอร์บา เชอร์มาไคต์ เชอร์เบท เชาวน์ เชาวน์ดี เชาว์ เชิง เชิงกราน เชิงกล เชิงซ้อน เชิงมุม เชิงอรรถ
+เชิงเดียว เชิงเดี่ยว เชิงไพเราะ เชิญ เชิด เชิดชู เชิร์ต เชิ้ต เชีย เชียง เชียงกลาง เชียงของ เชียงคาน เชียงคำ เชียงดาว เชียงม่วน เชียงยืน เชียงราย
+เชียงแสน เชียงใหม่ เชียบ เชียร เชียรใหญ่ เชียร์ เชียว เชี่ยน เชี่ยม เชี่ยว เชี่ยวชาญ เชี้ย เชือก เชือด เชือน เชื่อ เชื่อง เชื่อม เชื่อมสัมพันธ์
+เชื่อเพลิง เชื้อ เชื้อหมัก เช็กโกสโลวะเกีย เช็ค เช็ด เช่น เช่า เช้ง เช้งวับ เช้า เซ เซกชัน เซกซี่ เซกซ์ เซกา เซกเมนท์ เซงหลี เซซัง เซด เซต เซน เซนจูรี
+เซนติกรัม เซนติลิตร เซนติเกรด เซนติเมตร เซนต์ เซนต์คริสโตเฟอร์ เซนต์คาเบรียล เซนต์จอห์น เซนต์พอล เซนต์ลูเซีย เซนต์วินเซนต์ เซนต์หลุยส์ เซนต์เฮเลนา
+เซนต์เฮเลียร์ เซนต์แมตธิว เซนต์โธมัส เซนต์โยเซฟ เซนทรัล เซนท์ เซนสิทิฟ เซนส์ เซนเซอร์ เซนเตอร์ เซนเตอร์ฮาล์ฟ เซบู เซปัก เซปักตระกร้อ เซฟ เซฟตี้
+เซมิโคลอน เซมิไฟนอล เซรัสไซต์ เซรา เซรามิค เซราร์จีไรต์ เซราะ เซริฟอส เซรุ่ม เซล เซลลูลอยด์ เซลลูโลส เซลล์ เซลล์ทุติยภูมิ เซลล์ปฐมภูมิ เซลส์ เซลีเบส
+เซลเซียส เซสชัน เซอ เซอร์ เซอร์คอน เซอร์คิท เซอร์ติฟิเกท เซอร์ราวนด์ เซอร์วิส เซอร์เพนทีน เซอร์เวย์ เซอร์โคเนียม เซอร์ไพรส์ เซอะ เซอะซะ เซอูล เซา
+เซาวนา เซาะ เซาแธมป์ตัน เซิง เซิร์ฟเล็ต เซิร์ฟเวอร์ เซิ้ง เซียน เซียบ เซียมซี เซียราเลโอน เซียว เซี่ยงไฮ้ เซี่ยน เซี่ยว เซื่อง เซเชลส์ เซเนกัล เซเบิล
+เซเลสไทต์ เซเลไนต์ เซแคนต์ เซ็ก เซ็กซี่ เซ็กซ์ เซ็กเมนต์ เซ็ง เซ็งลี้ เซ็น เซ็นต์ยอร์ช เซ็นทรัล เซ็นเซอร์ เซ็นเตอร์ เซ่ง เซ่งจี๊ เซ่น เซ่อ เซ้ง
+เซ้าซี้ เฌอ เฌอเอม เฒ่า เณร เดก เดกซ์โทรส เดคคอร์ เดคา เดคากรัม เดคาลิตร เดคาเมตร เดคเคอร์เรท เดช เดชน์ เดชอุดม เดชะ เดชา เดชานุภาพ เดซิ เดซิกรัม
+เดซิลิตร เดซิเมตร เดด เดดซี เดดไลน์ เดต้า เดท เดน เดนตาย เดนทอล เดนทิสต์ เดนมาร์ก เดนมาร์ค เดนเวอร์ เดบิต เดมอยน์ เดย์ เดรน เดรัจฉาน เดลต้า เดลล์
+เดลาแวร์ เดลิ เดวิด เดสก์ทอป เดอะ เดอะมอลล์ เดา เดาสวด เดาะ เดิน เดินนา เดินรถ เดินหน เดิม เดิมท เดิมที เดิมบางนางบวช เดิ่น เดีย เดียง เดียด เดียร
+เดียรดาษ เดียรถีย์ เดียรถ์ เดียรัจฉาน เดียว เดียวกัน เดียะ เดี่ยว เดี้ย เดี๋ยว เดือก เดือด เดือดดาล เดือน เดือย เดื่อ เดื่อง เดโช เดโชชัย เดโชพล เด็ก
+เด็กชา เด็จ เด็ด เด่ เด่น เด่นชัย เด่า เด้ง เด้า เด้าลม เด๋อ เด๋อด๋า เต เตก เตกูซิกัลปา เตช เตชะวณิช เตตรา เตนิมบาร์ เตย เตรน เตรนตัน เตริง เตรียด
+เตรียบ เตรียม เตรียมทหาร เตร็ด เตร่ เตละ เตลิด เตว็ด เตหะราน เตอร์ เตอร์กี เตอร์กเมนิสถาน เตอะ เตะ เตะฉาก เตะตา เตา เตาปูน เตาผิง เตาฟู่ เตารีด เตาสูบ
+เตาะแตะ เตาไฟ เติบ เติบโต เติม เติร์ก เติ่ง เตียง เตียน เตียบ เตียว เตี่ย เตี่ยว เตี้ย เตี้ยม เตี๊ยม เตี๋ยม เตือน เตื้อ เตเนรีฟ เตโชธาตุ เต็ง เต็นท์
+เต็ม เต็มตา เต็มที เต็มบาท เต็มยศ เต็มหู เต็มอก เต็มใจ เต่ง เต่อ เต่า เต่าดำ เต่านา เต่าหก เต้น เต้นรำ เต้า เต้าทึง เต้ารับ เต้าส่วน เต้าหู้
+เต้าหู้ยี้ เต้าฮวย เต้าเจี้ยว เต้าเสียบ เต๊ก เต๊ะ เต๊าะ เต๋า เถกิง เถน เถมิน เถย เถยจิต เถยยะ เถยสังวาส เถร เถรตรง เถรวาท เถระ เถรานุเถระ เถรี เถล
+เถลิก เถลิง เถลิงฉัตร เถลือกถลน เถลไถล เถอะ เถะๆ เถา เถาคัน เถาดาน เถามวก เถามุ้ย เถาวัลย์ เถาวัลลิ์ เถาะ เถิก เถิง เถิด เถิดเทิง เถิน เถียง เถียร
+เถือ เถือก เถื่อน เถ่อ เถ้า เถ้าแก่ เท เทกซัส เทกซ์ เทคนิค เทคนิคกรุงเทพ เทคนิควิทยา เทคนิคสัจจะวัฒน์ เทคนิคไทยสุริยะ เทคนีเชียม เทคนีเซียม เทครัว
+เทคโนฯ เทคโนโลยี เทคโอเวอร์ เทง เททราฮิไดรต์ เทนนิส เทนส์ เทนอไรต์ เทนเนสซี เทนแนนไทต์ เทป เทปูน เทพ เทพดา เทพทวี เทพธารินทร์ เทพธิดา เทพนม เทพนารี
+เทพนิยม เทพนิยาย เทพนิยายวิทยา เทพบดี เทพประทาน เทพพนม เทพพนา เทพพยากรณ์ เทพย เทพยดา เทพยเจ้า เทพลีลา เทพวิทยา เทพศิรินทร์ เทพสถิต เทพหัสดิน เทพา
+เทพากร เทพารักษ์ เทพิน เทพินทร์ เทพี เทพเจ้า เทพเสนานุสรณ์ เทพไพเราะนิมิต เทมปุระ เทมเพลต เทมเพลท เทมโป เทมโป้ เทรด เทรดจิดี้ เทรดดิชัน เทรดมาร์ค
+เทรดเดอร์ เทรน เทรนเนอร์ เทริด เทรโมไลต์ เทลคอม เทลลูเรียม เทว เทวดา เทวทัณฑ์ เทวทูต เทวธรรม เทวธิดา เทวนะ เทวนิยม เทวระ เทวรัตน์ เทวรูป เทววิทยา เทวศ
+เทวษ เทวสถาน เทวสุนทร เทวอ เทวะ เทวัญ เทวัน เทวารัณย์ เทวาลัย เทวี เทวโลก เทศ เทศก เทศกาล เทศนา เทศน์ เทศบัญญัติ เทศบาล เทศมนตรี เทศะ เทศาภิบาล เทสต์
+เทสท์ เทห เทหวัตถุ เทห์ เทห์ฟากฟ้า เทอญ เทอดไทย เทอม เทอร์คอยส์ เทอร์เนต เทอร์เบียม เทอร์เรส เทอร์โบ เทอร์โมมิเตอร์ เทอะทะ เทา เทาน์ เทาะห์ เทาเวอร์
+เทิก เทิง เทิด เทิดทูน เทิน เทิบ เทิ่ง เทิ้ม เทียง เทียน เทียนถวิล เทียนฟ้ามูลนิธิ เทียนเซี้ยง เทียนไข เทียบ เทียม เทียมร่วมมิตร เทียร เทียรฆ เทียว
+เที่ยง เที่ยว เที้ยน เทือ เทือก เทือน เทื่อ เทื้อ เทเบิล เทเลกราฟ เทเลคอม เทเลวิชัน เทเลสโคป เทเลโฟน เทเวศ เทเวศร์ เทเวศวร์ เทโพ เท็กซ์ เท็จ เท่ เท่ห์
+เท่อ เท่า เท่ากับ เท่านั้น เท่าใด เท่าไร เท้ง เท้งเต้ง เท้อ เท้า เธนุ เธรด เธอ เธียร เธียรสวนนิเวศน์ เธียเตอร์ เนกขะ เนกขัม เนกรอส เนกาทีฟ เนคไท
+เนชั่นแนล เนต เนตบอล เนตร เนตสเคป เนติ เนติศึกษา เนตเวอร์ค เนบิวลา เนปจูน เนปทูเนียม เนปาล เนฟิลีน เนมิ เนมิตก เนมิตกะ เนย เนยใส เนรคุณ เนรนาด เนรนาถ
+เนรมิต เนรมิตร เนรเทศ เนวาดา เนษาท เนสท์เล่ เนอ เนา เนาว เนิน เนินมะปราง เนิบ เนิบๆ เนิ่น เนีย เนียง เนียน เนียม เนียมยันต์ เนียร เนือง เนือย เนื่อง
+เนื่องจาก เนื้อ เนื้อที่ เนื้อหา เนื้อเยื่อ เนื้อเยื่อกล้ามเนื้อ เนื้อเยื่อบุผิว เนื้อเยื่อประสาท เนื้อเยื่อยืดต่อ เนเจอร์ เนเธอร์แลนด์ เนแบรสกา
+เนโทรไลต์ เนไฟรต์ เน็ต เน็ตเวิร์ก เน็ตเวิร์ค เน่ง เน่า เน่าไฟ เน้น เน้อ เบคกิ้งโซดา เบคอน เบงกอล เบญจ เบญจก เบญจกัลยาณี เบญจกามคุณ เบญจคัพย์ เบญจธรรม
+เบญจบรรพต เบญจพรรณ เบญจพล เบญจม เบญจมบพิตร เบญจมราชานุสรณ์ เบญจมาศ เบญจมิตร เบญจมินทร์ เบญจรงค์ เบญจราช เบญจวรรณ เบญจศก เบญจศีล เบญจา เบญจางคประดิษฐ์
+เบญจางค์ เบญจเพส เบญญา เบญพาด เบญวานี เบณจ เบตง เบตา เบต้า เบน เบนซิน เบนซ์ เบนทอไนต์ เบบี้ เบรก เบรค เบรลล์ เบราว์เซอร์ เบริง เบริล เบริลเลียม เบรียน
+เบรุต เบลฟัสต์ เบลอ เบลิซ เบลเกรด เบลเยียม เบลเยี่ยม เบล็ม เบส เบสบอล เบสิค เบอร์ เบอร์กามอท เบอร์คีเลียม เบอร์น เบอร์มูดาส์ เบอร์ลิน เบอห์ไมต์ เบอะ
+เบอะบะ เบะ เบา เบาตัว เบาบาง เบามือ เบาราณ เบาะ เบาะล เบาะลม เบาะแส เบาแรง เบาใจ เบาไม้ เบิก เบิกโลง เบิร์ก เบิร์ธเดย์ เบิ่ง เบิ้ม เบียก เบียด
+เบียดเบียน เบียน เบียร์ เบี่ยง เบี้ย เบี้ยว เบือ เบือน เบื่อ เบื้อ เบื้อง เบโลรุสเซีย เบ็ด เบ็ดเตล็ด เบ็ดเสร็จ เบ่ง เบ้ เบ้อ เบ้อเริ่ม เบ้อเริ่มเทิ่ม
+เบ้อเร่อ เบ้อเร่อเท่อ เบ้า เบ้าตา เบ๊จี๋ เปก เปกข์ เปต เปตพลี เปตอง เปตา เปตามไหยกา เปยยาล เปยี เปย์ เปร เปรต เปรม เปรมฤดีศึกษา เปรมฤทัย เปรมสันต์
+เปรย เปรอ เปรอะ เปรา เปราะ เปรียง เปรียญ เปรียบ เปรียว เปรียะ เปรี้ยง เปรี้ยว เปรี๊ยะ เปรื่อง เปรื้อย เปรู เปร็ง เปร่า เปล เปลญวน เปลว เปลา เปลาะ
+เปลี่ยน เปลี่ยนแปลง เปลี่ยว เปลี้ย เปลือก เปลือง เปลือย เปลื้อง เปล่ง เปล่งปลั่ง เปล่า เปล้า เปศ เปศล เปศัส เปสการ เปสล เปสุญ เปอร์ เปอร์เซนต์
+เปอร์เซีย เปอร์เซ็นต์ เปอร์โตริโก เปะ เปะปะ เปา เปาะ เปาะเปี๊ยะ เปาเปา เปาโรหิตย์ เปาโล เปิก เปิง เปิงๆ เปิด เปิดอก เปิดโปง เปิบ เปิ่น เปิ๊บ เปีย
+เปียก เปียงยาง เปียนโน เปียว เปียะ เปี่ยม เปี้ยว เปี๊ยก เปี๊ยะ เปือก เปือยน้อย เปื่อย เปื้อน เปเปอร์ เป็ด เป็ดถบ เป็ดผี เป็น เป็นก เป็นการ เป็นต้น
+เป็นสุข เป็นใจ เป็นใด เป็นไร เป่ง เป่า เป่าก เป่ากบ เป่าหู เป้ เป้ง เป้า เป้าประสงค์ เป๊ก เป๊า เป๋ เป๋ง เป๋อ เป๋อเหลอ เป๋า เป๋าฮื้อ เผ เผง เผชิญ เผดิม
+เผดียง เผด็จ เผด็จการ เผน เผนิก เผย เผยอ เผยิบ เผยแผ่ เผล เผลอ เผลอไผล เผละ เผลาะ เผลียง เผล็ด เผล่ เผล้ เผอิญ เผอิล เผอเรอ เผะ เผา เผาขน เผาหัว เผาะ
+เผิน เผิ้ง เผียน เผือ เผือก เผือกจิตร เผือกน้อย เผือด เผือน เผื่อ เผื่อน เผ็ด เผ่น เผ่า เผ้า เผ้าผง เฝือ เฝือก เฝือง เฝื่อน เฝ้า เพ เพกา เพคะ เพจ
+เพชฌฆาต เพชร เพชรคล้าย เพชรดา เพชรบุรี เพชรบูรณ์ เพชรรัตน์ เพชรหึงษ์ เพชรานันท์ เพชรายุธ เพชรเกษม เพชรเวช เพณี เพดาน เพตร เพท เพทนา เพทาย เพทุบาย
+เพนกวิน เพนซิลวาเนีย เพนต์แลนไดต์ เพนนิซิลลิน เพนนินซูล่า เพนนิไนต์ เพนนี เพนียด เพนเทียม เพนเฟร็นด์ เพรง เพรซีโอดิเมียม เพรส เพรสทิจ เพรสสิเดนท์
+เพรสิเดียม เพรา เพราะ เพริด เพริดอต เพริศ เพริเคลส เพรียก เพรียง เพรียบ เพรียว เพรือง เพรื่อ เพล เพลง เพลท เพลม เพลย์บอย เพลส เพลา เพลาะ เพลิง เพลิด
+เพลิดเพลิน เพลิน เพลินจิต เพลีย เพลี่ยง เพลี้ย เพล็ด เพศ เพส เพสลาด เพอรอฟสไกต์ เพอร์ฟูม เพอร์มาเน้นท์ เพอร์ริสโคป เพอร์สเปคทีฟ เพอร์เฟกท์
+เพอร์โซแนลลิตี้ เพอร์ไทต์ เพอิญ เพะ เพา เพาพาล เพาวเวอร์ เพาะ เพาเวลไลต์ เพิก เพิง เพิล เพิ่ง เพิ่ม เพิ่มทรัพย์ เพิ่มปาน เพิ่มพูน เพิ่มสิน เพียง เพียน
+เพียบ เพียร เพียว เพี้ย เพี้ยง เพี้ยน เพื่อ เพื่อน เพโท เพไนย เพ็ก เพ็ง เพ็จ เพ็ญ เพ็ดทูล เพ่ง เพ่นพ่าน เพ่อ เพ้นท์ เพ้ย เพ้อ เฟด เฟดเดอรัล เฟมัส เฟรช
+เฟรนด์ชิพ เฟรม เฟรส เฟร็นซ์ฟราย เฟล เฟลด์สปาทอยด์ เฟลด์สปาร์ เฟส เฟสติวัล เฟห์มาร์น เฟอร์ เฟอร์นันโดโป เฟอร์นิเจอร์ เฟอร์รี่ เฟอร์เบอไรต์ เฟอร์เมียม
+เฟอะ เฟอะฟะ เฟะ เฟะฟะ เฟาว์เดชัน เฟิน เฟิร์น เฟียด เฟี้ยม เฟี้ยว เฟือ เฟือง เฟือน เฟือย เฟื่อ เฟื่อง เฟื่องนคร เฟื้อ เฟื้อง เฟื้อย เฟเวอร์ริท เฟ็ด
+เฟ้น เฟ้ย เฟ้อ เภกะ เภตรา เภท เภทภัย เภทุบาย เภรว เภริ เภรี เภสัช เภสัชกร เภสัชกรรม เภสัชพฤกษศาสตร์ เภสัชวิทยา เภสัชศาสตร์ เภสัชอุตสาหกรรม เภสัชเคมี
+เภสัชเวช เม เมกกะ เมกะ เมกะเฮิรตซ์ เมกะเฮิรต์ เมกะไบต์ เมขลา เมค เมคคานิค เมคอัพ เมฆ เมฆฉาย เมฆพัด เมฆมาก เมฆสวัสดิ์ เมฆา เมฆินทร์ เมฆี เมจิก เมชัวร์
+เมด เมดิเตอร์เรเนียน เมดเลย์ เมตตา เมตร เมตริก เมตริกตัน เมถุน เมท เมทนี เมทินี เมทิล เมทิลแอลกอฮอล์ เมธ เมธอด เมธา เมธาวี เมธี เมน เมนทอล เมนบอร์ด
+เมนส์ เมนู เมนเดลีเวียม เมนเฟรม เมมเบอร์ เมมเบอร์คลับ เมมโมรี เมมโมเรียล เมย เมรย เมรัย เมรุ เมรุมาศ เมล เมลก เมลวิล เมลาไนต์ เมลือง เมลื่อย เมลื้อย
+เมลเบอร์น เมล็ด เมล์ เมษ เมษายน เมสเซ็นเจอร์ เมห เมหน เมอริท เมอริเดียน เมอร์คิวรี เมอร์รี่คิงส์ เมอร์ลิน เมอร์เมด เมอแรง เมะ เมา เมาดิบ เมาท์ออร์แกน
+เมามัน เมามัว เมามาย เมายศ เมารี เมาลี เมาส์ เมาห์ เมาอี เมาะ เมิง เมิน เมิล เมีย เมียง เมียงมอง เมียร์ม่าร์ เมี่ยง เมี้ยน เมือ เมือก เมือง เมืองทอง
+เมืองท่าปลอดภาษี เมืองนนทบุรี เมืองสรวง เมืองแก้ว เมือบ เมื่อ เมื่อย เมื่อไร เมเจอร์ เมโท เมโทร เมโทรโปลิส เมโย เมโลดี้ เม็ก เม็กซิโก เม็กซิโกซิตี
+เม็ง เม็ด เม็ดด เม็ดดี เม่น เม่า เม้น เม้ม เม้า เม้าท์ เม้าส์ เยง เยซู เยน เยภุย เยรูซาเล็ม เยล เยลโล่สโตน เยส เยสเตอร์เดย์ เยอ เยอรมนี เยอรมัน
+เยอรมันนี เยอว เยอะ เยา เยาว เยาวชน เยาวน เยาวพา เยาวพาน เยาวพานิช เยาวมาลย์ เยาวยอด เยาวรักษ์ เยาวราช เยาวลักษณ์ เยาวเรศ เยาว์ เยาฮัน เยาะ เยิง เยิน
+เยินยอ เยิบ เยิบๆ เยิ่น เยิ่นเย้อ เยิ้ม เยีย เยียน เยียบ เยียว เยียวยา เยียใด เยี่ยง เยี่ยม เยี่ยมนุช เยี่ยมเยียน เยี่ยว เยือ เยือก เยือง เยือน เยื่อ
+เยื่อง เยื้อ เยื้อง เยื้องกราย เยื้อน เยเมน เยๆ เย็ด เย็น เย็นจิตร เย็นตา เย็นตาโฟ เย็นหู เย็นอากาศ เย็นใจ เย็บ เย็บอก เย่อ เย้ เย้ย เย้า เรข เรขา
+เรขาคณิต เรขาคณิตบริสุทธิ์ เรขาคณิตวิเคราะห์ เรคคอร์ด เรซิน เรณุ เรณุก เรณู เรณูนคร เรดดิ เรดอน เรดาร์ เรด้าร์ เรตินา เรท เรทติ้ง เรนโบว์
+เรฟเฟอร์เร้นซ์ เรยอง เรรวน เรวดี เรวัติ เรสเตอรองก์ เรสเตอร์รองต์ เรอ เรอุนยอง เรา เราะ เริง เริงทนา เริงร่า เริด เริม เริ่ม เริ้ม เรียก เรียง เรียงๆ
+เรียด เรียน เรียบ เรียบร้อย เรียบวุธ เรียบๆ เรียม เรียลลิ เรียลลิซึม เรียลลิตี้ เรียลลิสติค เรียลลิสต์ เรียว เรี่ย เรี่ยม เรี่ยราด เรี่ยว เรี่ยวแรง
+เรี้ยวรก เรี้ยๆ เรือ เรือก เรือง เรืองยศ เรืองอุไร เรือด เรือน เรือนแก้ว เรือนไทย เรือรบ เรื่อ เรื่อง เรื่อย เรื้อ เรื้อง เรื้อน เรื้อย เรื้อรัง
+เรเดียน เรเดียม เรเดียล เรโช เรไร เร็กคอร์ด เร็ง เร็ว เร่ เร่ง เร่งรัด เร่งร่าย เร่งเร้า เร่ร่อน เร่ว เร่อ เร่า เร่าร้อน เร้ง เร้น เร้นท์ เร้อ เร้า
+เร้าใจ เลก เลกวัด เลข เลขกะ เลขคณิต เลขจำนวน เลขชี้กำลัง เลขนะ เลขผา เลขยะ เลขลำดับ เลขา เลขาธิการ เลขาธิการี เลขานข เลขานุการ เลขโดด เลคเชอร์ เลฑฑุ
+เลณ เลณฑุ เลด เลดี้ เลต เลตี เลท เลน เลนจง เลนซ์ เลนส์ เลนส์นูน เลนส์สัมผัส เลนส์เว้า เลบง เลบานอน เลป เลปกร เลปน์ เลพิโดโครไซต์ เลพิโดไลต์ เลมนอส
+เลมอน เลย เลย์เอาท์ เลรอส เลว เลวง เลวูโลส เลศ เลศนัย เลษฏุ เลหยะ เลหลัง เลหลา เลหะ เลอ เลอชาเทเลียไรต์ เลอมาน เลอะ เลอะเทอะ เลอโฉม เละ เละเทะ เลา
+เลากัย เลาขวัญ เลาน์จ เลาะ เลาๆ เลิก เลิกรา เลิงนกทา เลินเล่อ เลิลลิงไกต์ เลิศ เลิศปัญญา เลิศพัฒนา เลิศอุบล เลิ้ง เลีย เลียง เลียงผา เลียน เลียบ
+เลียบคลอง เลียบเคียง เลียบแม่น้ำ เลียม เลียว เลี่ยง เลี่ยน เลี่ยม เลี้ยง เลี้ยว เลือก เลือกสรร เลือง เลือด เลือน เลื่อง เลื่อน เลื่อนลอย เลื่อม
+เลื่อมใส เลื่อย เลื้อย เลเซอ เลเซอร์ เลเต เลเบล เลเบอร์ เลเบิล เลเป เลเพ เลเยอร์ เลโซโธ เลโอ เลโอโปลด์วิล เล็ก เล็กดา เล็ง เล็ด เล็ดลอด เล็น เล็บ เล็ม
+เล่น เล่นกล เล่นคำ เล่นชู เล่ม เล่ห์ เล่ห์เหลี่ยม เล่อ เล่า เล่าล เล้ง เล้า เล้าโลม เวก เวค เวคิน เวคี เวคเตอร์ เวจ เวจมรรค เวช เวชกรรม เวชภัณฑ์
+เวชศาสตร์ เวฐนะ เวฐน์ เวฐิตะ เวณะ เวณิ เวณิก เวณุ เวตน์ เวตร เวตาร์ เวตาล เวท เวทคู เวทนา เวทมนตร์ เวทย์ เวทางคศาสตร์ เวทางค์ เวทานตะ เวทานต์ เวทิ
+เวที เวธะ เวน เวนคืน เวนิส เวนไตย เวบสเตอร์ เวฟ เวมะ เวมัต เวมาติก เวร เวรมณี เวรี เวลลิงตัน เวลส์ เวลา เวลเตอร์เวท เวลโก เววัณ เวศม์ เวศยา เวศย์
+เวสน์ เวสภู เวสมะ เวสม์ เวสวัณ เวสสะ เวสสันดร เวสสุกรรม เวสสุวัณ เวสารัช เวสิ เวสิยา เวหน เวหะ เวหังค์ เวหัปติ เวหา เวหาย เวหายส เวหายสมารค เวหาส เวฬุ
+เวอร์ เวอร์จิน เวอร์จิล เวอร์จิเนีย เวอร์จิเนียตะวันตก เวอร์ชัน เวอร์ชั่น เวอร์ติคอล เวอร์มอนต์ เวอร์มิคิวไลต์ เวอร์เนียร์ เวิก เวิร์กสเตชัน
+เวิร์กโฟลว์ เวิร์ค เวิร์ด เวิร์ตไซต์ เวิร์บ เวิลด์ เวิลด์เทรด เวิ้ง เวิ้งว้าง เวียง เวียงจันทน์ เวียงชัย เวียงป่าเป้า เวียงสระ เวียงเกตุ เวียดนาม
+เวียดนามเหนือ เวียดนามใต้ เวียน เวียนนา เวียร เวี่ย เวี่ยว เวเนซุเอลา เวเนเดียม เวเฟอร์ เวเลนซี เวโรจน์ เวโลโดรม เวไนย เว็บ เว็บเซอร์วิส เว็บเพจ
+เว็บไซต์ เว่อ เว้ เว้น เว้ย เว้า เศรณี เศรษฐ เศรษฐกร เศรษฐการ เศรษฐกิจ เศรษฐศาสตร์ เศรษฐศิริ เศรษฐี เศรษฐีนี เศรษฐ์ เศร้า เศลษ เศวดีภ เศวต เศวตง
+เศวตฉัตร เศวตร เศวติภ เศวตีภ เศวาล เศวเตภ เศษ เศษสิบ เศษส่วน เศาจ เศารยะ เศาร์ เศาไจย เศิก เศียร เส เสก เสกข เสกสรร เสข เสความ เสงี่ยม เสฉวน เสฏฐี
+เสณี เสด เสด็จ เสต เสตุ เสถียร เสถียรภาพ เสท เสน เสนง เสนห เสนหา เสนอ เสนะ เสนา เสนางคนิคม เสนาจันทร์ เสนาทิพย์ เสนาธิการ เสนานิคม เสนานี เสนาบดี
+เสนารักษ์ เสนาร่วม เสนาสนะ เสนาสฤษดิ์เดช เสนาสัมพันธ์ เสนาะ เสนี เสนียด เสนีย์ เสน่ง เสน่หา เสน่ห์ เสน่า เสบย เสบียง เสพ เสพย์ เสภา เสมหะ เสมอ เสมอใจ
+เสมา เสมียน เสมียนนารี เสมือน เสมือนญาติ เสม็ด เสย เสริด เสริฟ เสริฟ์ เสริม เสริมงาม เสริมมิตร เสริมสุข เสรี เสรีนิยม เสรีภาพ เสรีเซ็นเตอร์ เสร็จ เสล
+เสลด เสลภูมิ เสลา เสลี่ยง เสลือกสลน เสวก เสวกามาตย์ เสวตรเนตร เสวนะ เสวนา เสวย เสวยพ เสวียน เสสรวง เสสรวล เสสะเวช เสา เสาชี้ เสารภย์ เสารี เสาร์ เสาว
+เสาวคนธ์ เสาวณิต เสาวณีย์ เสาวนะ เสาวนา เสาวนีย์ เสาวภา เสาวภาคย์ เสาวภาพ เสาวรส เสาวลักษณ์ เสาหมอ เสาหฤท เสาหาน เสาะ เสาเอก เสาไห้ เสิงสาง เสิร์จ
+เสิร์ฟ เสิศสิน เสีย เสียกล เสียคน เสียง เสียจริต เสียด เสียดสี เสียดาย เสียที เสียบ เสียบน เสียผี เสียม เสียว เสียใจ เสี่ย เสี่ยง เสี่ยงทาย เสี่ยม
+เสี่ยว เสี้ยน เสี้ยม เสี้ยมสอน เสี้ยว เสือ เสือก เสือกระดาษ เสือกไส เสือดำ เสือป่า เสือใหญ่ เสือไฟ เสื่อ เสื่อม เสื่อมทราม เสื่อมโทรม เสื้อ เสื้อผ้า
+เสเพล เสโท เสโล เส็ง เส็งเคร็ง เส็น เส้ง เส้น เส้นผม เส้นวันที่ เส้นศูนย์สูตร เส้นเลือด เส้นใย เส้นใยแก้ว เส้า เห เหง เหงา เหงือก เหงื่อ เหง่ง เหง้า
+เหติ เหตุ เหตุก เหตุการณ์ เหตุผล เหตุสุดวิสัย เหนอะ เหนอะหนะ เหนาะ เหนาะๆ เหนียง เหนียม เหนียว เหนี่ยว เหนือ เหนื่อย เหน็ด เหน็ดเหนื่อย เหน็บ เหน็บแนม
+เหน่ง เหน่อ เหน้า เหม เหมวดี เหมันต เหมันต์ เหมา เหมายัน เหมาะ เหมียว เหมี่ยว เหมือง เหมือด เหมือน เหม็ง เหม็น เหม่ เหม่ง เหม่อ เหย เหยง เหยา เหยาะ
+เหยาะๆ เหยิง เหยิน เหยิบ เหยิบๆ เหยียด เหยียบ เหยี่ยว เหยือก เหยื่อ เหยเก เหย่อย เหย่า เหย้า เหรัญญิก เหรา เหราะๆ เหรียญ เหลน เหลว เหลวแหลก เหลอ เหลา
+เหลาะ เหลาะแหละ เหลิง เหลียน เหลียว เหลี่ยม เหลือ เหลือก เหลือง เหลือบ เหลือม เหลือเข็น เหลือเฟือ เหลือแหล่ เหลื่อม เหล็ก เหล็กกล้า
+เหล็กกล้าไม่เป็นสนิม เหล็กพืด เหล่ เหล่า เหล่ากอ เหล่าลดา เหล้า เหว เหวง เหวทะเล เหวย เหวอะ เหวอะหวะ เหวี่ยง เหว่ เหอะ เหะ เหา เหาน้ำ เหาะ เหาไม้ เหิน
+เหิม เหิมหาญ เหียง เหียน เหี่ยว เหี่ยวแห้ง เหี้ย เหี้ยน เหี้ยม เหี้ยมโหด เหือด เหือดแห้ง เหื่อ เห็จ เห็ด เห็ดน เห็ดบ เห็ดโ เห็น เห็นจะ เห็นดี เห็นใจ
+เห็บ เห่ เห่อ เห่อเหิม เห่า เห้งเจีย เอ เอก เอกจิต เอกฉันท์ เอกชน เอกชัย เอกซเรย์ เอกนัย เอกพจน์ เอกภพ เอกภาคี เอกภาพ เอกม เอกมัย เอกรรถประโยค เอกรส
+เอกระ เอกราช เอกรูป เอกลักษณ์ เอกวาดอร์ เอกศก เอกส เอกสาร เอกสิทธิ์ เอกอัครราชทูต เอกอัครสมณทูต เอกอุ เอกัคตา เอกา เอกาธิปไตย เอกเขนก เอกเทศ เอกโทษ
+เอง เอชพี เอดส์ เอดิชัน เอดินบะระ เอดิเตอร์ เอตทัคคะ เอทิล เอทิลแอลกอฮอล์ เอทีเอ็ม เอธิโอเปีย เอน เอนก เอนกประสงค์ เอนกาย เอนตัว เอนทรานซ์ เอนสตาไทต์
+เอนไซม์ เอปซอไมต์ เอปสัน เอพิโดต เอม เอมอร เอมโบไลต์ เอมโอช เอย เอราวัณ เอร็ดอร่อย เอลซัลวาดอร์ เอลบา เอลลิซ เอลสเมียร์ เอลา เอว เอวัง เอฬก เอฬา เออ
+เออน่ะ เออร์เบียม เอออวย เออออ เออแลนด์ เอะอะ เอะใจ เอา เอาการ เอางาน เอาชนะ เอาชัย เอาตาย เอาต์ซอร์ส เอาต์พุต เอาทาร เอาท์พุต เอาผิด เอารส เอาละ
+เอาฬาร เอาเลย เอาแต่ เอาใจ เอาใช้ เอิก เอิกเกริก เอิบ เอิ้น เอียง เอียด เอียน เอี่ยน เอี่ยม เอี่ยมพานิช เอี่ยว เอี้ยง เอี้ยมจุ๊น เอี้ยมเฟี้ยม เอี้ยว
+เอี๊ยด เอี๊ยม เอี๊ยมจุ๊น เอือด เอือน เอือม เอื่อย เอื้อ เอื้อง เอื้อน เอื้อม เอื้อย เอื้อสุข เอื้อเฟื้อ เอื๊อก เอเคอร์ เอเชีย เอเชี่ยนเกมส์ เอเซีย
+เอเดน เอเดรียติก เอเธนส์ เอเมอรัลด์ เอเมอรี เอเย่นต์ เอแบค เอ็กซ์ เอ็กซ์พลอเรอร์ เอ็กซ์พอร์ต เอ็กซ์เพรส เอ็ง เอ็ด เอ็ดตะโร เอ็ดอึง เอ็น เอ็นดู
+เอ็นเตอร์เทน เอ็นเตอร์ไพรซ์ เอ็มบริโอ เอ่ย เอ่อ เอ้ เอ้กา เอ้อ เอ้อระเหย เอ้อเฮอ เอ้เต เอ๊ก เอ๊ย เอ๊ว เอ๊ะ เอ๋ เอ๋ง เอ๋ย เฮ เฮกตาร์ เฮกโตกรัม
+เฮกโตลิตร เฮกโตเมตร เฮง เฮงซวย เฮมีมอร์ไฟต์ เฮย เฮลซิงกิ เฮลิคอปเตอร์ เฮสทิงไซต์ เฮอ เฮอร์ซิไนต์ เฮอร์เซโกวินา เฮอร์โมโปลิส เฮฮา เฮา เฮิบเนอไรต์
+เฮิรตซ์ เฮีย เฮี้ยน เฮี้ยบ เฮี้ยว เฮือก เฮือน เฮเดนเบอร์ไกต์ เฮเลนา เฮโมโกลบิน เฮโรอีน เฮโล เฮไลต์ เฮ้ย เฮ้ว เฮ้อ แก แกง แกงขม แกงจืด แกงบวด แกงส้ม
+แกงแนง แกงได แกดำ แกน แกนะ แกม แกมมา แกมเบีย แกรก แกรนด์คานารี แกรนด์บาฮามา แกรนิต แกรบ แกรมมา แกระ แกรไฟต์ แกร็น แกร่ง แกร่ว แกล แกลง แกลน แกลบ
+แกลลอน แกละ แกลิลี แกลเลียม แกล่ แกล้ง แกล้ม แกล้ว แกว แกว่ง แกว่น แกะ แกะดำ แกะรอย แกแน แกแล แกโดลิเนียม แก็ต แก่ แก่ง แก่งคอย แก่งแย่ง แก่น
+แก่นจันทน์ แก่นทองอุปถัมภ์ แก่นแก้ว แก่แดด แก้ แก้ขัด แก้ง แก้งคล้อ แก้ตัว แก้บน แก้ฝัน แก้ม แก้มือ แก้ลำ แก้ว แก้วตา แก้วนพเกล้า แก้วผลึก แก้วมังกร
+แก้วหู แก้ไข แก๊ง แก๊ป แก๊ส แก๊สน้ำตา แก๊สเฉื่อย แก๊สไข่เน่า แข แขก แขน แขนง แขม แขม็บ แขม่ว แขยง แขย่ง แขลร์ แขวก แขวง แขวน แขวนลอย แขวะ แข็ง
+แข็งกร้าว แข็งแกร่ง แข่ง แข่งขัน แข้ง แข้น แค แคช แคชเชียร์ แคชเมียร์ แคดเมียม แคน แคนซัส แคนอก แคนาดา แคนเซิล แคนเบอร์รา แคบ แคบหมู แคบาไซต์ แคปซูล
+แคปปิตอล แคฝอย แคม แคมปัส แคมเปญ แคมเปน แครก แครง แครอท แคระ แคริบเบียน แคร็ก แคร่ แคร์ แคลคูรัส แคลคูลัส แคลง แคลงใจ แคลน แคลริเนท แคลอรี
+แคลิฟอร์เนีย แคลิฟอร์เนียม แคลเซียม แคลเซียมคาร์ไบด์ แคลเซียมไซคลาเมต แคลไซต์ แคล่วคล่อง แคล้ว แคล้วคลาด แคว แควก แคว้ง แคว้น แคสซิเทอร์ไรต์ แคสเปียน
+แคะ แคะไค้ แคเมอรูน แคแกล แคแตร แคแสด แคโทด แคโรไลนา แคโรไลนาเหนือ แคโรไลนาใต้ แค่ แค่น แค้ แค้น แค้นคอ แค้มป์ แค้มป์ไฟ แง แงะ แง่ แง่ง แง่งอน แง่น
+แง่นๆ แง้ม แจ แจก แจกัน แจกแจง แจง แจงรูป แจงร้อน แจงร้อนวิทยา แจงลอน แจจน แจจัน แจดแจ้ แจตร แจบ แจร แจรก แจรง แจลูอิต แจว แจสเพอร์ แจะ แจ็กสัน แจ่ม
+แจ่มจันทร์ แจ่มบุตร แจ่มใส แจ่ว แจ้ แจ้ง แจ้งวัฒนะ แจ้งศิริสัมพันธ์ แจ้น แจ้ว แจ้ห่ม แจ๊ด แจ๋ แจ๋ว แจ๋วแหวว แฉ แฉก แฉง แฉบล แฉลบ แฉละ แฉล้ม
+แฉล้มนิมิตร แฉว แฉะ แฉะแบะ แฉโพย แฉ่ แฉ่ง แช แชงกรีล่า แชงมา แชนแนล แชบ๊วย แชมป์ แชมพู แชมภู แชมเปญ แชมเปี้ยน แชรง แชร์ แชลเนล แชล่ม แชสซีส์ แชะ แชแธม
+แช่ แช่ง แช่ม แช่มจิต แซ แซคราเมนโต แซคาลีน แซง แซงชัน แซงต์เดอนีส์ แซงแซว แซด แซดๆ แซทเทิน แซนซีบาร์ แซนด์วิช แซนตาครูซ แซนโตริน แซบ แซปไฟร์ แซฟไฟร์
+แซม แซมเบีย แซมเปิล แซยิด แซลมอน แซว แซะ แซ็กคาริน แซ็กคารินโซเดียม แซ่ แซ่ว แด แดก แดกงา แดกดัน แดกห่า แดกแด้ แดง แดงน้ำ แดด แดดาล แดดิ้น แดน
+แดนตะวัน แดนเนรมิต แดนไตร แดยัน แดหวา แดะ แดะแด๋ แด็กๆ แด่ แด่น แด่ว แด่วๆ แตก แตกคอ แตกฉาน แตกดับ แตกทัพ แตกฝูง แตกพาน แตกมัน แตกหัก แตกแตน แตกแยก
+แตง แตงกวา แตงเม แตงโม แตงไทย แตด แตน แตร แตรงอน แตรวง แตระ แตลลาแฮสซี แตลลิน แตะ แต่ แต่ง แต่งงาน แต่ละ แต่ๆ แต้ แต้จิ๋ว แต้ม แต้มคู แต้ว แต๊ดแต๋
+แต๊ะเอีย แถ แถก แถง แถน แถบ แถบบันทึกภาพ แถบบันทึกเสียง แถม แถมพก แถลง แถลงการณ์ แถลงการณ์ร่วม แถลงไข แถลบ แถว แทคติก แทคติคส์ แทง แทงทวย แทงโก แทงใจ
+แทชเคนต์ แทตย์ แทน แทนคุณ แทนซาเนีย แทนทาลัม แทนทาไลต์ แทนที่ แทนเจนต์ แทบ แทรก แทรกซอน แทรกซึม แทรกซ้อน แทรกเตอร์ แทรกแซง แทรเวล แทลเลียม แทสมัน
+แทสเมเนีย แทะ แทะโลม แท็ก แท็กซี่ แท็กซ์ แท็งก์น้ำ แท็งค์ แท่ แท่ง แท่น แท่นลา แท้ แท้ง แท้จริง แท้ๆ แนกซอส แนชวิล แนบ แนม แนว แนวคิด แนวทาง แนวที่ห้า
+แนวป่า แนวรบ แนะ แนะนัด แนะนำ แนะแนว แนะแหน แน่ แน่ง แน่ชัด แน่น แน่นขนัด แน่นอน แน่นแฟ้น แน่ว แน่ะ แน่แท้ แน่ใจ แบ แบก แบกแดด แบค แบคกราวนด์
+แบคทีเรีย แบคอัพ แบคแฮนด์ แบคไลท์ แบงก์ แบงค์ แบดมินตัน แบตันรูช แบตเตอรี่ แบน แบนด์วิธ แบนเนอร์ แบนโจ แบบ แบบข้อคำถาม แบบบาง แบบสอบถาม แบบแผน แบฟฟิน
+แบมือ แบรก แบรนด์ แบร์ แบร์ฟุต แบร์ริง แบล็คเมล์ แบหลา แบะ แบะท่า แบะปาก แบะอก แบะแฉะ แบเธอร์สต์ แบเบาะ แบเรียม แบแรนต์ส แบไต๋ แบไรต์ แบ็บ แบ็พติส
+แบ่ง แบ้ แป แปซิฟิก แปซิฟิค แปด แปดบท แปดปน แปดริ้ว แปทู แปบ แปม แปร แปรก แปรง แปรงล แปรงสีฟัน แปรงะ แปรง่ง แปรง๊ด แปรง๋ แปรปรวน แปรผัน แปรผันแบบผกผัน
+แปรผันโดยตรง แปรรูป แประ แปรไข้ แปร่ง แปร้น แปร๊ด แปร๋ แปล แปลก แปลง แปลงนาม แปลงผี แปลน แปลบ แปล้ แปะ แป้ง แป้งสด แป้น แป้ว แป๊ด แป๊บ แป๊ว แป๊ะ
+แป๊ะกุ่ย แป๊ะซะ แป๊ะเจี๊ยะ แป๋ง แป๋ว แผก แผง แผงคอ แผงลอย แผด แผน แผนก แผนการ แผนที่ แผนผัง แผนภาพ แผนภูมิ แผล แผลง แผลงศร แผละ แผล็บ แผล็ว แผ่ แผ่ตน
+แผ่น แผ่นด แผ่นดินทอง แผ่นพก แผ่นภพ แผ่ว แผ่หลา แผ่แง่ แผ้ว แผ้วพาน แฝก แฝกหอม แฝง แฝด แฝดน้ำ แพ แพค แพคกิ้ง แพง แพงพวย แพทย แพทยศาสตร์ แพทยสภา แพทยา
+แพทย์ แพทย์ปัญญา แพทย์ศาสตร์ แพทเทิร์น แพน แพนก แพนงเชิง แพนงเชิญ แพนซี่ แพนด้า แพนทรี แพนเค็ก แพนเตอร์ แพร แพรก แพรคทิซ แพรว แพรวพราว แพร่ แพร่ง
+แพร่งพราย แพร่งสรรพศาสตร์ แพร้ว แพร์ แพลง แพลจิโอเคลส แพลตฟอร์ม แพลทินัม แพลนนิง แพลม แพละ แพลเลเดียม แพว แพศยา แพศย์ แพะ แพะโลม แพแตก แพ็ก แพ็คเกจ
+แพ่ง แพ่น แพ้ แพ้ผม แพ้ผัว แพ้ฟัน แพ้รู้ แพ้ว แพ้แรง แฟกซ์ แฟกท์ แฟกเตอร์ แฟกโทรี แฟง แฟชั่น แฟน แฟนซี แฟนตาซี แฟนนิง แฟบ แฟมิเลียร์ แฟรงก์ฟอร์ต
+แฟรงคลิไนต์ แฟรงค์ แฟรนเซียม แฟร์ แฟลกซ์ แฟลช แฟลชไดร์ฟ แฟลต แฟลร์ แฟะ แฟ่ แฟ้ม แมก แมกกาซีน แมกนัม แมกนีเซียม แมกนีไซต์ แมกนีไทต์ แมกฮิไมต์ แมคอินทอช
+แมคเคอเรล แมคโคร แมง แมงกะพรุน แมงกานิน แมงกานีส แมงกาโนไซต์ แมงกาไนต์ แมงดา แมงป่อง แมงมุม แมงลัก แมชชีน แมดิสัน แมตซ์ แมทช์ แมทส์ แมทเธอร์แมติค แมน
+แมนจูเรีย แมนชั่น แมนวล แมนูแฟคเจอร์ แมนเนจเม้นท์ แมนเนอร์ แมร แมริแลนด์ แมลง แมลงดำ แมลงปอ แมลงวัน แมลงวันสเปน แมลงสาบ แมลบ แมว แมวดาว แมวน้ำ แมวป่า
+แมวมอง แมวเซา แมส แมสซาซูเซตส์ แมะ แมโคร แม็กซิมัม แม็คโคร แม่ แม่กอง แม่กุญแจ แม่คุณ แม่คู่ แม่ค้า แม่งาน แม่จริม แม่จัน แม่ตาย แม่ทะ แม่ทัพ แม่ทา
+แม่ท่า แม่น แม่นม แม่นยำ แม่น้ำ แม่บท แม่ปะ แม่พระฟาติมา แม่พริก แม่มด แม่ยาย แม่ระมาด แม่ริม แม่ร้า แม่ลาน้อย แม่ลาย แม่วี แม่สรวย แม่สอด แม่สะเรียง
+แม่สาย แม่สี แม่หม้าย แม่อาย แม่ฮ่องสอน แม่เนี้ยว แม่เมาะ แม่แจ่ม แม่แตง แม่แรง แม่ใจ แม้ แม้น แม้ว แม้ว่า แม้แต่ แยก แยกแยะ แยง แยงยล แยงแย่ แยงแย้
+แยบ แยบคาย แยบยล แยม แยะ แยแส แย็บ แย่ แย่ง แย่แต้ แย้ แย้ง แย้ม แย้มจาดวิทยา แย้มพ แย้มพราย แร แรก แรกนา แรคคูน แรง แรงงาน แรงงานสัมพันธ์ แรงดึงดูด
+แรงม้า แรงสู่ศูนย์กลาง แรงเทียน แรซิ่ง แรด แรฟเฟิล แรม แรมรอน แรมรา แรมเมลส์เบอร์ไกต์ แรมโรย แรลลี แระ แรเงา แร็กเกต แร่ แร่กลีบหิน แร่กลีบหินขาว แร่ง
+แร่ดินขาว แร่ดินสอดำ แร่ดีบุก แร่พลอยอ่อน แร่ฟันม้า แร่เกลือจืด แร่เขี้ยวหนุมาน แร่ใยหิน แร้ง แร้นแค้น แร้ว แล แลก แลกวาด แลกโทส แลคเกอร์ แลง แลตเวีย
+แลน แลนซิง แลนด์ แลนทานัม แลบ แลบราโดไรต์ แลมโพรโบไลต์ และ แล็กโทส แล็บ แล่ แล่ง แล่น แล้ แล้ง แล้ว แล้วก แล้วไป แวกกอน แวคคัม แวง แวงน้อย แวงใหญ่ แวด
+แวดล้อม แวดวง แวตร แวน แวนคูเวอร์ แวนดา แวนโก๊ะห์ แวบ แวบวับ แวม แวมไพร์ แวลู แวว แวววับ แวววาม แวววาว แวะ แวเลียนท์ แว่น แว่นตา แว่นไว แว่ว แว้ แว้ง
+แส แสก แสง แสงจันทร์ แสงดาบ แสงทอง แสงมั่งมี แสงศรี แสงศึกษา แสงอรุณ แสงอุทัย แสงแดด แสด แสดง แสดงออก แสตมป์ แสน แสนกล แสนง แสนงอน แสนย แสนยากร
+แสนยานุภาพ แสนย์ แสนรู้ แสนสุข แสนา แสบ แสบก แสม แสมดำ แสมสาร แสยก แสยง แสยงขน แสยะ แสรก แสร้ง แสลง แสลงใจ แสวง แสวงหา แสอก แสะ แส่ แส้ แส้ม้า แห แหก
+แหกคอก แหกปาก แหง แหงน แหงแก๋ แหง่ แหง่ง แหน แหนง แหนงใจ แหนบ แหนม แหบ แหม แหมะ แหม่ แหม่ม แหย แหยง แหยม แหยะ แหย่ แหย่ง แหล แหลก แหลกลาญ แหลงสิงห์
+แหลน แหลม แหลมคม แหลมงอบ แหลมทอง แหละ แหล่ แหล่ง แหล่งเสื่อมโทรม แหล่ใน แหว แหวก แหวด แหวน แหวะ แหว่ง แหะ แห่ แห่ง แห่แหน แห้ แห้ง แห้น แห้ว แอ แอก
+แอกซิไนต์ แอกทิเนียม แอกทิโนไลต์ แอกไมต์ แองกลีไซต์ แองเกิลซี แองเคอไรต์ แอชกาแบด แอด แอดดิสอาบาบา แอดมิรัลตี แอดวานซ์ แอดเดรส แอดๆ แอตทริบิวต์
+แอตแลนตา แอตแลนติก แอนดรอส แอนดราไดต์ แอนดาลูไซต์ แอนดีซีน แอนด์ แอนตาร์กติก แอนตาร์กติกา แอนติบอดี แอนติปารอส แอนติลลิสน้อย แอนติลลิสใหญ่
+แอนติอิเล็กตรอน แอนติเจน แอนติโมนี แอนตีกัว แอนตี้ แอนทิโกไรต์ แอนทิโมนี แอนิเมชัน แอนแนโปลิส แอนโทฟิลไลต์ แอนไฮไดรต์ แอบ แอบอิง แอบาโก แอบแฝง แอป
+แอปพลิเคชัน แอปเปิล แอพพลิเคชัน แอพเพล็ต แอฟริกา แอฟริกากลาง แอฟริกาใต้ แอมบลิโกไนต์ แอมฟิโบล แอมมิเตอร์ แอมะซอนสโตน แอมะซอนไนต์ แอมิแรนต์ แอมแปร์
+แอมโมเนีย แอริโซนา แอร่ม แอร์ แอลกอฮอล์ แอลจีเรีย แอลฟา แอลมันไดต์ แอลลาไนต์ แอละแบมา แอลเจียร์ แอลเบเนีย แอลโลเฟน แอลไบต์ แอว แอสทาทีน แอสฟัลต์
+แอสเบสทอส แอสไพริน แอหนัง แออวย แออัด แอเมทิสต์ แอเรอ แอโนด แอโรบิค แอ็กเซลไฮเบอร์ก แอ็คทีฟ แอ็ดแวนติส แอ่ง แอ่น แอ่นลม แอ่ว แอ้ แอ้งแม้ง แอ้ด แอ้ม
+แอ๊คชั่น แอ๊ด แอ๋ แฮ แฮกเกอร์ แฮนด์ แฮนด์บอล แฮปปี้ แฮปปี้แลนด์ แฮฟเนียม แฮม แฮมเบอร์เกอร์ แฮร์ริสเบอร์ก แฮะ แฮ่ แฮ่ก แฮ่กึ๊น โก โกก โกกนุท โกกิล
+โกกิลา โกกเกก โกง โกงกาง โกงกิน โกงโก้ โกญจ โกญจน โกญจา โกฏิ โกฐ โกฐสอ โกฐหอม โกฐาส โกณ โกดัง โกตาบารู โกตไต โกทัณฑ์ โกธิค โกน โกปินำ โกมล โกมุท โกย
+โกรก โกรกธาร โกรกพระ โกรง โกรญจ โกรด โกรต๋น โกรธ โกรธข โกรธา โกรพ โกรม โกรย โกรศ โกร่ง โกร้ โกร๋น โกลกาตา โกลง โกลด์ โกลน โกลบอล โกลาหล โกล์ โกวิท โกศ
+โกศล โกศลวิทยา โกษ โกษม โกษย โกษีย์ โกส โกสน โกสัช โกสินทร์ โกสีย์ โกสุม โกสุมพิสัย โกหก โกหร่าน โกหวา โกเมน โกเมรา โกเมศ โกโก้ โกโซ โกโรโกโส โกไดแอก
+โกไล โกไสย โก่ โก่ง โก่น โก้ โก้งโค้ง โก้เก๋ โก๋ โก๋น โข โขก โขง โขงเจียม โขด โขน โขนง โขม โขมง โขมด โขยก โขยง โขยด โขย่ง โขลก โขลง โขลน โข่ง โค โคก
+โคกปีบ โคกม้า โคกสำโรง โคกโพธิ์ โคคลาน โคจร โคช โคซี่ โคด โคตร โคตรภู โคธา โคน โคนม โคนสมอ โคนอน โคนากรี โคบอลต์ โคบอลไทต์ โคบาล โคบุตร โคปผกะ โคม
+โคมลอย โคมัย โคมูตร โคม่า โครก โครคอยต์ โครง โครงการ โครงสร้าง โครซิโดไลต์ โครม โครส โครันดัม โคราช โครำ โครเชท์ โครเมียม โครเอเชีย โครโมโซม โครไมต์
+โคร่ง โคล โคลง โคลงเคลง โคลน โคลนนิ่ง โคลอน โคลอมเบีย โคลัมบัส โคลัมเบีย โคลัมโบ โคลัมไบต์ โควตา โควิถี โคออพเพอร์เรชัน โคออร์ดิเนต โคเคน โคเซแคนต์
+โคเปนเฮเกน โคเลสเตอรอล โคเวลไลต์ โคแทนเจนต์ โคแทนเจอร์ โคโกส โคโมโร โคโรค โคโรนา โคโลราโด โคไซน์ โคไพร โค่ง โค่น โค้ก โค้ง โค้ช โค้ด โฆรวิส โฆษ โฆษก
+โฆษณา โฆษณาชวนเชื่อ โฆษะ โฆษิต โฆษิตาราม โง โงก โงกเงก โงง โงงเงง โงน โงนเงน โงเง โง่ โง่งเง่ง โง่งๆ โง้ง โจ โจก โจง โจงโคร่ง โจท โจทก์ โจทนา โจทน์
+โจทย์ โจน โจนร่ม โจม โจมตี โจมทัพ โจร โจรกรรม โจล โจษ โจษจน โจษจัน โจษแจ โจ่งครึ่ม โจ่งแจ้ง โจ๊ก โจ๋งครึ่ม โฉ โฉงเฉง โฉด โฉดเฉา โฉนด โฉบ โฉม โฉมงาม
+โฉมฉาย โฉมตรู โฉมยง โฉมศรี โฉมหน้า โฉลก โฉเก โฉเบ๊ โฉ่ โฉ่งฉ่าง โฉ่ฉาว โชก โชกุน โชกโชน โชค โชคชัย โชคชัยจงจำเริญ โชคชัยร่วมมิตร โชคลาง โชงโลง โชดก
+โชดึก โชต โชตก โชติ โชติก โชติการ โชติการาม โชติรส โชติวัฒน์ โชติสหาย โชน โชบองต์ โชมโรม โชย โชยติส โชรม โชว์ โชว์รูม โชเฟอร์ โช้ค โซ โซก โซดา
+โซดาแผดเผา โซดาไฟ โซดาไลต์ โซน โซนา โซนาร์ โซนิค โซนี่ โซปราโน โซปสโตน โซฟา โซม โซมาลิแลนด์ โซมาเลีย โซรม โซล โซลา โซลูชัน โซลูชั่น โซเซ โซเดียม
+โซเดียมคาร์บอเนต โซเดียมซัลเฟต โซเดียมไซคลาเมต โซเฟีย โซเวียต โซโกตรา โซโก้ โซโลมอน โซโล่ โซไซเอตี โซ่ โซ่ง โซ่พิสัย โด โดกเดก โดด โดดร่ม โดน โดนดี
+โดนัต โดนัท โดป โดม โดมร โดมินิกัน โดมินิกา โดมิโน โดมไพร โดย โดยตรง โดยที่ โดยสาร โดรณ โดเมน โดเวอร์ โดโลไมต์ โด่ โด่ง โด่เด่ โด๊ป โต โตก โตงเตง
+โตจันทร์ โตฎก โตน โตนด โตปิกา โตมร โตมรธร โตย โตรก โตรด โตเกียว โตเกเลา โตเบโก โตโก โต่ง โต้ โต้ง โต้งๆ โต้ตอบ โต้วาที โต้หลง โต้โผ โต๊ด โต๊ะ
+โต๊ะอิหม่าม โต๋เต๋ โถ โถง โถงเถง โถบ โถปริก โถม โถมนาการ โถส้วม โท โทกเทก โทง โทงเทง โทงๆ โทณะ โททอล โทธก โทน โทนิค โทนเนอร์ โทนโท่ โทปาส โทมนัส โทร
+โทรคมนาคม โทรทรรศน์ โทรทัศน์ โทรพิมพ์ โทรภาพ โทรม โทรศัพท์ โทรสาร โทรอนโต โทรเลข โทลา โทศก โทษ โทษจำ โทษทัณฑ์ โทษา โทษากร โทษานุโทษ โทษารมณ์ โทษโพย
+โทส โทสะ โทสาคติ โทหฬะ โทแพซ โทโทษ โทโส โท่ โธรน โธวน โธ่ โน โนซีไลต์ โนน โนนสะอาด โนนสัง โนนสูง โนนไทย โนมพรรณ โนรา โนรี โนวายาซิมลียา โนเกีย โนเน
+โนเบเลียม โน่น โน้ต โน้ตบุ๊ก โน้ตบุ๊ค โน้ตส์ โน้น โน้ม โบ โบก โบกขร โบกขรณี โบกมือ โบกี้ โบชุก โบดก โบต โบตั๋น โบนัส โบนิน โบฟอร์ต โบย โบยบิน
+โบรกเกอร์ โบรมีน โบรอน โบราณ โบราณกาล โบราณคดี โบลิเวีย โบล็คเกอร์ โบว์ โบว์ชัวร์ โบว์ลินไจต์ โบว์ลิ่ง โบสถ์ โบแดง โบโกตา โบโฮล โบ้ โบ๊เบ๊ โบ๋ โป โปก
+โปกขร โปกขรณี โปกฮา โปกำ โปง โปงลาง โปฐปท โปดก โปตถกะ โปน โปร โปรง โปรด โปรดปราน โปรดักซ์ โปรดักซ์ชัน โปรดิวเซอร์ โปรตอน โปรตีน โปรตุเกส โปรย โปรยปราย
+โปรวิเดนซ์ โปรเกรส โปรเจคท์ โปรเจคเตอร์ โปรเซสเซอร์ โปรเตสแตนต์ โปรแกรม โปรแกรมเมอร์ โปรโตคอล โปรโฟสเซอร์ โปรโมชัน โปรโมต โปรโมท โปรโมเตอร์ โปรไฟล์
+โปร่ง โปร่งแสง โปร่งใส โปลิส โปลิโอ โปลี โปลีเทคนิค โปล่ง โปสการ์ด โปสเตอร์ โปะ โปเก โปแลนด์ โปโล โป่ โป่ง โป่งข่าม โป่งน้ำร้อน โป้ โป้ง โป้ปด โป๊
+โป๊ก โป๊กเกอร์ โป๊ป โป๊ยเซียน โป๊ะ โผ โผง โผงผาง โผงเผง โผฏฐัพ โผฏฐัพพะ โผฐัพพะ โผน โผผิน โผย โผลกเผลก โผลง โผลน โผละ โผล่ โผอน โผะ โผเผ โพ โพก โพกพาย
+โพง โพงพาง โพชฌงค์ โพซิตรอน โพด โพทะเล โพธ โพธาราม โพธิ โพธิญาณ โพธิบัลลังก์ โพธิสมภาร โพธิสัตว์ โพธิ์ โพธิ์ชัย โพธิ์ทอง โพธิ์นิมิตร โพธิ์ประทับช้าง
+โพธิ์ปั้น โพธิ์สามต้น โพธิ์หิรัญอุทิศ โพธิ์แก้ว โพน โพนทราย โพนทอง โพนทะนา โพนพิสัย โพนเพน โพบาย โพผัน โพย โพยก๊วน โพยม โพยมัน โพรก โพรง โพรซีเดอร์
+โพรมีเทียม โพระ โพระดก โพรเซสเซอร์ โพรแทกทิเนียม โพรโตคอล โพรโทแอกทิเนียม โพลง โพลน โพลล์ โพละ โพลาริส โพลาลอยด์ โพลิเมอร์ โพลีซี โพลีเอสเตอร์
+โพลีเฮไลต์ โพล่ โพล่ง โพล้ง โพล้เพล้ โพสต์ โพสท์ โพสพ โพสสิเบิล โพสิทิฟ โพแทช โพแทสเซียม โพ้น โฟกัส โฟน โฟม โฟร์แมน โฟร์แฮนด์ โฟร์โมสท์
+โฟลทติ้งมาร์เก็ต โฟลเดอร์ โฟลโกไพต์ โฟล์ค โฟล์คซอง โฟล์คลอร์ โฟล์เดอร์ โฟเนติค โฟโต้ โฟโทกราฟ โภค โภคทรัพย์ โภคภัณฑ์ โภคยทรัพย์ โภคิน โภคี โภชก โภชน
+โภชนะ โภชนา โภชนากร โภชนาการ โภชนาหาร โภชน์ โภไคย โม โมก โมกข์ โมกมัน โมกาดิสชู โมกโคก โมฆ โมฆกรรม โมฆะ โมฆีย โมฆียกรรม โมฆียะ โมง โมงครุ่ม โมจน
+โมซัมบิก โมดิไฟ โมดูล โมดูลา โมทนา โมนลิซ่า โมนาโก โมนาไซต์ โมบาย โมบิล โมมูห์ โมรา โมรี โมร็อกโก โมลด์ โมลิบดีนัม โมลิบดีไนต์ โมลี โมลุกกะ โมสาร์ท
+โมหะ โมหันธ์ โมหาคติ โมฬี โมฮัมหมัด โมฮ็อว์ค โมเดล โมเดิล โมเด็ม โมเตล โมเต็ล โมเม โมเมนตัม โมเมนต์ โมเรส โมเลกุล โมเสก โมเสส โมโน โมโนแซ็กคาไรด์
+โมโนโครม โมโนโพลิ โมโลไค โมโห โมโหโ โมโหโทโส โมไนย โมไบล์ โม่ โม่ง โม่ห์ โม้ โย โยก โยกตร์ โยกเยก โยกโย้ โยค โยคยะ โยคะ โยคิน โยคี โยง โยงโย่ โยงใย
+โยชก โยชนา โยชน์ โยถิกะ โยทะกา โยธรา โยธา โยธิน โยธินบูรณะ โยธี โยน โยนก โยนยาว โยนิโส โยนี โยพนะ โยม โยเย โยโส โย่ง โย่งๆ โย้ โย้เย้ โร โรค โรคจิต
+โรคจิตเภท โรคประสาท โรคระบบประสาท โรคา โรคาพาธ โรง โรงกะปิ โรงคัล โรงงาน โรงงานยาสูบ โรงถ่าน โรงธาร โรงนา โรงน้ำแข็ง โรงรถ โรงหมู โรงเตี๊ยม โรงเรียน
+โรงเรียนสาธิต โรงแรม โรงแสง โรจ โรจน์ โรดส์ โรดิเซีย โรดโชว์ โรดไอแลนด์ โรตา โรตารี่ โรตี โรท โรทนะ โรธ โรธร โรบอต โรบินสัน โรปนะ โรม โรมมัย โรมรัน
+โรมัน โรมันคาทอลิก โรมานซ์ โรมาเนีย โรย โรยรา โรล โรษ โรษณะ โรส โรหิณี โรหิต โรหิตสุข โรเดียม โรเตอร์ โรเนียว โรเมอร์ โรเร โรแมนติค โรโกไนต์
+โรโดโครไซต์ โรโดไลต์ โร่ โลก โลกทะเล โลกธรรม โลกนาถ โลกบาล โลกยะ โลกย์ โลกวิทู โลกันตร์ โลกัย โลกา โลกาธิบดี โลกาธิปไตย โลกานุวัตร โลกาภิวัฒน์ โลกามิส
+โลกาวินาศ โลกิยะ โลกีย โลกียวัตร โลกีย์ โลกุตรธรรม โลกุตระ โลกเกศ โลคัล โลง โลจนะ โลชั่น โลณะ โลด โลดโผน โลตัส โลน โลนลิ โลปะ โลภ โลม โลมะ โลมา
+โลมเล้า โลลุป โลว์ โลหการ โลหกิจ โลหะ โลหะเจือ โลหัช โลหิต โละ โลเกศ โลเคชั่น โลเม โลเล โลโก้ โลโต โลโฟเตน โลโล โล่ โล่ง โล้ โล้ง โล้น โล้เล้ โว โวการ
+โวค โวทาน โวย โวยวาย โวลก้า โวลท์ โวลลาสโทไนต์ โวลุม โวลเคโน โวสาน โวหาร โว่ โว่ง โว้ย โว้เว้ โศก โศกนาฏกรรม โศกศัลย์ โศกา โศกาดูร โศกาลัย โศกี โศจนะ
+โศจิ โศถะ โศธนะ โศผะ โศภ โศภา โศภิต โศภิน โศรณิ โศรดา โศรตร โศลก โษฑศ โษฑศัน โสก โสกันต์ โสกโดก โสณ โสณฑ์ โสณมัย โสณิ โสณี โสด โสดก โสดม โสดา โสดาบัน
+โสต โสตถิ โสตทัศนอุปกรณ์ โสทก โสทร โสธก โสธนะ โสน โสพิศ โสภ โสภณ โสภา โสภิณี โสภี โสม โสมนัส โสมม โสมย์ โสมาภาณุสรณ์ โสรจ โสร่ง โสวรรณ โสหุ้ย โสฬส
+โสเภณี โสโครก โหง โหด โหน โหนก โหนด โหน่ง โหม โหมด โหมหัก โหมฮึก โหมโรง โหม่ โหม่ง โหย โหยกเหยก โหยง โหยหวน โหยไห้ โหย่ง โหร โหรงเหรง โหระพา โหรา
+โหราจารย์ โหราศาสตร์ โหล โหลงโจ้ง โหลด โหลน โหล่ โหว โหวกเหวก โหวง โหวด โหวต โหว่ โหว้ โห่ โอ โอก โอกลาโฮมา โอกลาโฮมาซิตี โอกาส โอกินาวา โอคอตสก์ โอฆ
+โอฆชล โองการ โองโขดง โอชะ โอชา โอฐ โอด โอดโอย โอตตัปปะ โอน โอนิกซ์ โอนเอน โอบ โอบี โอปอ โอพอล โอภา โอภาส โอม โอมาน โอย โอรส โอรสา โอละพ่อ โอลิมปิก
+โอลิมปิค โอลิมเปีย โอลิโกเคลส โอวาท โอษฐ โอษฐชะ โอษฐภัย โอษฐ์ โอสถ โอสถรูป โอสาน โอหนอ โอหัง โอห์ม โอห์มมิเตอร์ โอฬาร โอฬาริก โอฬารึก โออาฮู โอเปก
+โอเปค โอเพ่น โอเพ่นซอร์ส โอเลี้ยง โอเวอร์ โอเอซิส โอเอส โอโซน โอไฮโอ โอ่ โอ่ง โอ่อวด โอ่อ่า โอ่โถง โอ้ โอ้ก โอ้อวด โอ้เอ้ โอ้โถง โอ้โลม โอ้โฮ โอ๊ก
+โอ๊ย โอ๋ โฮ โฮก โฮกอือ โฮกฮาก โฮบาร์ต โฮม โฮมเพจ โฮลเมียม โฮสต์ โฮสเตส โฮะ โฮเต็ล โฮโนลูลู ใกล้ ใคร ใคร่ ใคร่ครวญ ใจ ใจกลาง ใจขุ่น ใจความ ใจคอ ใจง่าย
+ใจจืด ใจชื้น ใจดำ ใจดี ใจต่ำ ใจถึง ใจน้อย ใจบาน ใจบุญ ใจป้ำ ใจฝ่อ ใจมา ใจมือ ใจร้อน ใจร้าย ใจลอย ใจสูง ใจหาย ใจอ่อน ใจเด็ด ใจเติบ ใจเบา ใจเพชร ใจเย็น
+ใจเร็ว ใจเสาะ ใจเสีย ใจแข็ง ใจแคบ ใจแตก ใจแป้ว ใจโต ใช่ ใช้ ใช้บน ใช้สอย ใช้ใบ ใช้ได้ ใด ใต้ ใต้ดิน ใต้ถุน ใต้เท้า ใน ในกรม ในหลวง ในไส้ ใบ ใบขน
+ใบขนุน ใบจอง ใบฎีกา ใบดาล ใบดำ ใบตราส่ง ใบตอง ใบตาล ใบทอง ใบนาก ใบบอก ใบบุญ ใบปก ใบปรือ ใบปลิว ใบพัด ใบระกา ใบรับ ใบลา ใบสอ ใบสัจ ใบสั่ง ใบหน้า ใบหุ้น
+ใบเงิน ใบเบิก ใบแข็ง ใบแดง ใบแทรก ใบโพ ใบไม้ ใบ้ ใฝ่ ใฝ่ต่ำ ใฝ่ฝัน ใฝ่สูง ใฝ่ใจ ใย ใยฟ้า ใยยอง ใยหิน ใส ใส่ ใส่ยา ใส่ใจ ใส่ไฟ ใส่ไส้ ใหญ่ ใหม่ ใหลตาย
+ให้ ให้การ ให้ท่า ให้หา ไก ไกด์ ไกพัล ไกร ไกรพ ไกรลาส ไกรศร ไกรศรี ไกรสร ไกล ไกลโคเจน ไกล่ ไกว ไกวัล ไกเกอร์เคาน์เตอร์ ไก่ ไก่กอม ไก่ชน ไก่นา ไก่ป่า
+ไก่ฟ้า ไก่โห่ ไก่ไห้ ไก้ ไก๊ ไก๊ด์ ไก๋ ไก๋แดง ไข ไขกระดูก ไขข้อ ไขควง ไขรา ไขว่ ไขว้ ไขว้เ ไขษย ไขสันหลัง ไขสือ ไขหู ไข่ ไข่ดัน ไข่น้ำ ไข่ปลา ไข่มุก
+ไข่หิน ไข่แหน ไข้ ไข้กาฬ ไข้ปอดบวม ไข้ป่า ไข้พิษ ไข้หัว ไข้แดด ไข้ใจ ไค ไคยาไนต์ ไครโอไลต์ ไคร้ ไคล ไคลคลา ไคลเอ็นต์ ไคลแมกซ์ ไคลโนคลอร์ ไคลโนซอยไซต์
+ไคลโนแอนสตาไทต์ ไคล้ ไควรี่ ไคแอสโทไลต์ ไคโร ไค้ ไง ไง้ ไจ ไจร ไจ้ ไจ้ๆ ไฉน ไฉเฉ ไฉไล ไช ไชนะ ไชย ไชยทิศ ไชยวาน ไชยา ไชยเภท ไชเอน ไชโย ไซ ไซคลาดิส
+ไซชู ไซต์ ไซนัส ไซนาไนต์ ไซน์ ไซบีเรีย ไซปรัส ไซปัน ไซยาไนด์ ไซรอส ไซรัป ไซร้ ไซส์ ไซเกิล ไซเบอร์ ไซเรน ไซโค ไซโคลน ไซโล ไซโลมิเลน ไซ่ง่อน ไซ้ ได
+ไดนามิก ไดนาโม ไดนาไมต์ ไดมอนด์ ไดรว์ ไดรเวอร์ ไดร์ฟ ไดออปเทส ไดออปไซด์ ไดอะทอไมต์ ไดอะล็อก ไดอะล็อกบ็อกซ์ ไดอะล็อค ไดอะแกรม ไดอัล ไดอาน่า ไดอารี
+ไดอารี่ ไดเจสท์ ไดเรกตริกซ์ ไดเรกทอรี ไดเรกทอรี่ ไดเร็กทอรี ไดเร็คเตอร์ ไดเร็คโทรี ไดเอ็ท ไดแซ็กคาไรด์ ไดแอลเลจ ไดแอสพอร์ ไดโนเสาร์ ได้ ได้การ ได้ที
+ได้ที่ ได้ท่า ได้ยิน ได้สติ ได้แก่ ได้ใจ ไต ไตปลา ไตร ไตรกลีเซอไรด์ ไตรตรา ไตรทศ ไตรทิพ ไตรปิฎก ไตรภพ ไตรภาคี ไตรภูมิ ไตรมาส ไตรมิตร ไตรย ไตรรงค์
+ไตรรัตน์ ไตรรัตน์นาราม ไตรลักษณ์ ไตรวัฏ ไตรสิกขา ไตรเพท ไตรโลก ไตร่ตรอง ไตเติล ไต่ ไต่คู้ ไต่ถาม ไต่ลวด ไต่สวน ไต่ไม้ ไต้ ไต้ก๋ง ไต้ฝุ่น ไต้หวัน ไต้ไฟ
+ไต๋ ไถ ไถกลบ ไถง ไถดะ ไถนา ไถย ไถล ไถแปร ไถ่ ไถ่ถอน ไถ่บาป ไถ้ ไถ้ก๋ง ไท ไทกอ ไททะโนแมกนีไทต์ ไททะไนต์ ไททันออไจต์ ไทฟอยด์ ไทย ไทยดำ ไทยทาน ไทยธรรม
+ไทยยานนท์ ไทยรักไทย ไทยรัฐ ไทยร่มเย็น ไทยวิจิตรศิลป์ ไทยหลง ไทยไดมารู ไทร ไทรงาม ไทรดิไมต์ ไทรทอง ไทรน้อย ไทรบุรี ไทรอยด์ ไทรอัมฟ์ ไทรโยค ไทร์ ไทวะ
+ไทเทรต ไทเทเนียม ไทเป ไทแรนท์ ไท้ ไน ไนจีเรีย ไนต์คลับ ไนลอน ไนล์ ไนเจอร์ ไนโตรเจน ไนโรบี ไนโอเบียม ไบต์ ไบนารี ไบรท์ ไบออส ไบเซกซ์ชัวล์ ไบเซคชัน
+ไบเบิล ไบโทว์ไนต์ ไบโอไทต์ ไบ่ๆ ไป ไปทุ่ง ไปป์ ไปย ไปยกา ไปยาล ไปยิกา ไปรษณียบรรณ ไปรษณียบัตร ไปรษณียภัณฑ์ ไปรษณียวัตถุ ไปรษณียากร ไปรษณีย์ ไปรอา
+ไปรเวท ไปลาด ไปล่ ไปศาจ ไปศาจี ไป่ ไป๋ ไผ ไผท ไผทอุดมศึกษา ไผ่ ไผ่ผัง ไผ่สิงห์โต ไผ่เงิน ไฝ ไพ ไพก้า ไพคา ไพจิตร ไพชน ไพฑูรย์ ไพที ไพนท์ ไพบูลย์
+ไพป๊อก ไพพรรณ ไพมอก ไพม้า ไพร ไพรจิตร ไพรชน ไพรฑูรย์ ไพรที ไพรบึง ไพรมารี่ ไพรวัน ไพรสัณฑ์ ไพรส์ ไพรอกซีน ไพรัช ไพราร์จีไรต์ ไพรำ ไพริน ไพรี ไพรู
+ไพรเวต ไพร่ ไพร่พล ไพร่สม ไพล ไพลอต ไพลิน ไพลินสนธิ ไพล่ ไพศาข ไพศาล ไพศาลี ไพสพ ไพสิฐ ไพหาร ไพเพิด ไพเรทรัม ไพเราะ ไพเศษ ไพโดร ไพโรคลอร์ ไพโรจน์
+ไพโรป ไพโรฟิลไลต์ ไพโรมอร์ไฟต์ ไพโรลูไซต์ ไพไรต์ ไพ่ ไพ่ป๊อก ไพ่ไฟ ไฟ ไฟฉาย ไฟท์ ไฟธาตุ ไฟนัล ไฟฟ้า ไฟฟ้ากระแส ไฟฟ้าสถิต ไฟร์วอลล์ ไฟลท์ ไฟล์ ไฟเบอร์
+ไฟแช็ก ไฟแนนซ์ ไฟโบรไลต์ ไภริน ไมกา ไมครอน ไมตรี ไมตรีจิต ไมตรีภาพ ไมยราบ ไมลิบดีนัม ไมล์ ไมเกรน ไมเนอร์ ไมโกนอส ไมโคร ไมโครกรัม ไมโครซอฟต์ ไมโครฟิล์ม
+ไมโครมิเตอร์ ไมโครลิตร ไมโครเพอร์ไทต์ ไมโครเมตร ไมโครเวฟ ไมโครโฟน ไมโครไคลน์ ไมโครไลต์ ไม่ ไม่ทัน ไม่มี ไม่รู้ ไม่สู้ ไม่ใช่ ไม้ ไม้กง ไม้กวาด ไม้ดัด
+ไม้ดำ ไม้ตรี ไม้ตาย ไม้นวม ไม้บรรทัด ไม้ผัด ไม้มืด ไม้มือ ไม้ยมก ไม้ยาว ไม้ลอย ไม้วา ไม้สอย ไม้สูง ไม้อัด ไม้เอก ไม้แก่น ไม้แดง ไม้โท ไม้โพ ไม้โอ
+ไม้ไผ่ ไม้ไล่ ไย ไยดี ไยไพ ไยไย ไย่ ไร ไรฟัน ไรย์ ไรเฟิล ไร่ ไร้ ไลท์เตอร์ ไลท์เวท ไลน์ ไลน์เฮฟวี่เวท ไลน์แมน ไลบรารี ไลบีเรีย ไลฟ์ ไลมอไนต์ ไลย ไลลา
+ไลออน ไลเซนส์ ไลเบรริ ไลเลย ไลแลค ไลไล้ ไล่ ไล่กวด ไล่น้ำ ไล่เลียง ไล่เลี่ย ไล้ ไว ไวกิง ไวกูณฐ์ ไวฑูรย์ ไวทย ไวทย์ ไวท์ ไวนเตย ไวน์ ไวพจน์ ไวยากรณ์
+ไวยาวัจกร ไวยาวัจมัย ไวรัส ไววรรณ ไวศย ไวษณพ ไวเบรชั่น ไวโอมิง ไวโอลิน ไวโอเล็ต ไวไฟ ไว้ ไว้ตัว ไว้ยศ ไว้ลาย ไว้อาลัย ไว้ใจ ไศล ไศวะ ไส ไสย ไสยศาสตร์
+ไสยา ไสยาสน์ ไสยเวท ไสร้ ไสว ไสวตาแตง ไสวสุขสม ไสวสุวรรณ ไสหัว ไส้ ไส้กรอก ไส้ตัน ไส้ติ่ง ไส้ศึก ไส้อั่ว ไส้เดือน ไส้ไก่ ไห ไหซอง ไหน ไหปลาร้า ไหม
+ไหมทอง ไหม้ ไหรณย์ ไหรัณย์ ไหร่ ไหล ไหลน้ำ ไหล่ ไหล่ทวีป ไหว ไหว้ ไหหลำ ไห่ ไห้ ไอ ไอคอน ไอซแลนด์ ไอดาโฮ ไอที ไอน์สไตเนียม ไอบีเอ็ม ไอพ่น ไอยรา ไอยเรศ
+ไอรอน ไอราวัณ ไอริช ไอร์แลนด์ ไอร์แลนด์เหนือ ไอร์แลนด์ใต้ ไอวอรีโคสต์ ไอศกรีม ไอศวรรย์ ไอศูรย์ ไอษสวรรค์ ไอออน ไอออส ไอโซโทป ไอโดเครส ไอโอดีน ไอโอวา
+ไอโอเนียน ไอ้ ไฮดรา ไฮตี ไฮยาซินท์ ไฮยาไลต์ ไฮเทค ไฮเพอร์สทีน ไฮโกรมิเตอร์ ไฮโดรคาร์บอน ไฮโดรซินไคต์ ไฮโดรมิเตอร์ ไฮโดรเจน ไฮโดรเจนซัลไฟด์
+ไฮโดรเจนเพอร์ออกไซด์ ไฮโล ไฮไฟ
+""".split()
+)
