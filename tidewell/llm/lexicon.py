@@ -26,11 +26,34 @@ SIGN_OFFS = frozenset(
         "Un saludo", "Saludos", "Gracias", "С уважением", "Спасибо", "Ευχαριστώ", "Με εκτίμηση", "مع التحية", "شكرا", "धन्यवाद", "सादर", "谢谢", "此致", "敬上", "よろしくお願いします", "よろしくお願いいたします", "ขอบคุณครับ", "ขอบคุณค่ะ", "ขอบคุณ",
     )
 )
-#: Phrases that mark a paragraph as a notice below a message.
-NOTICES = (
-    "is meant for the addressee only", "intended only for the addressee", "If it reached you by mistake", "nur dem genannten Empfänger", "destiné à la seule personne", "es solo para quien figura arriba", "предназначено только адресату",
-    "αφορά μόνο τον παραλήπτη", "للمرسل إليه وحده", "केवल पाने वाले के लिए", "宛先の方だけのもの", "只供收件人", "สำหรับผู้รับเท่านั้น",
-)
+#: What notices below messages speak of (disclaimers, list footers), with its weight: stems at the beginning of a word, case-folded.
+NOTICE_STEMS = {
+    "message": (1, "message mail e-mail email nachricht mensaje correo mensagem messaggio courriel bericht wiadomoś сообщени письмо лист μήνυμα"),
+    "sender": (1, "sender absender remitente remetente mittente expéditeur afzender nadawc отправител αποστολέ notify informieren avise prévenez avvisare уведом"),
+    "recipient": (2, "addressee recipient intended empfänger adressat gerichtet destinatari destinatário destinataire destiné geadresseerde ontvanger adresat odbiorc адресат получател παραλήπτ"),
+    "error": (2, "mistake error erroneous irrtümlich versehentlich irrtum fehlgeleitet equivocación engano erro errore erreur abusivement vergissing onbedoeld pomyłk ошиб λάθος"),
+    "delete": (2, "delete destroy erase lösch vernicht borre borr bórr elimin destruy destru apagu apague cancell distrugg effac supprim détrui verwijder vernietig usun удал уничтож διαγρά καταστρ"),
+    "secret": (2, "confidential privileg proprietary vertraulich geheim confidencial reservad riservat confidentiel vertrouwelijk poufn конфиденциальн εμπιστευτικ"),
+    "spread": (2, "disclos disseminat distribut unauthori unauthoriz copying copy weitergabe weiterleit unbefugt vervielfält divulg difund difusión prohibid diffus interdit autoris divulgaz diffond vietat verspreid verboden распростран запрещ копирован αντιγραφ απαγορ"),
+    "liability": (2, "liab warrant virus viruses views opinions haft gewähr responsabil responsable respons aansprak ответственност ευθύν disclaimer"),
+    "subscription": (4, "unsubscrib subscrib abbestell abmeld abonnier désabonn désinscri abonn baja suscri cancelar inscri disiscri iscri afmeld uitschrijv отпис подпис διαγραφή εγγραφ"),
+    "list": (1, "list newsletter mailingliste verteiler liste lista boletín infolettre lijst nieuwsbrief рассылк λίστα"),
+    "law": (2, "legal law lawful gesetz rechtlich registered registergericht handelsregister geschäftsführer ley legge juridique wettelijk закон νόμο"),
+}
+#: The same in scripts without spaces or with joined words: anywhere in a text, ``_`` for a space.
+NOTICE_PARTS = {
+    "message": (1, "邮件 郵件 メール 메일 الرسالة البريد संदेश ईमेल मेल จดหมาย ข้อความ อีเมล"),
+    "sender": (1, "发件人 寄件人 送信者 발신자 المرسل प्रेषक भेजने ผู้ส่ง"),
+    "recipient": (2, "收件人 收信人 宛先 受信者 宛てた 수신자 للمرسل_إليه المرسل_إليه المستلم पाने_वाले प्राप्तकर्ता ผู้รับ"),
+    "error": (2, "误收 误发 誤收 错误 誤って 誤送 手違い 잘못 خطأ بالخطأ भूल गलती ผิดพลาด โดยไม่ตั้งใจ"),
+    "delete": (2, "删除 刪除 销毁 削除 破棄 삭제 احذف حذف إتلاف मिटा हटा नष्ट ลบ ทำลาย"),
+    "secret": (2, "机密 機密 保密 秘密 기밀 سري गोपनीय ความลับ"),
+    "spread": (2, "转发 轉發 传播 复制 披露 転送 複製 開示 漏洩 무단 배포 نشر نسخ توزيع वितरण प्रसार प्रतिलिपि เผยแพร่ คัดลอก ส่งต่อ"),
+    "liability": (2, "责任 責任 책임 مسؤولية المسؤولية उत्तरदायी ज़िम्मेदार जिम्मेदार รับผิดชอบ"),
+    "subscription": (4, "退订 退訂 订阅 訂閱 購読 配信停止 登録解除 구독 수신거부 الاشتراك सदस्यता ยกเลิกการรับ สมัครรับ"),
+    "list": (1, "邮件列表 メーリングリスト メルマガ القائمة_البريدية मेलिंग_सूची รายชื่ออีเมล จดหมายข่าว"),
+    "law": (2, "法律 法令 법률 القانون कानून กฎหมาย"),
+}
 #: First fields of the headers that stand above a quoted message.
 QUOTED_FIELDS = frozenset("From Sent To Cc Subject Date Von Gesendet An Betreff Datum De Envoyé À Objet Enviado Para Asunto От Отправлено Кому Тема Από Προς Θέμα 发件人 发送时间 收件人 主题 差出人 送信日時 宛先 件名".split())
 #: Thai word classes, as far as they decide what a space parts; the words themselves are found with the general list of ``thai_words``.

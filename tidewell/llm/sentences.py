@@ -42,6 +42,11 @@ _WORD = re.compile(r"[^\W_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
 
+_NO_WORD = re.compile(r"[^\w-]+")
+_STEMS = [(what, weight, [" " + x for x in stems.casefold().split()]) for what, (weight, stems) in X.NOTICE_STEMS.items()]
+_STEM_PARTS = [(what, weight, [x.replace("_", " ") for x in parts.split()]) for what, (weight, parts) in X.NOTICE_PARTS.items()]
+
+
 class Lattice:
     """Words of a dictionary over a text without spaces: the path with the fewest unknown characters, then the fewest words."""
 
@@ -280,7 +285,7 @@ def split_prose(s: str, memo: dict) -> list[int]:
     return [*dict.fromkeys(x for x in out if 0 < x < end), end]
 
 
-def is_prose(rows: list[str]) -> bool:
+def is_prose(rows: list[str], foot: bool = False) -> bool:
     """Whether a block is running text; greetings and notes count too where they have no inner boundary to lose."""
     first = rows[0].strip()
     if _RULE.match(first) or first == "--" or _ORIGINAL.match(first):
@@ -293,9 +298,26 @@ def is_prose(rows: list[str]) -> bool:
             return False
     if len(rows) > 1 and (m := _HEADER.match(first)) and m[1] in X.QUOTED_FIELDS and (m2 := _HEADER.match(rows[1].strip())) and m2[1] in X.QUOTED_FIELDS:
         return False
+    return not is_notice(rows, foot)
+
+
+def is_notice(rows: list[str], foot: bool) -> bool:
+    """Whether a block is a notice below a message, by how many of the things such notices speak of it names; at the ``foot`` fewer will do."""
     joined = re.sub(r"\s+", " ", " ".join(rows))
-    tight = joined if joined.isascii() else re.sub(r"(?<=[^\x00-⿿]) (?=[^\x00-⿿])", "", joined)
-    return not any(p in joined or p in tight for p in X.NOTICES)
+    if len(joined) < 24:
+        return False
+    folded = " " + _NO_WORD.sub(" ", joined.casefold())
+    found = {what: weight for what, weight, stems in _STEMS if any(x in folded for x in stems)}
+    if not joined.isascii():
+        tight = re.sub(r"(?<=[^\x00-⿿]) (?=[^\x00-⿿])", "", joined)
+        found |= {what: weight for what, weight, parts in _STEM_PARTS if any(x in joined or x in tight for x in parts)}
+    return sum(found.values()) >= (5 if foot else 6)
+
+
+def ends_message(rows: list[str]) -> bool:
+    """Whether a block is a rule, a signature or a sign-off: below it notices stand."""
+    first = rows[0].strip()
+    return bool(_RULE.match(first)) or first == "--" or first.rstrip(",.!，。！ ").casefold() in X.SIGN_OFFS
 
 
 def _blocks(text: str, a: int, b: int) -> Iterator[list[tuple[int, int]]]:
@@ -328,12 +350,14 @@ def sentence_ends(text: str | None, memo: dict | None = None) -> list[int]:
     memo = {} if memo is None else memo
     out: list[int] = []
     for a, b in plain_parts(text):
+        foot = False
         for block in _blocks(text, a, b):
             rows = [text[x:y] for x, y in block]
             s = "\n".join(rows)
-            key = ("block", s)  # apart from the words: a block may be one word
+            key = ("block", s, foot)  # apart from the words: a block may be one word
             if (ends := memo.get(key)) is None:  # quoted and standing texts come again and again
-                ends = memo[key] = split_prose(s, memo) if is_prose(rows) else [len(s.rstrip())]
+                ends = memo[key] = split_prose(s, memo) if is_prose(rows, foot) else [len(s.rstrip())]
+            foot = ends_message(rows)
             at, marks = 0, []
             for (x, _), r in zip(block, rows):
                 marks.append((at, x))
