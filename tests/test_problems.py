@@ -182,6 +182,16 @@ def test_consolidate(spark, rows):
     assert consolidate.consolidate(spark.createDataFrame(listing, UNITS).limit(0), spark.createDataFrame(feed, ENTRIES)).entries.count() == 0
 
 
+def test_consolidate_keeps_different_entries(spark, rows):
+    listing = a_listing()
+    s, u = next(k for k in sorted(x[:2] for x in brute_live(listing)))
+    entry = lambda pos, seq, pk, kind, pv: (pos, s, u, seq, pk.encode(), 3, pk, kind, pv, 1)
+    feed = [entry(0, 0, "a", 3, "x"), entry(1, 0, "a", 3, "x"), entry(2, 0, "b", 3, "x"), entry(3, 0, "a", 3, "y"), entry(4, 0, "a", 0, "x"), entry(5, None, "a", 3, "x"), entry(6, None, "c", 3, None), entry(7, None, "c", 3, None), entry(8, 1, "d", 3, "")]
+    done = consolidate.consolidate(spark.createDataFrame(listing, UNITS), spark.createDataFrame(feed, ENTRIES))
+    assert rows(done.entries.select("seq", "pk", "datum_type", "pv")) == sorted({(f[3], f[6], f[7], f[8]) for f in feed}, key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
+    assert done.ranges.agg(F.sum("n_entries")).first()[0] == 7
+
+
 def test_eager_aggregation(spark, rows):
     r = random.Random(2)
     left = [(r.choice(["hot"] * 8 + ["a", None]), r.choice([1, 2, None]), r.choice([5, None, -3]), "z") for _ in range(200)]

@@ -42,8 +42,8 @@ def consolidate(units: DataFrame, entries: DataFrame, target_bytes: int = TARGET
     """Merges the live units' sorted runs into outputs of about ``target_bytes``, written below ``path`` (the shared folder by default).
 
     Every unit is a run sorted by its place in the order (lo, unit, seq). Each output is a key range of that order; Spark's
-    external sorter merges the spilled runs of a range, and the result is written in order. Repeats of one entry (same
-    store, unit and seq; a re-delivery) come out once; different entries with equal keys all stay. Entries without a live unit
+    external sorter merges the spilled runs of a range, and the result is written in order. Repeats of one entry (the same
+    in store, unit, seq and all content; a re-delivery) come out once; different entries all stay, also under one seq or a null one. Entries without a live unit
     come out nowhere; live units without entries appear in the lineage only. The ranges give each output's versions, keys,
     entries and bytes, for pruning.
     """
@@ -54,7 +54,7 @@ def consolidate(units: DataFrame, entries: DataFrame, target_bytes: int = TARGET
     plan = spark.read.parquet(f"{path}/plan")
     fields = ["seq", "pk_key", "pk_type", "pk", "datum_type", "pv"]
     rows = entries.select("store_id", "unit_num", *fields).join(plan.select("store_id", "unit_num", "out_num", "commit_ver_lo_incl"), ["store_id", "unit_num"])
-    once = rows.dropDuplicates(["store_id", "unit_num", "seq"])  # on the join's partitioning: no further shuffle
+    once = rows.dropDuplicates(["store_id", "unit_num", *fields])  # compares all content; null equals null
     merged = once.repartition("store_id", "out_num").sortWithinPartitions("store_id", "out_num", "commit_ver_lo_incl", "unit_num", "seq")
     merged.write.parquet(f"{path}/entries")
     merged = spark.read.parquet(f"{path}/entries")
