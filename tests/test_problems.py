@@ -58,6 +58,22 @@ def test_incremental_state(spark, rows):
     assert state.version() == 1
 
 
+def test_incremental_state_of_differing_rows_and_two_runs(spark, rows):
+    df = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n"), (None, "m")], "id bigint, a string")
+    state = incremental.IncrementalState(spark, shared_dir(spark), ["id"])
+    state.commit(df, ["a"])
+    assert state.select(df, ["a"]).count() == 0  # nothing has changed
+    more = spark.createDataFrame([(1, "x"), (1, "w")], df.schema)
+    assert rows(state.select(more, ["a"])) == [(1, "w", "changed")]
+    other = incremental.IncrementalState(spark, state.folder.root, ["id"])
+    assert rows(other.select(more, ["a"])) == [(1, "w", "changed")]
+    assert state.commit(more, ["a"]) == 1
+    with pytest.raises(FileExistsError):  # the same version was selected by both
+        other.commit(more, ["a"])
+    assert rows(state.select(df, ["a"])) == [(1, "y", "changed")]  # a key's contents are those of its last commit
+    assert other.select(more, ["a"]).count() == 0 and other.commit(more, ["a"]) == 2
+
+
 def test_json_tree():
     for text in ["[]", "{}", '[1,{"a":[null,true,"x\\u00e9"]}]', " 3 ", '"s"', '{"a":{"b":[]} , "c":-1.5e3}']:
         assert parse(text) == _parse_deep(text)

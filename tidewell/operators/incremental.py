@@ -27,13 +27,16 @@ class IncrementalState:
     so that its records are selected again; output keyed by ``run_token`` then replaces what the dead run left. Nothing is
     skipped and nothing is taken as processed twice.
 
-    Key columns may be null (a null key is a key of its own). Repeated rows of a key: one of the rows with the largest content
-    hash stands for the key, so the result does not depend on their order. Extra columns pass through unchanged.
+    Key columns may be null (a null key is a key of its own). A key's rows may differ in content: the state keeps each of their
+    hashes, and a row is changed if its hash is none of them. Extra columns pass through unchanged.
+
+    A version is committed by the state object that selected against it: ``commit`` fails if another run has committed since.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str]):
         self.spark, self.keys, self.folder = spark, keys, Folder(spark, root)
         self._schema: dict[int, object] = {}
+        self._selected: int | None = None  # the version of the last select, until it is committed on
 
     def version(self) -> int:
         """The current version; -1 if nothing has been committed."""
@@ -43,8 +46,9 @@ class IncrementalState:
         """The same for each attempt of one run, another after its commit."""
         return f"run-{self.version() + 1:012d}"
 
-    def read(self) -> DataFrame | None:
-        v = self.version()
+    def read(self, v: int | None = None) -> DataFrame | None:
+        """The rows of a version, of the current one by default: (key columns, _c_hash), a key once for each of its contents."""
+        v = self.version() if v is None else v
         if v < 0:
             return None
         return self.spark.read.parquet(f"{self.folder.root}/{json.loads(self.folder.read(f'current-{v:012d}.json'))['data']}")
@@ -54,28 +58,35 @@ class IncrementalState:
 
     def select(self, rows: DataFrame, content: list[str]) -> DataFrame:
         """The new or changed rows, with all their columns and ``_change`` ('new' or 'changed'; ``__change`` if that name is taken)."""
-        state = self.read()
+        self._selected = self.version()
+        state = self.read(self._selected)
         now_hash, old_hash, change, *old_keys = fresh(rows.columns, "_c_hash", "_s_hash", "_change", *[f"_s{i}" for i in range(len(self.keys))])
         if state is None:
             return rows.withColumn(change, F.lit("new"))
         now = self._hashed(rows, content, now_hash)
-        s = state.select(*[F.col(k).alias(o) for k, o in zip(self.keys, old_keys)], F.col("_c_hash").alias(old_hash))
+        s = state.groupBy(*[F.col(k).alias(o) for k, o in zip(self.keys, old_keys)]).agg(F.collect_set("_c_hash").alias(old_hash))
         test = F.lit(True)
         for k, o in zip(self.keys, old_keys):
             test &= F.col(k).eqNullSafe(F.col(o))
-        joined = now.join(s, test, "left").filter(F.col(old_hash).isNull() | (F.col(old_hash) != F.col(now_hash)))
+        joined = now.join(s, test, "left").filter(F.col(old_hash).isNull() | ~F.array_contains(old_hash, F.col(now_hash)))
         return joined.withColumn(change, F.when(F.col(old_hash).isNull(), "new").otherwise("changed")).select(*rows.columns, change)
 
     def commit(self, rows: DataFrame, content: list[str], keep_missing: bool = True) -> int:
-        """Makes the rows' keys and hashes the next version, with the keys of the version before unless ``keep_missing`` is off."""
-        now = self._hashed(rows.select(*dict.fromkeys([*self.keys, *content])), content, "_c_hash").groupBy(*self.keys).agg(F.max("_c_hash").alias("_c_hash"))
-        old, v = self.read(), self.version() + 1
+        """Makes the rows' keys and hashes the next version, with the keys of the version before unless ``keep_missing`` is off.
+
+        The version before is the one ``select`` read, or the current one if nothing has been selected.
+        """
+        before = self.version() if self._selected is None else self._selected
+        now = self._hashed(rows.select(*dict.fromkeys([*self.keys, *content])), content, "_c_hash").select(*self.keys, "_c_hash").distinct()
+        old, v = self.read(before), before + 1
         if old is not None and keep_missing:
             now = now.withColumn("_age", F.lit(1)).unionByName(old.withColumn("_age", F.lit(0)))
-            now = now.groupBy(*self.keys).agg(F.max(F.struct("_age", "_c_hash")).alias("x")).select(*self.keys, F.col("x._c_hash").alias("_c_hash"))
+            now = now.groupBy(*self.keys).agg(F.max("_age").alias("_x"), F.collect_set(F.struct("_age", "_c_hash")).alias("_all"))
+            now = now.select(*self.keys, F.explode(F.expr("transform(filter(_all, y -> y._age = _x), y -> y._c_hash)")).alias("_c_hash"))
         data = f"state-{v:012d}-{Folder.token()}"
         now.write.parquet(f"{self.folder.root}/{data}")
         self.folder.create(f"current-{v:012d}.json", json.dumps({"data": data}))
+        self._selected = None
         return v
 
 
