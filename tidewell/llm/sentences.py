@@ -1,10 +1,10 @@
 """Sentence units of mail messages in any language (problem 8).
 
-A message's plain parts are cut into blocks, and each prose block into sentences. Spaced scripts go through a lattice of
-terminators: every mark that could end a sentence is a candidate, with its closing marks, and is kept or dropped by what stands
-before (abbreviation, number, initial) and after it (case, script), and by the quotation or bracket it stands in. In scripts
-without spaces words come from a dictionary lattice; a gap ends a sentence by the final particle before and the opening word
-after it, and a quotation goes on if the word after it carries the sentence on.
+A message's plain parts are cut into blocks, and each prose block into sentences by one scan from left to right: every mark that
+could end a sentence is a candidate, with its closing marks, and is kept or dropped by what stands before (abbreviation, number,
+initial) and after it (case, script), and by the quotation or bracket it stands in. Paths are not scored. In Thai the words come from a
+dictionary lattice, and a space ends a sentence by the classes of the words on either side. In Chinese and Japanese a quotation goes on if the
+word after it carries the sentence on. Spaces of other scripts without full stops (Lao, Khmer, Tibetan) are not considered.
 """
 
 from __future__ import annotations
