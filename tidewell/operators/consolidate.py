@@ -28,8 +28,8 @@ def plan_outputs(units: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFram
     """Each live unit with the output it goes to: (store_id, out_num) rolls over after every target_bytes.
 
     Units are taken by version (lo, then hi and number). The running size is a two-step scan over the units that start at one
-    version, so a store with most units is no single task. A unit of unknown size counts as 0 bytes, one larger than the
-    target gets outputs of its own. Outputs of a store hold disjoint runs of the version order.
+    version, so a store with most units is no single task. A unit of unknown size counts as 0 bytes. Units that start at one
+    version share an output whatever their bytes, and one larger than the target shares its with those before it. Outputs of a store hold disjoint runs of the version order.
     """
     u = live_units(units)
     at = u.groupBy("store_id", "commit_ver_lo_incl").agg(F.sum(F.coalesce("n_bytes", F.lit(0))).alias("_bytes"))
@@ -42,7 +42,7 @@ def consolidate(units: DataFrame, entries: DataFrame, target_bytes: int = TARGET
     """Merges the live units' sorted runs into outputs of about ``target_bytes``, written below ``path`` (the shared folder by default).
 
     Every unit is a run sorted by its place in the order (lo, unit, seq). Each output is a key range of that order; Spark's
-    external sorter merges the spilled runs of a range, and the result is written in order. Repeats of one entry (the same
+    external sorter sorts the range anew, and the result is written in order. Repeats of one entry (the same
     in store, unit, seq and all content; a re-delivery) come out once; different entries all stay, also under one seq or a null one. Entries without a live unit
     come out nowhere; live units without entries appear in the lineage only. The ranges give each output's versions, keys,
     entries and bytes, for pruning.
