@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators.intervals import interval_semi_join, merge_intervals
+from tidewell.operators.intervals import gaps_between, merge_intervals, overlap_lengths
 from tidewell.operators.live_units import live_units
 from tidewell.session import fresh, written
 from tidewell.sources.files import Folder
@@ -90,36 +90,60 @@ class IncrementalState:
         return v
 
 
-def handled_units(runs: DataFrame, units: DataFrame) -> DataFrame:
-    """(store_id, consumer, unit_num, commit_ver_lo_incl, commit_ver_hi_incl) of the pairs whose versions successful runs covered.
+PAIR = ["store_id", "consumer", "unit_num"]
+SPAN = ["commit_ver_lo_incl", "commit_ver_hi_incl"]
+CONTENT = [*SPAN, "n_handled"]
 
-    ``runs`` are ledger rows, ``units`` live units. The intervals of succeeded rows are merged (adjacent versions join up), and a unit
-    is handled if it lies in one merged interval. Runs of a null consumer cover nothing (null equals nothing). Ledger rows with null bounds or lo > hi cover nothing; repeats add nothing.
-    A unit without any version (lo > hi) has nothing left to handle.
+
+def _handled(runs: DataFrame) -> DataFrame:
+    """The intervals (store_id, consumer, lo, hi) of the successful runs. Null bounds and lo > hi are none; repeats add nothing later."""
+    done = runs.filter((F.col("status") == "succeeded") & F.col("store_id").isNotNull() & F.col("consumer").isNotNull())
+    return done.select("store_id", "consumer", F.col("commit_ver_lo_incl").alias("lo"), F.col("commit_ver_hi_incl").alias("hi")).filter("lo <= hi")
+
+
+def pending_at(runs: DataFrame, units: DataFrame) -> DataFrame:
+    """What was left to each consumer by the given ledger rows: (store_id, consumer, unit_num, lo, hi, n_handled) of its store's units with an
+    unhandled version, where n_handled is the number of the unit's versions that successful runs had covered.
+
+    The versions that a consumer's merged intervals leave out (its gaps) are joined with the units through the interval grid, so that units a
+    consumer has done never meet it; consumers and units are not multiplied out. A null consumer has done nothing.
     """
-    done = written(merge_intervals(runs.filter(F.col("status") == "succeeded").select("store_id", "consumer", F.col("commit_ver_lo_incl").alias("lo"), F.col("commit_ver_hi_incl").alias("hi")), ["store_id", "consumer"], gap=1), "done")
-    pairs = pending_pairs(runs, units).select("store_id", "consumer", "unit_num", F.col("commit_ver_lo_incl").alias("lo"), F.col("commit_ver_hi_incl").alias("hi"))
-    inside = interval_semi_join(pairs, done, ["store_id", "consumer"], ["store_id", "consumer", "unit_num", "lo", "hi"], relation="inside")
-    inside = inside.unionByName(pairs.filter("lo > hi"))
-    return inside.withColumnRenamed("lo", "commit_ver_lo_incl").withColumnRenamed("hi", "commit_ver_hi_incl")
+    followers = runs.select("store_id", "consumer").dropna(subset=["store_id"]).distinct()
+    gaps = written(gaps_between(_handled(runs), ["store_id", "consumer"], followers), "gaps")
+    side = units.select("store_id", "unit_num", F.col(SPAN[0]).alias("lo"), F.col(SPAN[1]).alias("hi"))
+    left = overlap_lengths(side, gaps, ["store_id"], ["store_id", "unit_num", "lo", "hi"], "_left", ["consumer"])
+    return left.select(*PAIR, F.col("lo").alias(SPAN[0]), F.col("hi").alias(SPAN[1]), (F.col("hi") - F.col("lo") + 1 - F.col("_left")).alias(CONTENT[2]))
 
 
-def pending_pairs(runs: DataFrame, units: DataFrame, salts: int = 8) -> DataFrame:
-    """Each consumer of a store with each of the store's units. A store with a large part of all units is spread over salts."""
-    consumers = runs.select("store_id", "consumer").dropna(subset=["store_id"]).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    u = units.select("store_id", "unit_num", "commit_ver_lo_incl", "commit_ver_hi_incl").withColumn("_salt", F.pmod(F.xxhash64("unit_num"), F.lit(salts)).cast("int"))
-    return u.join(consumers, ["store_id", "_salt"]).drop("_salt")
+def handled_now(runs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of which the ledger covers any version, with n_handled as it is by now."""
+    done = written(merge_intervals(_handled(runs), ["store_id", "consumer"], gap=1), "done")
+    side = pairs.select(*PAIR, F.col(SPAN[0]).alias("lo"), F.col(SPAN[1]).alias("hi"))
+    met = overlap_lengths(side, done, ["store_id", "consumer"], [*PAIR, "lo", "hi"], CONTENT[2])
+    return met.select(*PAIR, F.col("lo").alias(SPAN[0]), F.col("hi").alias(SPAN[1]), CONTENT[2])
 
 
 def unhandled_units(spark: SparkSession, runs: DataFrame, units: DataFrame, root: str) -> DataFrame:
     """For each store and consumer the live units with a commit version that no successful run has handled.
 
-    The state (root) is brought up to the ledger first: what the succeeded runs covered is committed as processed, under the hash of
-    the unit's versions. Then all current units are hashed and held against it; a unit that is missing or has other versions
-    is to be taken by the next run.
+    The state (root) is kept over two cut-offs of the ledger. The first version holds, for each consumer and unit that were not done
+    by the middle of the ledger's time, the hash of the unit's versions and of how many of them had been handled. The later ledger rows
+    then only matter to these pairs: those whose handled number is new or has changed against the state are committed as the next version.
+    Last, all pairs of the first cut-off are hashed as they would be if they were done (every version handled) and held against the
+    state: what is in it with that hash has been done since, what is missing (``new``) or has another hash (``changed``: done in part) is
+    for the next run. The cut-off decides how the work is split, not what comes out; rows without a time belong to the later part.
+
+    Ledger rows with null bounds or lo > hi cover nothing, nor do runs of a null consumer; repeats add nothing. A unit without any version
+    (lo > hi) has nothing left to handle.
     """
-    content = ["commit_ver_lo_incl", "commit_ver_hi_incl"]
-    now = live_units(units)
-    state = IncrementalState(spark, root, ["store_id", "consumer", "unit_num"])
-    state.commit(handled_units(runs, now), content)
-    return state.select(pending_pairs(runs, now), content)
+    live = live_units(units)
+    first, last = runs.agg(F.min("started_at"), F.max("started_at")).first() if "started_at" in runs.columns else (None, None)
+    early = runs.filter(F.col("started_at") < F.lit(first + (last - first) / 2)) if first is not None else runs.limit(0)
+    followers = runs.select("store_id", "consumer").distinct()  # those that only come later have everything left
+    early = early.select("store_id", "consumer", *SPAN, "status").unionByName(followers, allowMissingColumns=True)
+    pairs = written(pending_at(early, live), "pairs")
+    state = IncrementalState(spark, root, PAIR)
+    state.commit(pairs.filter(F.col(CONTENT[2]) > 0), CONTENT)
+    grown = state.select(handled_now(runs, pairs), CONTENT)
+    state.commit(grown, CONTENT)
+    return state.select(pairs.withColumn(CONTENT[2], F.col(SPAN[1]) - F.col(SPAN[0]) + 1), CONTENT)
