@@ -21,11 +21,9 @@ LEAST, GREATEST = -(2**62), 2**62
 
 def level_of(lo: Column, hi: Column) -> Column:
     """The grid level of [lo, hi]; intervals too long for a subtraction of longs get the top one."""
-    length = F.try_subtract(hi.cast("long"), lo.cast("long"))
-    col = F.lit(TOP)
-    for k in reversed(range(TOP)):
-        col = F.when(length < F.lit(1 << (BASE_BITS + STEP_BITS * k)), F.lit(k)).otherwise(col)
-    return col
+    bits = F.coalesce(F.length(F.bin(F.try_subtract(hi.cast("long"), lo.cast("long")))), F.lit(64))  # small code, as it is inlined in many places
+    steps = F.shiftright(F.greatest(bits - BASE_BITS, F.lit(0)) + (STEP_BITS - 1), STEP_BITS.bit_length() - 1)
+    return F.least(steps, F.lit(TOP))
 
 
 def _cells(df: DataFrame, lo: str, hi: str, levels: Column, role: int, first_only: bool = False) -> DataFrame:
@@ -36,9 +34,11 @@ def _cells(df: DataFrame, lo: str, hi: str, levels: Column, role: int, first_onl
     return out.withColumn("_g_cell", F.explode(cells)).withColumn("_g_role", F.lit(role))
 
 
-def _levels(df: DataFrame, lo: str, hi: str) -> list[int]:
-    """The levels in use: at most 15 numbers, whatever the data are."""
-    return sorted(r[0] for r in df.select(level_of(F.col(lo), F.col(hi)).alias("l")).distinct().collect() if r[0] is not None)
+def _levels(*sides: DataFrame) -> list[list[int]]:
+    """The levels in use on each side, in one job: at most 15 numbers a side, whatever the data are."""
+    seen = [d.select(F.lit(i).alias("side"), level_of(F.col("lo"), F.col("hi")).alias("l")) for i, d in enumerate(sides)]
+    found = reduce(DataFrame.unionAll, seen).distinct().collect()
+    return [sorted(r.l for r in found if r.side == i) for i in range(len(sides))]
 
 
 def _matched(left: DataFrame, right: DataFrame, keys: list[str], relation: str, condition, salts: int, levels: list[int] | None, how: str) -> DataFrame:
@@ -47,13 +47,12 @@ def _matched(left: DataFrame, right: DataFrame, keys: list[str], relation: str,
     ls = ok(left).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*left.columns).alias("_l"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     rs = ok(right).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*right.columns).alias("_r"), F.col("lo").alias("_rlo"), F.col("hi").alias("_rhi"))
     ls, rs = ls.withColumn("_own", level_of(F.col("_lo"), F.col("_hi"))), rs.withColumn("_own", level_of(F.col("_rlo"), F.col("_rhi")))
-    r_levels = levels if levels is not None else _levels(ok(right), "lo", "hi")
+    l_levels, r_levels = (levels, levels) if levels is not None else _levels(ok(left), ok(right))
     at = lambda levels: F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast(T.ArrayType(T.IntegerType()))
     # Role 0: the right interval is at least as long; the left one looks it up on each level from its own on.
     lc = _cells(ls, "_lo", "_hi", F.filter(at(r_levels), lambda x: x >= F.col("_own")), 0, first_only=relation == "inside")
     rc = _cells(rs, "_rlo", "_rhi", F.array("_own"), 0)
     if relation == "overlaps":  # Role 1: the left interval is on a higher level.
-        l_levels = levels if levels is not None else _levels(ok(left), "lo", "hi")
         lc = lc.unionByName(_cells(ls.filter(F.col("_own") > 0), "_lo", "_hi", F.array("_own"), 1))
         rc = rc.unionByName(_cells(rs, "_rlo", "_rhi", F.filter(at(l_levels), lambda x: x > F.col("_own")), 1))
     # Of role 0 the left side is the large one and gets a random salt; of role 1 the right side.
@@ -150,7 +149,7 @@ def merge_intervals(df: DataFrame, keys: list[str], gap: int = 0, block_bits: in
     ends = ends.withColumn(end_before, F.max("_m_end").over(earlier))
     opened = F.when(F.col(end_before).isNull() | (F.col("_m_last") > F.col(end_before) + gap), F.col("_m_last"))
     ends = ends.withColumn("_m_opened", opened).withColumn(start_before, F.max("_m_opened").over(earlier))
-    same = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys], F.col("x._m_block") == F.col("y._m_block"))
+    same = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in block])  # no isnotnull on one side: the islands' exchange is reused
     named = islands.alias("x").join(ends.select(*block, end_before, start_before).alias("y"), same)
     fresh = F.col(end_before).isNull() | (F.col("x.lo") > F.col(end_before) + gap)
     named = named.select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.hi").alias("hi"), F.when(fresh, F.col("x.lo")).otherwise(F.col(start_before)).alias("_m_id"))
@@ -160,7 +159,7 @@ def merge_intervals(df: DataFrame, keys: list[str], gap: int = 0, block_bits: in
 def gaps_between(df: DataFrame, keys: list[str], all_keys: DataFrame, block_bits: int = 12) -> DataFrame:
     """The intervals (keys, lo, hi) of all longs that no interval of a key covers; a key of ``all_keys`` without any has one, of everything.
 
-    Keys with a null have gaps too (null is a key), but no interval of df counts for one of another key. The intervals may overlap.
+    A null key is a key of its own. "All longs" are those from LEAST to GREATEST.
     """
     from pyspark.sql import Window
 

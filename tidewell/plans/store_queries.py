@@ -141,7 +141,7 @@ def conflict_check(spark: SparkSession, d: str) -> DataFrame:
 
 def interval_merge(spark: SparkSession, d: str) -> DataFrame:
     """The unions of overlapping read intervals, [cents, cents + 5,000,000] of each customer's orders."""
-    rows = orders_store(spark, d).select(F.col("pv._0").alias("custkey"), F.col("pv._2._0").alias("lo"), (F.col("pv._2._0") + 5_000_000).alias("hi"))
+    rows = orders_store(spark, d).select(F.col("pv._0").alias("custkey"), F.col("pv._2._0").alias("lo")).withColumn("hi", F.col("lo") + 5_000_000)
     return merge_intervals(rows, ["custkey"], block_bits=22).select("custkey", "lo", "hi")
 
 
