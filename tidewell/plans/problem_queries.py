@@ -33,19 +33,34 @@ def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.tuple_members(table(spark, sf_dir, "nested_values"))
 
 
+#: The output size of the two queries whose SQL names it; ``p3_found`` and ``p3_files`` take the operator's own.
+SQL_TARGET = 1 << 20
+
+
+def _consolidated(spark: SparkSession, sf_dir: str, target_bytes: int = consolidate.TARGET_BYTES) -> consolidate.Consolidated:
+    return consolidate.consolidate(table(spark, sf_dir, "commit_units"), table(spark, sf_dir, "unit_entries"), target_bytes)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidate.small_inputs(consolidate.consolidate(table(spark, sf_dir, "commit_units"), table(spark, sf_dir, "unit_entries")))
+    """The small live units that came out whole."""
+    return consolidate.small_inputs(_consolidated(spark, sf_dir))
+
+
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each file written: its range of versions and what it holds."""
+    done = _consolidated(spark, sf_dir)
+    return done.files.select("store_id", "out_num", "part", "commit_ver_lo_incl", "commit_ver_hi_incl", "n_units", "n_entries", "content_bytes")
 
 
 def p3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range metadata of the outputs."""
-    done = consolidate.consolidate(table(spark, sf_dir, "commit_units"), table(spark, sf_dir, "unit_entries"))
+    done = _consolidated(spark, sf_dir, SQL_TARGET)
     return done.ranges.select("store_id", "out_num", "commit_ver_lo_incl", "commit_ver_hi_incl", "replacement_num", "n_units", "n_entries")
 
 
 def p3_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each entry of the live units with its output."""
-    done = consolidate.consolidate(table(spark, sf_dir, "commit_units"), table(spark, sf_dir, "unit_entries"))
+    done = _consolidated(spark, sf_dir, SQL_TARGET)
     return done.entries.select("store_id", "out_num", "unit_num", "seq", "pk_type", "pk", "datum_type")
 
 
@@ -56,8 +71,13 @@ def _sub_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    figures = eager_aggregation.eager_join_aggregate(table(spark, sf_dir, "index_rows"), table(spark, sf_dir, "sv_specs"), ["spec_id"], ["sv_type", "sv"])
-    return eager_aggregation.heavy_groups(figures, ["sv_type", "sv"], 0.015).select("sv_type", "sv")
+    """Heavy sub-values by the rows of ``index_rows LEFT JOIN specs``: a row counts once for each spec that it has, so once as delivered.
+
+    The specs' key is spec_id; a spec that is listed twice is one. Rows of an unknown spec have no partner and count as well.
+    """
+    specs = table(spark, sf_dir, "sv_specs").select("spec_id").distinct()
+    figures = eager_aggregation.eager_join_aggregate(table(spark, sf_dir, "index_rows"), specs, ["spec_id"], ["sv_type", "sv"], outer=True)
+    return eager_aggregation.heavy_groups(figures, ["sv_type", "sv"], 0.015, "outer_rows").select("sv_type", "sv")
 
 
 def p4_sub_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +97,7 @@ def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_listing_delta, p2_found, p2_members, p3_found, p3_ranges, p3_entries, p4_found, p4_sub_values, p5_found, p5_current)}
+    return {f.__name__: f for f in (p1_found, p1_listing_delta, p2_found, p2_members, p3_found, p3_files, p3_ranges, p3_entries, p4_found, p4_sub_values, p5_found, p5_current)}
 
 
 _LIVE = """
@@ -138,6 +158,15 @@ FROM (SELECT * FROM now EXCEPT SELECT * FROM state) n
   json_extract_string(v, '$.datum_type') AS datum_type, json_extract_string(v, '$.members_count') AS members_count, json_extract_string(v, '$.note') AS note, json_extract_string(v, '$.unit') AS unit FROM kids WHERE i IS NOT NULL
 """,
         "p3_found": f"WITH {_LIVE} SELECT store_id, unit_num FROM live WHERE n_bytes < 4096",
+        "p3_files": f"""
+WITH {_LIVE}, plan AS (SELECT *, CAST((sum(coalesce(n_bytes, 0)) OVER (PARTITION BY store_id ORDER BY lo RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    - sum(coalesce(n_bytes, 0)) OVER (PARTITION BY store_id, lo)) // {consolidate.TARGET_BYTES} AS BIGINT) AS out_num FROM live),
+parts AS (SELECT *, CAST((sum(coalesce(n_bytes, 0)) OVER (PARTITION BY store_id, out_num ORDER BY lo, unit_num) - coalesce(n_bytes, 0)) // {consolidate.TARGET_BYTES} AS BIGINT) AS part FROM plan),
+once AS (SELECT DISTINCT store_id, unit_num, seq, pk_key, pk_type, pk, datum_type, pv FROM unit_entries)
+SELECT p.store_id, p.out_num, p.part, min(p.lo) AS commit_ver_lo_incl, max(p.hi) AS commit_ver_hi_incl, count(DISTINCT p.unit_num) AS n_units, count(*) AS n_entries,
+  CAST(sum(coalesce(octet_length(o.pk_key), 0) + coalesce(strlen(o.pv), 0)) AS BIGINT) AS content_bytes
+FROM parts p JOIN once o ON o.store_id = p.store_id AND o.unit_num = p.unit_num GROUP BY 1, 2, 3
+""",
         "p3_ranges": f"""{_PLAN}, n AS (SELECT store_id, out_num, count(*) AS n_entries FROM came GROUP BY 1, 2)
 SELECT p.store_id, p.out_num, min(p.lo) AS commit_ver_lo_incl, max(p.hi) AS commit_ver_hi_incl, max(p.rep) + 1 AS replacement_num, count(*) AS n_units, coalesce(max(n.n_entries), 0) AS n_entries
 FROM plan p LEFT JOIN n ON n.store_id = p.store_id AND n.out_num = p.out_num GROUP BY 1, 2
