@@ -228,3 +228,124 @@ def test_eager_aggregation(spark, rows):
     none = eager_aggregation.eager_join_aggregate(L.limit(0), R, ["k"], ["g"])
     assert none.count() == 0 and eager_aggregation.heavy_groups(none, ["g"], 0.1).count() == 0
     assert [x.joined_rows for x in eager_aggregation.eager_join_aggregate(L, R.limit(0), ["k"], ["g"]).collect()] == [0, 0, 0]
+
+
+def test_optional_objects_and_lists_of_members_get_rows(spark, rows):
+    body = json.dumps([{"datum_type": 1, "datum_body": "5", "note": {"a": 1, "deep": {"b.c": "z"}}, "tags": [{"x": 1}, {"x": 2}, None, 7]}, {"datum_type": 4, "datum_body": {"2147483647": 1, "2147483648": 2}}])
+    df = spark.createDataFrame([(1, 4, body), (1, 4, body), (2, 4, "[]"), (3, 4, "[")], "value_id bigint, datum_type int, datum_body string")
+    found = nested.tuple_tables(df)
+    assert found.plan.tables == {"value", "member", "tags"}
+    assert rows(found.table("member").select("path", "parent_path", "note_a", "note_deep_b_c")) == [("0", "", "1", "z"), ("1", "", None, None), ("1.2147483647", "1", None, None)]
+    tags = found.table("tags")
+    assert rows(tags.select("value_id", "path", "parent_table", "parent_path", "position", "x", "datum_body")) == [(1, "0.tags:0", "member", "0", 0, "1", None), (1, "0.tags:1", "member", "0", 1, "2", None), (1, "0.tags:3", "member", "0", 3, None, "7")]
+    assert rows(found.table("value").select("value_id", "parent_table")) == [(1, None), (2, None)]
+    # every link leads to a row
+    every = found.rows
+    assert every.alias("x").filter("parent_table IS NOT NULL").join(every.alias("y"), F.expr("x.value_id = y.value_id AND x.parent_path = y.path AND x.parent_table = y.table"), "left_anti").count() == 0
+
+
+def test_the_schema_graph_decides_the_tables(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 4, "[1, [2]]")], "value_id bigint, datum_type int, datum_body string")
+    assert nested.tuple_members(df, fields=False).count() == 2
+    monkeypatch.setattr(nested, "graph_of", lambda rows: set())
+    assert nested.tuple_members(df, fields=False).count() == 0
+    monkeypatch.undo()
+    monkeypatch.setattr(nested, "MAX_EDGES", 1)
+    with pytest.raises(ValueError, match="keyed by data"):
+        nested.tuple_members(df)
+
+
+def test_consolidated_files(spark, rows):
+    listing = [(1, k, k, k, 0, 0, 9, 100 + k, "x") for k in range(1, 61)] + [(1, 100, 100, 100, 0, 1, 9, 5000, "x"), (2, 1, 1, 1, 0, 0, 9, None, "x"), (3, 1, 1, 1, 0, 0, 0, 7, "x")]
+    feed = [(0, s, u, q, f"k{q}".encode(), 3, f"k{q}", 3, "v" * (n or 3), 1) for s, u, *_, n, _ in listing for q in range(3) if s != 3]
+    r = random.Random(4)
+    r.shuffle(feed)
+    feed += feed[:20]
+    done = consolidate.consolidate(spark.createDataFrame(listing, UNITS), spark.createDataFrame(feed, ENTRIES), target_bytes=1000)
+    files = sorted(done.files.collect(), key=lambda f: (f.store_id, f.out_num, f.part))
+    assert len({f.file for f in files}) == len(files) and all(f.file_bytes > 0 for f in files)  # one file a range
+    ones = [f for f in files if f.store_id == 1]
+    spans = [(f.commit_ver_lo_incl, f.commit_ver_hi_incl) for f in ones]
+    assert len(ones) > 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    per_unit = {f: sum(100 + u for u in range(f[0], f[1] + 1)) for f in spans}
+    assert all(500 <= per_unit[f] <= 2000 for f in spans[:-1])  # by bytes, but the last
+    assert done.lineage.filter("kept").count() == 1 and done.entries.count() == len(set(feed)) and done.entries.agg(F.sum("copies")).first()[0] == len(feed)
+    for f in ones:  # each file is sorted by version, unit and place
+        got = [(x.commit_ver_lo_incl, x.unit_num, x.seq) for x in spark.read.parquet(f.file).collect()]
+        assert got == sorted(got)
+    assert (3, 1) in rows(consolidate.small_inputs(done))
+    # an entry that is lost on the way shows in what is found
+    lost = done.entries.filter("NOT (unit_num = 7 AND seq = 1)")
+    came = lost.groupBy("store_id", "unit_num").agg(F.sum("copies").alias("n"))
+    short = done.lineage.drop("rows_out").join(came, ["store_id", "unit_num"], "left").withColumn("rows_out", F.coalesce("n", F.lit(0)))
+    assert (1, 7) in rows(consolidate.small_inputs(done)) and (1, 7) not in rows(consolidate.small_inputs(consolidate.Consolidated(lost, done.files, done.ranges, short)))
+
+
+def test_one_version_of_many_units_rolls_over(spark):
+    listing = [(1, k, 5, 5, 0, 0, 1, 400, "x") for k in range(20)]
+    feed = [(0, 1, k, 0, b"k", 3, "k", 3, "v", 1) for k in range(20)]
+    done = consolidate.consolidate(spark.createDataFrame(listing, UNITS), spark.createDataFrame(feed, ENTRIES), target_bytes=1000)
+    assert [f.n_units for f in done.files.orderBy("part").collect()] == [3, 2, 3, 2, 3, 2, 3, 2]
+
+
+def test_the_join_decides_heavy_groups(spark, rows):
+    left = spark.createDataFrame([("a", 1)] * 6 + [("b", 2)] * 4 + [("c", 9)] * 2, "g string, k bigint")
+    right = spark.createDataFrame([(1,), (2,), (2,), (2,)], "k bigint")
+    figures = eager_aggregation.eager_join_aggregate(left, right, ["k"], ["g"], outer=True)
+    assert rows(figures.select("g", "left_rows", "joined_rows", "outer_rows")) == [("a", 6, 6, 6), ("b", 4, 12, 12), ("c", 2, 0, 2)]
+    assert rows(eager_aggregation.heavy_groups(figures, ["g"], 0.4, "outer_rows").select("g")) == [("b",)]
+    assert rows(eager_aggregation.heavy_groups(figures, ["g"], 0.4).select("g")) == [("a",)]
+
+
+def test_p4_found_joins_both_tables(spark):
+    from tidewell.plans import problem_queries
+
+    plan = problem_queries.p4_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, (_k0" in plan and "Join Cross" not in plan.replace("Join Cross\n", "") and plan.count("spec_id") > 1
+
+
+def test_both_changes_of_the_incremental_state_occur(spark, rows, monkeypatch):
+    from datetime import datetime
+
+    day = lambda d: datetime(2020, 1, d)
+    runs = [(1, "x", 1, 1, 4, "succeeded", day(1)), (1, "x", 2, 5, 8, "succeeded", day(9)), (1, "x", 3, 12, 12, "succeeded", day(9)), (1, "y", 4, 1, 50, "succeeded", day(9)), (1, "x", 5, 9, 20, "failed", day(8)), (1, "x", 6, None, 9, "succeeded", None)]
+    listing = [(1, n, hi, lo, 0, 0, 1, 1, "x") for n, lo, hi in ((1, 1, 2), (2, 3, 6), (3, 7, 9), (4, 10, 13), (5, 14, 20), (6, 9, 8))]
+    df = spark.createDataFrame(runs, RUNS + ", started_at timestamp")
+    seen = []
+    select = incremental.IncrementalState.select
+
+    def watched(self, rows_, content):
+        out = select(self, rows_, content)
+        seen.append(sorted((r.consumer, r.unit_num, r._change) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(incremental.IncrementalState, "select", watched)
+    found = incremental.unhandled_units(spark, df, spark.createDataFrame(listing, UNITS), shared_dir(spark))
+    assert seen[0] == [("x", 2, "changed"), ("x", 3, "new"), ("x", 4, "new"), *[("y", n, "new") for n in (1, 2, 3, 4, 5)]]
+    assert seen[1] == [("x", 3, "changed"), ("x", 4, "changed"), ("x", 5, "new")] == sorted((r.consumer, r.unit_num, r._change) for r in found.collect())
+    # without the hash every pair that is in the state counts as done
+    monkeypatch.setattr(incremental, "content_hash", lambda columns: F.lit(0).cast("bigint"))
+    broken = incremental.unhandled_units(spark, df, spark.createDataFrame(listing, UNITS), shared_dir(spark))
+    assert sorted((r.consumer, r.unit_num) for r in broken.collect()) == [("x", 5)]
+
+
+def test_changes_apply_to_a_base(spark, rows, monkeypatch):
+    listing = [(1, n, n, n, 0, 0, 1, 1, "x") for n in (1, 2, 3, 4)]
+    feed = [(0, 1, 1, 0, b"a", 3, "a", 3, "1", 1), (0, 1, 1, 1, b"b", 3, "b", 3, "1", 1), (0, 1, 2, 0, b"c", 3, "c", 0, None, 1), (0, 1, 3, 0, b"a", 3, "a", 0, None, 1), (0, 1, 4, 0, b"d", 3, "d", 3, "1", 1)]
+    e, u = spark.createDataFrame(feed, ENTRIES), spark.createDataFrame(listing, UNITS)
+    key = lambda df: rows(df.select("pk", "unit_num"))
+    assert key(changes.current_entries(e, u)) == [("b", 1), ("d", 4)]
+    monkeypatch.setattr(changes, "apply_patches", lambda base, patches, keys, is_delete: base)
+    assert key(changes.current_entries(e, u)) == [("a", 1), ("b", 1)]  # the base alone
+
+
+def test_gaps(spark, rows):
+    from tidewell.operators.intervals import GREATEST, LEAST, gaps_between, overlap_lengths
+
+    df = spark.createDataFrame([("a", 5, 9), ("a", 10, 20), ("a", 5000, 9000), ("a", 30, 29), (None, 1, 1)], "k string, lo bigint, hi bigint")
+    keys = spark.createDataFrame([("a",), ("b",), (None,), ("b",)], "k string")
+    want = [(None, LEAST, 0), (None, 2, GREATEST), ("a", LEAST, 4), ("a", 21, 4999), ("a", 9001, GREATEST), ("b", LEAST, GREATEST)]
+    assert rows(gaps_between(df, ["k"], keys)) == want
+    left = spark.createDataFrame([("a", i, lo, hi) for i, lo, hi in ((1, 1, 6), (2, 6, 6), (3, 0, 10**6), (4, 7, 3), (5, None, 3))], "k string, id int, lo bigint, hi bigint")
+    got = rows(overlap_lengths(left, df.filter("lo <> 10"), ["k"], ["id"], "n", salts=3))
+    assert got == [(1, 2), (2, 1), (3, 5 + 4001)]

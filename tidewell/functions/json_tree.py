@@ -92,7 +92,10 @@ def _key(text: str, i: int, skip) -> tuple[str, int]:
 
 
 def position(key: str) -> int | None:
-    return int(key) if key.isascii() and key.isdigit() and len(key) < 10 else None
+    """A key of digits as a position, if a member column (a 32-bit integer) can hold it."""
+    if not (key.isascii() and key.isdigit()) or len(key) > 10 or len(key) == 10 and int(key) >= 1 << 31:
+        return None
+    return int(key)
 
 
 def members(body, text_may_be_json: bool = True) -> Iterator[tuple[int, object]]:

@@ -92,7 +92,7 @@ def consolidate(units: DataFrame, entries: DataFrame, target_bytes: int = TARGET
     source = entries.select("store_id", "unit_num", *FIELDS).join(spot, ["store_id", "unit_num"])
     place = ["store_id", "out_num", "part", "unit_num", "commit_ver_lo_incl"]
     runs = source.filter("NOT kept").repartition(max(1, min(n_files, MAX_TASKS)), "_file")
-    merged = _fold_repeats(runs, ["_file", *place, *FIELDS]).sortWithinPartitions("_file", "commit_ver_lo_incl", "unit_num", "seq").drop("_file")
+    merged = _fold_repeats(runs, ["_file", *place, *FIELDS]).drop("_file").sortWithinPartitions(*place[:3], "commit_ver_lo_incl", "unit_num", "seq")  # begins as the write's own order, which so adds no sort
     merged.write.partitionBy(*place[:3]).parquet(f"{path}/entries")
     kinds = {f.name: f.dataType for f in merged.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in [*place[3:], *FIELDS, "copies", *place[:3]]])

@@ -41,6 +41,13 @@ def _consolidated(spark: SparkSession, sf_dir: str, target_bytes: int = consolid
     return consolidate.consolidate(table(spark, sf_dir, "commit_units"), table(spark, sf_dir, "unit_entries"), target_bytes)
 
 
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records' own table, with the number of members that link to each of them directly."""
+    found = nested.tuple_tables(table(spark, sf_dir, "nested_values"))
+    direct = found.table(nested.MEMBER).filter("parent_path = ''").groupBy("value_id").agg(F.count(F.lit(1)).alias("n_direct"))
+    return found.table(nested.ROOT).select("value_id", "datum_type").join(direct, "value_id", "left").withColumn("n_direct", F.coalesce("n_direct", F.lit(0)))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The small live units that came out whole."""
     return consolidate.small_inputs(_consolidated(spark, sf_dir))
@@ -52,6 +59,12 @@ def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.files.select("store_id", "out_num", "part", "commit_ver_lo_incl", "commit_ver_hi_incl", "n_units", "n_entries", "content_bytes")
 
 
+def p3_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p3_files`` with outputs of 64 KiB, at which the test stores roll over."""
+    done = _consolidated(spark, sf_dir, 1 << 16)
+    return done.files.select("store_id", "out_num", "part", "commit_ver_lo_incl", "commit_ver_hi_incl", "n_units", "n_entries", "content_bytes")
+
+
 def p3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range metadata of the outputs."""
     done = _consolidated(spark, sf_dir, SQL_TARGET)
@@ -97,7 +110,7 @@ def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_listing_delta, p2_found, p2_members, p3_found, p3_files, p3_ranges, p3_entries, p4_found, p4_sub_values, p5_found, p5_current)}
+    return {f.__name__: f for f in (p1_found, p1_listing_delta, p2_found, p2_members, p2_values, p3_found, p3_files, p3_rolled, p3_ranges, p3_entries, p4_found, p4_sub_values, p5_found, p5_current)}
 
 
 _LIVE = """
@@ -120,6 +133,18 @@ came AS (SELECT p.store_id, p.out_num, o.unit_num, o.seq, o.pk_type, o.pk, o.dat
 """
 
 
+def _files_sql(target: int) -> str:
+    return f"""
+WITH {_LIVE}, plan AS (SELECT *, CAST((sum(coalesce(n_bytes, 0)) OVER (PARTITION BY store_id ORDER BY lo RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    - sum(coalesce(n_bytes, 0)) OVER (PARTITION BY store_id, lo)) // {target} AS BIGINT) AS out_num FROM live),
+parts AS (SELECT *, CAST((sum(coalesce(n_bytes, 0)) OVER (PARTITION BY store_id, out_num ORDER BY lo, unit_num) - coalesce(n_bytes, 0)) // {target} AS BIGINT) AS part FROM plan),
+once AS (SELECT DISTINCT store_id, unit_num, seq, pk_key, pk_type, pk, datum_type, pv FROM unit_entries)
+SELECT p.store_id, p.out_num, p.part, min(p.lo) AS commit_ver_lo_incl, max(p.hi) AS commit_ver_hi_incl, count(DISTINCT p.unit_num) AS n_units, count(*) AS n_entries,
+  CAST(sum(coalesce(octet_length(o.pk_key), 0) + coalesce(strlen(o.pv), 0)) AS BIGINT) AS content_bytes
+FROM parts p JOIN once o ON o.store_id = p.store_id AND o.unit_num = p.unit_num WHERE coalesce(p.n_bytes, 0) < {target} GROUP BY 1, 2, 3
+"""
+
+
 _MEMBERS = r"""
 WITH RECURSIVE records AS (SELECT DISTINCT value_id, datum_body FROM nested_values WHERE datum_type = 4 AND json_valid(datum_body)),
 kids(value_id, parent, i, v) AS (
@@ -157,16 +182,10 @@ FROM (SELECT * FROM now EXCEPT SELECT * FROM state) n
   CASE WHEN json_type(v) = 'ARRAY' THEN NULL WHEN json_type(v) <> 'OBJECT' THEN v ->> '$' WHEN json_extract_string(v, '$.datum_type') = '4' OR json_type(v, '$.datum_body') IN ('OBJECT', 'ARRAY') THEN NULL ELSE json_extract_string(v, '$.datum_body') END AS datum_body,
   json_extract_string(v, '$.datum_type') AS datum_type, json_extract_string(v, '$.members_count') AS members_count, json_extract_string(v, '$.note') AS note, json_extract_string(v, '$.unit') AS unit FROM kids WHERE i IS NOT NULL
 """,
+        "p2_values": f"{_MEMBERS} SELECT value_id, '4' AS datum_type, (SELECT count(*) FROM kids m WHERE m.value_id = kids.value_id AND m.parent = '') AS n_direct FROM kids WHERE i IS NULL",
         "p3_found": f"WITH {_LIVE} SELECT store_id, unit_num FROM live WHERE n_bytes < 4096",
-        "p3_files": f"""
-WITH {_LIVE}, plan AS (SELECT *, CAST((sum(coalesce(n_bytes, 0)) OVER (PARTITION BY store_id ORDER BY lo RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    - sum(coalesce(n_bytes, 0)) OVER (PARTITION BY store_id, lo)) // {consolidate.TARGET_BYTES} AS BIGINT) AS out_num FROM live),
-parts AS (SELECT *, CAST((sum(coalesce(n_bytes, 0)) OVER (PARTITION BY store_id, out_num ORDER BY lo, unit_num) - coalesce(n_bytes, 0)) // {consolidate.TARGET_BYTES} AS BIGINT) AS part FROM plan),
-once AS (SELECT DISTINCT store_id, unit_num, seq, pk_key, pk_type, pk, datum_type, pv FROM unit_entries)
-SELECT p.store_id, p.out_num, p.part, min(p.lo) AS commit_ver_lo_incl, max(p.hi) AS commit_ver_hi_incl, count(DISTINCT p.unit_num) AS n_units, count(*) AS n_entries,
-  CAST(sum(coalesce(octet_length(o.pk_key), 0) + coalesce(strlen(o.pv), 0)) AS BIGINT) AS content_bytes
-FROM parts p JOIN once o ON o.store_id = p.store_id AND o.unit_num = p.unit_num GROUP BY 1, 2, 3
-""",
+        "p3_files": _files_sql(consolidate.TARGET_BYTES),
+        "p3_rolled": _files_sql(1 << 16),
         "p3_ranges": f"""{_PLAN}, n AS (SELECT store_id, out_num, count(*) AS n_entries FROM came GROUP BY 1, 2)
 SELECT p.store_id, p.out_num, min(p.lo) AS commit_ver_lo_incl, max(p.hi) AS commit_ver_hi_incl, max(p.rep) + 1 AS replacement_num, count(*) AS n_units, coalesce(max(n.n_entries), 0) AS n_entries
 FROM plan p LEFT JOIN n ON n.store_id = p.store_id AND n.out_num = p.out_num GROUP BY 1, 2
