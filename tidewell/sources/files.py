@@ -59,6 +59,13 @@ class Folder:
         if not self._fs.rename(self._at(old), self._at(new)):
             raise OSError(f"cannot rename {old} to {new} in {self.root}")
 
+    def ages(self) -> dict[str, float]:
+        """File name to the seconds since it was written, by the clock of this machine."""
+        import time
+
+        now = time.time() * 1000
+        return {x.getPath().getName(): (now - x.getModificationTime()) / 1000 for x in self._fs.listStatus(self._path(self.root))}
+
     def sizes(self, name: str = "") -> dict[str, int]:
         """File name to length, of the files directly in a subfolder."""
         return {x.getPath().getName(): x.getLen() for x in self._fs.listStatus(self._at(name)) if not x.isDirectory()}
