@@ -69,3 +69,49 @@ def test_catalog():
     for bad in ("", "1\n3;\nx,Q\n"):
         with pytest.raises(ValueError):
             parse_catalog(bad)
+
+
+def test_units_with_indexes(spark, tmp_path, rows):
+    from pyspark.sql import functions as F
+
+    from tidewell.sources.unit_dirs import read_index_units, write_units
+
+    key = lambda d: None if d is None else bytearray(D.encode_key(d))
+    log = [(1, 7, "old"), (1, "x", (4, "y")), (2, 7, None), (3, 8, "left out")]
+    index = [(1, (4, "y"), "x", (4, "y")), (2, "old", 7, None)]
+    info = [(1, 1, 1, 0, 0), (2, 2, 2, 0, 0), (3, 1, 1, 0, 0), (4, 3, 3, 1, 1)]
+    frame = lambda data, n, names: spark.createDataFrame([(r[0], *map(key, r[1:])) for r in data], "unit_num bigint, " + ", ".join(f"{c} binary" for c in names))
+    units = spark.createDataFrame(info[:2] + info[3:], "unit_num bigint, commit_ver_hi_incl bigint, commit_ver_lo_incl bigint, replacement_num bigint, data_type int")
+    root = str(tmp_path / "units")
+    write_units(frame(log, 3, ["pk_key", "pv_key"]), units, root, {5: frame(index, 4, ["sv_key", "pk_key", "pv_key"])})
+    plain = lambda df: sorted(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in df.collect())
+    got = plain(read_units(spark, root).select("commit_ver", "pk_key", F.coalesce("pv_key", F.lit(b"-"))))
+    assert got == sorted((u, D.encode_key(k), b"-" if v is None else D.encode_key(v)) for u, k, v in log[:3])
+    got = plain(read_index_units(spark, root, 5).select("commit_ver", "sv_key", "pk_key", F.coalesce("pv_key", F.lit(b"-"))))
+    assert got == sorted((u, D.encode_key(s), D.encode_key(k), b"-" if v is None else D.encode_key(v)) for u, s, k, v in index)
+    assert read_index_units(spark, root, 6).count() == 0
+    assert (tmp_path / "units" / f"{4:016x}" / "commit_info.txt").read_text() == "3,3,1,1" and not (tmp_path / "units" / f"{3:016x}" / "commit_info.txt").exists()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        one = spark.read.format("kv").option("pushdown", "true").option("pattern", "*/pi.kv").load(root).filter((F.col("pk_key") >= F.lit(D.encode_key(8))) & (F.col("pk_key") < F.lit(D.encode_key("x"))))
+        assert [bytes(r.pk_key) for r in one.collect()] == [D.encode_key(8)]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_entries_in_pieces():
+    import io
+
+    from tidewell.sources import kv
+
+    data = [(i, "v" * (i * 7)) for i in range(60)]
+    raw = b"".join(D.serialize(k) + D.serialize(v) for k, v in data)
+    old, kv.PIECE = kv.PIECE, 5
+    try:
+        assert list(kv.read_entries(io.BytesIO(raw), 2)) == data
+        with pytest.raises(ValueError, match="ends inside"):
+            list(kv.read_entries(io.BytesIO(raw[:-1]), 2))
+        with pytest.raises(ValueError, match="ends inside"):
+            list(kv.read_entries(io.BytesIO(D.serialize(1)), 2))
+    finally:
+        kv.PIECE = old

@@ -119,6 +119,10 @@ def serialize(d: Datum | None, nested: bool = False) -> bytes:
     return bytes([tag]) + struct.pack("<I", len(body)) + body
 
 
+class Torn(ValueError):
+    """The data end inside a datum."""
+
+
 def deserialize(data: bytes, at: int = 0, nested: bool = False) -> tuple[Datum | None, int]:
     """The datum at ``at`` and where the next one starts."""
     tag, at = data[at], at + 1
@@ -133,7 +137,7 @@ def deserialize(data: bytes, at: int = 0, nested: bool = False) -> tuple[Datum |
     if tag in (BYTES, STR):
         body = data[at : at + n]
         if len(body) != n:
-            raise ValueError("the file ends inside a datum")
+            raise Torn("the file ends inside a datum")
         return (body.decode() if tag == STR else body), at + n
     if tag != TUPLE:
         raise ValueError(f"unknown type {tag}")

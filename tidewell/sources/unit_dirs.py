@@ -6,11 +6,12 @@ and ``commit_info.txt`` (hi,lo,replacement number,data type). A unit of a dead w
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.live_units import live_units
-from tidewell.sources.kv import KvDataSource
+from tidewell.sources.kv import KvDataSource, file_system, serialized
 from tidewell.spec import SubValueSpec
 
 _UNIT = r"/([0-9a-f]{16})/[^/]+$"
@@ -29,12 +30,76 @@ def list_units(spark: SparkSession, root: str, store_id: int = 0) -> DataFrame:
     return seen.join(info, "unit_num", "left").select(F.lit(store_id).cast("bigint").alias("store_id"), "unit_num", "commit_ver_hi_incl", "commit_ver_lo_incl", "replacement_num", "data_type", F.lit(None).cast("bigint").alias("n_entries"), "n_bytes")
 
 
+def _live(spark: SparkSession, root: str) -> DataFrame:
+    spark.dataSource.register(KvDataSource)
+    return live_units(list_units(spark, root)).select("unit_num", F.col("commit_ver_hi_incl").alias("commit_ver"))
+
+
+def _of_unit(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("unit_num", F.conv(F.regexp_extract("file", "([0-9a-f]{16})/[^/]+$", 1), 16, 10).cast("bigint"))
+
+
 def read_units(spark: SparkSession, root: str) -> DataFrame:
     """The log of all live units: pk_key, pv_key (null: tombstone), commit_ver, seq (place in the file). Replaced and unfinished units are left out."""
-    spark.dataSource.register(KvDataSource)
-    units = live_units(list_units(spark, root)).select("unit_num", F.col("commit_ver_hi_incl").alias("commit_ver"))
-    rows = spark.read.format("kv").load(root).withColumn("unit_num", F.conv(F.regexp_extract("file", "([0-9a-f]{16})/pi.kv$", 1), 16, 10).cast("bigint"))
-    return rows.filter(F.col("file").endswith("/pi.kv")).join(units, "unit_num").select("pk_key", "pv_key", "commit_ver", "seq")
+    units = _live(spark, root)
+    rows = _of_unit(spark.read.format("kv").option("pattern", "*/pi.kv").load(root))
+    return rows.join(units, "unit_num").select("pk_key", "pv_key", "commit_ver", "seq")
+
+
+def read_index_units(spark: SparkSession, root: str, index: int) -> DataFrame:
+    """The rows of an index in all live units: sv_key, pk_key, pv_key (null: removed), commit_ver, seq."""
+    units = _live(spark, root)
+    rows = _of_unit(spark.read.format("kv").option("kind", "index").option("pattern", f"*/si-{index:016x}.kv").load(root))
+    return rows.join(units, "unit_num").select("sv_key", "pk_key", "pv_key", "commit_ver", "seq")
+
+
+def write_units(log: DataFrame, units: DataFrame, root: str, indexes: dict[int, DataFrame] | None = None) -> None:
+    """Unit directories: ``log`` has unit_num, pk_key, pv_key; ``units`` unit_num and the commit info; ``indexes`` number to (unit_num, sv_key, pk_key, pv_key).
+
+    Each file is sorted by its keys and written by one task, row by row. The commit info comes last, so that a unit that was not finished
+    has none. A unit without entries gets no entry file.
+    """
+
+    def put(keys: list[str], name: str, rows: DataFrame) -> None:
+        def write(batches):
+            open_unit, out, n = None, None, 0
+            for batch in batches:
+                cols = [batch.column(c).to_pylist() for c in ("unit_num", *keys)]
+                for unit, *values in zip(*cols):
+                    if unit != open_unit:
+                        if out is not None:
+                            out.close()
+                        system, top = file_system(root)
+                        system.create_dir(f"{top}/{unit:016x}", recursive=True)
+                        out, open_unit, n = system.open_output_stream(f"{top}/{unit:016x}/{name}"), unit, n + 1
+                    out.write(serialized(values))
+            if out is not None:
+                out.close()
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int32())})
+
+        sorted_rows = rows.select("unit_num", *keys).repartition("unit_num").sortWithinPartitions("unit_num", *keys)
+        sorted_rows.mapInArrow(write, "n int").agg(F.sum("n")).collect()
+
+    put(["pk_key", "pv_key"], "pi.kv", log)
+    for number, rows in (indexes or {}).items():
+        put(["sv_key", "pk_key", "pv_key"], f"si-{number:016x}.kv", rows)
+
+    def infos(batches):
+        system, top = file_system(root)
+        for batch in batches:
+            for u, *info in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                system.create_dir(f"{top}/{u:016x}", recursive=True)
+                with system.open_output_stream(f"{top}/{u:016x}/commit_info.txt") as out:
+                    out.write(commit_info(*info).encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int32())})
+
+    fields = ["unit_num", "commit_ver_hi_incl", "commit_ver_lo_incl", "replacement_num", "data_type"]
+    units.select(*fields).mapInArrow(infos, "n int").agg(F.sum("n")).collect()
+
+
+def commit_info(hi: int, lo: int, replacement: int, data_type: int) -> str:
+    """The text of a unit's commit info."""
+    return f"{hi},{lo},{replacement},{data_type}"
 
 
 def parse_catalog(text: str) -> tuple[int, dict[SubValueSpec, tuple[int, bool]]]:
