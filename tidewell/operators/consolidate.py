@@ -15,7 +15,7 @@ from tidewell.session import shared_dir
 #: Content bytes (as the listing gives them) of an output file. Parquet stores them in less.
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 4096
-#: Write tasks at most; one task writes several files, one after the other, where there are more.
+#: Write tasks at most; a task writes its files one after the other.
 MAX_TASKS = 20_000
 
 FIELDS = ["seq", "pk_key", "pk_type", "pk", "datum_type", "pv"]
@@ -54,17 +54,6 @@ def plan_outputs(units: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFram
     return placed.withColumn("kept", size >= target_bytes)
 
 
-def _numbered(plan: DataFrame) -> tuple[DataFrame, int]:
-    """The plan with ``_file``, the place of the unit's file among all (by store and range), and the number of files."""
-    files = plan.filter("NOT kept").select("store_id", "out_num", "part").distinct()
-    by_store = files.groupBy("store_id").agg(F.count(F.lit(1)).alias("_n"))
-    before = by_store.select("store_id", (F.sum("_n").over(Window.orderBy("store_id")) - F.col("_n")).alias("_before"))  # one row for each store
-    within = F.row_number().over(Window.partitionBy("store_id").orderBy("out_num", "part"))
-    files = files.withColumn("_w", within).join(before, "store_id").select("store_id", "out_num", "part", (F.col("_before") + F.col("_w") - 1).alias("_file"))
-    total = by_store.agg(F.sum("_n")).first()[0] or 0
-    return plan.join(files, ["store_id", "out_num", "part"], "left"), int(total)
-
-
 def _fold_repeats(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with equal content (null equals null) as one, with their number; by hash aggregation, within the partitions there are."""
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
@@ -74,7 +63,7 @@ def consolidate(units: DataFrame, entries: DataFrame, target_bytes: int = TARGET
     """Merges the live units' runs into files of about ``target_bytes``, written below ``path`` (the shared folder by default).
 
     A unit's entries, in order of seq, are a run; each file is a range of the versions and merges the runs of its units into one sorted by
-    version, unit and seq. All runs of a file go to one task, as many tasks as files, and that is the only shuffle of entries. There, repeats of one entry (the
+    version, unit and seq. All runs of a file go to one task, and there is a task for each target_bytes. There, repeats of one entry (the
     same in store, unit, seq and all content: a re-delivery) are folded into one row with their number, ``copies``; different entries all stay,
     also under one seq or a null one. The merge is Spark's external sorter: for an order of several columns it is a natural merge sort,
     which finds the runs as they arrive and merges them, spills sorted runs beyond its memory, and merges these by a queue.
@@ -87,12 +76,13 @@ def consolidate(units: DataFrame, entries: DataFrame, target_bytes: int = TARGET
     path = path or shared_dir(spark, "consolidated")
     plan_outputs(units, target_bytes).write.parquet(f"{path}/plan")
     plan = spark.read.parquet(f"{path}/plan")
-    placed, n_files = _numbered(plan)
-    spot = placed.select("store_id", "unit_num", "out_num", "part", "kept", "commit_ver_lo_incl", "_file")
-    source = entries.select("store_id", "unit_num", *FIELDS).join(spot, ["store_id", "unit_num"])
+    size, large = plan.agg(F.sum("n_bytes"), F.max("kept")).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, -(-int(size or 0) // target_bytes)))
     place = ["store_id", "out_num", "part", "unit_num", "commit_ver_lo_incl"]
-    runs = source.filter("NOT kept").repartition(max(1, min(n_files, MAX_TASKS)), "_file")
-    merged = _fold_repeats(runs, ["_file", *place, *FIELDS]).drop("_file").sortWithinPartitions(*place[:3], "commit_ver_lo_incl", "unit_num", "seq")  # begins as the write's own order, which so adds no sort
+    # One way of joining at every size: units and entries grow together.
+    source = entries.select("store_id", "unit_num", *FIELDS).join(plan.select(*place, "kept").hint("merge"), ["store_id", "unit_num"])
+    runs = source.filter("NOT kept").repartition(tasks, *place[:3])
+    merged = _fold_repeats(runs, [*place, *FIELDS]).sortWithinPartitions(*place[:3], "commit_ver_lo_incl", "unit_num", "seq")  # begins as the write's own order, which so adds no sort
     merged.write.partitionBy(*place[:3]).parquet(f"{path}/entries")
     kinds = {f.name: f.dataType for f in merged.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in [*place[3:], *FIELDS, "copies", *place[:3]]])
@@ -104,8 +94,7 @@ def consolidate(units: DataFrame, entries: DataFrame, target_bytes: int = TARGET
     spans = given.groupBy(*place[:3]).agg(F.min("commit_ver_lo_incl").alias("commit_ver_lo_incl"), F.max("commit_ver_hi_incl").alias("commit_ver_hi_incl"), F.count(F.lit(1)).alias("n_units"))
     held.join(spans, place[:3]).write.parquet(f"{path}/ranges")
     files = spark.read.parquet(f"{path}/ranges")
-    stayed = _fold_repeats(source.filter("kept"), [*place, *FIELDS]).select(*schema.names)
-    everything = written.unionByName(stayed)
+    everything = written.unionByName(_fold_repeats(source.filter("kept"), [*place, *FIELDS]).select(*schema.names)) if large else written
     sent = entries.groupBy("store_id", "unit_num").agg(F.count(F.lit(1)).alias("rows_in"))
     came = everything.groupBy("store_id", "out_num", "unit_num").agg(F.count(F.lit(1)).alias("entries_out"), F.sum("copies").alias("rows_out"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
