@@ -1,8 +1,11 @@
 """Fixed values of the sentence splitter: short word lists, by language."""
 
+from dataclasses import dataclass, fields
+
 # --- fixed values -----------------------------------------------------------------------------------------------------
 #: Abbreviations that never end a sentence: titles, and words that need what follows.
 NEVER_LAST = frozenset(
+    "Capt Col Cmdr Cpl Lt Maj Sgt Adm Gov Sen Rep Pres Supt Msgr Mx Insp Det Amb Hrsg Bearb Ing Dipl Mag Pfr Gfr Abg Min Frhr Univ Lic Arq Dña Gral Cnel Excmo Ilmo Mgr Mlles MM Me Pr Avv Dott Sig Sigg Egr Spett Geom Mevr Dhr проф акад "
     "Dr Mr Mrs Ms Prof St Hon Rev Gen Sr Sra Srta Dra Hr Hrn Fr Frl Mme Mlle Mgr Messrs e.g i.e approx vs cf viz al "
     "Tel tel Fax fax Mob mob z d h s o u v a i vgl ca bzw inkl exkl zzgl evtl ggf sog geb Str EE ex ej env c.-à-d p.ex p.ej "
     "т е см ок тыс млн млрд ул корп им г-н г-жа π.χ δηλ Βλ βλ κ κα αρ д. أ د डॉ श्री श्रीमती सं कृ".split()
@@ -56,7 +59,7 @@ NOTICE_PARTS = {
 }
 #: First fields of the headers that stand above a quoted message.
 QUOTED_FIELDS = frozenset("From Sent To Cc Subject Date Von Gesendet An Betreff Datum De Envoyé À Objet Enviado Para Asunto От Отправлено Кому Тема Από Προς Θέμα 发件人 发送时间 收件人 主题 差出人 送信日時 宛先 件名".split())
-#: Thai word classes, as far as they decide what a space parts; the words themselves are found with the general list of ``thai_words``.
+#: Thai word classes, as far as they decide what a space parts; the words themselves are found with a general dictionary.
 #: Particles that end a sentence.
 THAI_FINALS = frozenset("ครับ ครับผม ค่ะ คะ นะ นะครับ นะคะ จ้ะ จ๊ะ จ้า ฮะ ล่ะ".split())
 #: Subjects, titles, question words and connectors that open a clause of their own.
@@ -93,6 +96,52 @@ THAI_VERBS = frozenset(
     "ช่วย ช่วยเหลือ สนับสนุน ร่วม เข้าร่วม ร่วมมือ แข่ง ชนะ แพ้ ผลิต ส่งออก นำเข้า บริการ ดำเนิน ดำเนินการ ปฏิบัติ ควบคุม ป้องกัน รักษา คุ้มครอง กำหนด ระบุ แสดง ปรากฏ ประกอบ รวม แบ่ง แยก ต่อ เชื่อม กลายเป็น ทำให้ หมายถึง เท่ากับ "
     "วางสาย สมัคร ลงทะเบียน ลงนาม เซ็น พิมพ์ ถ่าย บันทึก แปล ลา ลาออก แต่งตั้ง เลือกตั้ง บริจาค ลงทุน กู้ ขาดทุน เติบโต ล่าช้า มาสาย ชำรุด หมด หมดอายุ สำเร็จ ล้มเหลว เพียงพอ ครบ ดี แพง สวย ร้อน หนาว".split()
 )
+#: The same for Lao.
+LAO_FINALS = frozenset("ເດີ້ ເດີ ແດ່ ເນາະ ເອີຍ ຈ້າ ດອກ ແທ້".split())
+LAO_SUBJECTS = frozenset("ຂ້ອຍ ຂ້າພະເຈົ້າ ເຮົາ ພວກເຮົາ ລາວ ເຂົາ ເຂົາເຈົ້າ ພວກເຂົາ ເຈົ້າ ທ່ານ ທຸກຄົນ ໃຜ ແມ່ ພໍ່ ອ້າຍ ເອື້ອຍ ນ້ອງ ມັນ ຫຍັງ ເປັນຫຍັງ ດັ່ງນັ້ນ ສະນັ້ນ ນອກຈາກນັ້ນ ນອກຈາກນີ້ ຕໍ່ມາ ຈາກນັ້ນ ຫຼັງຈາກນັ້ນ ມື້ນີ້ ມື້ອື່ນ ມື້ວານ ມື້ວານນີ້ ຕອນນີ້ ປັດຈຸບັນ".split())
+LAO_REQUESTS = frozenset("ກະລຸນາ ຂໍ ຂໍໃຫ້ ເຊີນ ຢ່າ ຫ້າມ ຊ່ວຍ ຂອບໃຈ ຂໍໂທດ".split())
+LAO_LEANING = frozenset("ຖ້າ ຖ້າຫາກ ຫາກ ເມື່ອ ຫຼັງຈາກ ກ່ອນ ຂະນະທີ່ ເຖິງແມ່ນ ເຖິງແມ່ນວ່າ ເນື່ອງຈາກ ເພາະ ເພາະວ່າ ລະຫວ່າງ".split())
+LAO_TIES = frozenset("ແລະ ຫຼື ກັບ ແຕ່ ທີ່ ຊຶ່ງ ເຊິ່ງ ເພື່ອ ໂດຍ ຈາກ ໃນ ເທິງ ໃຕ້ ວ່າ ຈົນ ຈຶ່ງ ກໍ ກໍ່ ລວມທັງ ທັງ ຕາມ ຕໍ່ ສຳລັບ ຄື ໄດ້ແກ່ ເຊັ່ນ ເປັນ ຂອງ ພາຍໃນ ຕັ້ງແຕ່ ເຖິງ ແຫ່ງ ກ່ຽວກັບ ໃກ້ ຂ້າງ ພ້ອມ ດ້ວຍ ເພາະ ເພາະວ່າ ເນື່ອງຈາກ ກ່ອນ ລະຫວ່າງ ປະມານ".split())
+LAO_TRAILING = frozenset("ໃກ້ ຂ້າງ ດ້ວຍ ພ້ອມ ກ່ອນ ໃຕ້ ຕາມ ຕໍ່".split())
+LAO_AUXILIARIES = frozenset("ຈະ ຍັງ ບໍ່ ບໍ່ໄດ້ ຕ້ອງ ກຳລັງ ເຄີຍ ຄວນ ອາດ ອາດຈະ ຄົງ ສາມາດ ມັກຈະ ຖືກ ໄດ້ຮັບ".split())
+LAO_AFTER = frozenset("ແລ້ວ ໄປ ມາ ໄດ້ ຢູ່ ໃຫ້ ໄວ້ ເລີຍ ອີກ ເທົ່ານັ້ນ ກັນ ເອງ ນີ້ ນັ້ນ ບໍ ທັນທີ ສະເໝີ ຫຼາຍ ໆ ຯລຯ".split())
+LAO_LIGHT = frozenset("ໄປ ມາ ໄດ້ ຢູ່ ໃຫ້ ເປັນ ຄື ເຂົ້າ ອອກ ຂຶ້ນ ລົງ".split())
+LAO_NOMINAL = frozenset("ການ ຄວາມ ຜູ້ ນັກ ຊ່າງ ເຄື່ອງ ຄຳ ວິທີ ທີ່ ຊຶ່ງ ເຊິ່ງ ເພື່ອ ຕອນ ກ່ອນ".split())
+LAO_VERBS = frozenset(
+    "ມີ ບໍ່ມີ ພົບ ເຫັນ ເບິ່ງ ອ່ານ ຂຽນ ຟັງ ເວົ້າ ບອກ ຖາມ ຕອບ ເລົ່າ ແຈ້ງ ເຕືອນ ລາຍງານ ປະກາດ ສະເໜີ ແນະນຳ ໂທ ເອີ້ນ ຂໍ ສັ່ງ ອະນຸຍາດ ຢືນຢັນ ຍອມຮັບ ຕົກລົງ ສົ່ງ ຮັບ ເອົາ ນຳ ພາ ຖື ວາງ ໃສ່ ຈັບ ຍ້າຍ ເກັບ ຖິ້ມ ລຶບ ເພີ່ມ ຫຼຸດ ປ່ຽນ ແກ້ ແກ້ໄຂ ສ້ອມແປງ "
+    "ປັບປຸງ ພັດທະນາ ສ້າງ ເຮັດ ຈັດ ຈັດການ ກຽມ ຕັ້ງ ຕິດຕັ້ງ ຖອດ ເປີດ ປິດ ເລີ່ມ ຢຸດ ຈົບ ສຳເລັດ ຊື້ ຂາຍ ຈ່າຍ ຊຳລະ ໂອນ ຢືມ ຄືນ ເຊົ່າ ຈອງ ຄິດ ນັບ ວັດ ກວດ ກວດສອບ ທົດສອບ ສຶກສາ ຮຽນ ສອນ ຝຶກ ປະຊຸມ ພິຈາລະນາ ຕັດສິນ ເລືອກ ຕິດຕາມ ຊອກຫາ "
+    "ໃຊ້ ຕ້ອງການ ຢາກ ມັກ ຮັກ ຊັງ ຢ້ານ ຫວັງ ເຊື່ອ ຮູ້ ຮູ້ຈັກ ເຂົ້າໃຈ ຈື່ ລືມ ສົນໃຈ ຮູ້ສຶກ ດີໃຈ ເສຍໃຈ ເມື່ອຍ ຫິວ ປ່ວຍ ຕາຍ ເກີດ ຫາຍ ເສຍ ແຕກ ຂາດ ເຫຼືອ ຕົກ ໄຫຼ ກິນ ດື່ມ ນອນ ຕື່ນ ນັ່ງ ຢືນ ຍ່າງ ແລ່ນ ຂັບ ຂີ່ ບິນ ເດີນທາງ ກັບ ຮອດ ມາຮອດ ຜ່ານ ຂ້າມ "
+    "ລໍ ລໍຖ້າ ພັກ ອາໄສ ຢ້ຽມຢາມ ຕ້ອນຮັບ ແຕ່ງງານ ຫຼິ້ນ ຮ້ອງ ເຕັ້ນ ເຮັດວຽກ ປູກ ລ້ຽງ ຕັດ ລ້າງ ຊ່ວຍ ຊ່ວຍເຫຼືອ ສະໜັບສະໜູນ ເຂົ້າຮ່ວມ ຮ່ວມມື ແຂ່ງ ຊະນະ ແພ້ ຜະລິດ ບໍລິການ ດຳເນີນ ປະຕິບັດ ຄວບຄຸມ ປ້ອງກັນ ຮັກສາ ກຳນົດ ສະແດງ ແບ່ງ ແຍກ ໝາຍເຖິງ ລົງທະບຽນ ເຊັນ ພິມ ບັນທຶກ ແປ ດີ ແພງ ງາມ ຮ້ອນ ໜາວ".split()
+)
+
+
+@dataclass(frozen=True)
+class Clauses:
+    """The word classes of a script that parts sentences by spaces."""
+
+    finals: frozenset
+    subjects: frozenset
+    requests: frozenset
+    leaning: frozenset
+    ties: frozenset
+    trailing: frozenset
+    auxiliaries: frozenset
+    after: frozenset
+    light: frozenset
+    nominal: frozenset
+    things: frozenset
+    qualities: frozenset
+    verbs: frozenset
+
+    def words(self) -> frozenset[str]:
+        """All words of the classes, for the lattice."""
+        return frozenset().union(*(getattr(self, f.name) for f in fields(self) if f.name not in ("nominal", "things", "qualities")))
+
+
+CLAUSES = {
+    "thai": Clauses(THAI_FINALS, THAI_SUBJECTS, THAI_REQUESTS, THAI_LEANING, THAI_TIES, THAI_TRAILING, THAI_AUXILIARIES, THAI_AFTER, THAI_LIGHT, THAI_NOMINAL, frozenset(["ของ"]), THAI_QUALITIES, THAI_VERBS),
+    "lao": Clauses(LAO_FINALS, LAO_SUBJECTS, LAO_REQUESTS, LAO_LEANING, LAO_TIES, LAO_TRAILING, LAO_AUXILIARIES, LAO_AFTER, LAO_LIGHT, LAO_NOMINAL, frozenset(), frozenset(), LAO_VERBS),
+}
 #: After a closing quotation mark these words carry the sentence on.
 CJK_CARRY_ON = frozenset("と って という といって といった とか と言って と聞いて 就 然后 然後 便 说 說 道 问 問".split())
 CJK_WORDS = frozenset("とても ときどき とき ところ ところが となり とりあえず 就是 就算 便宜 说明 道路 问题".split())
