@@ -67,3 +67,23 @@ def test_operator(spark):
     counts = {r.doc_id: r.n_tokens for r in bpe.encode_corpus(df, counts_only=True).collect()}
     assert counts == {k: len(v) for k, v in out.items()}
     assert bpe.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_vocabularies_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([(1, "Hello")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="normalizer, pre-tokenizer, end-of-word suffix"):
+        bpe.encode_corpus(df, vocabulary_file="word_bpe_49k.json")
+
+
+def test_ids_beyond_16_bits(tmp_path):
+    import json
+
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = [chr(b) if b in set(visible) else None for b in range(256)]
+    spare = iter(range(256, 512))
+    names = [n or chr(next(spare)) for n in names]
+    vocab = {n: 70_000 + i for i, n in enumerate(names)} | {"ab": 200_000, "abc": 300_000, "cab": 5}
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE", "vocab": vocab, "merges": ["a b", "ab c", ["c", "ab"]]}}))
+    ids, _ = bpe.encode_buffers(np.frombuffer(b"abcabx", np.uint8), np.array([0, 6]), bpe.Vocabulary(str(path)))
+    assert ids.tolist() == [300_000, 200_000, 70_000 + ord("x")]

@@ -83,3 +83,14 @@ def test_edges(spark):
     nothing = pack(spark.createDataFrame([(1, 0), (2, None)], schema), {"a": 10})
     assert [(r.container, r.n_tokens) for r in nothing.pieces.collect()] == [(None, 0)] * 2
     assert [(r.containers, r.lower_bound) for r in nothing.bounds.collect()] == [(0, 0)]
+
+
+def test_exchange_saves_containers(spark):
+    """Partitions that each keep their own bound still leave a gap to the whole pack's, which the exchange narrows."""
+    r = random.Random(1)
+    sizes = [(i, r.choice([30, 34, 40, 51, 60, 65, 70])) for i in range(400)]
+    df = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint")
+    used = {n: pack(df, {"a": 100}, items_per_part=40, rounds=n) for n in (0, 4)}
+    check(used[4].pieces, {"a": 100}, dict(sizes))
+    none, four = (used[n].bounds.first() for n in (0, 4))
+    assert four.lower_bound == none.lower_bound <= four.containers < none.containers

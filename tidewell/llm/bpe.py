@@ -47,24 +47,47 @@ class Vocabulary:
     """Merges by rank. ``pair_keys`` is sorted; ``pair_rank`` and ``pair_id`` belong to it."""
 
     def __init__(self, path: str):
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        whole = json.load(open(path, encoding="utf-8"))
+        model = whole["model"]
+        self._refuse(path, whole)
         vocab, merges = model["vocab"], model["merges"]
         # The printable stand-ins of bytes: visible bytes for themselves, the others in order from 256 on.
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(visible))}
         self.byte_ids = np.array([vocab[chars[b]] for b in range(256)], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.uint64)
         ids = np.array([vocab[a + b] for a, b in pairs], np.int32)
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_rank, self.id_of_rank = keys[order], order.astype(np.int32), ids
-        first = self.byte_ids.astype(np.uint32)
+        first = self.byte_ids
         self.byte_pair_rank = self.rank(np.repeat(first, 256), np.tile(first, 256))
         self.bands = len(pairs) // _BAND + 1
 
+    @staticmethod
+    def _refuse(path: str, whole: dict) -> None:
+        """ValueError for a vocabulary whose texts are prepared or cut otherwise than here, as its ids would come out wrong."""
+        model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+        wrong = [
+            name
+            for name, bad in (
+                ("model type", model.get("type", "BPE") != "BPE"),
+                ("normalizer", whole.get("normalizer") is not None),
+                ("pre-tokenizer", (cut.get("type"), cut.get("add_prefix_space", True), cut.get("use_regex", True)) != ("ByteLevel", False, True)),
+                ("subword prefix", bool(model.get("continuing_subword_prefix"))),
+                ("end-of-word suffix", bool(model.get("end_of_word_suffix"))),
+                ("dropout", bool(model.get("dropout"))),
+                ("ignored merges", bool(model.get("ignore_merges"))),
+                ("byte fallback", bool(model.get("byte_fallback"))),
+            )
+            if bad
+        ]
+        if wrong:
+            raise ValueError(f"{path}: not supported here: {', '.join(wrong)}")
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair of ids, or _NONE."""
-        key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
+        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_rank[at], _NONE)
 
@@ -227,8 +250,10 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     The ids of an empty and of a null text are an empty list. Text that looks like a special token is plain text. Repeated rows give
     repeated results, a null key stays null; only the two named columns are read. One pass, no shuffle.
+    A vocabulary with other settings than those of a plain byte-level one is refused (ValueError), here and not first in a task.
     """
     path = f"{tokenizers}/{vocabulary_file}"
+    vocabulary(path)
 
     def encode(batches):
         vocab = vocabulary(path)

@@ -1,8 +1,9 @@
 """Texts into containers of fixed capacity (problem 7): bound-certified repacking.
 
-Documents are spread over partitions by hash. Each partition is packed by best-fit decreasing, and a lower bound from dual feasible
-functions certifies its number of containers. Partitions with a gap give the documents of their emptiest containers into a pool,
-which is dealt out anew and packed again; a round is kept if it saves containers.
+Documents are spread over partitions by hash and each partition is packed by best-fit decreasing. A lower bound from dual feasible
+functions certifies the number of containers of a whole pack. While there is a gap to it, every partition gives the documents of its
+emptiest containers into a pool, which is dealt out anew and packed again; a round is kept if it saves containers, and the next one after a
+round that does not takes a larger pool.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.session import written
 
 #: Documents of one partition, about. Bounds the memory of a task; every partition is packed whole.
-ITEMS_PER_PART = 50_000
-MAX_ROUNDS = 4
-#: A partition gives the documents of this many of its emptiest containers for each container it has above its bound (and once more).
-POOL = 8
+ITEMS_PER_PART = 10_000
+#: Rounds of exchange at most; it ends before where no pack has a gap left. More rounds cost time and may save more containers.
+ROUNDS = 4
+#: A partition gives the documents of this many of its emptiest containers for each container that is its share of the gap (and once more).
+POOL = 64
+#: By how much the pool grows after a round without gain.
+GROWTH = 8
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -89,32 +93,64 @@ class Packed:
     bounds: DataFrame
 
 
-_PART = "pack_name string, capacity int, rid bigint, size int, container string, free int, pool boolean"
+_PART = "pack_name string, capacity int, rid bigint, size int, container string, free int, place int"
 
 
-def _pack_part(rows: pd.DataFrame, pool: int) -> pd.DataFrame:
+def _pack_part(rows: pd.DataFrame) -> pd.DataFrame:
+    """The packing of one partition; ``place`` is the container's, from the emptiest on."""
     rows = rows.sort_values("rid", kind="stable")
     capacity, sizes = int(rows["capacity"].iloc[0]), rows["size"].to_numpy()
     into, free = best_fit_decreasing(sizes, capacity)
-    gap = len(free) - lower_bound(*np.unique(sizes, return_counts=True), capacity)
-    emptiest = np.argsort(-free, kind="stable")[: pool * (gap + 1)] if gap > 0 else []
-    given = np.zeros(len(free), bool)
-    given[emptiest] = True
+    place = np.empty(len(free), np.int32)
+    place[np.argsort(-free, kind="stable")] = np.arange(len(free), dtype=np.int32)
     names = np.array([f"{rows['label'].iloc[0]}-{c}" for c in range(len(free))], object)
-    return pd.DataFrame({"pack_name": rows["pack_name"], "capacity": rows["capacity"], "rid": rows["rid"], "size": sizes, "container": names[into], "free": free[into], "pool": given[into]})
+    return pd.DataFrame({"pack_name": rows["pack_name"], "capacity": rows["capacity"], "rid": rows["rid"], "size": sizes, "container": names[into], "free": free[into], "place": place[into]})
 
 
-def _pack(items: DataFrame, parts: dict[str, int], turn: int, pool: int) -> DataFrame:
+def _by_pack(values: dict[str, int], default: int) -> Column:
+    out = F.lit(default)
+    for name, k in values.items():
+        out = F.when(F.col("pack_name") == name, F.lit(k)).otherwise(out)
+    return out
+
+
+def _pack(items: DataFrame, parts: dict[str, int], turn: int) -> DataFrame:
     """Items dealt out by hash to as many parts as their pack has, each packed."""
-    n = F.lit(1)
-    for name, k in parts.items():
-        n = F.when(F.col("pack_name") == name, F.lit(k)).otherwise(n)
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(turn)), n))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(turn)), _by_pack(parts, 1)))
     dealt = dealt.withColumn("label", F.concat_ws("-", F.lit(f"r{turn}"), F.col("part")))
-    return written(dealt.groupBy("pack_name", "part").applyInPandas(lambda rows: _pack_part(rows, pool), _PART), "packed")
+    return written(dealt.groupBy("pack_name", "part").applyInPandas(_pack_part, _PART), "packed")
+
 
+def _containers(packed: DataFrame) -> dict[str, int]:
+    return {r[0]: r[1] for r in packed.groupBy("pack_name").agg(F.count_distinct("container")).collect()}  # one row for each pack
 
-def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", size: str = "n_tokens", items_per_part: int = ITEMS_PER_PART, pool_factor: int = POOL) -> Packed:
+
+def _exchange(done: DataFrame, bound: dict[str, int], parts: dict[str, int], items_per_part: int, pool_factor: int, rounds: int) -> DataFrame:
+    """The packing after the rounds of exchange; see the module."""
+    used, factor = _containers(done), dict.fromkeys(bound, pool_factor)
+    for turn in range(1, rounds + 1):
+        gaps = {p: used[p] - bound[p] for p in used if used[p] > bound[p]}
+        if not gaps:
+            break
+        give = {p: factor[p] * (-(-gap // parts[p]) + 1) for p, gap in gaps.items()}
+        pooled = F.col("place") < _by_pack(give, 0)
+        pool = done.filter(pooled)
+        before = {r["pack_name"]: r for r in pool.groupBy("pack_name").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("container").alias("containers")).collect()}
+        again = _pack(pool.select("pack_name", "capacity", "rid", "size"), {p: -(-r["items"] // items_per_part) for p, r in before.items()}, turn)
+        saved = {p: before[p]["containers"] - n for p, n in _containers(again).items()}
+        for p in gaps:
+            if saved.get(p, 0) <= 0:
+                factor[p] *= GROWTH
+        better = [p for p, n in saved.items() if n > 0]
+        if not better:
+            continue
+        used |= {p: used[p] - saved[p] for p in better}
+        mine = F.col("pack_name").isin(*better)
+        done = done.filter(~(pooled & mine)).unionByName(again.filter(mine))
+    return done
+
+
+def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", size: str = "n_tokens", items_per_part: int = ITEMS_PER_PART, pool_factor: int = POOL, rounds: int = ROUNDS) -> Packed:
     """Every document into containers of each capacity.
 
     Only a document larger than the capacity is split: into full pieces, which fill containers of their own, and a rest that is packed
@@ -127,26 +163,17 @@ def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", siz
     packs = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("int").alias("capacity")) for n, c in capacities.items()])
     each = rows.withColumn("p", F.explode(packs)).select("rid", "n", "p.pack_name", "p.capacity")
     items = each.withColumn("size", (F.col("n") % F.col("capacity")).cast("int")).filter("size > 0").select("pack_name", "capacity", "rid", "size")
-    number = {r[0]: r[1] for r in items.groupBy("pack_name").count().collect()}  # one row for each pack
-    done = _pack(items, {p: -(-c // items_per_part) for p, c in number.items()}, 0, pool_factor)
-    kept = []
-    for turn in range(1, MAX_ROUNDS + 1):
-        pool = done.filter("pool")
-        stats = {r["pack_name"]: r for r in pool.groupBy("pack_name").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("container").alias("containers")).collect()}
-        stats = {p: r for p, r in stats.items() if turn > 1 or number[p] > items_per_part}  # one partition has no one to exchange with
-        if not stats:
-            break
-        pool = pool.filter(F.col("pack_name").isin(*stats))
-        again = _pack(pool.select("pack_name", "capacity", "rid", "size"), {p: -(-r["items"] // items_per_part) for p, r in stats.items()}, turn, pool_factor)
-        after = {r[0]: r[1] for r in again.groupBy("pack_name").agg(F.count_distinct("container")).collect()}
-        better = [p for p, r in stats.items() if after.get(p, 0) < r["containers"]]
-        if not better:
-            break
-        saved = F.col("pack_name").isin(*better)
-        kept.append(done.filter(~(F.col("pool") & saved)).withColumn("pool", F.lit(False)))
-        done = again.filter(saved)
-    for part in kept:
-        done = done.unionByName(part)
+
+    def bound_of(part: pd.DataFrame) -> pd.DataFrame:  # one row for each size up to the capacity
+        c = int(part["capacity"].iloc[0])
+        low = lower_bound(part["size"].to_numpy(), part["items"].to_numpy(), c)
+        return pd.DataFrame({"pack_name": [part["pack_name"].iloc[0]], "lower_bound": [low], "items": [part["items"].sum()]})
+
+    sizes = items.groupBy("pack_name", "capacity", "size").agg(F.count(F.lit(1)).alias("items"))
+    bounds = written(sizes.groupBy("pack_name").applyInPandas(bound_of, "pack_name string, lower_bound bigint, items bigint"), "bounds")
+    known = bounds.collect()  # one row for each pack
+    parts = {r["pack_name"]: -(-r["items"] // items_per_part) for r in known}
+    done = _exchange(_pack(items, parts, 0), {r["pack_name"]: r["lower_bound"] for r in known}, parts, items_per_part, pool_factor, rounds)
     full = each.filter("n >= capacity").select("rid", "pack_name", "capacity", F.explode(F.sequence(F.lit(0), F.expr("cast(n div capacity as int)") - 1)).alias("piece"))
     full = full.select("rid", "pack_name", F.concat_ws("-", F.lit("full"), "rid", "piece").alias("container"), "piece", (F.col("piece").cast("bigint") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"))
     none = each.filter("n <= 0").select("rid", "pack_name", F.lit(None).cast("string").alias("container"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start_token"), F.lit(0).alias("n_tokens"))
@@ -156,16 +183,10 @@ def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", siz
     pieces = full.unionByName(rest).unionByName(none).join(rows.select("rid", F.col("k").alias(key)), "rid")
     pieces = pieces.select("pack_name", "container", key, "piece", "start_token", "n_tokens")
 
-    def bound(part: pd.DataFrame) -> pd.DataFrame:  # one row for each size up to the capacity
-        c = int(part["capacity"].iloc[0])
-        return pd.DataFrame({"pack_name": [part["pack_name"].iloc[0]], "lower_bound": [lower_bound(part["size"].to_numpy(), part["items"].to_numpy(), c)]})
-
-    sizes = items.groupBy("pack_name", "capacity", "size").agg(F.count(F.lit(1)).alias("items"))
-    bounds = sizes.groupBy("pack_name").applyInPandas(bound, "pack_name string, lower_bound bigint")
     used = done.groupBy("pack_name").agg(F.count_distinct("container").alias("used"))
     filled = each.filter("n >= capacity").groupBy("pack_name").agg(F.sum(F.expr("n div capacity")).alias("full"))
     total = each.groupBy("pack_name", "capacity").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    table = total.join(used, "pack_name", "left").join(filled, "pack_name", "left").join(bounds, "pack_name", "left")
+    table = total.join(used, "pack_name", "left").join(filled, "pack_name", "left").join(bounds.drop("items"), "pack_name", "left")
     table = table.select("pack_name", "capacity", "documents", zero("tokens").alias("tokens"), (zero("used") + zero("full")).alias("containers"), (zero("lower_bound") + zero("full")).alias("lower_bound"))
     return Packed(pieces, table)
