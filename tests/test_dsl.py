@@ -11,10 +11,10 @@ from tidewell.spec import SubValueSpec as S
         ("put int(100) str(1000)", Put(100, "1000")),
         ("del int(100)", Put(100, None)),
         ("get int(100)", GetPK(100, 100, True)),
-        ("put int(6000) tup( str(s6000) tup( int(60) str(s60) ) int(60) )", Put(6000, ("s6000", (60, "s60"), 60))),
+        ("put int(7150) tup( str(t7150) tup( int(64) str(t64) ) int(64) )", Put(7150, ("t7150", (64, "t64"), 64))),
         ("get tup( )", GetPK((), (), True)),
-        ("get between int(50) str(foobar)", GetPK(50, "foobar")),
-        ("get between _ str(foobar)", GetPK(None, "foobar")),
+        ("get between int(50) str(pier9)", GetPK(50, "pier9")),
+        ("get between _ str(pier9)", GetPK(None, "pier9")),
         ("get between _ _", GetPK(None, None)),
         ("create index svspec(1 0 int)", CreateIndex(S((1, 0), D.I64))),
         ("delete index svspec(str)", DeleteIndex(S((), D.STR))),

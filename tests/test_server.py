@@ -18,12 +18,12 @@ def test_script(spark, serial):
     store = Store(spark, shared_dir(spark, "http"), serial=serial)
     ask = lambda method, path, body="": respond(store, method, path, body)
     query = lambda text: respond(store, "POST", "/query", text)[0]
-    assert ask("PUT", "/key/mykey", "myvalue") == (204, "")
-    assert ask("GET", "/key/mykey") == (200, 'Key:\r\nStr("mykey")\r\nValue:\r\nStr("myvalue")\r\n')
-    assert ask("DELETE", "/key/mykey")[0] == 204 and ask("GET", "/key/mykey")[0] == 404
+    assert ask("PUT", "/key/quay", "crate") == (204, "")
+    assert ask("GET", "/key/quay") == (200, 'Key:\r\nStr("quay")\r\nValue:\r\nStr("crate")\r\n')
+    assert ask("DELETE", "/key/quay")[0] == 204 and ask("GET", "/key/quay")[0] == 404
     assert query("put int(100) int(1000)") == 204 and query("get int(100)") == 200 and query("get int(102)") == 404
-    assert query("put int(6000) tup( str(s6000) tup( int(60) str(s60) ) int(60) )") == 204
-    assert query("get between int(6000) str(mykeyz)") == 200 and query("get between int(7000) _") == 204
+    assert query("put int(7150) tup( str(t7150) tup( int(64) str(t64) ) int(64) )") == 204
+    assert query("get between int(7150) str(quayz)") == 200 and query("get between int(7200) _") == 204
     assert query("get where svspec(int) _") == 500 and query("nonsense") == 500
     assert query("delete index svspec(int)") == 204 and query("create index svspec(int)") == 204
     assert query("create index svspec(int)") == (204 if serial else 304)

@@ -68,6 +68,10 @@ def _ranged(entries: DataFrame, column: Column, kind: T.DataType, lo: D.Datum |
             if (tag > own) == low:
                 return out.filter(F.lit(False))
         elif own == D.TUPLE:
+            first, head = kind.fields[0] if kind.fields else None, bound[0] if bound else None
+            if head is not None and isinstance(first.dataType, {D.I64: T.LongType, D.STR: T.StringType, D.BYTES: T.BinaryType}.get(D.type_of(head), ())):
+                plain = column.getField(first.name)  # a plain comparison, which every row that counts passes, before the key is made
+                out = out.filter(plain >= F.lit(head) if low else plain <= F.lit(head))
             key = key_of(column, kind)
             out = out.filter(key >= literal_key(bound) if low else key <= literal_key(bound))
         else:

@@ -44,12 +44,29 @@ def _pk(lo, hi):
     return lambda spark, d: E.pk_range(orders_store(spark, d), lo, hi).selectExpr(*FLAT_ORDER)
 
 
+def _price_bounds(spec, lo, hi) -> tuple[int | None, int | None]:
+    """What bounds on a sub-value say about the cents alone."""
+    if spec == PAIR:
+        lo, hi = lo and lo[0], hi and hi[0]
+    return tuple(x if spec in (PRICE, PAIR) and isinstance(x, int) else None for x in (lo, hi))
+
+
 def _sv(spec, lo=None, hi=None):
-    return lambda spark, d: E.sv_range(orders_store(spark, d), spec, lo, hi, ORDER_INDEXES).selectExpr(*FLAT_ORDER)
+    return lambda spark, d: E.sv_range(orders_store(spark, d, *_price_bounds(spec, lo, hi)), spec, lo, hi, ORDER_INDEXES).selectExpr(*FLAT_ORDER)
 
 
 def _dsl(text):
-    return lambda spark, d: run_statement(orders_store(spark, d), ORDER_INDEXES, text).selectExpr(*FLAT_ORDER)
+    s = dsl.parse(text)
+    bounds = _price_bounds(s.spec, s.lo, s.hi) if isinstance(s, dsl.GetSV) else (None, None)
+    return lambda spark, d: run_statement(orders_store(spark, d, *bounds), ORDER_INDEXES, text).selectExpr(*FLAT_ORDER)
+
+
+def sv_tuple_at_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """A tuple range whose bounds are values that occur, with other second members beside them: the pairs of two orders, lowered and raised there."""
+    pairs = sorted((int(r[0]), r[1]) for r in orders_store(spark, d).filter("pk IN (100, 200)").select("pv._2._0", "pv._2._1").collect())  # two rows
+    (a, p), (b, q) = pairs
+    inside, outside = _sv(PAIR, (a, p), (b, q))(spark, d), _sv(PAIR, (a, p + "0"), (b, q[:-1]))(spark, d)
+    return inside.withColumn("bounds", F.lit("on")).unionByName(outside.withColumn("bounds", F.lit("within")))
 
 
 def key_only_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -200,10 +217,10 @@ def store_index_scan(spark: SparkSession, d: str) -> DataFrame:
 def store_statements(spark: SparkSession, d: str) -> DataFrame:
     """Writes, index statements and reads as query texts."""
     store = Store(spark, shared_dir(spark, "store"))
-    for text in ("put int(100) int(1000)", "put int(101) int(1010)", "put int(102) str(1020)", "del int(102)", "create index svspec(int)", "put int(6000) tup( str(s6000) tup( int(60) str(s60) ) int(60) )", "put int(100) int(900)"):
+    for text in ("put int(100) int(1000)", "put int(101) int(1010)", "put int(102) str(1020)", "del int(102)", "create index svspec(int)", "put int(7150) tup( str(t7150) tup( int(64) str(t64) ) int(64) )", "put int(100) int(900)"):
         store.query(text)
     text = F.udf(lambda k: D.render(D.decode_key(bytes(k))), "string")  # a handful of rows, for show
-    reads = [store.query(q).select(F.lit(q).alias("query"), text("pk_key").alias("pk"), text("pv_key").alias("pv")) for q in ("get int(102)", "get between int(101) str(mykeyz)", "get where svspec(int) between int(500) int(1500)")]
+    reads = [store.query(q).select(F.lit(q).alias("query"), text("pk_key").alias("pk"), text("pv_key").alias("pv")) for q in ("get int(102)", "get between int(101) str(quayz)", "get where svspec(int) between int(500) int(1500)")]
     return reads[0].unionByName(reads[1]).unionByName(reads[2])
 
 
@@ -230,7 +247,7 @@ def stream_current(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     low, high = (10_000_000, "normal"), (20_000_000, "")
     plain = (
-        key_only_scan, pk_range_cross_type, datum_order_rank, mixed_member_eq, sv_customer_segment, lww_current, lww_point, snapshot_at, read_your_writes, index_build, index_delta, index_after_delta,
+        key_only_scan, sv_tuple_at_bounds, pk_range_cross_type, datum_order_rank, mixed_member_eq, sv_customer_segment, lww_current, lww_point, snapshot_at, read_your_writes, index_build, index_delta, index_after_delta,
         store_current, store_compacted, store_index_scan, store_statements, kv_round_trip, stream_current, conflict_check, interval_merge, compact_full, compact_partial, txn_sum_guard, txn_count_guard,
     )
     return {
@@ -268,6 +285,9 @@ def oracles() -> dict[str, str]:
         "pk_range_all": orders("TRUE"), "pk_range_inverted": orders("pk BETWEEN 250 AND 100"), "pk_bound_other_type": orders("pk >= 1000"), "sv_member_eq": orders("custkey = 100"), "sv_member_range": orders("custkey BETWEEN 20 AND 60"),
         "sv_member_all": orders("TRUE"), "sv_nested_range": orders("cents BETWEEN 10000000 AND 20000000"), "sv_nested_str": orders("priority BETWEEN '1-URGENT' AND '3-MEDIUM'"),
         "sv_tuple_range": orders("(cents > 10000000 OR (cents = 10000000 AND priority >= 'normal')) AND (cents < 20000000 OR (cents = 20000000 AND priority <= ''))"),
+        "sv_tuple_at_bounds": f"""WITH o AS (SELECT {ORDER_COLS} FROM orders), e AS (SELECT min(cents) AS a, max(cents) AS b FROM o WHERE pk IN (100, 200))
+SELECT o.*, 'on' AS bounds FROM o, e WHERE cents BETWEEN a AND b AND (cents > a OR priority >= (SELECT priority FROM o WHERE pk IN (100, 200) ORDER BY cents LIMIT 1)) AND (cents < b OR priority <= (SELECT priority FROM o WHERE pk IN (100, 200) ORDER BY cents DESC LIMIT 1))
+UNION ALL SELECT o.*, 'within' FROM o, e WHERE cents BETWEEN a AND b AND (cents > a OR priority >= (SELECT priority || '0' FROM o WHERE pk IN (100, 200) ORDER BY cents LIMIT 1)) AND (cents < b OR priority <= (SELECT priority[:-2] FROM o WHERE pk IN (100, 200) ORDER BY cents DESC LIMIT 1))""",
         "sv_bound_other_type": orders("cents >= 30000000"), "sv_type_mismatch": orders("FALSE"),
         "sv_whole_all": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE vt = 1", "sv_whole_eq": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE vt = 3 AND vs = 'ASIA'",
         "sv_whole_range": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE vt = 1 AND vi BETWEEN 3 AND 7", "mixed_member_eq": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE vt = 4 AND vs = 'purchase'",
@@ -277,7 +297,7 @@ def oracles() -> dict[str, str]:
         "store_current": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE tag <> 2",
         "store_compacted": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE tag = 4 OR (tag = 3 AND ks >= 'NATION_1')",
         "store_index_scan": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed WHERE tag = 3 AND length(ks) <= 8 AND vi BETWEEN 1 AND 3",
-        "store_statements": """SELECT * FROM (VALUES ('get between int(101) str(mykeyz)', 'I64(101)', 'I64(1010)'), ('get between int(101) str(mykeyz)', 'I64(6000)', 'Tuple([Str("s6000"), Tuple([I64(60), Str("s60")]), I64(60)])'),
+        "store_statements": """SELECT * FROM (VALUES ('get between int(101) str(quayz)', 'I64(101)', 'I64(1010)'), ('get between int(101) str(quayz)', 'I64(7150)', 'Tuple([Str("t7150"), Tuple([I64(64), Str("t64")]), I64(64)])'),
 ('get where svspec(int) between int(500) int(1500)', 'I64(100)', 'I64(900)'), ('get where svspec(int) between int(500) int(1500)', 'I64(101)', 'I64(1010)')) AS t(query, pk, pv)""",
         "kv_round_trip": f"{_MIXED} SELECT tag, ki, ks, kt FROM mixed", "stream_current": live("TRUE"),
         "datum_order_rank": f"{_MIXED} SELECT tag, ki, ks, kt, row_number() OVER (ORDER BY tag, ki, ks, kt) AS place FROM mixed",

@@ -24,9 +24,17 @@ def _value(*members: Column) -> Column:
     return F.struct(*[m.alias(f"_{i}") for i, m in enumerate(members)])
 
 
-def orders_store(spark: SparkSession, d: str) -> DataFrame:
-    """pk o_orderkey; value (custkey, status, (price in cents, priority), time)."""
+def orders_store(spark: SparkSession, d: str, cents_from: int | None = None, cents_to: int | None = None) -> DataFrame:
+    """pk o_orderkey; value (custkey, status, (price in cents, priority), time).
+
+    Bounds on the cents may be given beforehand: as bounds on the price, a cent wider, they reach the scan, where those on a rounded
+    product do not.
+    """
     t = table(spark, d, "orders")
+    if cents_from is not None:
+        t = t.filter(F.col("o_totalprice") >= (cents_from - 1) / 100)
+    if cents_to is not None:
+        t = t.filter(F.col("o_totalprice") <= (cents_to + 1) / 100)
     value = _value(F.col("o_custkey"), F.col("o_orderstatus"), _value(cents("o_totalprice"), F.col("o_orderpriority")), micros("o_orderdate"))
     return t.select(F.col("o_orderkey").alias("pk"), value.alias("pv"))
 

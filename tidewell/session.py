@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str = "work") -> str:
     """A fresh path below the folder all executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) is a temporary
-    folder of this machine made and set, so that later calls and ``checkpoint()`` agree on it.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset and all runs in one process (tests, a laptop) is a
+    temporary folder of this machine made and set, so that later calls and ``checkpoint()`` agree on it; elsewhere it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
