@@ -93,6 +93,8 @@ class IncrementalState:
 PAIR = ["store_id", "consumer", "unit_num"]
 SPAN = ["commit_ver_lo_incl", "commit_ver_hi_incl"]
 CONTENT = [*SPAN, "n_handled"]
+#: The first cut-off, as a share of the ledger's time: most of it is state that later runs find, as in a job that has been going for long.
+EARLY = 7 / 8
 
 
 def _handled(runs: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def unhandled_units(spark: SparkSession, runs: DataFrame, units: DataFrame, root
     """For each store and consumer the live units with a commit version that no successful run has handled.
 
     The state (root) is kept over two cut-offs of the ledger. The first version holds, for each consumer and unit that were not done
-    by the middle of the ledger's time, the hash of the unit's versions and of how many of them had been handled. The later ledger rows
+    when EARLY of the ledger's time had passed, the hash of the unit's versions and of how many of them had been handled. The later ledger rows
     then only matter to these pairs: those whose handled number is new or has changed against the state are committed as the next version.
     Last, all pairs of the first cut-off are hashed as they would be if they were done (every version handled) and held against the
     state: what is in it with that hash has been done since, what is missing (``new``) or has another hash (``changed``: done in part) is
@@ -138,7 +140,7 @@ def unhandled_units(spark: SparkSession, runs: DataFrame, units: DataFrame, root
     """
     live = live_units(units)
     first, last = runs.agg(F.min("started_at"), F.max("started_at")).first() if "started_at" in runs.columns else (None, None)
-    early = runs.filter(F.col("started_at") < F.lit(first + (last - first) / 2)) if first is not None else runs.limit(0)
+    early = runs.filter(F.col("started_at") < F.lit(first + (last - first) * EARLY)) if first is not None else runs.limit(0)
     followers = runs.select("store_id", "consumer").distinct()  # those that only come later have everything left
     early = early.select("store_id", "consumer", *SPAN, "status").unionByName(followers, allowMissingColumns=True)
     pairs = written(pending_at(early, live), "pairs")

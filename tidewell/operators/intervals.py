@@ -1,6 +1,6 @@
 """Joins and merges over closed integer intervals, without nested loops and without windows over a whole hot key.
 
-An interval is put on a grid of cells whose width grows by 16 from level to level: it belongs to the lowest level whose cells
+An interval is put on a grid of cells whose width grows by 256 from level to level: it belongs to the lowest level whose cells
 are at least as long as itself, so it touches at most two cells there. Two intervals that overlap share a cell at the level of
 the longer one. Each side therefore writes few rows whatever the lengths are, and a cell of a level holds few intervals of
 that level unless many lie on the same spot.
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BASE_BITS, STEP_BITS, TOP = 6, 4, 14
+BASE_BITS, STEP_BITS, TOP = 6, 8, 7
 #: The bounds of what is taken for all versions; half the longs, so that one more or less is still a long.
 LEAST, GREATEST = -(2**62), 2**62
 
@@ -35,7 +35,7 @@ def _cells(df: DataFrame, lo: str, hi: str, levels: Column, role: int, first_onl
 
 
 def _levels(*sides: DataFrame) -> list[list[int]]:
-    """The levels in use on each side, in one job: at most 15 numbers a side, whatever the data are."""
+    """The levels in use on each side, in one job: at most 8 numbers a side, whatever the data are."""
     seen = [d.select(F.lit(i).alias("side"), level_of(F.col("lo"), F.col("hi")).alias("l")) for i, d in enumerate(sides)]
     found = reduce(DataFrame.unionAll, seen).distinct().collect()
     return [sorted(r.l for r in found if r.side == i) for i in range(len(sides))]
@@ -84,7 +84,7 @@ def interval_semi_join(left: DataFrame, right: DataFrame, keys: list[str], left_
     functions from a column name to a column. Rows with a null key or bound and empty intervals (lo > hi) match nothing; an
     empty side gives an empty result. Extra columns are carried only if the condition uses them, so they may clash.
 
-    ``levels``: the grid levels in use on either side, if known; else each side is read once more to find them (15 at most).
+    ``levels``: the grid levels in use on either side, if known; else each side is read once more to find them (8 at most).
 
     A hot key is spread over its cells; cells of higher levels, which hold all of a key, are also spread over salts.
     """
