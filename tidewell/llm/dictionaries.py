@@ -40,8 +40,11 @@ class Trie:
     bytes one gets to the right part by comparisons, each with a jump for the lower half; a short one lists byte and jump.
     """
 
-    # --- fixed values: first bytes of ICU's byte tries ---
-    RUN, VALUE, LIST = 0x10, 0x20, 5
+    # --- fixed values: first bytes in ICU's byte tries ---
+    RUN, VALUE, LIST = 0x10, 0x20, 5  # of a run, of a value; the longest branch that is a list
+    VALUE_SIZES, ONE_BYTE = (0x51, 0x6C, 0x7E, 0x7F), 0x10  # where values of two to five bytes begin; that of the value 0
+    JUMP_SIZES = (0xC0, 0xF0, 0xFE, 0xFF)  # the same of jumps
+    JOINER, NON_JOINER, MOST = 0xFF, 0xFE, 0xFD  # bytes of U+200D and U+200C, and the highest offset
     # --- end of fixed values ---
 
     def __init__(self, data: bytes):
@@ -69,11 +72,11 @@ class Trie:
     def _value(self, at: int) -> int:
         """Where things go on after the value node at ``at``."""
         lead = self.data[at] >> 1
-        return self._number(at + 1, lead, (0x51, 0x6C, 0x7E, 0x7F))[1]
+        return self._number(at + 1, lead, self.VALUE_SIZES)[1]
 
     def _jump(self, at: int) -> tuple[int, int]:
         """The target of the jump at ``at``, and where things go on without it."""
-        delta, end = self._number(at + 1, self.data[at], (0xC0, 0xF0, 0xFE, 0xFF))
+        delta, end = self._number(at + 1, self.data[at], self.JUMP_SIZES)
         return end + delta, end
 
     def _branch(self, at: int, length: int, byte: int) -> int:
@@ -96,9 +99,9 @@ class Trie:
                 at = self._value(at)
             else:
                 lead = d[at] >> 1
-                delta, end = self._number(at + 1, lead, (0x51, 0x6C, 0x7E, 0x7F))
-                if lead < 0x51:
-                    delta -= 0x10
+                delta, end = self._number(at + 1, lead, self.VALUE_SIZES)
+                if lead < self.VALUE_SIZES[0]:
+                    delta -= self.ONE_BYTE
                 if key == byte:
                     return end + delta
                 at = end
@@ -138,7 +141,9 @@ class Trie:
         return out
 
     def _byte(self, c: str) -> int:
-        if c in "‍‌":
-            return 0xFF if c == "‍" else 0xFE
+        if c == "\u200d":
+            return self.JOINER
+        if c == "\u200c":
+            return self.NON_JOINER
         delta = ord(c) - self.base
-        return delta if 0 <= delta <= 0xFD else -1
+        return delta if 0 <= delta <= self.MOST else -1
