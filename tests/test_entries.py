@@ -90,3 +90,20 @@ def test_pushdown(spark, tmp_path):
 def test_place(spark):
     df = spark.createDataFrame([(i * 7919 % 1009,) for i in range(1009)], "k bigint")
     assert all(r.place == r.k + 1 for r in E.place(df, "k", "place").collect())
+
+
+def test_first_members_are_cut_with_built_ins(spark):
+    import random
+
+    from tidewell import datum as D
+    from tidewell.functions.keys import sub_key
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    leaf = lambda: r.choice([0, -1, 2**63 - 1, -(2**63), 256, b"", b"\0", b"\0\0", b"a\0", b"\0\1\0", b"\xff\0\0\1", "", "\0", "é\0", "x" * 40, "\0\1"])
+    values = [leaf() for _ in range(40)] + [tuple(leaf() if r.random() < 0.8 else (leaf(),) for _ in range(r.randrange(3))) for _ in range(300)]
+    df = spark.createDataFrame([(bytearray(D.encode_key(v)),) for v in values] + [(None,)], "v binary")
+    for tag in (D.I64, D.STR, D.BYTES, D.TUPLE):
+        got = [None if x.s is None else bytes(x.s) for x in df.select(sub_key(F.col("v"), (0,), tag).alias("s")).collect()]
+        assert got == [D.slice_key(D.encode_key(v), [0], tag) for v in values] + [None]
+    assert "ArrowEvalPython" not in df.select(sub_key(F.col("v"), (0,), D.STR))._jdf.queryExecution().executedPlan().toString()

@@ -42,8 +42,9 @@ def between(key: Column, lo: D.Datum | None, hi: D.Datum | None) -> Column:
 
 
 def sub_key(column: Column, path: tuple[int, ...], tag: int) -> Column:
-    """The key of the sub-value of an encoded value, by slicing it in Arrow batches.
+    """The key of the sub-value of an encoded value, null where it has none of that type.
 
+    The whole value and a first member that is no tuple are cut with built-in functions; other members in Arrow batches in Python.
     Only for stores whose values have no common schema; a typed store resolves its specs to plain columns.
     """
 
@@ -53,4 +54,11 @@ def sub_key(column: Column, path: tuple[int, ...], tag: int) -> Column:
 
     if not path:
         return F.when(F.substring(column, 1, 1) == F.lit(bytes([tag])), column)
+    if path == (0,) and tag in (D.I64, D.STR, D.BYTES):
+        here = F.substring(column, 1, 2) == F.lit(bytes([D.TUPLE, tag]))
+        if tag == D.I64:
+            return F.when(here, F.substring(column, 2, 9))
+        # Zero bytes inside are followed by 01, so the first two in a row are the end; one character stands for a byte here.
+        end = F.instr(F.decode(column, "ISO-8859-1"), "\x00\x00")
+        return F.when(here, F.substr(column, F.lit(2), end))
     return cut(column)
