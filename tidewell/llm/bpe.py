@@ -218,7 +218,11 @@ def encode_buffers(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) ->
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
     bounds = np.append(starts, len(data)).astype(np.int32)
-    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    pieces = pa.Array.from_buffers(
+        pa.binary(),
+        len(starts),
+        [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))],
+    ).dictionary_encode()
     which, words = pieces.indices.to_numpy(), pieces.dictionary
     _, word_offsets, word_data = words.buffers()
     word_offsets = np.frombuffer(word_offsets, np.int32)[words.offset : words.offset + len(words) + 1]
@@ -245,7 +249,15 @@ def _slices(column: pa.Array, size: int):
         i = j
 
 
-def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary_file: str = VOCABULARY, counts_only: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def encode_corpus(
+    documents: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    tokenizers: str = TOKENIZERS,
+    vocabulary_file: str = VOCABULARY,
+    counts_only: bool = False,
+    slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
     """(key, ids) of every document, without special tokens; with ``counts_only`` (key, n_tokens) instead.
 
     The ids of an empty and of a null text are an empty list. Text that looks like a special token is plain text. Repeated rows give

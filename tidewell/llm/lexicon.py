@@ -11,14 +11,18 @@ NEVER_LAST = frozenset(
     "т е см ок тыс млн млрд ул корп им г-н г-жа π.χ δηλ Βλ βλ κ κα αρ д. أ د डॉ श्री श्रीमती सं कृ".split()
 )
 #: Abbreviations before a number or a name; an upper-case word after them begins a sentence.
-BEFORE_NUMBER = frozenset("No Nos Nr fig Fig ch Ch p pp ext Rm sec Sec art vol Vol Abb Abs S Kap Bd Tab pág págs cap núm n рис стр гл ст табл п № σελ σσ κεφ पृ ref eq".split())
+BEFORE_NUMBER = frozenset(
+    "No Nos Nr fig Fig ch Ch p pp ext Rm sec Sec art vol Vol Abb Abs S Kap Bd Tab pág págs cap núm n рис стр гл ст табл п № σελ σσ κεφ पृ ref eq".split()
+)
 #: Abbreviations that can end a sentence: what follows decides.
 MAY_BE_LAST = frozenset(
     "Inc Ltd Co Corp Bros KG AG etc usw usf imho a.m p.m am pm ft in lb oz min hr hrs f ff ud uds UU Cía г гг руб коп д др к.λπ κ.λπ κ.ά κτλ "
     "Mon Tue Tues Wed Thu Thur Thurs Fri Sat Sun Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec".split()
 )
 #: Before a German ordinal.
-ORDINAL_AFTER = frozenset("am zum vom der die das den dem des im bis beim ab seit jeder jede jedes Am Zum Vom Der Die Das Den Dem Im Bis Beim Ab Seit".split())
+ORDINAL_AFTER = frozenset(
+    "am zum vom der die das den dem des im bis beim ab seit jeder jede jedes Am Zum Vom Der Die Das Den Dem Im Bis Beim Ab Seit".split()
+)
 #: Words that begin a sentence in lower case.
 LOWER_OPENERS = frozenset("it".split())
 #: Sign-offs, without marks at their end.
@@ -58,7 +62,9 @@ NOTICE_PARTS = {
     "law": (2, "法律 法令 법률 القانون कानून กฎหมาย"),
 }
 #: First fields of the headers that stand above a quoted message.
-QUOTED_FIELDS = frozenset("From Sent To Cc Subject Date Von Gesendet An Betreff Datum De Envoyé À Objet Enviado Para Asunto От Отправлено Кому Тема Από Προς Θέμα 发件人 发送时间 收件人 主题 差出人 送信日時 宛先 件名".split())
+QUOTED_FIELDS = frozenset(
+    "From Sent To Cc Subject Date Von Gesendet An Betreff Datum De Envoyé À Objet Enviado Para Asunto От Отправлено Кому Тема Από Προς Θέμα 发件人 发送时间 收件人 主题 差出人 送信日時 宛先 件名".split()
+)
 #: Thai word classes, as far as they decide what a space parts; the words themselves are found with a general dictionary.
 #: Particles that end a sentence.
 THAI_FINALS = frozenset("ครับ ครับผม ค่ะ คะ นะ นะครับ นะคะ จ้ะ จ๊ะ จ้า ฮะ ล่ะ".split())
@@ -98,10 +104,14 @@ THAI_VERBS = frozenset(
 )
 #: The same for Lao.
 LAO_FINALS = frozenset("ເດີ້ ເດີ ແດ່ ເນາະ ເອີຍ ຈ້າ ດອກ ແທ້".split())
-LAO_SUBJECTS = frozenset("ຂ້ອຍ ຂ້າພະເຈົ້າ ເຮົາ ພວກເຮົາ ລາວ ເຂົາ ເຂົາເຈົ້າ ພວກເຂົາ ເຈົ້າ ທ່ານ ທຸກຄົນ ໃຜ ແມ່ ພໍ່ ອ້າຍ ເອື້ອຍ ນ້ອງ ມັນ ຫຍັງ ເປັນຫຍັງ ດັ່ງນັ້ນ ສະນັ້ນ ນອກຈາກນັ້ນ ນອກຈາກນີ້ ຕໍ່ມາ ຈາກນັ້ນ ຫຼັງຈາກນັ້ນ ມື້ນີ້ ມື້ອື່ນ ມື້ວານ ມື້ວານນີ້ ຕອນນີ້ ປັດຈຸບັນ".split())
+LAO_SUBJECTS = frozenset(
+    "ຂ້ອຍ ຂ້າພະເຈົ້າ ເຮົາ ພວກເຮົາ ລາວ ເຂົາ ເຂົາເຈົ້າ ພວກເຂົາ ເຈົ້າ ທ່ານ ທຸກຄົນ ໃຜ ແມ່ ພໍ່ ອ້າຍ ເອື້ອຍ ນ້ອງ ມັນ ຫຍັງ ເປັນຫຍັງ ດັ່ງນັ້ນ ສະນັ້ນ ນອກຈາກນັ້ນ ນອກຈາກນີ້ ຕໍ່ມາ ຈາກນັ້ນ ຫຼັງຈາກນັ້ນ ມື້ນີ້ ມື້ອື່ນ ມື້ວານ ມື້ວານນີ້ ຕອນນີ້ ປັດຈຸບັນ".split()
+)
 LAO_REQUESTS = frozenset("ກະລຸນາ ຂໍ ຂໍໃຫ້ ເຊີນ ຢ່າ ຫ້າມ ຊ່ວຍ ຂອບໃຈ ຂໍໂທດ".split())
 LAO_LEANING = frozenset("ຖ້າ ຖ້າຫາກ ຫາກ ເມື່ອ ຫຼັງຈາກ ກ່ອນ ຂະນະທີ່ ເຖິງແມ່ນ ເຖິງແມ່ນວ່າ ເນື່ອງຈາກ ເພາະ ເພາະວ່າ ລະຫວ່າງ".split())
-LAO_TIES = frozenset("ແລະ ຫຼື ກັບ ແຕ່ ທີ່ ຊຶ່ງ ເຊິ່ງ ເພື່ອ ໂດຍ ຈາກ ໃນ ເທິງ ໃຕ້ ວ່າ ຈົນ ຈຶ່ງ ກໍ ກໍ່ ລວມທັງ ທັງ ຕາມ ຕໍ່ ສຳລັບ ຄື ໄດ້ແກ່ ເຊັ່ນ ເປັນ ຂອງ ພາຍໃນ ຕັ້ງແຕ່ ເຖິງ ແຫ່ງ ກ່ຽວກັບ ໃກ້ ຂ້າງ ພ້ອມ ດ້ວຍ ເພາະ ເພາະວ່າ ເນື່ອງຈາກ ກ່ອນ ລະຫວ່າງ ປະມານ".split())
+LAO_TIES = frozenset(
+    "ແລະ ຫຼື ກັບ ແຕ່ ທີ່ ຊຶ່ງ ເຊິ່ງ ເພື່ອ ໂດຍ ຈາກ ໃນ ເທິງ ໃຕ້ ວ່າ ຈົນ ຈຶ່ງ ກໍ ກໍ່ ລວມທັງ ທັງ ຕາມ ຕໍ່ ສຳລັບ ຄື ໄດ້ແກ່ ເຊັ່ນ ເປັນ ຂອງ ພາຍໃນ ຕັ້ງແຕ່ ເຖິງ ແຫ່ງ ກ່ຽວກັບ ໃກ້ ຂ້າງ ພ້ອມ ດ້ວຍ ເພາະ ເພາະວ່າ ເນື່ອງຈາກ ກ່ອນ ລະຫວ່າງ ປະມານ".split()
+)
 LAO_TRAILING = frozenset("ໃກ້ ຂ້າງ ດ້ວຍ ພ້ອມ ກ່ອນ ໃຕ້ ຕາມ ຕໍ່".split())
 LAO_AUXILIARIES = frozenset("ຈະ ຍັງ ບໍ່ ບໍ່ໄດ້ ຕ້ອງ ກຳລັງ ເຄີຍ ຄວນ ອາດ ອາດຈະ ຄົງ ສາມາດ ມັກຈະ ຖືກ ໄດ້ຮັບ".split())
 LAO_AFTER = frozenset("ແລ້ວ ໄປ ມາ ໄດ້ ຢູ່ ໃຫ້ ໄວ້ ເລີຍ ອີກ ເທົ່ານັ້ນ ກັນ ເອງ ນີ້ ນັ້ນ ບໍ ທັນທີ ສະເໝີ ຫຼາຍ ໆ ຯລຯ".split())

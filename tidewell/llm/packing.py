@@ -104,7 +104,17 @@ def _pack_part(rows: pd.DataFrame) -> pd.DataFrame:
     place = np.empty(len(free), np.int32)
     place[np.argsort(-free, kind="stable")] = np.arange(len(free), dtype=np.int32)
     names = np.array([f"{rows['label'].iloc[0]}-{c}" for c in range(len(free))], object)
-    return pd.DataFrame({"pack_name": rows["pack_name"], "capacity": rows["capacity"], "rid": rows["rid"], "size": sizes, "container": names[into], "free": free[into], "place": place[into]})
+    return pd.DataFrame(
+        {
+            "pack_name": rows["pack_name"],
+            "capacity": rows["capacity"],
+            "rid": rows["rid"],
+            "size": sizes,
+            "container": names[into],
+            "free": free[into],
+            "place": place[into],
+        }
+    )
 
 
 def _by_pack(values: dict[str, int], default: int) -> Column:
@@ -135,7 +145,12 @@ def _exchange(done: DataFrame, bound: dict[str, int], parts: dict[str, int], ite
         give = {p: factor[p] * (-(-gap // parts[p]) + 1) for p, gap in gaps.items()}
         pooled = F.col("place") < _by_pack(give, 0)
         pool = done.filter(pooled)
-        before = {r["pack_name"]: r for r in pool.groupBy("pack_name").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("container").alias("containers")).collect()}
+        before = {
+            r["pack_name"]: r for r in pool.groupBy("pack_name").agg(
+                F.count(F.lit(1)).alias("items"),
+                F.count_distinct("container").alias("containers"),
+            ).collect()
+        }
         again = _pack(pool.select("pack_name", "capacity", "rid", "size"), {p: -(-r["items"] // items_per_part) for p, r in before.items()}, turn)
         saved = {p: before[p]["containers"] - n for p, n in _containers(again).items()}
         for p in gaps:
@@ -150,7 +165,15 @@ def _exchange(done: DataFrame, bound: dict[str, int], parts: dict[str, int], ite
     return done
 
 
-def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", size: str = "n_tokens", items_per_part: int = ITEMS_PER_PART, pool_factor: int = POOL, rounds: int = ROUNDS) -> Packed:
+def pack(
+    counts: DataFrame,
+    capacities: dict[str, int],
+    key: str = "doc_id",
+    size: str = "n_tokens",
+    items_per_part: int = ITEMS_PER_PART,
+    pool_factor: int = POOL,
+    rounds: int = ROUNDS,
+) -> Packed:
     """Every document into containers of each capacity.
 
     Only a document larger than the capacity is split: into full pieces, which fill containers of their own, and a rest that is packed
@@ -174,12 +197,38 @@ def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", siz
     known = bounds.collect()  # one row for each pack
     parts = {r["pack_name"]: -(-r["items"] // items_per_part) for r in known}
     done = _exchange(_pack(items, parts, 0), {r["pack_name"]: r["lower_bound"] for r in known}, parts, items_per_part, pool_factor, rounds)
-    full = each.filter("n >= capacity").select("rid", "pack_name", "capacity", F.explode(F.sequence(F.lit(0), F.expr("cast(n div capacity as int)") - 1)).alias("piece"))
-    full = full.select("rid", "pack_name", F.concat_ws("-", F.lit("full"), "rid", "piece").alias("container"), "piece", (F.col("piece").cast("bigint") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"))
-    none = each.filter("n <= 0").select("rid", "pack_name", F.lit(None).cast("string").alias("container"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start_token"), F.lit(0).alias("n_tokens"))
+    full = each.filter("n >= capacity").select(
+        "rid",
+        "pack_name",
+        "capacity",
+        F.explode(F.sequence(F.lit(0), F.expr("cast(n div capacity as int)") - 1)).alias("piece"),
+    )
+    full = full.select(
+        "rid",
+        "pack_name",
+        F.concat_ws("-", F.lit("full"), "rid", "piece").alias("container"),
+        "piece",
+        (F.col("piece").cast("bigint") * F.col("capacity")).alias("start_token"),
+        F.col("capacity").alias("n_tokens"),
+    )
+    none = each.filter("n <= 0").select(
+        "rid",
+        "pack_name",
+        F.lit(None).cast("string").alias("container"),
+        F.lit(0).alias("piece"),
+        F.lit(0).cast("bigint").alias("start_token"),
+        F.lit(0).alias("n_tokens"),
+    )
     rest = done.select("rid", "pack_name", "container", "size").join(rows.select("rid", "n"), "rid")
     capacity = F.create_map(*[x for n, c in capacities.items() for x in (F.lit(n), F.lit(c).cast("int"))])[F.col("pack_name")]
-    rest = rest.select("rid", "pack_name", "container", F.floor(F.col("n") / capacity).cast("int").alias("piece"), (F.col("n") - F.col("size")).alias("start_token"), F.col("size").alias("n_tokens"))
+    rest = rest.select(
+        "rid",
+        "pack_name",
+        "container",
+        F.floor(F.col("n") / capacity).cast("int").alias("piece"),
+        (F.col("n") - F.col("size")).alias("start_token"),
+        F.col("size").alias("n_tokens"),
+    )
     pieces = full.unionByName(rest).unionByName(none).join(rows.select("rid", F.col("k").alias(key)), "rid")
     pieces = pieces.select("pack_name", "container", key, "piece", "start_token", "n_tokens")
 
@@ -188,5 +237,12 @@ def pack(counts: DataFrame, capacities: dict[str, int], key: str = "doc_id", siz
     total = each.groupBy("pack_name", "capacity").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     table = total.join(used, "pack_name", "left").join(filled, "pack_name", "left").join(bounds.drop("items"), "pack_name", "left")
-    table = table.select("pack_name", "capacity", "documents", zero("tokens").alias("tokens"), (zero("used") + zero("full")).alias("containers"), (zero("lower_bound") + zero("full")).alias("lower_bound"))
+    table = table.select(
+        "pack_name",
+        "capacity",
+        "documents",
+        zero("tokens").alias("tokens"),
+        (zero("used") + zero("full")).alias("containers"),
+        (zero("lower_bound") + zero("full")).alias("lower_bound"),
+    )
     return Packed(pieces, table)

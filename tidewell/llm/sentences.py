@@ -211,7 +211,9 @@ def _ends(s: str, i: int, mark: str, e: int, inside: tuple[int, int] | None, sta
     if "।" in mark or "॥" in mark or "|" in mark or any(c in mark for c in "።។။៕།༎"):
         return True
     if mark.strip(".…") == "" and (len(mark) > 1 or "…" in mark):  # a pause, unless an upper-case word follows
-        return not lower and not _uncased(nxt) and not _CJK.match(nxt) and (spaced or nxt.isupper()) and not (_uncased(before) and nxt.isalpha() and not nxt.isupper())
+        return not lower and not _uncased(nxt) and not _CJK.match(nxt) and (spaced or nxt.isupper()) and not (
+            _uncased(before) and nxt.isalpha() and not nxt.isupper()
+        )
     if mark.strip(";;") == "":
         return "Ͱ" <= before <= "Ͽ" and (not lower or inside is None) and (spaced or nxt.isupper())
     if any(c in mark for c in "!?؟։"):
