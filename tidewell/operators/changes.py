@@ -22,10 +22,16 @@ def compose_patches(changes: DataFrame, keys: list[str], order: list[str], effec
     The order columns must be total on the changes of a key; of equal ones the larger effect (column by column) wins. Nulls in order
     columns sort first. Key columns may be null. The result has the keys, the order and the effect columns.
     """
-    patch = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"e{i}") for i, c in enumerate(effect)])).alias("_patch")
+    patch = F.max(
+        F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"e{i}") for i, c in enumerate(effect)])
+    ).alias("_patch")
     folded = changes.groupBy(*keys).agg(patch)
     plain = [c for c in effect if c not in order]
-    return folded.select(*keys, *[F.col(f"_patch.o{i}").alias(c) for i, c in enumerate(order)], *[F.col(f"_patch.e{effect.index(c)}").alias(c) for c in plain])
+    return folded.select(
+        *keys,
+        *[F.col(f"_patch.o{i}").alias(c) for i, c in enumerate(order)],
+        *[F.col(f"_patch.e{effect.index(c)}").alias(c) for c in plain],
+    )
 
 
 def apply_patches(base: DataFrame, patches: DataFrame, keys: list[str], is_delete) -> DataFrame:
@@ -73,7 +79,10 @@ def _range_patches(entries: DataFrame, versions: DataFrame, values: bool) -> Dat
     """
     effect = ["datum_type", "pv"] if values else ["datum_type"]
     order = ["ver", "seq", "unit_num"]
-    placed = entries.select("store_id", "unit_num", "pk_type", "pk", "seq", *effect).join(versions.select("store_id", "unit_num", "ver"), ["store_id", "unit_num"])
+    placed = entries.select("store_id", "unit_num", "pk_type", "pk", "seq", *effect).join(
+        versions.select("store_id", "unit_num", "ver"),
+        ["store_id", "unit_num"],
+    )
     placed = placed.withColumn("_chunk", F.expr(f"shiftright(ver, {CHUNK_BITS})"))
     chunks = compose_patches(placed, [*KEYS, "_chunk"], order, effect)
     return compose_patches(chunks, KEYS, order, effect)

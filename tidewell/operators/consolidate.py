@@ -88,17 +88,38 @@ def consolidate(units: DataFrame, entries: DataFrame, target_bytes: int = TARGET
     schema = T.StructType([T.StructField(c, kinds[c]) for c in [*place[3:], *FIELDS, "copies", *place[:3]]])
     written = spark.read.schema(schema).parquet(f"{path}/entries")
     content = F.coalesce(F.octet_length("pk_key"), F.lit(0)) + F.coalesce(F.octet_length("pv"), F.lit(0))
-    by_file = written.select(*place[:3], "unit_num", "pk_key", content.alias("_content"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_bytes"))
-    held = by_file.groupBy(*place[:3], "file", "file_bytes").agg(F.count(F.lit(1)).alias("n_entries"), F.sum("_content").alias("content_bytes"), F.min("pk_key").alias("lo_key"), F.max("pk_key").alias("hi_key"))
+    by_file = written.select(
+        *place[:3],
+        "unit_num",
+        "pk_key",
+        content.alias("_content"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("file_bytes"),
+    )
+    held = by_file.groupBy(*place[:3], "file", "file_bytes").agg(
+        F.count(F.lit(1)).alias("n_entries"),
+        F.sum("_content").alias("content_bytes"),
+        F.min("pk_key").alias("lo_key"),
+        F.max("pk_key").alias("hi_key"),
+    )
     given = by_file.select(*place[:3], "unit_num").distinct().join(plan, [*place[:3], "unit_num"])
-    spans = given.groupBy(*place[:3]).agg(F.min("commit_ver_lo_incl").alias("commit_ver_lo_incl"), F.max("commit_ver_hi_incl").alias("commit_ver_hi_incl"), F.count(F.lit(1)).alias("n_units"))
+    spans = given.groupBy(*place[:3]).agg(
+        F.min("commit_ver_lo_incl").alias("commit_ver_lo_incl"),
+        F.max("commit_ver_hi_incl").alias("commit_ver_hi_incl"),
+        F.count(F.lit(1)).alias("n_units"),
+    )
     held.join(spans, place[:3]).write.parquet(f"{path}/ranges")
     files = spark.read.parquet(f"{path}/ranges")
     everything = written.unionByName(_fold_repeats(source.filter("kept"), [*place, *FIELDS]).select(*schema.names)) if large else written
     sent = entries.groupBy("store_id", "unit_num").agg(F.count(F.lit(1)).alias("rows_in"))
     came = everything.groupBy("store_id", "out_num", "unit_num").agg(F.count(F.lit(1)).alias("entries_out"), F.sum("copies").alias("rows_out"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    lineage = plan.join(sent, ["store_id", "unit_num"], "left").join(came, ["store_id", "out_num", "unit_num"], "left").select(*plan.columns, count("rows_in"), count("entries_out"), count("rows_out"))
+    lineage = plan.join(sent, ["store_id", "unit_num"], "left").join(came, ["store_id", "out_num", "unit_num"], "left").select(
+        *plan.columns,
+        count("rows_in"),
+        count("entries_out"),
+        count("rows_out"),
+    )
     ranges = lineage.groupBy("store_id", "out_num").agg(
         F.min("commit_ver_lo_incl").alias("commit_ver_lo_incl"),
         F.max("commit_ver_hi_incl").alias("commit_ver_hi_incl"),

@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from tidewell.session import fresh
 
 
-def eager_join_aggregate(left: DataFrame, right: DataFrame, on: list[str], group: list[str], left_sums: dict[str, str] | None = None, right_sums: dict[str, str] | None = None, outer: bool = False) -> DataFrame:
+def eager_join_aggregate(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    group: list[str],
+    left_sums: dict[str, str] | None = None,
+    right_sums: dict[str, str] | None = None,
+    outer: bool = False,
+) -> DataFrame:
     """Per-group figures of ``left LEFT JOIN right`` on ``on``, without ever joining rows.
 
     Method: both inputs are first aggregated by the join key (the left one also by the group columns, which are its own), with
@@ -27,7 +35,11 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, on: list[str], group
     n_l, n_r = fresh([*left.columns, *right.columns, *left_sums, *right_sums], "n_left", "n_right")
     g = [f"_g{i}" for i in range(len(group))]
     k = [f"_k{i}" for i in range(len(on))]
-    ls = left.select(*[F.col(c).alias(a) for c, a in zip(group, g)], *[F.col(c).alias(a) for c, a in zip(on, k)], *[F.col(c).alias(f"_l_{n}") for n, c in left_sums.items()])
+    ls = left.select(
+        *[F.col(c).alias(a) for c, a in zip(group, g)],
+        *[F.col(c).alias(a) for c, a in zip(on, k)],
+        *[F.col(c).alias(f"_l_{n}") for n, c in left_sums.items()],
+    )
     rs = right.select(*[F.col(c).alias(a) for c, a in zip(on, k)], *[F.col(c).alias(f"_r_{n}") for n, c in right_sums.items()]).dropna(subset=k)
     ls = ls.groupBy(*g, *k).agg(F.count(F.lit(1)).alias(n_l), *[F.sum(f"_l_{n}").alias(f"_l_{n}") for n in left_sums])
     rs = rs.groupBy(*k).agg(F.count(F.lit(1)).alias(n_r), *[F.sum(f"_r_{n}").alias(f"_r_{n}") for n in right_sums])
@@ -39,7 +51,14 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, on: list[str], group
         *[F.sum(F.col(f"_l_{n}") * F.col(n_r)).alias(n) for n in left_sums],
         *[F.sum(F.col(f"_r_{n}") * F.col(n_l)).alias(n) for n in right_sums],
     )
-    return rolled.select(*[F.col(a).alias(c) for c, a in zip(group, g)], "left_rows", "joined_rows", *(["outer_rows"] if outer else []), *left_sums, *right_sums)
+    return rolled.select(
+        *[F.col(a).alias(c) for c, a in zip(group, g)],
+        "left_rows",
+        "joined_rows",
+        *(["outer_rows"] if outer else []),
+        *left_sums,
+        *right_sums,
+    )
 
 
 def heavy_groups(figures: DataFrame, group: list[str], share: float, rows: str = "left_rows") -> DataFrame:

@@ -69,7 +69,10 @@ def _ranged(entries: DataFrame, column: Column, kind: T.DataType, lo: D.Datum |
                 return out.filter(F.lit(False))
         elif own == D.TUPLE:
             first, head = kind.fields[0] if kind.fields else None, bound[0] if bound else None
-            if head is not None and isinstance(first.dataType, {D.I64: T.LongType, D.STR: T.StringType, D.BYTES: T.BinaryType}.get(D.type_of(head), ())):
+            if head is not None and isinstance(
+                first.dataType,
+                {D.I64: T.LongType, D.STR: T.StringType, D.BYTES: T.BinaryType}.get(D.type_of(head), ()),
+            ):
                 plain = column.getField(first.name)  # a plain comparison, which every row that counts passes, before the key is made
                 out = out.filter(plain >= F.lit(head) if low else plain <= F.lit(head))
             key = key_of(column, kind)
@@ -84,7 +87,15 @@ def key_range(entries: DataFrame, lo: D.Datum | None, hi: D.Datum | None, key: s
     return entries.filter(between(F.col(key), lo, hi)).orderBy(key)
 
 
-def sv_range(entries: DataFrame, spec: SubValueSpec, lo: D.Datum | None, hi: D.Datum | None, indexes: set[SubValueSpec], pk: str = "pk", value: str = "pv") -> DataFrame:
+def sv_range(
+    entries: DataFrame,
+    spec: SubValueSpec,
+    lo: D.Datum | None,
+    hi: D.Datum | None,
+    indexes: set[SubValueSpec],
+    pk: str = "pk",
+    value: str = "pv",
+) -> DataFrame:
     """Live entries whose sub-value lies in the range, with the whole value and ``sv``, ascending by (sv, pk).
 
     NoIndex if the spec is not among the defined indexes. Entries without such a sub-value are not in it.
@@ -136,7 +147,10 @@ def index_delta(log: DataFrame, keys: list[str], order: list[str], sv: str = "sv
     rows = previous(rows, keys, order, F.struct(F.col("_new").alias("sv"), F.when(F.col("_new").isNotNull(), F.col(value)).alias("pv")), "_old")
     old, new = F.col("_old.sv"), F.col("_new")
     drop = F.when(old.isNotNull() & ~old.eqNullSafe(new), F.struct(old.alias("sv"), F.lit(None).cast(log.schema[value].dataType).alias("pv")))
-    put = F.when(new.isNotNull() & ~(old.eqNullSafe(new) & F.col("_old.pv").eqNullSafe(F.col(value))), F.struct(new.alias("sv"), F.col(value).alias("pv")))
+    put = F.when(
+        new.isNotNull() & ~(old.eqNullSafe(new) & F.col("_old.pv").eqNullSafe(F.col(value))),
+        F.struct(new.alias("sv"), F.col(value).alias("pv")),
+    )
     out = rows.withColumn("_d", F.explode(F.filter(F.array(drop, put), lambda x: x.isNotNull())))
     return out.select(F.col("_d.sv").alias("sv"), *keys, *order, F.col("_d.pv").alias("pv"))
 
@@ -149,7 +163,10 @@ def place(entries: DataFrame, key: str, name: str) -> DataFrame:
     before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row for each task
     within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return ranged.withColumn("_w", within).join(before, "_range").select(*entries.columns, (F.col("_w") + F.col("_before")).cast("bigint").alias(name))
+    return ranged.withColumn("_w", within).join(before, "_range").select(
+        *entries.columns,
+        (F.col("_w") + F.col("_before")).cast("bigint").alias(name),
+    )
 
 
 def any_of(tests: list[Column]) -> Column:

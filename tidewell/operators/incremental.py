@@ -114,7 +114,12 @@ def pending_at(runs: DataFrame, units: DataFrame) -> DataFrame:
     gaps = written(gaps_between(_handled(runs), ["store_id", "consumer"], followers), "gaps")
     side = units.select("store_id", "unit_num", F.col(SPAN[0]).alias("lo"), F.col(SPAN[1]).alias("hi"))
     left = overlap_lengths(side, gaps, ["store_id"], ["store_id", "unit_num", "lo", "hi"], "_left", ["consumer"])
-    return left.select(*PAIR, F.col("lo").alias(SPAN[0]), F.col("hi").alias(SPAN[1]), (F.col("hi") - F.col("lo") + 1 - F.col("_left")).alias(CONTENT[2]))
+    return left.select(
+        *PAIR,
+        F.col("lo").alias(SPAN[0]),
+        F.col("hi").alias(SPAN[1]),
+        (F.col("hi") - F.col("lo") + 1 - F.col("_left")).alias(CONTENT[2]),
+    )
 
 
 def handled_now(runs: DataFrame, pairs: DataFrame) -> DataFrame:

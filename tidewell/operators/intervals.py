@@ -29,7 +29,9 @@ def level_of(lo: Column, hi: Column) -> Column:
 def _cells(df: DataFrame, lo: str, hi: str, levels: Column, role: int, first_only: bool = False) -> DataFrame:
     """One row for each cell that [lo, hi] touches on each of the given levels."""
     out = df.withColumn("_g_level", F.explode(levels))
-    start, stop = F.expr(f"shiftright(cast(`{lo}` as bigint), _g_level * {STEP_BITS} + {BASE_BITS})"), F.expr(f"shiftright(cast(`{hi}` as bigint), _g_level * {STEP_BITS} + {BASE_BITS})")
+    start, stop = F.expr(
+        f"shiftright(cast(`{lo}` as bigint), _g_level * {STEP_BITS} + {BASE_BITS})"
+    ), F.expr(f"shiftright(cast(`{hi}` as bigint), _g_level * {STEP_BITS} + {BASE_BITS})")
     cells = F.array(start) if first_only else F.when(start == stop, F.array(start)).otherwise(F.sequence(start, stop))
     return out.withColumn("_g_cell", F.explode(cells)).withColumn("_g_role", F.lit(role))
 
@@ -41,11 +43,30 @@ def _levels(*sides: DataFrame) -> list[list[int]]:
     return [sorted(r.l for r in found if r.side == i) for i in range(len(sides))]
 
 
-def _matched(left: DataFrame, right: DataFrame, keys: list[str], relation: str, condition, salts: int, levels: list[int] | None, how: str) -> DataFrame:
+def _matched(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    relation: str,
+    condition,
+    salts: int,
+    levels: list[int] | None,
+    how: str,
+) -> DataFrame:
     """The rows ``_l`` and, unless ``how`` is a semi join, ``_r`` of related intervals; a pair may come more than once only in a semi join."""
     ok = lambda d: d.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "lo", "hi")]) & (F.col("lo") <= F.col("hi")))
-    ls = ok(left).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*left.columns).alias("_l"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    rs = ok(right).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*right.columns).alias("_r"), F.col("lo").alias("_rlo"), F.col("hi").alias("_rhi"))
+    ls = ok(left).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.struct(*left.columns).alias("_l"),
+        F.col("lo").alias("_lo"),
+        F.col("hi").alias("_hi"),
+    )
+    rs = ok(right).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.struct(*right.columns).alias("_r"),
+        F.col("lo").alias("_rlo"),
+        F.col("hi").alias("_rhi"),
+    )
     ls, rs = ls.withColumn("_own", level_of(F.col("_lo"), F.col("_hi"))), rs.withColumn("_own", level_of(F.col("_rlo"), F.col("_rhi")))
     l_levels, r_levels = (levels, levels) if levels is not None else _levels(ok(left), ok(right))
     at = lambda levels: F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast(T.ArrayType(T.IntegerType()))
@@ -58,9 +79,19 @@ def _matched(left: DataFrame, right: DataFrame, keys: list[str], relation: str,
     # Of role 0 the left side is the large one and gets a random salt; of role 1 the right side.
     salt = F.pmod(F.xxhash64("_l"), F.lit(salts)).cast("int")
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    lc = lc.withColumn("_g_salt", F.explode(F.when((F.col("_g_role") == 0) & (F.col("_g_level") > 0), F.array(salt)).when(F.col("_g_role") == 0, F.array(F.lit(0))).otherwise(all_salts)))
+    lc = lc.withColumn(
+        "_g_salt",
+        F.explode(
+            F.when((F.col("_g_role") == 0) & (F.col("_g_level") > 0), F.array(salt)).when(F.col("_g_role") == 0, F.array(F.lit(0))).otherwise(all_salts)
+        ),
+    )
     r_salt = F.pmod(F.xxhash64("_r"), F.lit(salts)).cast("int")
-    rc = rc.withColumn("_g_salt", F.explode(F.when((F.col("_g_role") == 0) & (F.col("_g_level") > 0), all_salts).when(F.col("_g_role") == 0, F.array(F.lit(0))).otherwise(F.array(r_salt))))
+    rc = rc.withColumn(
+        "_g_salt",
+        F.explode(
+            F.when((F.col("_g_role") == 0) & (F.col("_g_level") > 0), all_salts).when(F.col("_g_role") == 0, F.array(F.lit(0))).otherwise(F.array(r_salt))
+        ),
+    )
     on = [*[f"_k{i}" for i in range(len(keys))], "_g_role", "_g_level", "_g_cell", "_g_salt"]
     a, b = lc.alias("a"), rc.alias("b")
     test = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
@@ -76,7 +107,16 @@ def _matched(left: DataFrame, right: DataFrame, keys: list[str], relation: str,
     return a.join(b, test, how)
 
 
-def interval_semi_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], relation: str = "overlaps", condition=None, salts: int = 8, levels: list[int] | None = None) -> DataFrame:
+def interval_semi_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_id: list[str],
+    relation: str = "overlaps",
+    condition=None,
+    salts: int = 8,
+    levels: list[int] | None = None,
+) -> DataFrame:
     """Distinct ``left_id`` of the rows of left for which some row of right has the same keys and a related interval.
 
     Both sides need the columns ``lo`` and ``hi`` (closed, integers) beside the keys. ``relation`` is ``overlaps`` or ``inside``
@@ -88,10 +128,28 @@ def interval_semi_join(left: DataFrame, right: DataFrame, keys: list[str], left_
 
     A hot key is spread over its cells; cells of higher levels, which hold all of a key, are also spread over salts.
     """
-    return _matched(left, right, keys, relation, condition, salts, levels, "left_semi").select(*[F.col(f"_l.{c}").alias(c) for c in left_id]).distinct()
-
-
-def overlap_lengths(left: DataFrame, right: DataFrame, keys: list[str], group: list[str], name: str, right_group: list[str] | None = None, salts: int = 8, levels: list[int] | None = None) -> DataFrame:
+    return _matched(
+        left,
+        right,
+        keys,
+        relation,
+        condition,
+        salts,
+        levels,
+        "left_semi",
+    ).select(*[F.col(f"_l.{c}").alias(c) for c in left_id]).distinct()
+
+
+def overlap_lengths(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    group: list[str],
+    name: str,
+    right_group: list[str] | None = None,
+    salts: int = 8,
+    levels: list[int] | None = None,
+) -> DataFrame:
     """(group, right_group, name): how many integers of the left rows' intervals lie in right intervals of the same keys.
 
     Right intervals of one right_group may not overlap, or what they share counts for each. Pairs that meet are folded where they meet
@@ -115,7 +173,10 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, how: str,
     base = df.withColumn("_s_block", F.expr(f"shiftright(cast(`{order}` as bigint), {block_bits})")).withColumn("_s_value", value)
     before = Window.partitionBy(*keys, "_s_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     totals = base.groupBy(*keys, "_s_block").agg(fold("_s_value").alias("_s_total"))
-    totals = totals.withColumn("_s_carry", fold("_s_total").over(Window.partitionBy(*keys).orderBy("_s_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_s_total")
+    totals = totals.withColumn(
+        "_s_carry",
+        fold("_s_total").over(Window.partitionBy(*keys).orderBy("_s_block").rowsBetween(Window.unboundedPreceding, -1)),
+    ).drop("_s_total")
     same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (*keys, "_s_block")]
     inner = base.withColumn("_s_in", fold("_s_value").over(before))
     joined = inner.alias("x").join(totals.alias("y"), reduce(lambda a, b: a & b, same), "left")
@@ -152,7 +213,11 @@ def merge_intervals(df: DataFrame, keys: list[str], gap: int = 0, block_bits: in
     same = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in block])  # no isnotnull on one side: the islands' exchange is reused
     named = islands.alias("x").join(ends.select(*block, end_before, start_before).alias("y"), same)
     fresh = F.col(end_before).isNull() | (F.col("x.lo") > F.col(end_before) + gap)
-    named = named.select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.hi").alias("hi"), F.when(fresh, F.col("x.lo")).otherwise(F.col(start_before)).alias("_m_id"))
+    named = named.select(
+        *[F.col(f"x.{k}").alias(k) for k in keys],
+        F.col("x.hi").alias("hi"),
+        F.when(fresh, F.col("x.lo")).otherwise(F.col(start_before)).alias("_m_id"),
+    )
     return named.groupBy(*keys, "_m_id").agg(F.max("hi").alias("hi")).select(*keys, F.col("_m_id").alias("lo"), "hi")
 
 
@@ -165,7 +230,12 @@ def gaps_between(df: DataFrame, keys: list[str], all_keys: DataFrame, block_bits
 
     # One row before all intervals of a key: it ends where the longs begin, so that the first gap is found like the others.
     merged = merge_intervals(df, keys, 1, block_bits).withColumn("_g_block", F.expr(f"shiftright(lo, {block_bits})"))
-    head = all_keys.select(*keys).distinct().select(*keys, F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("_g_block"))
+    head = all_keys.select(*keys).distinct().select(
+        *keys,
+        F.lit(None).cast("long").alias("lo"),
+        F.lit(None).cast("long").alias("hi"),
+        F.lit(None).cast("long").alias("_g_block"),
+    )
     rows = merged.unionByName(head)
     # The start after a row: the next one of its block, or the first of the next block.
     within = Window.partitionBy(*keys, "_g_block").orderBy("lo")

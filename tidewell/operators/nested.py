@@ -135,7 +135,17 @@ def _step(name: str, at: int | None, plain: str | None) -> str:
     return f"{safe}:{'' if at is None else at}"
 
 
-def elements(df: DataFrame, keys: list[str], text: str, walker: Walker = json_children, wrap: Callable | None = None, root: str = ROOT, plain: str | None = None, own: str = OWN, fields: bool = True) -> DataFrame:
+def elements(
+    df: DataFrame,
+    keys: list[str],
+    text: str,
+    walker: Walker = json_children,
+    wrap: Callable | None = None,
+    root: str = ROOT,
+    plain: str | None = None,
+    own: str = OWN,
+    fields: bool = True,
+) -> DataFrame:
     """Every element of every record in one pass: keys, ``table`` (its name), ``path``, ``parent_table``, ``parent_path``, ``position``, ``fields``.
 
     An element is the root, an item of a list, or an object; scalars that stand alone under a name are ``fields`` (a map) of the element that
@@ -191,7 +201,13 @@ def graph_of(rows: DataFrame) -> set[tuple[str, str, bool]]:
     return found
 
 
-def schema_graph(df: DataFrame, text: str, walker: Walker = json_children, wrap: Callable | None = None, root: str = ROOT) -> set[tuple[str, str, bool]]:
+def schema_graph(
+    df: DataFrame,
+    text: str,
+    walker: Walker = json_children,
+    wrap: Callable | None = None,
+    root: str = ROOT,
+) -> set[tuple[str, str, bool]]:
     """The edges (parent, child, repeated) that occur in any record."""
     return graph_of(elements(df, [], text, walker, wrap, root))
 
@@ -210,16 +226,24 @@ def inline(rows: DataFrame, keys: list[str], plan: InlinePlan, root: str = ROOT,
     last = F.regexp_extract(F.col("_owner"), "([^.:]*):[^.]*$", 1)
     name_of = lambda path: F.when(path == "", F.lit(root)).when(last != "", _unescaped(last)).otherwise(F.lit(plain))
     mine = rows.filter(F.col("table").isin(*sorted(plan.tables))).withColumn("_owner", F.regexp_replace("parent_path", tail, ""))
-    mine = mine.withColumn("parent_table", F.when(F.col("parent_path").isNotNull(), name_of(F.col("_owner")))).withColumn("parent_path", F.col("_owner")).drop("_owner")
+    mine = mine.withColumn(
+        "parent_table",
+        F.when(F.col("parent_path").isNotNull(), name_of(F.col("_owner"))),
+    ).withColumn("parent_path", F.col("_owner")).drop("_owner")
     below = rows.filter(F.col("table").isin(*inner)).withColumn("_owner", F.regexp_replace("path", tail, ""))
     steps = F.expr("ltrim('.', substring(path, length(_owner) + 1))")
     prefix = F.concat(_unescaped(F.replace(steps, F.lit(":"), F.lit(""))), F.lit("."))
     below = below.withColumn("_prefix", prefix).withColumn("path", F.col("_owner"))
     below = below.select(*keys, "path", F.transform_keys("fields", lambda k, _: F.concat(F.col("_prefix"), k)).alias("fields"))
-    parts = mine.select(*keys, "path", F.explode_outer(F.map_entries("fields")).alias("_e")).unionByName(below.select(*keys, "path", F.explode(F.map_entries("fields")).alias("_e")))
+    parts = mine.select(*keys, "path", F.explode_outer(F.map_entries("fields")).alias("_e")).unionByName(
+        below.select(*keys, "path", F.explode(F.map_entries("fields")).alias("_e"))
+    )
     gathered = parts.groupBy(*keys, "path").agg(F.map_from_entries(F.collect_set(F.when(F.col("_e").isNotNull(), F.col("_e")))).alias("_all"))
     same = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (*keys, "path")])
-    return mine.alias("x").join(gathered.alias("y"), same, "left").select(*[F.col(f"x.{c}").alias(c) for c in rows.columns if c != "fields"], F.col("y._all").alias("fields"))
+    return mine.alias("x").join(gathered.alias("y"), same, "left").select(
+        *[F.col(f"x.{c}").alias(c) for c in rows.columns if c != "fields"],
+        F.col("y._all").alias("fields"),
+    )
 
 
 def _unescaped(column):
@@ -228,7 +252,15 @@ def _unescaped(column):
     return column
 
 
-def shred(df: DataFrame, keys: list[str], text: str, plan: InlinePlan, walker: Walker = json_children, wrap: Callable | None = None, root: str = ROOT) -> DataFrame:
+def shred(
+    df: DataFrame,
+    keys: list[str],
+    text: str,
+    plan: InlinePlan,
+    walker: Walker = json_children,
+    wrap: Callable | None = None,
+    root: str = ROOT,
+) -> DataFrame:
     """All tables' rows of the plan, from one more pass over the texts; see ``elements`` and ``inline``."""
     return inline(elements(df, keys, text, walker, wrap, root), keys, plan, root)
 
@@ -268,7 +300,10 @@ def tuple_tables(values: DataFrame, fields: bool = True) -> Tables:
     these rows and decides which elements are tables (repeated, shared or recursive ones) and which are columns of others.
     ``fields=False`` leaves the columns out.
     """
-    rows = written(elements(spread(tuple_records(values)), ["value_id"], "datum_body", datum_children, as_tuple, plain=MEMBER, own="datum_body", fields=fields), "elements")
+    rows = written(
+        elements(spread(tuple_records(values)), ["value_id"], "datum_body", datum_children, as_tuple, plain=MEMBER, own="datum_body", fields=fields),
+        "elements",
+    )
     plan = inline_plan(graph_of(rows))
     return Tables(inline(rows, ["value_id"], plan, plain=MEMBER), plan, ["value_id"])
 

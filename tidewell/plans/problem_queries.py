@@ -45,7 +45,10 @@ def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records' own table, with the number of members that link to each of them directly."""
     found = nested.tuple_tables(table(spark, sf_dir, "nested_values"))
     direct = found.table(nested.MEMBER).filter("parent_path = ''").groupBy("value_id").agg(F.count(F.lit(1)).alias("n_direct"))
-    return found.table(nested.ROOT).select("value_id", "datum_type").join(direct, "value_id", "left").withColumn("n_direct", F.coalesce("n_direct", F.lit(0)))
+    return found.table(nested.ROOT).select("value_id", "datum_type").join(direct, "value_id", "left").withColumn(
+        "n_direct",
+        F.coalesce("n_direct", F.lit(0)),
+    )
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +113,24 @@ def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_listing_delta, p2_found, p2_members, p2_values, p3_found, p3_files, p3_rolled, p3_ranges, p3_entries, p4_found, p4_sub_values, p5_found, p5_current)}
+    return {
+        f.__name__: f for f in (
+            p1_found,
+            p1_listing_delta,
+            p2_found,
+            p2_members,
+            p2_values,
+            p3_found,
+            p3_files,
+            p3_rolled,
+            p3_ranges,
+            p3_entries,
+            p4_found,
+            p4_sub_values,
+            p5_found,
+            p5_current,
+        )
+    }
 
 
 _LIVE = """

@@ -37,7 +37,11 @@ def run_statement(store: DataFrame, indexes: set[SubValueSpec], text: str) -> Da
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return run_statement(orders_store(spark, d), ORDER_INDEXES, "get where svspec(2 0 int) between int(10000000) int(20000000)").selectExpr(*FLAT_ORDER)
+    return run_statement(
+        orders_store(spark, d),
+        ORDER_INDEXES,
+        "get where svspec(2 0 int) between int(10000000) int(20000000)",
+    ).selectExpr(*FLAT_ORDER)
 
 
 def _pk(lo, hi):
@@ -150,9 +154,21 @@ def conflict_check(spark: SparkSession, d: str) -> DataFrame:
     Version windows are the join key (each window touches two), users the interval; a pair never meets outside its window.
     """
     events = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    reads = events.filter(F.col("event_type") == "click").select(F.col("event_id").alias("txn"), F.col("user_id").alias("lo"), (F.col("user_id") + 3).alias("hi"), F.explode(F.sequence(F.expr(f"(event_id + 1) div {WINDOW}"), F.expr(f"(event_id + {WINDOW}) div {WINDOW}"))).alias("win"))
+    reads = events.filter(F.col("event_type") == "click").select(
+        F.col("event_id").alias("txn"),
+        F.col("user_id").alias("lo"),
+        (F.col("user_id") + 3).alias("hi"),
+        F.explode(F.sequence(F.expr(f"(event_id + 1) div {WINDOW}"), F.expr(f"(event_id + {WINDOW}) div {WINDOW}"))).alias("win"),
+    )
     writes = events.select("event_id", F.col("user_id").alias("lo"), F.col("user_id").alias("hi"), F.expr(f"event_id div {WINDOW}").alias("win"))
-    hit = interval_semi_join(reads, writes, ["win"], ["txn"], condition=lambda r, w: (w("event_id") > r("txn")) & (w("event_id") <= r("txn") + WINDOW))
+    hit = interval_semi_join(
+        reads,
+        writes,
+        ["win"],
+        ["txn"],
+        condition=lambda r,
+        w: (w("event_id") > r("txn")) & (w("event_id") <= r("txn") + WINDOW),
+    )
     return hit.distinct()
 
 
@@ -192,7 +208,10 @@ def _filled(spark: SparkSession, d: str) -> tuple[Store, DataFrame]:
     store.put_many(mixed.filter("tag <> 4").select("pk_key", "pv_key"))
     store.create_index(SubValueSpec.whole(D.I64))
     store.put_many(mixed.filter("tag = 4").select("pk_key", "pv_key"))
-    changed = mixed.filter("tag IN (2, 3)").withColumn("pv_key", F.when((F.col("tag") == 3) & (F.length("ks") > 8), literal_key("renamed")).when(F.col("tag") == 3, F.col("pv_key")))
+    changed = mixed.filter("tag IN (2, 3)").withColumn(
+        "pv_key",
+        F.when((F.col("tag") == 3) & (F.length("ks") > 8), literal_key("renamed")).when(F.col("tag") == 3, F.col("pv_key")),
+    )
     store.put_many(changed.select("pk_key", "pv_key"))
     return store, mixed
 
@@ -217,10 +236,24 @@ def store_index_scan(spark: SparkSession, d: str) -> DataFrame:
 def store_statements(spark: SparkSession, d: str) -> DataFrame:
     """Writes, index statements and reads as query texts."""
     store = Store(spark, shared_dir(spark, "store"))
-    for text in ("put int(100) int(1000)", "put int(101) int(1010)", "put int(102) str(1020)", "del int(102)", "create index svspec(int)", "put int(7150) tup( str(t7150) tup( int(64) str(t64) ) int(64) )", "put int(100) int(900)"):
+    for text in (
+        "put int(100) int(1000)",
+        "put int(101) int(1010)",
+        "put int(102) str(1020)",
+        "del int(102)",
+        "create index svspec(int)",
+        "put int(7150) tup( str(t7150) tup( int(64) str(t64) ) int(64) )",
+        "put int(100) int(900)",
+    ):
         store.query(text)
     text = F.udf(lambda k: D.render(D.decode_key(bytes(k))), "string")  # a handful of rows, for show
-    reads = [store.query(q).select(F.lit(q).alias("query"), text("pk_key").alias("pk"), text("pv_key").alias("pv")) for q in ("get int(102)", "get between int(101) str(quayz)", "get where svspec(int) between int(500) int(1500)")]
+    reads = [
+        store.query(q).select(F.lit(q).alias("query"), text("pk_key").alias("pk"), text("pv_key").alias("pv")) for q in (
+            "get int(102)",
+            "get between int(101) str(quayz)",
+            "get where svspec(int) between int(500) int(1500)",
+        )
+    ]
     return reads[0].unionByName(reads[1]).unionByName(reads[2])
 
 

@@ -41,7 +41,10 @@ def orders_store(spark: SparkSession, d: str, cents_from: int | None = None, cen
 
 def customer_store(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "customer")
-    return t.select(F.col("c_custkey").alias("pk"), _value(F.col("c_name"), F.col("c_nationkey").cast("bigint"), cents("c_acctbal"), F.col("c_mktsegment")).alias("pv"))
+    return t.select(
+        F.col("c_custkey").alias("pk"),
+        _value(F.col("c_name"), F.col("c_nationkey").cast("bigint"), cents("c_acctbal"), F.col("c_mktsegment")).alias("pv"),
+    )
 
 
 def event_log(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +64,14 @@ def mixed_store(spark: SparkSession, d: str) -> DataFrame:
     def part(t: DataFrame, tag: int, key: Column, value: Column, ki: Column, ks: Column, kt: Column) -> DataFrame:
         x = t.select(key.alias("k"), value.alias("v"), ki.cast("bigint").alias("ki"), ks.cast("string").alias("ks"), kt.cast("bigint").alias("kt"))
         kinds = {f.name: f.dataType for f in x.schema}
-        return x.select(key_of(F.col("k"), kinds["k"]).alias("pk_key"), key_of(F.col("v"), kinds["v"]).alias("pv_key"), F.lit(tag).alias("tag"), "ki", "ks", "kt")
+        return x.select(
+            key_of(F.col("k"), kinds["k"]).alias("pk_key"),
+            key_of(F.col("v"), kinds["v"]).alias("pv_key"),
+            F.lit(tag).alias("tag"),
+            "ki",
+            "ks",
+            "kt",
+        )
 
     region, nation, supplier, events = (table(spark, d, t) for t in ("region", "nation", "supplier", "events"))
     return (

@@ -67,7 +67,12 @@ def store_two_writers(spark: SparkSession, d: str) -> DataFrame:
     """Nations written by two openings of one store in turns, with vacuum and compaction in between: none is lost."""
     nations, root = _nations(spark, d), shared_dir(spark, "store")
     a, b = Store(spark, root), Store(spark, root)
-    _racing([lambda: a.put_many(nations.filter("n_regionkey < 2").select("pk_key", "pv_key")), lambda: b.put_many(nations.filter("n_regionkey = 2").select("pk_key", "pv_key"))])
+    _racing(
+        [
+            lambda: a.put_many(nations.filter("n_regionkey < 2").select("pk_key", "pv_key")),
+            lambda: b.put_many(nations.filter("n_regionkey = 2").select("pk_key", "pv_key")),
+        ]
+    )
     a.vacuum()
     b.put_many(nations.filter("n_regionkey > 2").select("pk_key", "pv_key"))
     a.compact()
@@ -140,7 +145,11 @@ def txn_dirty_write(spark: SparkSession, d: str) -> DataFrame:
 
     _racing([write(r.r_regionkey) for r in _regions(spark, d)])
     found = store.entries()
-    return found.agg(F.count(F.lit(1)).alias("nations"), F.count_distinct("pv_key").alias("numbers"), F.bool_or(F.col("pv_key").isin(*[bytearray(D.encode_key(n)) for n in (1, 3)])).alias("aborted_seen"))
+    return found.agg(
+        F.count(F.lit(1)).alias("nations"),
+        F.count_distinct("pv_key").alias("numbers"),
+        F.bool_or(F.col("pv_key").isin(*[bytearray(D.encode_key(n)) for n in (1, 3)])).alias("aborted_seen"),
+    )
 
 
 def txn_dirty_read(spark: SparkSession, d: str) -> DataFrame:
@@ -260,9 +269,18 @@ def units_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The mixed entries as unit directories with an index file each, one of them replaced and one unfinished, and back."""
     root, mixed = shared_dir(spark, "units"), mixed_store(spark, d)
     log = mixed.select(F.col("tag").cast("bigint").alias("unit_num"), "pk_key", "pv_key")
-    log = log.unionByName(log.filter("unit_num = 2").withColumn("unit_num", F.lit(20).cast("bigint"))).unionByName(log.filter("unit_num = 1").withColumn("unit_num", F.lit(30).cast("bigint")))
-    units = _rows(spark, [(1, 1, 1, 0, 0), (2, 2, 2, 0, 0), (3, 3, 3, 0, 0), (4, 4, 4, 0, 0), (20, 2, 2, 1, 1)], "unit_num bigint, commit_ver_hi_incl bigint, commit_ver_lo_incl bigint, replacement_num bigint, data_type int")
-    index = log.withColumn("sv_key", sub_key(F.col("pv_key"), (), D.I64)).filter(F.col("sv_key").isNotNull()).select("unit_num", "sv_key", "pk_key", "pv_key")
+    log = log.unionByName(
+        log.filter("unit_num = 2").withColumn("unit_num", F.lit(20).cast("bigint"))
+    ).unionByName(log.filter("unit_num = 1").withColumn("unit_num", F.lit(30).cast("bigint")))
+    units = _rows(
+        spark,
+        [(1, 1, 1, 0, 0), (2, 2, 2, 0, 0), (3, 3, 3, 0, 0), (4, 4, 4, 0, 0), (20, 2, 2, 1, 1)],
+        "unit_num bigint, commit_ver_hi_incl bigint, commit_ver_lo_incl bigint, replacement_num bigint, data_type int",
+    )
+    index = log.withColumn(
+        "sv_key",
+        sub_key(F.col("pv_key"), (), D.I64),
+    ).filter(F.col("sv_key").isNotNull()).select("unit_num", "sv_key", "pk_key", "pv_key")
     write_units(log, units, root, {1: index})
     entries = current(read_units(spark, root).withColumnRenamed("pv_key", "pv"), ["pk_key"], ["commit_ver", "seq"])
     indexed = read_index_units(spark, root, 1).select("pk_key", F.lit(True).alias("indexed"))
@@ -272,12 +290,26 @@ def units_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def units_listed(spark: SparkSession, d: str) -> DataFrame:
     """All units' commit info through commit info files; a unit's directory is numbered by its store and its number there."""
-    units = table(spark, d, "commit_units").select("store_id", "unit_num", "commit_ver_hi_incl", "commit_ver_lo_incl", "replacement_num", "data_type").dropna().distinct()
+    units = table(spark, d, "commit_units").select(
+        "store_id",
+        "unit_num",
+        "commit_ver_hi_incl",
+        "commit_ver_lo_incl",
+        "replacement_num",
+        "data_type",
+    ).dropna().distinct()
     units = units.withColumn("unit_num", F.shiftleft("store_id", 32).bitwiseOR(F.col("unit_num"))).drop("store_id")
     root = shared_dir(spark, "units")
     write_units(units.select("unit_num", literal_key("k").alias("pk_key"), literal_key(1).alias("pv_key")), units, root)
     number = F.col("unit_num").bitwiseAND(F.lit((1 << 32) - 1))
-    return list_units(spark, root).select(F.shiftright("unit_num", 32).alias("store_id"), number.alias("unit_num"), "commit_ver_hi_incl", "commit_ver_lo_incl", "replacement_num", "data_type")
+    return list_units(spark, root).select(
+        F.shiftright("unit_num", 32).alias("store_id"),
+        number.alias("unit_num"),
+        "commit_ver_hi_incl",
+        "commit_ver_lo_incl",
+        "replacement_num",
+        "data_type",
+    )
 
 
 def http_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -293,7 +325,21 @@ def http_statements(spark: SparkSession, d: str) -> DataFrame:
     """Status of the query route over a store of the nations."""
     store = _store(spark)
     store.put_many(_nations(spark, d).select("pk_key", "pv_key"))
-    texts = ["get int(3)", "get int(300)", "get between int(300) _", "create index svspec(str)", "create index svspec(str)", "get where svspec(str) str(nowhere)", "get where svspec(int) _", "delete index svspec(str)", "delete index svspec(str)", "put int(300) str(x)", "get int(300)", "del int(300)", "no statement"]
+    texts = [
+        "get int(3)",
+        "get int(300)",
+        "get between int(300) _",
+        "create index svspec(str)",
+        "create index svspec(str)",
+        "get where svspec(str) str(nowhere)",
+        "get where svspec(int) _",
+        "delete index svspec(str)",
+        "delete index svspec(str)",
+        "put int(300) str(x)",
+        "get int(300)",
+        "del int(300)",
+        "no statement",
+    ]
     return _rows(spark, [(i, t, respond(store, "POST", "/query", t)[0]) for i, t in enumerate(texts)], "n int, statement string, status int")
 
 
@@ -302,7 +348,11 @@ def pk_order(spark: SparkSession, d: str) -> DataFrame:
     from tidewell.operators.entries import key_range
 
     rows = key_range(mixed_store(spark, d), 2, "NATION_3").select("tag", "ki", "ks", "kt").toPandas()  # regions, suppliers and some nations
-    return _rows(spark, [(i, int(r.tag), None if r.ki != r.ki or r.ki is None else int(r.ki), r.ks) for i, r in enumerate(rows.itertuples())], "place int, tag int, ki bigint, ks string")
+    return _rows(
+        spark,
+        [(i, int(r.tag), None if r.ki != r.ki or r.ki is None else int(r.ki), r.ks) for i, r in enumerate(rows.itertuples())],
+        "place int, tag int, ki bigint, ks string",
+    )
 
 
 def queries() -> dict:

@@ -70,7 +70,13 @@ class _Reader(DataSourceReader):
 
     def _wanted(self, key: bytes) -> bool:
         for kind, bound in self.tests:
-            if not {"EqualTo": key == bound, "GreaterThan": key > bound, "GreaterThanOrEqual": key >= bound, "LessThan": key < bound, "LessThanOrEqual": key <= bound}[kind]:
+            if not {
+                "EqualTo": key == bound,
+                "GreaterThan": key > bound,
+                "GreaterThanOrEqual": key >= bound,
+                "LessThan": key < bound,
+                "LessThanOrEqual": key <= bound,
+            }[kind]:
                 return False
         return True
 
@@ -105,7 +111,10 @@ class _PushingReader(_Reader):
     def pushFilters(self, filters):  # noqa: N802
         lead = "sv_key" if self.index else "pk_key"
         for f in filters:
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute == (lead,) and isinstance(f.value, (bytes, bytearray)):
+            if isinstance(
+                f,
+                (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual),
+            ) and f.attribute == (lead,) and isinstance(f.value, (bytes, bytearray)):
                 self.tests.append((type(f).__name__, bytes(f.value)))
             else:
                 yield f

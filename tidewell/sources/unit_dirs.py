@@ -24,10 +24,26 @@ def _number(path) -> F.Column:
 def list_units(spark: SparkSession, root: str, store_id: int = 0) -> DataFrame:
     """The listing of a folder's units as ``live_units`` takes it; parts of the commit info that are missing or wrong are null."""
     seen = spark.read.format("binaryFile").load(f"{root}/*/pi.kv").select(_number(F.col("path")).alias("unit_num"), F.col("length").alias("n_bytes"))
-    info = spark.read.format("binaryFile").load(f"{root}/*/commit_info.txt").select(_number(F.col("path")).alias("unit_num"), F.split(F.decode("content", "UTF-8"), ",").alias("f"))
+    info = spark.read.format("binaryFile").load(f"{root}/*/commit_info.txt").select(
+        _number(F.col("path")).alias("unit_num"),
+        F.split(F.decode("content", "UTF-8"), ",").alias("f"),
+    )
     part = lambda i: F.get("f", F.lit(i)).try_cast("bigint")
-    info = info.select("unit_num", *[part(i).alias(n) for i, n in enumerate(("commit_ver_hi_incl", "commit_ver_lo_incl", "replacement_num"))], part(3).cast("int").alias("data_type"))
-    return seen.join(info, "unit_num", "left").select(F.lit(store_id).cast("bigint").alias("store_id"), "unit_num", "commit_ver_hi_incl", "commit_ver_lo_incl", "replacement_num", "data_type", F.lit(None).cast("bigint").alias("n_entries"), "n_bytes")
+    info = info.select(
+        "unit_num",
+        *[part(i).alias(n) for i, n in enumerate(("commit_ver_hi_incl", "commit_ver_lo_incl", "replacement_num"))],
+        part(3).cast("int").alias("data_type"),
+    )
+    return seen.join(info, "unit_num", "left").select(
+        F.lit(store_id).cast("bigint").alias("store_id"),
+        "unit_num",
+        "commit_ver_hi_incl",
+        "commit_ver_lo_incl",
+        "replacement_num",
+        "data_type",
+        F.lit(None).cast("bigint").alias("n_entries"),
+        "n_bytes",
+    )
 
 
 def _live(spark: SparkSession, root: str) -> DataFrame:

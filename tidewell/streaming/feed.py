@@ -41,7 +41,9 @@ class StateTable:
         fold = len(parts) >= self.fold_every
         if fold:
             changes = changes.unionByName(self.read(number).select(*changes.columns))
-        compose_patches(changes, self.keys, self.order, self.effect).write.mode("overwrite").parquet(f"{self.folder.root}/{'v' if fold else 'd'}{number:012d}")
+        compose_patches(changes, self.keys, self.order, self.effect).write.mode("overwrite").parquet(
+            f"{self.folder.root}/{'v' if fold else 'd'}{number:012d}"
+        )
         if fold:
             for n in self.folder.names():
                 if n[:1] in "vd" and n[1:].isdigit() and int(n[1:]) < int(parts[0][1:]):
@@ -50,7 +52,10 @@ class StateTable:
 
 def follow(spark: SparkSession, stream: DataFrame, state: StateTable, checkpoint: str) -> None:
     """Takes all that is there now, in micro-batches, into the state; call again for what comes later."""
-    query = stream.writeStream.foreachBatch(lambda batch, number: state.apply(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(
+        lambda batch,
+        number: state.apply(batch, number),
+    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
