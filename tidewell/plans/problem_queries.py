@@ -62,12 +62,6 @@ def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.files.select("store_id", "out_num", "part", "commit_ver_lo_incl", "commit_ver_hi_incl", "n_units", "n_entries", "content_bytes")
 
 
-def p3_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``p3_files`` with outputs of 64 KiB, at which the test stores roll over."""
-    done = _consolidated(spark, sf_dir, 1 << 16)
-    return done.files.select("store_id", "out_num", "part", "commit_ver_lo_incl", "commit_ver_hi_incl", "n_units", "n_entries", "content_bytes")
-
-
 def p3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range metadata of the outputs."""
     done = _consolidated(spark, sf_dir, SQL_TARGET)
@@ -122,7 +116,6 @@ def queries() -> dict:
             p2_values,
             p3_found,
             p3_files,
-            p3_rolled,
             p3_ranges,
             p3_entries,
             p4_found,
@@ -205,7 +198,6 @@ FROM (SELECT * FROM now EXCEPT SELECT * FROM state) n
         "p2_values": f"{_MEMBERS} SELECT value_id, '4' AS datum_type, (SELECT count(*) FROM kids m WHERE m.value_id = kids.value_id AND m.parent = '') AS n_direct FROM kids WHERE i IS NULL",
         "p3_found": f"WITH {_LIVE} SELECT store_id, unit_num FROM live WHERE n_bytes < 4096",
         "p3_files": _files_sql(consolidate.TARGET_BYTES),
-        "p3_rolled": _files_sql(1 << 16),
         "p3_ranges": f"""{_PLAN}, n AS (SELECT store_id, out_num, count(*) AS n_entries FROM came GROUP BY 1, 2)
 SELECT p.store_id, p.out_num, min(p.lo) AS commit_ver_lo_incl, max(p.hi) AS commit_ver_hi_incl, max(p.rep) + 1 AS replacement_num, count(*) AS n_units, coalesce(max(n.n_entries), 0) AS n_entries
 FROM plan p LEFT JOIN n ON n.store_id = p.store_id AND n.out_num = p.out_num GROUP BY 1, 2
