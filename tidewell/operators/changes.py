@@ -80,9 +80,10 @@ def _range_patches(entries: DataFrame, versions: DataFrame, values: bool) -> Dat
     effect = ["datum_type", "pv"] if values else ["datum_type"]
     order = ["ver", "seq", "unit_num"]
     placed = entries.select("store_id", "unit_num", "pk_type", "pk", "seq", *effect).join(
-        versions.select("store_id", "unit_num", "ver"),
+        versions.select("store_id", "unit_num", "ver").hint("merge"),
         ["store_id", "unit_num"],
     )
+    # (joined in one way at every size: units and entries grow together)
     placed = placed.withColumn("_chunk", F.expr(f"shiftright(ver, {CHUNK_BITS})"))
     chunks = compose_patches(placed, [*KEYS, "_chunk"], order, effect)
     return compose_patches(chunks, KEYS, order, effect)
