@@ -62,6 +62,53 @@ def test_unit_dirs(spark, tmp_path):
     assert {D.decode_key(bytes(r.pk_key)): D.decode_key(bytes(r.pv)) for r in live.collect()} == {2: "c", "x": (1, "y")}
 
 
+def test_units_are_listed_by_tasks(spark, tmp_path):
+    for num in range(25):
+        (d := tmp_path / f"{num:016x}").mkdir()
+        (d / "pi.kv").write_bytes(b"x" * num)
+    (d / "commit_info.txt").write_text("1,2,3,0")
+    (tmp_path / f"{99:016x}").mkdir()  # no entry file
+    (tmp_path / "scnd_idxs").mkdir()
+    found = list_units(spark, str(tmp_path))
+    assert found.inputFiles() == []  # the driver holds no file of the folder
+    assert sorted((r.unit_num, r.n_bytes, r.data_type) for r in found.collect()) == [(n, n, 0 if n == 24 else None) for n in range(25)]
+    (tmp_path / f"{7:016x}" / "commit_info.txt").write_bytes(b"9,8,\xff,1")
+    assert [tuple(r)[2:6] for r in found.filter("unit_num = 7").collect()] == [(9, 8, None, 1)]
+
+    from tidewell.sources.unit_dirs import remove_units
+
+    remove_units(spark.createDataFrame([(n,) for n in (3, 4, 500)], "unit_num bigint"), str(tmp_path))
+    assert {r.unit_num for r in found.collect()} == {*range(25)} - {3, 4}
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert list_units(spark, str(empty)).count() == 0
+
+
+def test_units_listed_in_parts(spark, tmp_path, monkeypatch):
+    from tidewell.plans import txn_queries
+
+    fields = "store_id bigint, unit_num bigint, commit_ver_hi_incl bigint, commit_ver_lo_incl bigint, replacement_num bigint, data_type int"
+    units = [(s, u, u + 1, u, u % 3, s % 2) for s in (1, 2) for u in range(20)]
+    torn = [(1, 50, None, 1, 0, 0), (None, 51, 1, 1, 0, 0)]
+    spark.createDataFrame(units + torn + units[:9], fields).write.parquet(str(tmp_path / "commit_units.parquet"))
+    spark.createDataFrame([], fields).write.parquet(str(tmp_path / "none" / "commit_units.parquet"))
+    standing, listed = [], txn_queries.list_units
+
+    def watched(spark, root):
+        standing.append(len(list(tmp_path.glob("units/*/pi.kv"))))
+        return listed(spark, root)
+
+    monkeypatch.setattr(txn_queries, "shared_dir", lambda spark, label: f"file://{tmp_path}/{label}")
+    monkeypatch.setattr(txn_queries, "list_units", watched)
+    monkeypatch.setattr(txn_queries, "UNITS_AT_ONCE", 7, raising=False)
+    got = txn_queries.units_listed(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(units)
+    assert len(standing) == 8 and sum(standing) == 40 and max(standing) < 40  # 51 rows of the table
+    assert not list(tmp_path.glob("units/*"))
+    monkeypatch.setattr(txn_queries, "shared_dir", lambda spark, label: f"file://{tmp_path}/none/{label}")
+    assert txn_queries.units_listed(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_catalog():
     indexes = {S((1, 2), D.STR): (4, True), S((), D.I64): (5, False)}
     assert parse_catalog(dump_catalog(6, indexes)) == (6, indexes)

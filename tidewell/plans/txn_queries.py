@@ -5,6 +5,7 @@ Each makes a store from a table and gives as rows what the store holds, or answe
 
 from __future__ import annotations
 
+import math
 import threading
 from collections.abc import Callable
 
@@ -17,13 +18,14 @@ from tidewell.operators.entries import current
 from tidewell.plans.stores import mixed_store
 from tidewell.server import respond
 from tidewell.session import shared_dir, table
-from tidewell.sources.unit_dirs import list_units, read_index_units, read_units, write_units
+from tidewell.sources.unit_dirs import list_units, read_index_units, read_units, remove_units, write_units
 from tidewell.spec import SubValueSpec
 from tidewell.store import Busy, IndexExists, Store, Terminating
 from tidewell.txn import Abort, Commit, RetryLimit, Txn, get_one, put_one, run
 
 INT = SubValueSpec.whole(D.I64)
 RETRIES = 50
+UNITS_AT_ONCE = 1 << 16
 
 
 def _regions(spark: SparkSession, d: str) -> list:
@@ -289,27 +291,41 @@ def units_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def units_listed(spark: SparkSession, d: str) -> DataFrame:
-    """All units' commit info through commit info files; a unit's directory is numbered by its store and its number there."""
-    units = table(spark, d, "commit_units").select(
+    """All units' commit info through commit info files; a unit's directory is numbered by its store and its number there.
+
+    A unit has a folder and two files, which take three blocks of disk (12 KB) whatever they hold. So the units are dealt to parts of about
+    ``UNITS_AT_ONCE``; each part's directories are written and listed, the listing is kept as a table, and they are removed before the next part's.
+    """
+    listing = table(spark, d, "commit_units")
+    units = listing.select(
         "store_id",
         "unit_num",
         "commit_ver_hi_incl",
         "commit_ver_lo_incl",
         "replacement_num",
         "data_type",
-    ).dropna().distinct()
+    ).dropna()
     units = units.withColumn("unit_num", F.shiftleft("store_id", 32).bitwiseOR(F.col("unit_num"))).drop("store_id")
-    root = shared_dir(spark, "units")
-    write_units(units.select("unit_num", literal_key("k").alias("pk_key"), literal_key(1).alias("pv_key")), units, root)
+    parts = max(1, math.ceil(listing.count() / UNITS_AT_ONCE))
+    dealt = units.withColumn("part", F.pmod(F.xxhash64("unit_num"), F.lit(parts)).cast("int")).repartition("part").distinct()
+    todo, done, root = (shared_dir(spark, label) for label in ("units-todo", "units-listed", "units"))
+    dealt.write.partitionBy("part").parquet(todo)
+    todo = spark.read.schema(dealt.schema).parquet(todo)
     number = F.col("unit_num").bitwiseAND(F.lit((1 << 32) - 1))
-    return list_units(spark, root).select(
-        F.shiftright("unit_num", 32).alias("store_id"),
-        number.alias("unit_num"),
-        "commit_ver_hi_incl",
-        "commit_ver_lo_incl",
-        "replacement_num",
-        "data_type",
-    )
+    for part in range(parts):
+        some = todo.filter(F.col("part") == part).drop("part")
+        write_units(some.select("unit_num", literal_key("k").alias("pk_key"), literal_key(1).alias("pv_key")), some, root)
+        found = list_units(spark, root).select(
+            F.shiftright("unit_num", 32).alias("store_id"),
+            number.alias("unit_num"),
+            "commit_ver_hi_incl",
+            "commit_ver_lo_incl",
+            "replacement_num",
+            "data_type",
+        )
+        found.write.mode("append").parquet(done)
+        remove_units(some, root)
+    return spark.read.schema(found.schema).parquet(done)
 
 
 def http_keys(spark: SparkSession, d: str) -> DataFrame:
